@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference pipeline is a weekly batch rerun: it has no watermark, no
+event-time window, no state store and no late-data rule, so there is nothing
+to express as a Structured Streaming query.  A weekly refresh is a batch run
+of the same plans with a new ``ModelConfig.latest_week``.
+"""
