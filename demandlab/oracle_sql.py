@@ -144,3 +144,367 @@ peak AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+# ------------------------------------------------------------ forecasting ----
+
+def iso_w1_saturday(year: int) -> _dt.date:
+    jan4 = _dt.date(year, 1, 4)
+    return jan4 - _dt.timedelta(days=jan4.weekday()) + _dt.timedelta(days=5)
+
+
+def cal_cte(cfg: ModelConfig = DEFAULT_CONFIG) -> str:
+    return f"""proj_daily AS (
+  SELECT n.n_name AS state, CAST(o.o_orderdate AS DATE) AS date, count(*) AS n_orders, sum(o.o_totalprice) AS order_value
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+  GROUP BY ALL
+),
+cal AS (
+  SELECT week_ending_date, week_of_year, count(state) AS n_states
+  FROM (SELECT state, {wk_monday('date')} AS week_ending_date, CAST(week(date) AS INTEGER) AS week_of_year,
+               year(date) AS year, sum(n_orders) AS n_orders
+        FROM proj_daily GROUP BY ALL) x
+  WHERE year = {cfg.ty_year} AND week_of_year <= {cfg.horizon_week}
+  GROUP BY ALL
+)"""
+
+
+def ms_cte(cfg: ModelConfig = DEFAULT_CONFIG) -> str:
+    vals = ", ".join(f"({r}, {w})" for r, w in cfg.milestone_weeks_by_region)
+    L = d(cfg.latest_week)
+    return f"""ms0 AS (
+  SELECT r.r_name AS state, {wk(d(cfg.national_peak))} AS first_milestone_date,
+         {wk(f'CAST({L} + CAST(7 * p.w AS INTEGER) AS DATE)')} AS thirty_pct_week
+  FROM (VALUES {vals}) p(region_key, w) JOIN region r ON r.r_regionkey = p.region_key
+),
+ms1 AS (
+  SELECT *, CASE WHEN datediff('day', {L}, thirty_pct_week) / 7.0 >= 6 THEN CAST(thirty_pct_week - 28 AS DATE)
+                 ELSE thirty_pct_week END AS pos_second_milestone_date
+  FROM ms0
+),
+ms AS (
+  SELECT state, first_milestone_date, thirty_pct_week, pos_second_milestone_date,
+         CAST(pos_second_milestone_date + 14 AS DATE) AS pos_third_milestone_date,
+         CAST(datediff('day', {L}, pos_second_milestone_date) // 7 AS INTEGER) AS pos_weeks_to_second,
+         CASE WHEN datediff('day', {L}, pos_second_milestone_date) / 7.0 <= 2 THEN 1
+              WHEN datediff('day', {L}, pos_second_milestone_date) / 7.0 = 3 THEN 2
+              WHEN datediff('day', {L}, pos_second_milestone_date) / 7.0 > 3 THEN 3 END AS fc_type,
+         CASE WHEN thirty_pct_week <= first_milestone_date THEN CAST(first_milestone_date + 21 AS DATE)
+              ELSE thirty_pct_week END AS ship_second_milestone_date,
+         CAST(CASE WHEN thirty_pct_week <= first_milestone_date THEN CAST(first_milestone_date + 21 AS DATE)
+              ELSE thirty_pct_week END + 14 AS DATE) AS ship_third_milestone_date
+  FROM ms1
+)"""
+
+
+def model_base(cfg: ModelConfig = DEFAULT_CONFIG, shipments: bool = False) -> list[str]:
+    """CTEs: fact, mw, yoy, lifespan, cal, ms."""
+    return [FACT, model_weekly_cte(cfg, shipments), yoy_cte(cfg), lifespan_cte(cfg, shipments), cal_cte(cfg), ms_cte(cfg)]
+
+
+def milestone_ctes(cfg: ModelConfig = DEFAULT_CONFIG, shipments: bool = False) -> list[str]:
+    """CTE ``mp``: milestone forecast rows (before post-processing)."""
+    L = d(cfg.latest_week)
+    head = [
+        "yoy_c AS (SELECT * FROM yoy WHERE sell_id IN (SELECT sell_id FROM lifespan WHERE status = 'complete'))",
+        peak_cte(cfg, "yoy_c"),
+        f"""mg AS (
+  SELECT k.sell_id, k.state, k.category, c.week_ending_date, c.week_of_year,
+         y.qty_ty, y.dollars_ty, y.growth_qty, y.growth_sales,
+         p.latest_growth AS gl, p.latest_qty AS ql, p.median_baseline, p.negative_covid_impact,
+         p.covid_max_growth, p.max_qty_ly,
+         m.first_milestone_date, m.thirty_pct_week, m.pos_second_milestone_date, m.pos_third_milestone_date,
+         m.pos_weeks_to_second AS w, m.fc_type, m.ship_second_milestone_date,
+         CAST(datediff('day', {L}, c.week_ending_date) // 7 AS INTEGER) AS k
+  FROM (SELECT sell_id, state, category FROM lifespan WHERE status = 'complete' AND state IS NOT NULL) k
+  CROSS JOIN cal c
+  LEFT JOIN yoy y ON y.sell_id = k.sell_id AND y.week_ending_date = c.week_ending_date
+  JOIN peak p ON p.sell_id = k.sell_id
+  JOIN ms m ON m.state = k.state
+)"""]
+    if not shipments:
+        body = """mp AS (
+  SELECT sell_id, state, category, week_ending_date, week_of_year, qty_ty, dollars_ty, growth_qty, growth_sales,
+         CASE WHEN k < 0 THEN 0.0 WHEN k = 0 THEN gl
+              WHEN w <= 2 THEN median_baseline
+              WHEN w = 3 THEN CASE WHEN k >= 5 THEN median_baseline ELSE gl * pow(0.5, k) END
+              ELSE CASE WHEN k >= w + 2 THEN median_baseline WHEN k <= w THEN gl * pow(0.9, k)
+                        ELSE gl * pow(0.9, w) * pow(0.5, k - w) END END AS forecast1,
+         CASE WHEN k < 0 THEN 0.0 WHEN k = 0 THEN ql
+              WHEN w > 3 AND k < w THEN CASE WHEN negative_covid_impact = 0 THEN ql * pow(0.9, k) ELSE ql / pow(0.9, k) END
+              ELSE 0.0 END AS forecast_quantity,
+         fc_type, first_milestone_date, pos_second_milestone_date AS second_milestone_date,
+         pos_third_milestone_date AS third_milestone_date, median_baseline, negative_covid_impact,
+         covid_max_growth, max_qty_ly
+  FROM mg
+)"""
+    else:
+        body = f"""mgs AS (
+  SELECT *, CAST(datediff('day', {L}, first_milestone_date) // 7 AS INTEGER) + 1 AS a_w,
+         CASE WHEN datediff('day', {L}, thirty_pct_week) // 7 > datediff('day', {L}, first_milestone_date) // 7
+              THEN datediff('day', {L}, thirty_pct_week) // 7
+              ELSE datediff('day', {L}, first_milestone_date) // 7 + 3 END + 1 AS b_w,
+         (CASE WHEN covid_max_growth < 0 THEN 0.8
+               WHEN covid_max_growth * 100 >= 0 AND covid_max_growth * 100 <= 50 THEN 0.2
+               WHEN covid_max_growth * 100 > 50 AND covid_max_growth * 100 <= 100 THEN 0.15
+               WHEN covid_max_growth * 100 > 100 AND covid_max_growth * 100 <= 500 THEN 0.1
+               WHEN covid_max_growth * 100 > 500 AND covid_max_growth * 100 <= 1000 THEN 0.08
+               ELSE 0.05 END) * covid_max_growth AS start_g
+  FROM mg
+),
+mp AS (
+  SELECT sell_id, state, category, week_ending_date, week_of_year, qty_ty, dollars_ty, growth_qty, growth_sales,
+         CASE WHEN k < 0 THEN 0.0 WHEN k = 0 THEN gl WHEN k < a_w THEN 0.0
+              WHEN k >= b_w + 2 THEN median_baseline
+              WHEN k <= b_w THEN start_g * pow(0.9, k - a_w)
+              ELSE start_g * pow(0.9, b_w - a_w) * pow(0.5, k - b_w) END AS forecast1,
+         CASE WHEN k < 0 THEN 0.0 WHEN k = 0 THEN ql WHEN k < a_w THEN 0.0
+              WHEN k < b_w THEN CASE WHEN negative_covid_impact = 0 THEN ql * pow(0.9, k - a_w + 1)
+                                     ELSE ql / pow(0.9, k - a_w + 1) END
+              ELSE 0.0 END AS forecast_quantity,
+         first_milestone_date, ship_second_milestone_date AS second_milestone_date,
+         CAST(ship_second_milestone_date + 21 AS DATE) AS third_milestone_date,
+         median_baseline, negative_covid_impact, covid_max_growth, max_qty_ly
+  FROM mgs
+)"""
+    return head + [body]
+
+
+def seasonal_ctes(cfg: ModelConfig = DEFAULT_CONFIG) -> list[str]:
+    """CTEs ``fit``, ``season``, ``sfc`` (seasonal forecast), ``hgf`` (flags)."""
+    origin = d(iso_w1_saturday(cfg.ly_year))
+    L = d(cfg.latest_week)
+    return [
+        f"""tw AS (SELECT *, CAST(datediff('day', {origin}, week_ending_date) // 7 AS DOUBLE) AS t_idx FROM mw)""",
+        f"""fit AS (
+  SELECT sell_id, regr_slope(qty, t_idx) AS slope, regr_intercept(qty, t_idx) AS intercept,
+         min(qty) FILTER (WHERE week_ending_date <= {d(cfg.cap_floor_until)}) AS floor_v,
+         max(qty) FILTER (WHERE week_ending_date <= {d(cfg.cap_floor_until)}) AS cap_v
+  FROM tw GROUP BY sell_id
+)""",
+        """season AS (
+  SELECT tw.sell_id, tw.week_of_year, avg(tw.qty - (f.intercept + f.slope * tw.t_idx)) AS season
+  FROM tw JOIN fit f ON f.sell_id = tw.sell_id GROUP BY tw.sell_id, tw.week_of_year
+)""",
+        f"""sfc AS (
+  SELECT u.sell_id, u.week_ending_date, u.week_of_year,
+         least(greatest(u.intercept + u.slope * u.t_idx + coalesce(s.season, 0.0), u.floor_v), u.cap_v) AS seasonal_forecast
+  FROM (SELECT f.*, CAST({L} + CAST(7 * r.k AS INTEGER) AS DATE) AS week_ending_date,
+               CAST(week(CAST({L} + CAST(7 * r.k AS INTEGER) AS DATE)) AS INTEGER) AS week_of_year,
+               CAST(datediff('day', {origin}, CAST({L} + CAST(7 * r.k AS INTEGER) AS DATE)) // 7 AS DOUBLE) AS t_idx
+        FROM fit f CROSS JOIN range(1, {cfg.seasonal_horizon_weeks}) r(k)) u
+  LEFT JOIN season s ON s.sell_id = u.sell_id AND s.week_of_year = u.week_of_year
+)""",
+        f"""hgf AS (
+  SELECT s.sell_id, avg((s.seasonal_forecast - l.qty) / nullif(l.qty, 0)) AS mean_pct_diff,
+         abs(avg((s.seasonal_forecast - l.qty) / nullif(l.qty, 0))) > {cfg.high_growth_threshold} AS high_growth_decline
+  FROM sfc s LEFT JOIN (SELECT * FROM mw WHERE year = {cfg.ly_year}) l
+    ON l.sell_id = s.sell_id AND l.week_of_year = s.week_of_year
+  WHERE s.week_ending_date >= {d(cfg.high_growth_from)}
+  GROUP BY s.sell_id
+)""",
+    ]
+
+
+def adjusted_ctes(cfg: ModelConfig = DEFAULT_CONFIG, shipments: bool = False) -> list[str]:
+    """CTE ``adj``: post-processed milestone forecasts (rules 4-7)."""
+    L = d(cfg.latest_week)
+    bound = "second_milestone_date" if shipments else "third_milestone_date"
+    if shipments:
+        promo = (f"CASE WHEN week_ending_date >= {d(cfg.ship_promo_from)} THEN "
+                 "CASE WHEN qty_ly - roll > 0 THEN qty_ly - roll ELSE 0.0 END ELSE 0.0 END")
+    else:
+        promo = "CASE WHEN week_ending_date >= second_milestone_date THEN qty_ly - roll ELSE 0.0 END"
+    nul = (lambda c: f"CASE WHEN week_ending_date < {L} THEN NULL ELSE {c} END") if not shipments else (lambda c: c)
+    return milestone_ctes(cfg, shipments) + seasonal_ctes(cfg) + [
+        f"""lyr AS (
+  SELECT sell_id, week_of_year, qty AS qty_ly, dollars AS dollars_ly,
+         CASE WHEN count(qty) OVER w6 = 6 THEN quantile_cont(qty, 0.5) OVER w6 END AS ly_med
+  FROM mw WHERE year = {cfg.ly_year}
+  WINDOW w6 AS (PARTITION BY sell_id ORDER BY week_of_year ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)
+)""",
+        """smed AS (
+  SELECT sell_id, week_ending_date,
+         CASE WHEN count(seasonal_forecast) OVER w6 = 6 THEN quantile_cont(seasonal_forecast, 0.5) OVER w6 END AS s_med
+  FROM sfc
+  WINDOW w6 AS (PARTITION BY sell_id ORDER BY week_ending_date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)
+)""",
+        """ab AS (
+  SELECT mp.*, lyr.qty_ly, lyr.dollars_ly, coalesce(smed.s_med, lyr.ly_med) AS roll,
+         hgf.high_growth_decline
+  FROM mp
+  LEFT JOIN lyr ON lyr.sell_id = mp.sell_id AND lyr.week_of_year = mp.week_of_year
+  LEFT JOIN smed ON smed.sell_id = mp.sell_id AND smed.week_ending_date = mp.week_ending_date
+  LEFT JOIN hgf ON hgf.sell_id = mp.sell_id
+)""",
+        f"""a1 AS (
+  SELECT * REPLACE (
+    CASE WHEN week_ending_date > {L} THEN
+      CASE WHEN negative_covid_impact = 0 THEN CASE WHEN forecast1 < median_baseline THEN median_baseline ELSE forecast1 END
+           ELSE CASE WHEN forecast1 > median_baseline THEN median_baseline ELSE forecast1 END END
+    ELSE forecast1 END AS forecast1)
+  FROM ab
+)""",
+        f"""a2 AS (
+  SELECT * REPLACE (
+    CASE WHEN negative_covid_impact = 0 THEN
+      CASE WHEN week_ending_date = {L} THEN qty_ty
+           WHEN week_ending_date > {L} AND week_ending_date < second_milestone_date THEN forecast_quantity
+           WHEN week_ending_date >= second_milestone_date AND high_growth_decline = true THEN roll
+           WHEN week_ending_date >= second_milestone_date THEN (1 + forecast1) * roll END
+    ELSE
+      CASE WHEN week_ending_date = {L} THEN qty_ty
+           WHEN week_ending_date > {L} AND week_ending_date < second_milestone_date THEN forecast_quantity
+           WHEN week_ending_date >= second_milestone_date AND week_ending_date < third_milestone_date THEN (1 + forecast1) * max_qty_ly
+           WHEN week_ending_date >= third_milestone_date AND high_growth_decline = true THEN roll
+           WHEN week_ending_date >= third_milestone_date THEN (1 + forecast1) * roll END
+    END AS forecast_quantity)
+  FROM a1
+)""",
+        "a3 AS (SELECT *, (forecast_quantity - qty_ly) / nullif(qty_ly, 0) AS forecast_growth FROM a2)",
+        f"""a4 AS (
+  SELECT * REPLACE (
+    CASE WHEN negative_covid_impact = 0 THEN
+      CASE WHEN (week_ending_date > {L} AND week_ending_date < {bound} AND NOT coalesce(high_growth_decline, false))
+                AND forecast_growth < forecast1 THEN (1 + forecast1) * roll ELSE forecast_quantity END
+    ELSE
+      CASE WHEN (week_ending_date > {L} AND week_ending_date < {bound} AND NOT coalesce(high_growth_decline, false))
+                AND forecast_growth > forecast1 THEN (1 + forecast1) * roll ELSE forecast_quantity END
+    END AS forecast_quantity),
+    {promo} AS promo_uplift
+  FROM a3
+)""",
+        f"""adj AS (
+  SELECT sell_id, state, category, week_ending_date, week_of_year, qty_ty, qty_ly, dollars_ly,
+         roll AS qty_rolling_6_week_med, max_qty_ly,
+         {nul('forecast1')} AS forecast1, {nul('forecast_quantity')} AS forecast_quantity,
+         {nul('forecast_growth')} AS forecast_growth, {nul('promo_uplift')} AS promo_uplift,
+         first_milestone_date, second_milestone_date, third_milestone_date, median_baseline,
+         negative_covid_impact, high_growth_decline
+  FROM a4
+)""",
+    ]
+
+
+def naive_ship_cte(cfg: ModelConfig = DEFAULT_CONFIG) -> str:
+    L = d(cfg.latest_week)
+    first = d(iso_w1_saturday(cfg.ty_year))
+    return f"""nweeks AS (
+  SELECT week_ending_date, CAST(week(week_ending_date) AS INTEGER) AS week_of_year
+  FROM (SELECT DISTINCT week_ending_date FROM mw WHERE year = {cfg.ty_year}
+        UNION ALL SELECT week_ending_date FROM cal WHERE week_ending_date > {L}) x
+),
+ng AS (
+  SELECT k.sell_id, k.state, k.category, w.week_ending_date, w.week_of_year,
+         CASE WHEN w.week_ending_date <= {L} THEN coalesce(y.qty_ty, 0.0) ELSE y.qty_ty END AS qty_ty,
+         CASE WHEN w.week_ending_date <= {L} THEN coalesce(y.dollars_ty, 0.0) ELSE y.dollars_ty END AS dollars_ty,
+         coalesce(l.qty, 0.0) AS qty_ly,
+         w.week_ending_date = {first} AS excluded
+  FROM (SELECT sell_id, state, category FROM lifespan WHERE status IN ('incomplete', 'missing')) k
+  CROSS JOIN nweeks w
+  LEFT JOIN yoy y ON y.sell_id = k.sell_id AND y.week_ending_date = w.week_ending_date
+  LEFT JOIN (SELECT * FROM mw WHERE year = {cfg.ly_year}) l ON l.sell_id = k.sell_id AND l.week_of_year = w.week_of_year
+),
+npre AS (
+  SELECT sell_id, quantile_cont((qty_ty - qty_ly) / nullif(qty_ly, 0), 0.5) AS med
+  FROM yoy WHERE week_ending_date < {d(cfg.pre_event_to)} GROUP BY sell_id
+),
+nsc AS (
+  SELECT g.sell_id, g.state, g.category, g.week_ending_date, g.week_of_year, g.qty_ty, g.dollars_ty, g.qty_ly,
+         g.roll AS qty_ly_centered7_mean, coalesce(p.med, 0.0) AS med_qty_diff,
+         CASE WHEN g.week_ending_date = {L} THEN g.qty_ty WHEN g.week_ending_date < {L} THEN NULL
+              ELSE coalesce(g.roll, 0.0) END AS forecast_quantity,
+         0 AS common_product
+  FROM (SELECT *, CASE WHEN NOT excluded THEN avg(qty_ly) OVER (PARTITION BY sell_id, excluded ORDER BY week_ending_date
+                                                                ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) END AS roll
+        FROM ng) g
+  LEFT JOIN npre p ON p.sell_id = g.sell_id
+)"""
+
+
+def combined_cte(cfg: ModelConfig = DEFAULT_CONFIG) -> str:
+    L = d(cfg.latest_week)
+    return f"""cu AS (
+  SELECT sell_id, state, category, week_ending_date, week_of_year, qty_ty, qty_ly, qty_rolling_6_week_med,
+         forecast_quantity, 1 AS common_product FROM adj
+  UNION ALL
+  SELECT sell_id, state, category, week_ending_date, week_of_year, qty_ty, qty_ly,
+         qty_ly_centered7_mean AS qty_rolling_6_week_med, forecast_quantity, common_product FROM nsc
+),
+comb AS (
+  SELECT u.sell_id, u.state, u.category, u.week_ending_date, u.week_of_year, u.qty_ty, u.qty_ly,
+         u.qty_rolling_6_week_med, u.common_product,
+         m.ship_third_milestone_date AS state_third_milestone_date,
+         CASE WHEN u.week_ending_date >= {L} THEN u.forecast_quantity END AS forecast_quantity,
+         CASE WHEN u.week_ending_date >= {d(cfg.ship_promo_from)} THEN
+              CASE WHEN u.qty_ly - u.qty_rolling_6_week_med > 0 THEN u.qty_ly - u.qty_rolling_6_week_med ELSE 0.0 END
+              ELSE 0.0 END AS promo_uplift,
+         CASE WHEN u.common_product = 1 THEN 1.0
+              ELSE 1 - count(CASE WHEN u.qty_ly = 0 THEN 1 END) OVER (PARTITION BY u.sell_id ORDER BY u.week_ending_date
+                                                                    ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7.0 END
+           AS dampen_multiplier
+  FROM cu u LEFT JOIN ms m ON m.state = u.state
+)"""
+
+
+def rule_sql(rules, action: str) -> str:
+    conds = []
+    for state, category, act in rules:
+        if act != action:
+            continue
+        parts = []
+        if state is not None:
+            parts.append(f"state = '{state}'")
+        if category is not None:
+            parts.append(f"category = '{category}'")
+        conds.append("(" + (" AND ".join(parts) or "true") + ")")
+    return "coalesce(" + (" OR ".join(conds) if conds else "false") + ", false)"
+
+
+def corrections_cte(cfg: ModelConfig, rules) -> str:
+    L = d(cfg.latest_week)
+    return f"""c0 AS (
+  SELECT *, promo_uplift * dampen_multiplier AS promo_uplift_new,
+         last_value(CASE WHEN week_ending_date = {L} THEN qty_ty END IGNORE NULLS)
+           OVER (PARTITION BY sell_id ORDER BY week_ending_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_week_qty
+  FROM comb
+),
+c1 AS (SELECT * REPLACE (CASE WHEN {rule_sql(rules, 'hold_last')} AND common_product = 0 AND week_ending_date >= {L}
+                              AND week_ending_date < state_third_milestone_date THEN last_week_qty
+                              ELSE forecast_quantity END AS forecast_quantity) FROM c0),
+c2 AS (SELECT * REPLACE (CASE WHEN {rule_sql(rules, 'double')} AND week_ending_date > {L} THEN forecast_quantity * 2
+                              ELSE forecast_quantity END AS forecast_quantity) FROM c1),
+c3 AS (SELECT * REPLACE (CASE WHEN {rule_sql(rules, 'set_ly')} THEN qty_ly ELSE forecast_quantity END AS forecast_quantity) FROM c2),
+c4 AS (SELECT * REPLACE (CASE WHEN week_ending_date < {L} THEN NULL ELSE forecast_quantity END AS forecast_quantity) FROM c3),
+c5 AS (SELECT * REPLACE (CASE WHEN {rule_sql(rules, 'halve_gap')} AND week_ending_date > {L}
+                              THEN forecast_quantity - (forecast_quantity - qty_ly) / 2 ELSE forecast_quantity END AS forecast_quantity) FROM c4),
+corr AS (SELECT * REPLACE (
+           CASE WHEN {rule_sql(rules, 'zero')} AND forecast_quantity IS NOT NULL THEN 0.0 ELSE forecast_quantity END AS forecast_quantity,
+           CASE WHEN {rule_sql(rules, 'zero')} AND forecast_quantity IS NOT NULL THEN 0.0 ELSE promo_uplift_new END AS promo_uplift_new)
+         FROM c5)"""
+
+
+def naive_pos_cte(cfg: ModelConfig = DEFAULT_CONFIG) -> str:
+    L = d(cfg.latest_week)
+    return f"""np0 AS (
+  SELECT k.sell_id, k.state, k.category, c.week_ending_date, c.week_of_year,
+         CASE WHEN c.week_ending_date <= {L} THEN coalesce(y.qty_ty, 0.0) ELSE y.qty_ty END AS qty_ty,
+         CASE WHEN c.week_ending_date <= {L} THEN coalesce(y.dollars_ty, 0.0) ELSE y.dollars_ty END AS dollars_ty
+  FROM (SELECT sell_id, state, category FROM lifespan WHERE status IN ('incomplete', 'missing') AND state IS NOT NULL) k
+  CROSS JOIN cal c
+  LEFT JOIN yoy y ON y.sell_id = k.sell_id AND y.week_ending_date = c.week_ending_date
+),
+np AS (
+  SELECT g.*, l.qty AS qty_ly, l.dollars AS dollars_ly,
+         CASE WHEN g.week_ending_date = {L} THEN g.qty_ty
+              WHEN g.week_ending_date > {L} AND g.state <> '' THEN g.pos_actuals_avg
+              WHEN g.week_ending_date > {L} AND g.state = '' THEN l.qty END AS forecast_quantity
+  FROM (SELECT *, avg(CASE WHEN week_ending_date <= {L} THEN qty_ty END) OVER (PARTITION BY sell_id) AS pos_actuals_avg
+        FROM np0) g
+  LEFT JOIN (SELECT * FROM mw WHERE year = {cfg.ly_year}) l ON l.sell_id = g.sell_id AND l.week_of_year = g.week_of_year
+)"""
+
+
+def round_select(cols_double, cols_other, src: str) -> str:
+    parts = [f"round({c}, 4) AS {c}" for c in cols_double] + list(cols_other)
+    return "SELECT " + ", ".join(parts) + f" FROM {src}"

@@ -208,3 +208,216 @@ FROM mw WHERE year = {CFG.ly_year}
 WINDOW w AS (PARTITION BY sell_id ORDER BY week_of_year ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""")
 def q_rolling_median_6(spark, sf_dir):
     return series.rolling_median_6(_t(spark, sf_dir), CFG)
+
+
+# ---------------------------------------------------------------- step 4-6 ----
+
+from demandlab.plans import forecast as FC  # noqa: E402
+from demandlab.plans import report as RP  # noqa: E402
+from demandlab.sources.literals import DEFAULT_CORRECTIONS  # noqa: E402
+
+_POS = O.model_base(CFG)
+_SHIP = O.model_base(CFG, shipments=True)
+
+
+def _sel(df: DataFrame, cols) -> DataFrame:
+    return round_doubles(df.select(*cols))
+
+
+_GRID_COLS = ["sell_id", "state", "category", "week_ending_date", "week_of_year", "n_actual_weeks", "qty_ty", "dollars_ty"]
+
+
+@register("weekly_grid", with_(*_POS) + f"""
+SELECT k.sell_id, k.state, k.category, c.week_ending_date, c.week_of_year, CAST(k.n AS BIGINT) AS n_actual_weeks,
+       round(CASE WHEN c.week_ending_date <= {d(CFG.latest_week)} THEN coalesce(m.qty, 0.0) ELSE m.qty END, 4) AS qty_ty,
+       round(CASE WHEN c.week_ending_date <= {d(CFG.latest_week)} THEN coalesce(m.dollars, 0.0) ELSE m.dollars END, 4) AS dollars_ty
+FROM (SELECT sell_id, state, category, count(*) AS n FROM mw WHERE year = {CFG.ty_year} GROUP BY ALL) k
+CROSS JOIN cal c
+LEFT JOIN (SELECT * FROM mw WHERE year = {CFG.ty_year}) m ON m.sell_id = k.sell_id AND m.week_ending_date = c.week_ending_date""")
+def q_weekly_grid(spark, sf_dir):
+    return _sel(FC.weekly_grid(_t(spark, sf_dir), CFG), _GRID_COLS)
+
+
+@register("fill_attributes", with_(*_POS) + """
+, g AS (
+  SELECT k.sell_id, c.week_ending_date, c.week_of_year, y.state, y.category, y.qty_ty
+  FROM (SELECT sell_id FROM lifespan WHERE status IN ('incomplete', 'missing')) k
+  CROSS JOIN cal c
+  LEFT JOIN yoy y ON y.sell_id = k.sell_id AND y.week_ending_date = c.week_ending_date
+)
+SELECT sell_id, week_ending_date, week_of_year, round(qty_ty, 4) AS qty_ty,
+       coalesce(last_value(state IGNORE NULLS) OVER fw, first_value(state IGNORE NULLS) OVER bw) AS state,
+       coalesce(last_value(category IGNORE NULLS) OVER fw, first_value(category IGNORE NULLS) OVER bw) AS category,
+       round(last_value(qty_ty IGNORE NULLS) OVER fw, 4) AS qty_ty_ffill
+FROM g
+WINDOW fw AS (PARTITION BY sell_id ORDER BY week_ending_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+       bw AS (PARTITION BY sell_id ORDER BY week_ending_date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
+def q_fill_attributes(spark, sf_dir):
+    return round_doubles(FC.fill_attributes(_t(spark, sf_dir), CFG))
+
+
+_NAIVE_D = ["qty_ty", "dollars_ty", "qty_ly", "dollars_ly", "pos_actuals_avg", "forecast_quantity"]
+_NAIVE_O = ["sell_id", "state", "category", "week_ending_date", "week_of_year"]
+
+
+@register("naive_rate_of_sale", with_(*_POS, O.naive_pos_cte(CFG)) + O.round_select(_NAIVE_D, _NAIVE_O, "np"))
+def q_naive_rate_of_sale(spark, sf_dir):
+    return _sel(FC.naive_rate_of_sale(_t(spark, sf_dir), CFG), _NAIVE_O + _NAIVE_D)
+
+
+_NSC_D = ["qty_ty", "dollars_ty", "qty_ly", "qty_ly_centered7_mean", "med_qty_diff", "forecast_quantity"]
+_NSC_O = ["sell_id", "state", "category", "week_ending_date", "week_of_year", "common_product"]
+
+
+@register("naive_centered_mean", with_(*_SHIP, O.naive_ship_cte(CFG)) + O.round_select(_NSC_D, _NSC_O, "nsc"))
+def q_naive_centered_mean(spark, sf_dir):
+    return _sel(FC.naive_centered_mean(_t(spark, sf_dir), CFG), _NSC_O + _NSC_D)
+
+
+_MS_COLS = ["state", "first_milestone_date", "thirty_pct_week", "pos_second_milestone_date", "pos_third_milestone_date",
+            "pos_weeks_to_second", "fc_type", "ship_second_milestone_date", "ship_third_milestone_date"]
+
+
+@register("state_milestones", with_(O.ms_cte(CFG)) + "SELECT " + ", ".join(_MS_COLS) + " FROM ms")
+def q_state_milestones(spark, sf_dir):
+    return FC.state_milestones(_t(spark, sf_dir), CFG).select(*_MS_COLS)
+
+
+@register("milestone_markers", with_(O.ms_cte(CFG)) + """
+SELECT state, marker, marker_date, CAST(week(marker_date) AS INTEGER) AS week_of_year FROM (
+  SELECT state, 'first' AS marker, first_milestone_date AS marker_date FROM ms
+  UNION ALL SELECT state, 'second', pos_second_milestone_date FROM ms
+  UNION ALL SELECT state, 'third', pos_third_milestone_date FROM ms) x""")
+def q_milestone_markers(spark, sf_dir):
+    return FC.milestone_markers(_t(spark, sf_dir), CFG)
+
+
+_MP_D = ["qty_ty", "dollars_ty", "growth_qty", "growth_sales", "forecast1", "forecast_quantity", "median_baseline"]
+_MP_O = ["sell_id", "state", "category", "week_ending_date", "week_of_year", "first_milestone_date",
+         "second_milestone_date", "third_milestone_date", "negative_covid_impact"]
+
+
+@register("milestone_forecast_pos", with_(*_POS, *O.milestone_ctes(CFG)) + O.round_select(_MP_D, _MP_O + ["fc_type"], "mp"))
+def q_milestone_forecast_pos(spark, sf_dir):
+    return _sel(FC.milestone_forecast_pos(_t(spark, sf_dir), CFG), _MP_O + ["fc_type"] + _MP_D)
+
+
+@register("milestone_forecast_ship", with_(*_SHIP, *O.milestone_ctes(CFG, shipments=True))
+          + O.round_select(_MP_D + ["covid_max_growth", "max_qty_ly"], _MP_O, "mp"))
+def q_milestone_forecast_ship(spark, sf_dir):
+    return _sel(FC.milestone_forecast_ship(_t(spark, sf_dir), CFG), _MP_O + _MP_D + ["covid_max_growth", "max_qty_ly"])
+
+
+@register("trend_seasonal_forecast", with_(FACT, O.model_weekly_cte(CFG), *O.seasonal_ctes(CFG))
+          + O.round_select(["seasonal_forecast"], ["sell_id", "week_ending_date", "week_of_year"], "sfc"))
+def q_trend_seasonal_forecast(spark, sf_dir):
+    return round_doubles(FC.trend_seasonal_model(_t(spark, sf_dir), CFG))
+
+
+@register("high_growth_flag", with_(FACT, O.model_weekly_cte(CFG), *O.seasonal_ctes(CFG))
+          + O.round_select(["mean_pct_diff"], ["sell_id", "high_growth_decline"], "hgf"))
+def q_high_growth_flag(spark, sf_dir):
+    return round_doubles(FC.high_growth_flags(_t(spark, sf_dir), CFG))
+
+
+_ADJ_D = ["qty_ty", "qty_ly", "dollars_ly", "qty_rolling_6_week_med", "max_qty_ly", "forecast1", "forecast_quantity",
+          "forecast_growth", "promo_uplift", "median_baseline"]
+_ADJ_O = ["sell_id", "state", "category", "week_ending_date", "week_of_year", "first_milestone_date",
+          "second_milestone_date", "third_milestone_date", "negative_covid_impact", "high_growth_decline"]
+
+
+@register("forecast_adjusted", with_(*_POS, *O.adjusted_ctes(CFG)) + O.round_select(_ADJ_D, _ADJ_O, "adj"))
+def q_forecast_adjusted(spark, sf_dir):
+    return _sel(FC.forecast_adjusted(_t(spark, sf_dir), CFG), _ADJ_O + _ADJ_D)
+
+
+@register("promo_uplift", with_(*_SHIP, *O.adjusted_ctes(CFG, shipments=True)) + O.round_select(_ADJ_D, _ADJ_O, "adj"))
+def q_promo_uplift(spark, sf_dir):
+    return _sel(FC.ship_forecast_adjusted(_t(spark, sf_dir), CFG), _ADJ_O + _ADJ_D)
+
+
+_COMB_D = ["qty_ty", "qty_ly", "qty_rolling_6_week_med", "forecast_quantity", "promo_uplift", "dampen_multiplier",
+           "promo_uplift_new"]
+_COMB_O = ["sell_id", "state", "category", "week_ending_date", "week_of_year", "common_product", "state_third_milestone_date"]
+_SHIP_ALL = [*_SHIP, *O.adjusted_ctes(CFG, shipments=True), O.naive_ship_cte(CFG), O.combined_cte(CFG)]
+
+
+@register("promo_dampened", with_(*_SHIP_ALL, "combx AS (SELECT *, promo_uplift * dampen_multiplier AS promo_uplift_new FROM comb)")
+          + O.round_select(_COMB_D, _COMB_O, "combx"))
+def q_promo_dampened(spark, sf_dir):
+    return _sel(FC.ship_forecast_combined(_t(spark, sf_dir), CFG), _COMB_O + _COMB_D)
+
+
+_CORR_D = ["qty_ty", "qty_ly", "last_week_qty", "forecast_quantity", "promo_uplift", "dampen_multiplier", "promo_uplift_new"]
+_CORR_O = ["sell_id", "state", "category", "week_ending_date", "common_product"]
+
+
+@register("retailer_corrections", with_(*_SHIP_ALL, O.corrections_cte(CFG, DEFAULT_CORRECTIONS))
+          + O.round_select(_CORR_D, _CORR_O, "corr"))
+def q_retailer_corrections(spark, sf_dir):
+    return _sel(RP.retailer_corrections(_t(spark, sf_dir), CFG), _CORR_O + _CORR_D)
+
+
+@register("running_total_correction", with_(*_SHIP_ALL, O.corrections_cte(CFG, DEFAULT_CORRECTIONS),
+                                            f"""rt AS (SELECT * REPLACE (CASE WHEN {O.rule_sql(DEFAULT_CORRECTIONS, 'cumulative')}
+  THEN sum(forecast_quantity) OVER (PARTITION BY sell_id ORDER BY week_ending_date
+                                    RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  ELSE forecast_quantity END AS forecast_quantity) FROM corr)""") + O.round_select(_CORR_D, _CORR_O, "rt"))
+def q_running_total_correction(spark, sf_dir):
+    return _sel(RP.running_total_correction(_t(spark, sf_dir), CFG), _CORR_O + _CORR_D)
+
+
+_ST_D = ["qty_ty", "dollars_ty", "qty_ly", "dollars_ly", "forecast_percent", "forecast_quantity", "promo_uplift"]
+_ST_O = ["sell_id", "state", "category", "week_ending_date"]
+_ZERO = O.rule_sql(DEFAULT_CORRECTIONS, "zero")
+
+
+@register("actual_forecast_stitch", with_(*_POS, *O.adjusted_ctes(CFG), O.naive_pos_cte(CFG), f"""
+fcu AS (
+  SELECT sell_id, state, category, week_ending_date, qty_ly, dollars_ly, forecast1, forecast_quantity, promo_uplift FROM adj
+  UNION ALL
+  SELECT sell_id, state, category, week_ending_date, qty_ly, dollars_ly, NULL, forecast_quantity, NULL FROM np
+),
+lw AS (SELECT max(week_ending_date) AS latest_week FROM yoy WHERE state IS NOT NULL),
+fnp AS (
+  SELECT f.sell_id, f.state, f.category, f.week_ending_date, lw.latest_week, f.forecast1 AS forecast_percent,
+         f.forecast_quantity, f.qty_ly AS qty_ly_filled, f.dollars_ly AS dollars_ly_filled, f.promo_uplift
+  FROM fcu f CROSS JOIN lw
+  WHERE f.week_ending_date >= lw.latest_week AND f.state IS NOT NULL AND f.category IS NOT NULL
+),
+pa AS (
+  SELECT a.sell_id, a.state, a.category, a.week_ending_date, a.qty_ty, a.dollars_ty, a.qty_ly, a.dollars_ly,
+         f.forecast_percent, f.forecast_quantity, f.qty_ly_filled, f.dollars_ly_filled, 0.0 AS promo_uplift, lw.latest_week
+  FROM yoy a CROSS JOIN lw
+  LEFT JOIN (SELECT * FROM fnp WHERE week_ending_date = latest_week) f
+    ON f.sell_id = a.sell_id AND f.week_ending_date = a.week_ending_date
+),
+pb AS (
+  SELECT f.sell_id, f.state, f.category, f.week_ending_date, a.qty_ty, a.dollars_ty, a.qty_ly, a.dollars_ly,
+         f.forecast_percent, f.forecast_quantity, f.qty_ly_filled, f.dollars_ly_filled, f.promo_uplift, f.latest_week
+  FROM (SELECT * FROM fnp WHERE week_ending_date > latest_week) f
+  LEFT JOIN (SELECT * FROM yoy WHERE week_ending_date < (SELECT latest_week FROM lw)) a
+    ON a.sell_id = f.sell_id AND a.week_ending_date = f.week_ending_date
+),
+s0 AS (
+  SELECT sell_id, state, category, week_ending_date, qty_ty, dollars_ty,
+         coalesce(qty_ly, qty_ly_filled) AS qty_ly, coalesce(dollars_ly, dollars_ly_filled) AS dollars_ly,
+         forecast_percent, forecast_quantity, coalesce(promo_uplift, 0.0) AS promo_uplift, latest_week
+  FROM (SELECT * FROM pa UNION ALL SELECT * FROM pb) u
+),
+s1 AS (
+  SELECT * REPLACE (
+    CASE WHEN week_ending_date = latest_week THEN qty_ty
+         WHEN {_ZERO} AND forecast_quantity IS NOT NULL THEN 0.0 ELSE forecast_quantity END AS forecast_quantity,
+    CASE WHEN {_ZERO} AND forecast_quantity IS NOT NULL THEN 0.0 ELSE promo_uplift END AS promo_uplift)
+  FROM s0
+)""") + O.round_select(_ST_D, _ST_O, "s1"))
+def q_actual_forecast_stitch(spark, sf_dir):
+    return _sel(RP.actual_forecast_stitch(_t(spark, sf_dir), CFG), _ST_O + _ST_D)
+
+
+@register("top_series", with_(FACT, O.model_weekly_cte(CFG), O.yoy_cte(CFG)) + """
+SELECT sell_id, round(sum(qty_ty), 4) AS total_qty FROM yoy GROUP BY sell_id
+ORDER BY sum(qty_ty) DESC, sell_id LIMIT 10""")
+def q_top_series(spark, sf_dir):
+    return round_doubles(RP.top_series(_t(spark, sf_dir), CFG))
