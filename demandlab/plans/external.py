@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from demandlab.config import DEFAULT_CONFIG, ModelConfig
 from demandlab.functions.dates import week_ending
 from demandlab.sources.literals import iso_week_saturday
+from demandlab.session import shared
 from demandlab.sources.tables import Tables
 
 
@@ -54,6 +55,11 @@ def forecast_calendar(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame
     """(week_ending_date, week_of_year, n_states): TY weeks up to the horizon
     week, from the weekly projections (Monday-based weeks).  At most 53 rows,
     so it is broadcast wherever it is joined."""
+    return shared(t.spark, ("forecast_calendar", t.root, t.database, cfg),
+                  lambda: build_forecast_calendar(t, cfg))
+
+
+def build_forecast_calendar(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     last = iso_week_saturday(cfg.ty_year, cfg.horizon_week) + _dt.timedelta(days=1)
     daily = projections_daily(t, cfg, _dt.date(cfg.ty_year, 1, 1), min(last, _dt.date(cfg.ty_year, 12, 31)))
     weekly = (daily.groupBy("state", week_ending("date", "monday_week").alias("week_ending_date"),

@@ -26,13 +26,23 @@ from demandlab.functions.scalar import composite_key, growth
 from demandlab.operators.joins import attach_scalars
 from demandlab.operators.windows import rolling
 from demandlab.plans.facts import sales_fact, with_week_fields
+from demandlab.session import shared
 from demandlab.sources.tables import Tables
 
 SERIES_KEYS = ["state", "category"]
 
 
 def model_weekly(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipments: bool = False) -> DataFrame:
-    """Filtered weekly sales at the modelling grain, TY and LY, up to L."""
+    """Filtered weekly sales at the modelling grain, TY and LY, up to L.
+
+    Materialized once per (tables, config, variant): every model reads this
+    small aggregate instead of re-running the ledger join.
+    """
+    return shared(t.spark, ("model_weekly", t.root, t.database, cfg, shipments),
+                  lambda: build_model_weekly(t, cfg, shipments=shipments))
+
+
+def build_model_weekly(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipments: bool = False) -> DataFrame:
     # Week ending (same-or-next Saturday) > history_start  <=>  sale date
     # >= the Sunday six days before the first such Saturday.
     first_sat = cfg.history_start + _dt.timedelta(days=(5 - cfg.history_start.weekday()) % 7 or 7)
