@@ -73,12 +73,12 @@ def parse_date(c, fmt: str | None = None) -> Column:
     c = as_col(c)
     if fmt is None:
         return F.try_to_date(c)
-    return F.try_to_date(c, F.lit(fmt))
+    return F.try_to_date(c, fmt)
 
 
 def month_number(name_col) -> Column:
     """'January' -> 1 ... (full English month names)."""
-    return F.month(F.try_to_date(as_col(name_col), F.lit("MMMM")))
+    return F.month(F.try_to_date(as_col(name_col), "MMMM"))
 
 
 def weeks_between(later, earlier) -> Column:

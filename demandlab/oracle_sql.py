@@ -508,3 +508,134 @@ np AS (
 def round_select(cols_double, cols_other, src: str) -> str:
     parts = [f"round({c}, 4) AS {c}" for c in cols_double] + list(cols_other)
     return "SELECT " + ", ".join(parts) + f" FROM {src}"
+
+
+# --------------------------------------------------------------- external ----
+
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+POLICY_OF = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "not_specified",
+             "5-LOW": "low"}
+
+GEO = """geo AS (
+  SELECT n.n_name AS state,
+         chr(CAST(65 + floor(n.n_nationkey / 26) AS INTEGER)) || chr(CAST(65 + n.n_nationkey % 26 AS INTEGER)) AS state_initial,
+         n.n_nationkey AS location_id, r.r_name AS country
+  FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+)"""
+
+
+def ty_filter(cfg: ModelConfig, col: str = "o.o_orderdate") -> str:
+    return (f"{col} >= TIMESTAMP '{cfg.ty_year}-01-01 00:00:00' AND "
+            f"{col} < TIMESTAMP '{cfg.ty_year + 1}-01-01 00:00:00'")
+
+
+def sd_cte(cfg: ModelConfig = DEFAULT_CONFIG, name: str = "sd", status: str | None = None) -> str:
+    st = f" AND o.o_orderstatus = '{status}'" if status else ""
+    return f"""{name} AS (
+  SELECT g.state, g.state_initial, CAST(o.o_orderdate AS DATE) AS date, count(*) AS n_orders,
+         sum(o.o_totalprice) AS order_value,
+         count(*) FILTER (WHERE o.o_orderpriority = '{PRIORITIES[0]}') AS urgent_orders,
+         avg(o.o_totalprice) AS avg_value
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN geo g ON c.c_nationkey = g.location_id
+  WHERE {ty_filter(cfg)}{st}
+  GROUP BY ALL
+)"""
+
+
+POP = """pop AS (
+  SELECT g.state, g.state_initial, CAST(coalesce(c.n, 0) AS BIGINT) AS state_pop
+  FROM geo g LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) c
+    ON g.location_id = c.c_nationkey
+)"""
+
+
+def pm_cte() -> str:
+    return """pm AS (
+  SELECT s.state, s.state_initial, s.date, CAST(s.n_orders AS DOUBLE) AS orders_increase,
+         CAST(s.urgent_orders AS DOUBLE) AS urgent_increase, s.order_value,
+         p.state_pop, round(p.state_pop / 1000000.0, 4) AS state_pop_mil,
+         round(CAST(s.n_orders AS DOUBLE) * 1000000.0 / nullif(p.state_pop, 0), 4) AS orders_increase_per_mil,
+         round(CAST(s.urgent_orders AS DOUBLE) * 1000000.0 / nullif(p.state_pop, 0), 4) AS urgent_increase_per_mil,
+         'q' || CAST(quarter(s.date) AS VARCHAR) AS quarter, CAST(month(s.date) AS INTEGER) AS month,
+         CAST(year(s.date) AS INTEGER) AS year
+  FROM sd s LEFT JOIN pop p ON p.state = s.state AND p.state_initial = s.state_initial
+)"""
+
+
+def rm_cte() -> str:
+    return """rm AS (
+  SELECT state, state_initial, date, CAST(urgent_orders AS DOUBLE) AS urgent_orders_baseline,
+         avg_value AS avg_value_baseline,
+         CASE WHEN count(urgent_orders) OVER w = 6 THEN avg(CAST(urgent_orders AS DOUBLE)) OVER w END
+           AS urgent_orders_baseline_6_roll_mean,
+         CASE WHEN count(avg_value) OVER w = 6 THEN avg(avg_value) OVER w END AS avg_value_baseline_6_roll_mean
+  FROM sd
+  WINDOW w AS (PARTITION BY state ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)
+)"""
+
+
+def ps_cte(cfg: ModelConfig = DEFAULT_CONFIG) -> str:
+    cols = []
+    for p in PRIORITIES:
+        n = POLICY_OF[p]
+        cols.append(f"min(CAST(o.o_orderdate AS DATE)) FILTER (WHERE o.o_orderpriority = '{p}') AS {n}_start_date")
+        cols.append(f"max(CAST(o.o_orderdate AS DATE)) FILTER (WHERE o.o_orderpriority = '{p}') AS {n}_end_date")
+    return f"""ps AS (
+  SELECT g.state, g.state_initial, {", ".join(cols)}
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN geo g ON c.c_nationkey = g.location_id
+  WHERE {ty_filter(cfg)}
+  GROUP BY g.state, g.state_initial
+)"""
+
+
+def pe_cte(cfg: ModelConfig = DEFAULT_CONFIG) -> str:
+    parts = []
+    for p in sorted(POLICY_OF.values()):
+        raw = f"datediff('day', ps.{p}_start_date, d.date)"
+        days = (f"CASE WHEN d.date > ps.{p}_end_date OR {raw} < 0 OR d.date > {d(cfg.as_of)} THEN 0 ELSE {raw} END")
+        parts.append(f"CAST({days} AS INTEGER) AS days_on_{p}")
+        parts.append(f"CASE WHEN {days} > 0 THEN 1 ELSE 0 END AS on_{p}")
+    return f"""pe AS (
+  SELECT d.state, d.state_initial, d.date, ps.* EXCLUDE (state, state_initial), {", ".join(parts)},
+         'q' || CAST(quarter(d.date) AS VARCHAR) AS quarter, CAST(month(d.date) AS INTEGER) AS month,
+         CAST(year(d.date) AS INTEGER) AS year
+  FROM (SELECT state, state_initial, date FROM sd) d LEFT JOIN ps ON ps.state = d.state AND ps.state_initial = d.state_initial
+)"""
+
+
+CLAIMS = f"""cw AS (
+  SELECT state_initial, {wk('date')} AS week_ending_date, sum(n_orders) AS n, sum(urgent_orders) AS u,
+         sum(order_value) AS v, count(*) AS days
+  FROM sd GROUP BY ALL
+),
+cr AS (
+  SELECT c.state_initial, CAST(week(c.week_ending_date) AS INTEGER) AS wk_num, CAST(c.n AS BIGINT) AS IC,
+         CAST(c.u AS BIGINT) AS FIC, CAST(c.n - c.u AS BIGINT) AS XIC, CAST(c.days AS BIGINT) AS WSIC,
+         round(c.v, 2) AS WSEIC, c.n / c.days AS CW, CAST(c.week_ending_date - 7 AS DATE) AS date, g.state
+  FROM cw c JOIN geo g ON g.state_initial = c.state_initial
+)"""
+
+QUARTERLY = """q AS (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS year, 'q' || CAST(quarter(o_orderdate) AS VARCHAR) AS quarter,
+         avg(o_totalprice) AS avg_order_value_q
+  FROM orders GROUP BY ALL
+)"""
+
+PRICE = """pr AS (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS year, 'M' || lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') AS period,
+         '' AS latest, round(avg(o_totalprice), 2) AS value, CAST(month(o_orderdate) AS INTEGER) AS month
+  FROM orders GROUP BY ALL
+)"""
+
+
+def master_current_ctes(cfg: ModelConfig = DEFAULT_CONFIG) -> list[str]:
+    return [GEO, sd_cte(cfg), POP, pm_cte(), rm_cte(), CLAIMS, QUARTERLY, PRICE, """mc AS (
+  SELECT pm.*, rm.urgent_orders_baseline, rm.avg_value_baseline, rm.urgent_orders_baseline_6_roll_mean,
+         rm.avg_value_baseline_6_roll_mean, cr.wk_num, cr.IC, cr.FIC, cr.XIC, cr.WSIC, cr.WSEIC, cr.CW,
+         q.avg_order_value_q, pr.value AS price_index
+  FROM pm
+  LEFT JOIN rm ON rm.state = pm.state AND rm.state_initial = pm.state_initial AND rm.date = pm.date
+  LEFT JOIN cr ON cr.state = pm.state AND cr.state_initial = pm.state_initial AND cr.date = pm.date
+  LEFT JOIN q ON q.year = pm.year AND q.quarter = pm.quarter
+  LEFT JOIN pr ON pr.year = pm.year AND pr.month = pm.month
+)"""]

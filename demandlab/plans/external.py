@@ -68,3 +68,340 @@ def build_forecast_calendar(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> Dat
     return (weekly.filter((F.col("year") == cfg.ty_year) & (F.col("week_of_year") <= cfg.horizon_week))
                   .groupBy("week_ending_date", "week_of_year")
                   .agg(F.count("state").alias("n_states")))
+
+
+# ------------------------------------------------------ state-level sources ----
+
+# The order-priority domain of the driver tables; each priority
+# plays the role of one policy.
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def policy_name(priority: str) -> str:
+    """'4-NOT SPECIFIED' -> 'not_specified'."""
+    import re
+    return re.sub(r"[^a-z0-9]+", "_", priority.split("-", 1)[-1].lower()).strip("_")
+
+
+POLICIES = sorted(policy_name(p) for p in PRIORITIES)
+
+
+def geography(t: Tables) -> DataFrame:
+    """state, state_initial (two letters), location_id, country (region name)."""
+    n = t.nation
+    r = F.broadcast(t.region.select("r_regionkey", F.col("r_name").alias("country")))
+    return n.join(r, n.n_regionkey == r.r_regionkey, "left").select(
+        F.col("n_name").alias("state"),
+        F.concat(F.expr("chr(65 + CAST(floor(n_nationkey / 26) AS INT))"),
+                 F.expr("chr(65 + n_nationkey % 26)")).alias("state_initial"),
+        F.col("n_nationkey").alias("location_id"),
+        "country",
+    )
+
+
+def ty_bounds(cfg: ModelConfig):
+    return _dt.date(cfg.ty_year, 1, 1), _dt.date(cfg.ty_year, 12, 31)
+
+
+def state_daily(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, status: str | None = None) -> DataFrame:
+    """Per (state, state_initial, date) order measures over the TY.  The
+    geography side is the 25-row nation table (fixed size): broadcast."""
+    lo, hi = ty_bounds(cfg)
+    o = (t.orders.select("o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus")
+         .filter((F.col("o_orderdate") >= _ts(lo)) & (F.col("o_orderdate") < _ts(hi + _dt.timedelta(days=1)))))
+    if status is not None:
+        o = o.filter(F.col("o_orderstatus") == status)
+    cust = t.customer.select("c_custkey", "c_nationkey")
+    geo = F.broadcast(geography(t).select("location_id", "state", "state_initial"))
+    j = (o.join(cust, o.o_custkey == cust.c_custkey, "inner")
+          .join(geo, F.col("c_nationkey") == F.col("location_id"), "inner"))
+    return (j.groupBy("state", "state_initial", F.to_date("o_orderdate").alias("date"))
+             .agg(F.count(F.lit(1)).alias("n_orders"),
+                  F.sum("o_totalprice").alias("order_value"),
+                  F.count(F.when(F.col("o_orderpriority") == PRIORITIES[0], 1)).alias("urgent_orders"),
+                  F.avg("o_totalprice").alias("avg_value")))
+
+
+def mobility(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    d = state_daily(t, cfg)
+    return d.select("state", "state_initial", "date",
+                    F.col("urgent_orders").cast("double").alias("urgent_orders_baseline"),
+                    F.col("avg_value").alias("avg_value_baseline"))
+
+
+def rolling_mean_by_state(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, k: int = 6) -> DataFrame:
+    """Trailing k-day mean of every '*baseline*' column by state (NULL until
+    k observations); one window pass for all columns."""
+    from demandlab.operators.reshape import columns_with
+    from demandlab.operators.windows import rolling_many
+    m = mobility(t, cfg)
+    return rolling_many(m, ["state"], "date", columns_with(m, "baseline"), k, "mean")
+
+
+def population(t: Tables) -> DataFrame:
+    """Customers per state (population analog), at most one row per nation."""
+    c = t.customer.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("state_pop"))
+    geo = geography(t).select("location_id", "state", "state_initial")
+    return F.broadcast(geo).join(c, geo.location_id == c.c_nationkey, "left").select(
+        "state", "state_initial", F.coalesce("state_pop", F.lit(0)).cast("long").alias("state_pop"))
+
+
+def case_tracking(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    d = state_daily(t, cfg)
+    return d.select("state", "state_initial", "date",
+                    F.col("n_orders").cast("double").alias("orders_increase"),
+                    F.col("urgent_orders").cast("double").alias("urgent_increase"),
+                    "order_value")
+
+
+def per_million_features(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, validate: bool = True) -> DataFrame:
+    """Population join (m:1, checked), population in millions, per-million
+    versions of every '*increase*' column, and date meta."""
+    from demandlab.functions.dates import with_date_meta
+    from demandlab.functions.scalar import per_million
+    from demandlab.operators.joins import validated_join
+    from demandlab.operators.reshape import columns_with
+    c = case_tracking(t, cfg)
+    pop = population(t)
+    j = (validated_join(c, pop, ["state", "state_initial"], "left", "m:1") if validate
+         else c.join(pop, ["state", "state_initial"], "left"))
+    j = j.withColumn("state_pop_mil", F.round(F.col("state_pop") / 1_000_000.0, 4))
+    j = j.withColumns({f"{x}_per_mil": per_million(x, "state_pop") for x in columns_with(c, "increase")})
+    return with_date_meta(j, "date")
+
+
+def policy_summary(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Per state: <policy>_start_date / <policy>_end_date (first / last TY
+    order date of that priority) -- one conditional aggregation, no pivot."""
+    lo, hi = ty_bounds(cfg)
+    o = (t.orders.select("o_custkey", "o_orderdate", "o_orderpriority")
+         .filter((F.col("o_orderdate") >= _ts(lo)) & (F.col("o_orderdate") < _ts(hi + _dt.timedelta(days=1)))))
+    cust = t.customer.select("c_custkey", "c_nationkey")
+    geo = F.broadcast(geography(t).select("location_id", "state", "state_initial"))
+    j = (o.join(cust, o.o_custkey == cust.c_custkey, "inner")
+          .join(geo, F.col("c_nationkey") == F.col("location_id"), "inner")
+          .withColumn("d", F.to_date("o_orderdate")))
+    aggs = []
+    for p in PRIORITIES:
+        name = policy_name(p)
+        hit = F.col("o_orderpriority") == p
+        aggs += [F.min(F.when(hit, F.col("d"))).alias(f"{name}_start_date"),
+                 F.max(F.when(hit, F.col("d"))).alias(f"{name}_end_date")]
+    return j.groupBy("state", "state_initial").agg(*aggs)
+
+
+def policies_from_columns(columns) -> list[str]:
+    """Policy names from '<policy>_start_date' / '<policy>_end_date' columns,
+    sorted (deterministic order)."""
+    from demandlab.operators.quality import assert_column_count
+    se = [c for c in columns if c.endswith("_start_date") or c.endswith("_end_date")]
+    names = sorted({c.rsplit("_", 2)[0] for c in se})
+    assert_column_count(se, 2 * len(names), "policy start/end columns")
+    return names
+
+
+def policy_duration(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """<policy>_duration = end - start in days (NULL unless both exist)."""
+    s = policy_summary(t, cfg)
+    return s.withColumns({f"{p}_duration": F.datediff(f"{p}_end_date", f"{p}_start_date")
+                          for p in policies_from_columns(s.columns)})
+
+
+def policy_exposure(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Per state and day: days_on_<policy> (days since start; 0 before the
+    start, after the end, or after ``as_of``; NULL without a start) and
+    on_<policy> (1 iff days_on > 0)."""
+    from demandlab.functions.dates import with_date_meta
+    from demandlab.operators.reshape import front_columns
+    days = state_daily(t, cfg).select("state", "state_initial", "date")
+    s = policy_summary(t, cfg)
+    j = days.join(s, ["state", "state_initial"], "left")
+    dt = F.col("date")
+    cols = {}
+    for p in policies_from_columns(s.columns):
+        raw = F.datediff(dt, F.col(f"{p}_start_date"))
+        zero = (dt > F.col(f"{p}_end_date")) | (raw < 0) | (dt > F.lit(cfg.as_of))
+        cols[f"days_on_{p}"] = F.when(zero, F.lit(0)).otherwise(raw)
+    j = j.withColumns(cols)
+    j = j.withColumns({f"on_{p}": F.when(F.col(f"days_on_{p}") > 0, 1).otherwise(0)
+                       for p in policies_from_columns(s.columns)})
+    return front_columns(with_date_meta(j, "date"), ["year", "quarter", "state_initial", "state", "date"])
+
+
+def quarterly_series(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """(year, quarter 'qN', avg_order_value_q): the quarterly macro analog."""
+    o = t.orders.select("o_orderdate", "o_totalprice")
+    return (o.groupBy(F.year("o_orderdate").alias("year"),
+                      F.concat(F.lit("q"), F.quarter("o_orderdate").cast("string")).alias("quarter"))
+             .agg(F.avg("o_totalprice").alias("avg_order_value_q")))
+
+
+def price_index_raw(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Monthly series as landed text: year, period 'Mnn', periodName, latest,
+    value, footnotes (all strings)."""
+    o = t.orders.select("o_orderdate", "o_totalprice")
+    m = o.groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).agg(
+        F.avg("o_totalprice").alias("v"))
+    return m.select(
+        F.col("y").cast("string").alias("year"),
+        F.concat(F.lit("M"), F.lpad(F.col("m").cast("string"), 2, "0")).alias("period"),
+        F.date_format(F.make_date("y", "m", F.lit(1)), "MMMM").alias("periodName"),
+        F.lit("").alias("latest"),
+        F.round("v", 2).cast("string").alias("value"),
+        F.lit("[{}]").alias("footnotes"),
+    )
+
+
+def price_index_clean(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Numeric year/value, month number from the month name, drop footnotes
+    and the month name."""
+    from demandlab.functions.dates import month_number
+    r = price_index_raw(t, cfg)
+    return (r.withColumns({"year": F.col("year").cast("int"), "value": F.col("value").cast("double"),
+                           "month": month_number("periodName")})
+             .drop("footnotes", "periodName"))
+
+
+# Weekly-claims field codes and their names.
+CLAIMS_CODES = {
+    "c1": "wk_num", "c2": "refl_wk_date", "c3": "IC", "c4": "FIC", "c5": "XIC", "c6": "WSIC",
+    "c7": "WSEIC", "c8": "CW", "c9": "FCW", "c10": "XCW", "c11": "WSCW", "c12": "WSECW",
+    "c13": "EBT", "c14": "EBUI", "c15": "ABT", "c16": "ABUI", "c17": "AT", "c18": "CE",
+    "c19": "R", "c20": "AR", "c21": "P", "c22": "status", "c23": "status_chg_date",
+}
+CLAIMS_DROP = ["refl_wk_date", "rptdate", "status_chg_date", "curdate", "priorwk_pub", "priorwk"]
+
+
+def claims_raw(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Weekly per-state report with coded columns (c1..c8) as landed."""
+    d = state_daily(t, cfg)
+    w = (d.withColumn("week_ending_date", week_ending("date", "same_or_next"))
+          .groupBy("state_initial", "week_ending_date")
+          .agg(F.sum("n_orders").alias("n"), F.sum("urgent_orders").alias("u"),
+               F.sum("order_value").alias("v"), F.count(F.lit(1)).alias("days")))
+    return w.select(
+        F.col("state_initial").alias("st"),
+        F.date_format("week_ending_date", "M/d/yyyy").alias("rptdate"),
+        F.weekofyear("week_ending_date").alias("c1"),
+        F.date_format(F.date_sub("week_ending_date", 7), "M/d/yyyy").alias("c2"),
+        F.col("n").cast("long").alias("c3"), F.col("u").cast("long").alias("c4"),
+        (F.col("n") - F.col("u")).cast("long").alias("c5"), F.col("days").cast("long").alias("c6"),
+        F.round("v", 2).alias("c7"), (F.col("n") / F.col("days")).alias("c8"),
+        F.date_format("week_ending_date", "M/d/yyyy").alias("curdate"),
+        F.lit("").alias("priorwk_pub"), F.lit("").alias("priorwk"),
+    )
+
+
+def claims_renamed(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Coded columns renamed, reflecting-week date parsed, landed-only
+    columns dropped, state name attached from the geography lookup."""
+    from demandlab.operators.reshape import drop_tolerant, rename
+    r = rename(claims_raw(t, cfg), CLAIMS_CODES)
+    r = r.withColumn("date", F.try_to_date(F.col("refl_wk_date"), "M/d/yyyy"))
+    r = drop_tolerant(r, CLAIMS_DROP).withColumnRenamed("st", "state_initial")
+    geo = F.broadcast(geography(t).select("state", "state_initial"))
+    return r.join(geo, "state_initial", "inner")
+
+
+def scenario_frames(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG):
+    keep = ["state", "state_initial", "date", "n_orders", "order_value"]
+    return (state_daily(t, cfg).select(*keep), state_daily(t, cfg, status="F").select(*keep),
+            state_daily(t, cfg, status="O").select(*keep))
+
+
+def scenario_merge(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG,
+                   keys=("state", "date", "state_initial")) -> DataFrame:
+    """current + best + worst scenarios on (state, date, state_initial);
+    columns shared by all three are suffixed _bes / _wor on the alternatives."""
+    cur, bes, wor = scenario_frames(t, cfg)
+    overlap = (set(cur.columns) & set(bes.columns) & set(wor.columns)) - set(keys)
+    bes = bes.withColumnsRenamed({c: f"{c}_bes" for c in overlap})
+    wor = wor.withColumnsRenamed({c: f"{c}_wor" for c in overlap})
+    return cur.join(bes, list(keys), "left").join(wor, list(keys), "left")
+
+
+def master_current(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, validate: bool = True) -> DataFrame:
+    """Case features + mobility + weekly claims on (state, state_initial,
+    date); quarterly series on (year, quarter); monthly index on (year, month).
+    Every right side is checked unique on its join keys, which keeps the row
+    count of the left side unchanged."""
+    from demandlab.operators.joins import validated_join
+    J = (lambda l, r, on, v: validated_join(l, r, on, "left", v)) if validate else \
+        (lambda l, r, on, v: l.join(r, on, "left"))
+    keys = ["state", "state_initial", "date"]
+    base = per_million_features(t, cfg, validate=validate)
+    mob = rolling_mean_by_state(t, cfg)
+    claims = claims_renamed(t, cfg)
+    q = quarterly_series(t, cfg)
+    price = price_index_clean(t, cfg).select("year", "month", F.col("value").alias("price_index"))
+    m = J(base, mob, keys, "1:1")
+    m = J(m, claims, keys, "1:1")
+    m = J(m, q, ["year", "quarter"], "m:1")
+    return J(m, price, ["year", "month"], "m:1")
+
+
+def master_projection(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, validate: bool = True) -> DataFrame:
+    """Policy exposure (projections) + current features, then the quarterly
+    series for every projection row."""
+    keys = ["state", "state_initial", "date"]
+    cur = master_current(t, cfg, validate=validate).drop("year", "quarter", "month", "avg_order_value_q")
+    p = policy_exposure(t, cfg).drop("month")
+    cur = cur.drop(*[c for c in cur.columns if c in p.columns and c not in keys])
+    return p.join(cur, keys, "left").join(quarterly_series(t, cfg), ["year", "quarter"], "left")
+
+
+# ------------------------------------------------------------- geography ----
+
+def geo_filter(df: DataFrame, geo: DataFrame, state_col: str, country_col: str | None = None,
+               country_value: str | None = None, initial_len: int = 2) -> DataFrame:
+    """Keep rows of known states, add the other state form.
+
+    Whether ``state_col`` holds codes or names is inferred from the modal
+    string length (ties -> shortest): one tiny aggregation.  The lookup is
+    the fixed-size geography table, broadcast.
+    """
+    mode_len = (df.groupBy(F.length(state_col).alias("len")).count()
+                  .orderBy(F.desc("count"), F.asc("len")).first())
+    form = "state_initial" if mode_len is not None and mode_len["len"] == initial_len else "state"
+    out = df.withColumnRenamed(state_col, form)
+    if country_col is not None:
+        out = out.filter(F.col(country_col) == F.lit(country_value))
+    look = F.broadcast(geo.select("state", "state_initial"))
+    out = out.join(look, form, "inner")
+    rest = [c for c in out.columns if c not in ("state", "state_initial")]
+    return out.select("state", "state_initial", *rest)
+
+
+def geo_filtered(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, country: str = "AMERICA") -> DataFrame:
+    geo = geography(t)
+    d = state_daily(t, cfg).drop("state_initial")
+    d = d.join(F.broadcast(geo.select("state", "country")), "state", "left")
+    return geo_filter(d, geo, "state", "country", country)
+
+
+def wide_quarterly(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, years=range(1995, 2002)) -> DataFrame:
+    """One row per order priority, one column per 'yYYYY_qN' (as landed)."""
+    o = t.orders.select("o_orderpriority", "o_orderdate", "o_totalprice").withColumn(
+        "label", F.concat(F.lit("y"), F.year("o_orderdate").cast("string"), F.lit("_q"),
+                          F.quarter("o_orderdate").cast("string")))
+    labels = [f"y{y}_q{q}" for y in years for q in range(1, 5)]
+    return o.groupBy("o_orderpriority").pivot("label", labels).agg(F.avg("o_totalprice"))
+
+
+def wide_to_long_quarters(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, years=range(1995, 2002)) -> DataFrame:
+    from demandlab.operators.reshape import wide_to_long
+    w = wide_quarterly(t, cfg, years)
+    long = wide_to_long(w, ["o_orderpriority"], [c for c in w.columns if c.startswith("y")], "label", "avg_value")
+    return long.filter(F.col("avg_value").isNotNull()).select(
+        F.col("o_orderpriority").alias("priority"),
+        F.substring("label", 2, 4).cast("int").alias("year"),
+        F.concat(F.lit("q"), F.substring("label", 8, 1)).alias("quarter"),
+        "avg_value")
+
+
+def flatten_props(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Event JSON properties parsed with an explicit schema; rows whose
+    document does not parse to a value are dropped."""
+    e = t.events.select("event_id", "event_type", "value",
+                        F.from_json("props", "k long").alias("p"))
+    return e.filter(F.col("p.k").isNotNull()).select("event_id", "event_type", "value", F.col("p.k").alias("k"))

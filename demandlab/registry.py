@@ -421,3 +421,124 @@ SELECT sell_id, round(sum(qty_ty), 4) AS total_qty FROM yoy GROUP BY sell_id
 ORDER BY sum(qty_ty) DESC, sell_id LIMIT 10""")
 def q_top_series(spark, sf_dir):
     return round_doubles(RP.top_series(_t(spark, sf_dir), CFG))
+
+
+# ---------------------------------------------------------------- step 3 ----
+
+from demandlab.plans import external as X  # noqa: E402
+
+
+@register("geo_filtered", with_(O.GEO, O.sd_cte(CFG)) + """
+SELECT s.state, g.state_initial, s.date, s.n_orders, round(s.order_value, 4) AS order_value, s.urgent_orders,
+       round(s.avg_value, 4) AS avg_value, g.country
+FROM sd s JOIN geo g ON g.state = s.state WHERE g.country = 'AMERICA'""")
+def q_geo_filtered(spark, sf_dir):
+    return round_doubles(X.geo_filtered(_t(spark, sf_dir), CFG))
+
+
+@register("state_coverage_check", with_(O.GEO, O.sd_cte(CFG)) + """
+, a AS (SELECT DISTINCT s.state AS value FROM sd s JOIN geo g ON g.state = s.state WHERE g.country = 'AMERICA'),
+b AS (SELECT DISTINCT state AS value FROM geo)
+SELECT coalesce(a.value, b.value) AS value, a.value IS NOT NULL AS in_data, b.value IS NOT NULL AS in_lookup
+FROM a FULL OUTER JOIN b ON a.value = b.value
+WHERE a.value IS NULL OR b.value IS NULL""")
+def q_state_coverage_check(spark, sf_dir):
+    from demandlab.operators.quality import coverage_gaps
+    t = _t(spark, sf_dir)
+    return coverage_gaps(X.geo_filtered(t, CFG), X.geography(t), "state")
+
+
+@register("drop_constant_columns", with_(O.GEO, O.sd_cte(CFG)) + """
+SELECT s.state, g.state_initial, s.date, s.n_orders, round(s.order_value, 4) AS order_value, s.urgent_orders,
+       round(s.avg_value, 4) AS avg_value
+FROM sd s JOIN geo g ON g.state = s.state WHERE g.country = 'AMERICA'""")
+def q_drop_constant_columns(spark, sf_dir):
+    from demandlab.operators.reshape import drop_all_null_rows, drop_constant_columns
+    return round_doubles(drop_all_null_rows(drop_constant_columns(X.geo_filtered(_t(spark, sf_dir), CFG))))
+
+
+@register("rolling_mean_by_state", with_(O.GEO, O.sd_cte(CFG), O.rm_cte()) + O.round_select(
+    ["urgent_orders_baseline", "avg_value_baseline", "urgent_orders_baseline_6_roll_mean", "avg_value_baseline_6_roll_mean"],
+    ["state", "state_initial", "date"], "rm"))
+def q_rolling_mean_by_state(spark, sf_dir):
+    return round_doubles(X.rolling_mean_by_state(_t(spark, sf_dir), CFG))
+
+
+@register("per_million_features", with_(O.GEO, O.sd_cte(CFG), O.POP, O.pm_cte()) + O.round_select(
+    ["orders_increase", "urgent_increase", "order_value", "state_pop_mil", "orders_increase_per_mil",
+     "urgent_increase_per_mil"],
+    ["state", "state_initial", "date", "state_pop", "quarter", "month", "year"], "pm"))
+def q_per_million_features(spark, sf_dir):
+    return round_doubles(X.per_million_features(_t(spark, sf_dir), CFG))
+
+
+@register("policy_duration", with_(O.GEO, O.ps_cte(CFG)) + "SELECT *, " + ", ".join(
+    f"CAST(datediff('day', {p}_start_date, {p}_end_date) AS INTEGER) AS {p}_duration" for p in sorted(O.POLICY_OF.values()))
+          + " FROM ps")
+def q_policy_duration(spark, sf_dir):
+    return X.policy_duration(_t(spark, sf_dir), CFG)
+
+
+@register("policy_exposure", with_(O.GEO, O.sd_cte(CFG), O.ps_cte(CFG), O.pe_cte(CFG)) + "SELECT * FROM pe")
+def q_policy_exposure(spark, sf_dir):
+    return X.policy_exposure(_t(spark, sf_dir), CFG)
+
+
+_MC_D = ["orders_increase", "urgent_increase", "order_value", "state_pop_mil", "orders_increase_per_mil",
+         "urgent_increase_per_mil",
+         "urgent_orders_baseline", "avg_value_baseline", "urgent_orders_baseline_6_roll_mean",
+         "avg_value_baseline_6_roll_mean", "WSEIC", "CW", "avg_order_value_q", "price_index"]
+_MC_O = ["year", "month", "quarter", "state", "state_initial", "date", "state_pop", "wk_num", "IC", "FIC", "XIC", "WSIC"]
+
+
+@register("master_current", with_(*O.master_current_ctes(CFG)) + O.round_select(_MC_D, _MC_O, "mc"))
+def q_master_current(spark, sf_dir):
+    return _sel(X.master_current(_t(spark, sf_dir), CFG), _MC_O + _MC_D)
+
+
+@register("master_projection", with_(*O.master_current_ctes(CFG), O.ps_cte(CFG), O.pe_cte(CFG), """mp AS (
+  SELECT pe.* EXCLUDE (month), mc.* EXCLUDE (state, state_initial, date, year, quarter, month, avg_order_value_q),
+         q.avg_order_value_q
+  FROM pe
+  LEFT JOIN mc ON mc.state = pe.state AND mc.state_initial = pe.state_initial AND mc.date = pe.date
+  LEFT JOIN q ON q.year = pe.year AND q.quarter = pe.quarter
+)""") + "SELECT * REPLACE (" + ", ".join(f"round({c}, 4) AS {c}" for c in _MC_D) + ") FROM mp")
+def q_master_projection(spark, sf_dir):
+    return round_doubles(X.master_projection(_t(spark, sf_dir), CFG))
+
+
+@register("scenario_merge", with_(O.GEO, O.sd_cte(CFG, "cur"), O.sd_cte(CFG, "bes", "F"), O.sd_cte(CFG, "wor", "O")) + """
+SELECT c.state, c.date, c.state_initial, c.n_orders, round(c.order_value, 4) AS order_value,
+       b.n_orders AS n_orders_bes, round(b.order_value, 4) AS order_value_bes,
+       w.n_orders AS n_orders_wor, round(w.order_value, 4) AS order_value_wor
+FROM cur c
+LEFT JOIN bes b ON b.state = c.state AND b.date = c.date AND b.state_initial = c.state_initial
+LEFT JOIN wor w ON w.state = c.state AND w.date = c.date AND w.state_initial = c.state_initial""")
+def q_scenario_merge(spark, sf_dir):
+    return round_doubles(X.scenario_merge(_t(spark, sf_dir), CFG))
+
+
+@register("flatten_series_json", """
+SELECT event_id, event_type, round(value, 4) AS value, CAST(json_extract(props, '$.k') AS BIGINT) AS k
+FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) IS NOT NULL""")
+def q_flatten_series_json(spark, sf_dir):
+    return round_doubles(X.flatten_props(_t(spark, sf_dir), CFG))
+
+
+@register("wide_to_long_quarters", """
+SELECT o_orderpriority AS priority, CAST(year(o_orderdate) AS INTEGER) AS year,
+       'q' || CAST(quarter(o_orderdate) AS VARCHAR) AS quarter, round(avg(o_totalprice), 4) AS avg_value
+FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2001 GROUP BY ALL""")
+def q_wide_to_long_quarters(spark, sf_dir):
+    return round_doubles(X.wide_to_long_quarters(_t(spark, sf_dir), CFG))
+
+
+@register("claims_renamed", with_(O.GEO, O.sd_cte(CFG), O.CLAIMS) + O.round_select(
+    ["WSEIC", "CW"], ["state_initial", "wk_num", "IC", "FIC", "XIC", "WSIC", "date", "state"], "cr"))
+def q_claims_renamed(spark, sf_dir):
+    return round_doubles(X.claims_renamed(_t(spark, sf_dir), CFG))
+
+
+@register("price_index_clean", with_(O.PRICE) + "SELECT year, period, latest, round(value, 4) AS value, month FROM pr")
+def q_price_index_clean(spark, sf_dir):
+    return round_doubles(X.price_index_clean(_t(spark, sf_dir), CFG))
