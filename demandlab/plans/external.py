@@ -215,19 +215,23 @@ def policy_exposure(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     from demandlab.operators.reshape import front_columns
     days = state_daily(t, cfg).select("state", "state_initial", "date")
     s = policy_summary(t, cfg)
-    j = days.join(s, ["state", "state_initial"], "left")
-    dt = F.col("date")
-    cols = {}
-    for p in policies_from_columns(s.columns):
-        raw = F.datediff(dt, F.col(f"{p}_start_date"))
-        zero = (dt > F.col(f"{p}_end_date")) | (raw < 0) | (dt > F.lit(cfg.as_of))
-        cols[f"days_on_{p}"] = F.when(zero, F.lit(0)).otherwise(raw)
-    j = j.withColumns(cols)
-    j = j.withColumns({f"on_{p}": F.when(F.col(f"days_on_{p}") > 0, 1).otherwise(0)
-                       for p in policies_from_columns(s.columns)})
+    j = with_policy_exposure(days.join(s, ["state", "state_initial"], "left"),
+                             policies_from_columns(s.columns), cfg.as_of)
     return front_columns(with_date_meta(j, "date"), ["year", "quarter", "state_initial", "state", "date"])
 
 
+def with_policy_exposure(df: DataFrame, policies, as_of: _dt.date, date_col: str = "date") -> DataFrame:
+    """days_on_<p> / on_<p> from <p>_start_date / <p>_end_date columns."""
+    dt = F.col(date_col)
+    days = {}
+    for p in policies:
+        raw = F.datediff(dt, F.col(f"{p}_start_date"))
+        zero = (dt > F.col(f"{p}_end_date")) | (raw < 0) | (dt > F.lit(as_of))
+        days[f"days_on_{p}"] = F.when(zero, F.lit(0)).otherwise(raw)
+    df = df.withColumns(days)
+    return df.withColumns({f"on_{p}": F.when(F.col(f"days_on_{p}") > 0, 1).otherwise(0) for p in policies})
+
+
 def quarterly_series(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     """(year, quarter 'qN', avg_order_value_q): the quarterly macro analog."""
     o = t.orders.select("o_orderdate", "o_totalprice")

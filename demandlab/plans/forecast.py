@@ -224,6 +224,48 @@ def _milestone_base(t: Tables, cfg: ModelConfig, shipments: bool):
     return g, w, y, stats
 
 
+def pos_decay(k: Column, w: Column, g: Column, q: Column, med: Column, neg: Column):
+    """Closed form of the POS milestone recurrence -> (forecast1, quantity).
+
+    k = weeks since L, w = weeks from L to the (shifted) second milestone,
+    g / q = growth / quantity at L, med = pre-event median growth,
+    neg = 1 for a negative peak impact.
+    """
+    f = (F.when(k < 0, F.lit(0.0)).when(k == 0, g)
+         .when(w <= 2, med)
+         .when(w == 3, F.when(k >= 5, med).otherwise(g * F.pow(F.lit(0.5), k)))
+         .otherwise(F.when(k >= w + 2, med)
+                    .when(k <= w, g * F.pow(F.lit(0.9), k))
+                    .otherwise(g * F.pow(F.lit(0.9), w) * F.pow(F.lit(0.5), k - w))))
+    qty = (F.when(k < 0, F.lit(0.0)).when(k == 0, q)
+           .when((w > 3) & (k < w),
+                 F.when(neg == 0, q * F.pow(F.lit(0.9), k)).otherwise(q / F.pow(F.lit(0.9), k)))
+           .otherwise(F.lit(0.0)))
+    return f, qty
+
+
+def ship_decay(k: Column, m1: Column, m2: Column, peak: Column, g: Column, q: Column, med: Column, neg: Column):
+    """Closed form of the shipment milestone recurrence -> (forecast1, quantity).
+
+    m1 / m2 = weeks from L to the national peak and to the state's 30 % week.
+    A = m1 + 1 (first milestone shifted a week), B = second milestone (m2, or
+    m1 + 3 when the 30 % week is not after the peak) + 1, C = B + 2.
+    """
+    A = m1 + 1
+    B = F.when(m2 > m1, m2).otherwise(m1 + 3) + 1
+    C = B + 2
+    start = decay_multiplier(peak) * peak
+    f = (F.when(k < 0, F.lit(0.0)).when(k == 0, g).when(k < A, F.lit(0.0))
+         .when(k >= C, med)
+         .when(k <= B, start * F.pow(F.lit(0.9), k - A))
+         .otherwise(start * F.pow(F.lit(0.9), B - A) * F.pow(F.lit(0.5), k - B)))
+    e = k - A + 1
+    qty = (F.when(k < 0, F.lit(0.0)).when(k == 0, q).when(k < A, F.lit(0.0))
+           .when(k < B, F.when(neg == 0, q * F.pow(F.lit(0.9), e)).otherwise(q / F.pow(F.lit(0.9), e)))
+           .otherwise(F.lit(0.0)))
+    return f, qty
+
+
 def milestone_forecast_pos(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     """POS milestone decay (closed form of the reference's weekly recurrence).
 
@@ -237,18 +279,8 @@ def milestone_forecast_pos(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> Data
                         before the second milestone and is 0 afterwards.
     """
     g, _, _, _ = _milestone_base(t, cfg, shipments=False)
-    k, wv = F.col("k"), F.col("pos_weeks_to_second")
-    gl, ql, med, neg = F.col("latest_growth"), F.col("latest_qty"), F.col("median_baseline"), F.col("negative_covid_impact")
-    f = (F.when(k < 0, F.lit(0.0)).when(k == 0, gl)
-         .when(wv <= 2, med)
-         .when(wv == 3, F.when(k >= 5, med).otherwise(gl * F.pow(F.lit(0.5), k)))
-         .otherwise(F.when(k >= wv + 2, med)
-                    .when(k <= wv, gl * F.pow(F.lit(0.9), k))
-                    .otherwise(gl * F.pow(F.lit(0.9), wv) * F.pow(F.lit(0.5), k - wv))))
-    qty = (F.when(k < 0, F.lit(0.0)).when(k == 0, ql)
-           .when((wv > 3) & (k < wv),
-                 F.when(neg == 0, ql * F.pow(F.lit(0.9), k)).otherwise(ql / F.pow(F.lit(0.9), k)))
-           .otherwise(F.lit(0.0)))
+    f, qty = pos_decay(F.col("k"), F.col("pos_weeks_to_second"), F.col("latest_growth"), F.col("latest_qty"),
+                       F.col("median_baseline"), F.col("negative_covid_impact"))
     return g.select(
         "sell_id", "state", "category", "week_ending_date", "week_of_year",
         "qty_ty", "dollars_ty", "growth_qty", "growth_sales",
@@ -274,20 +306,8 @@ def milestone_forecast_ship(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> Dat
     L = F.lit(cfg.latest_week)
     m1 = F.floor(F.datediff("first_milestone_date", L) / 7).cast("int")
     m2 = F.floor(F.datediff("thirty_pct_week", L) / 7).cast("int")
-    g = g.withColumns({"A": m1 + 1, "B": F.when(m2 > m1, m2).otherwise(m1 + 3) + 1})
-    k, A, B = F.col("k"), F.col("A"), F.col("B")
-    C = B + 2
-    gl, ql, med, neg = F.col("latest_growth"), F.col("latest_qty"), F.col("median_baseline"), F.col("negative_covid_impact")
-    pk = F.col("covid_max_growth")
-    start = decay_multiplier(pk) * pk
-    f = (F.when(k < 0, F.lit(0.0)).when(k == 0, gl).when(k < A, F.lit(0.0))
-         .when(k >= C, med)
-         .when(k <= B, start * F.pow(F.lit(0.9), k - A))
-         .otherwise(start * F.pow(F.lit(0.9), B - A) * F.pow(F.lit(0.5), k - B)))
-    e = k - A + 1
-    qty = (F.when(k < 0, F.lit(0.0)).when(k == 0, ql).when(k < A, F.lit(0.0))
-           .when(k < B, F.when(neg == 0, ql * F.pow(F.lit(0.9), e)).otherwise(ql / F.pow(F.lit(0.9), e)))
-           .otherwise(F.lit(0.0)))
+    f, qty = ship_decay(F.col("k"), m1, m2, F.col("covid_max_growth"), F.col("latest_growth"), F.col("latest_qty"),
+                        F.col("median_baseline"), F.col("negative_covid_impact"))
     return g.select(
         "sell_id", "state", "category", "week_ending_date", "week_of_year",
         "qty_ty", "dollars_ty", "growth_qty", "growth_sales",
