@@ -105,7 +105,13 @@ def ty_bounds(cfg: ModelConfig):
 
 def state_daily(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, status: str | None = None) -> DataFrame:
     """Per (state, state_initial, date) order measures over the TY.  The
-    geography side is the 25-row nation table (fixed size): broadcast."""
+    geography side is the 25-row nation table (fixed size): broadcast.
+    Materialized once: it feeds every state-level feature table."""
+    return shared(t.spark, ("state_daily", t.root, t.database, cfg, status),
+                  lambda: _state_daily(t, cfg, status))
+
+
+def _state_daily(t: Tables, cfg: ModelConfig, status: str | None) -> DataFrame:
     lo, hi = ty_bounds(cfg)
     o = (t.orders.select("o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus")
          .filter((F.col("o_orderdate") >= _ts(lo)) & (F.col("o_orderdate") < _ts(hi + _dt.timedelta(days=1)))))

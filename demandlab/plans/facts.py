@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from demandlab.config import DEFAULT_CONFIG, ModelConfig
 from demandlab.functions.dates import week_ending
 from demandlab.functions.scalar import composite_key
+from demandlab.session import shared
 from demandlab.sources.literals import channel_mapping
 from demandlab.sources.tables import Tables
 
@@ -82,24 +83,36 @@ def with_week_fields(df: DataFrame, date_col: str = "week_ending_date") -> DataF
     })
 
 
+def weekly_fact(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, week_rule: str = "same_or_next") -> DataFrame:
+    """Daily ledger -> product x state x retailer x channel x week sums (+ line
+    count).  Materialized once (reliable checkpoint): the weekly table is the
+    shared input of the reporting queries, like a warehouse aggregate table."""
+    def build():
+        fact = sales_fact(t, cfg)
+        weekly = (fact.withColumn("week_ending_date", week_ending("sale_date", week_rule))
+                      .groupBy("week_ending_date", *FACT_KEYS, "channel")
+                      .agg(F.sum("qty").alias("qty"), F.sum("dollars").alias("dollars"),
+                           F.count(F.lit(1)).alias("n_lines")))
+        return with_week_fields(weekly)
+    return shared(t.spark, ("weekly_fact", t.root, t.database, cfg, week_rule), build)
+
+
 def weekly_sales(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, with_channel: bool = True,
                  week_rule: str = "same_or_next") -> DataFrame:
-    """Daily ledger -> product x state x retailer (x channel) x week sums."""
-    fact = sales_fact(t, cfg)
-    keys = FACT_KEYS + (["channel"] if with_channel else [])
-    weekly = (fact.withColumn("week_ending_date", week_ending("sale_date", week_rule))
-                  .groupBy("week_ending_date", *keys)
-                  .agg(F.sum("qty").alias("qty"), F.sum("dollars").alias("dollars")))
-    return with_week_fields(weekly)
+    """Weekly sums by product x state x retailer (x channel)."""
+    w = weekly_fact(t, cfg, week_rule)
+    if with_channel:
+        return w.drop("n_lines")
+    return (w.groupBy("week_ending_date", *FACT_KEYS, "week_of_year", "year")
+             .agg(F.sum("qty").alias("qty"), F.sum("dollars").alias("dollars")))
 
 
 def channel_totals(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Yearly totals per channel with the channel description attached."""
-    fact = sales_fact(t, cfg)
-    totals = (fact.withColumn("year", F.year(week_ending("sale_date")))
-                  .groupBy("year", "channel")
-                  .agg(F.sum("qty").alias("qty"), F.sum("dollars").alias("dollars"),
-                       F.count(F.lit(1)).alias("n_lines")))
+    """Yearly totals per channel with the channel description attached
+    (the 6-row channel map is broadcast)."""
+    totals = (weekly_fact(t, cfg).groupBy("year", "channel")
+              .agg(F.sum("qty").alias("qty"), F.sum("dollars").alias("dollars"),
+                   F.sum("n_lines").alias("n_lines")))
     return totals.join(channel_mapping(t.spark), "channel", "left")
 
 

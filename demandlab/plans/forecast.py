@@ -32,6 +32,7 @@ from demandlab.operators.windows import centered_count, centered_mean, fill_both
 from demandlab.plans.external import forecast_calendar
 from demandlab.plans.series import (last_year, ly_rolling_median, model_weekly, peak_statistics,
                                     series_with_status, yoy_growth)
+from demandlab.session import shared
 from demandlab.sources.literals import iso_week_saturday, milestone_parameters
 from demandlab.sources.tables import Tables
 
@@ -445,21 +446,29 @@ def _adjusted(t: Tables, cfg: ModelConfig, shipments: bool) -> DataFrame:
 
 
 def forecast_adjusted(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
-    """POS: milestone forecast + baseline choice + clamps + update + promo."""
-    return _adjusted(t, cfg, shipments=False)
+    """POS: milestone forecast + baseline choice + clamps + update + promo.
+    A model output stage: materialized once and reused downstream."""
+    return shared(t.spark, ("forecast_adjusted", t.root, t.database, cfg),
+                  lambda: _adjusted(t, cfg, shipments=False))
 
 
 def ship_forecast_adjusted(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     """Shipments: same rules, update bounded by the second milestone, promo
     uplift from two weeks after the training end, floored at 0."""
-    return _adjusted(t, cfg, shipments=True)
+    return shared(t.spark, ("ship_forecast_adjusted", t.root, t.database, cfg),
+                  lambda: _adjusted(t, cfg, shipments=True))
 
 
 def ship_forecast_combined(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     """Common (milestone) + incomplete (naive) shipment series, with the
     state milestone table attached, promo dampening for incomplete series
     (1 - zero-LY weeks in a centered 7-week window / 7) and forecasts before
-    the training end nulled."""
+    the training end nulled.  Materialized once (the shipment model output)."""
+    return shared(t.spark, ("ship_forecast_combined", t.root, t.database, cfg),
+                  lambda: _ship_combined(t, cfg))
+
+
+def _ship_combined(t: Tables, cfg: ModelConfig) -> DataFrame:
     common = ship_forecast_adjusted(t, cfg).withColumn("common_product", F.lit(1))
     naive = naive_centered_mean(t, cfg).select(
         "sell_id", "state", "category", "week_ending_date", "week_of_year", "qty_ty", "qty_ly",
