@@ -74,6 +74,12 @@ class ModelConfig:
     milestone_weeks_by_region: tuple = ((0, 1), (1, 3), (2, 4), (3, 6), (4, 8))
     national_peak: _dt.date = _d("1998-04-18")
     columns: FactColumns = field(default_factory=FactColumns)
+    # Ledger-level filters on raw line columns (SQL predicates, pushed to the
+    # scan): the non-zero value rule.
+    ledger_filters: tuple = ("l_quantity <> 0",)
+    # Series excluded from the reporting table (known-broken keys), as
+    # (state, category) pairs; applied with an anti join.
+    excluded_series: tuple = (("EUROPE", "ECONOMY"),)
 
     @property
     def ty_start(self) -> _dt.date:

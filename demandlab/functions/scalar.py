@@ -64,3 +64,9 @@ def key_part(key, index: int, sep: str = "_") -> Column:
 def r4(c) -> Column:
     """Round a double to 4 places for stable comparison/reporting."""
     return F.round(as_col(c), 4)
+
+
+def pad_id(c, width: int) -> Column:
+    """Left-pad an id with zeros to ``width`` (longer ids are truncated, as
+    ``lpad`` does; callers keep ids within the width)."""
+    return F.lpad(as_col(c).cast("string"), width, "0")

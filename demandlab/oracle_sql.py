@@ -40,6 +40,7 @@ FACT = """fact AS (
   LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
   LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
   LEFT JOIN part p ON l.l_partkey = p.p_partkey
+  WHERE l.l_quantity <> 0
 )"""
 
 
@@ -135,8 +136,8 @@ base AS (
   FROM {src} GROUP BY sell_id
 ),
 peak AS (
-  SELECT b.sell_id, k.growth_qty AS covid_max_growth, k.qty_ly AS max_qty_ly,
-         CASE WHEN k.growth_qty < 0 THEN 1 ELSE 0 END AS negative_covid_impact,
+  SELECT b.sell_id, k.growth_qty AS peak_max_growth, k.qty_ly AS max_qty_ly,
+         CASE WHEN k.growth_qty < 0 THEN 1 ELSE 0 END AS negative_impact,
          b.median_baseline, b.mean_baseline, b.latest_growth, b.latest_qty
   FROM base b LEFT JOIN (SELECT * FROM pk_rank WHERE rn = 1) k ON b.sell_id = k.sell_id
 )"""
@@ -211,8 +212,8 @@ def milestone_ctes(cfg: ModelConfig = DEFAULT_CONFIG, shipments: bool = False) -
         f"""mg AS (
   SELECT k.sell_id, k.state, k.category, c.week_ending_date, c.week_of_year,
          y.qty_ty, y.dollars_ty, y.growth_qty, y.growth_sales,
-         p.latest_growth AS gl, p.latest_qty AS ql, p.median_baseline, p.negative_covid_impact,
-         p.covid_max_growth, p.max_qty_ly,
+         p.latest_growth AS gl, p.latest_qty AS ql, p.median_baseline, p.negative_impact,
+         p.peak_max_growth, p.max_qty_ly,
          m.first_milestone_date, m.thirty_pct_week, m.pos_second_milestone_date, m.pos_third_milestone_date,
          m.pos_weeks_to_second AS w, m.fc_type, m.ship_second_milestone_date,
          CAST(datediff('day', {L}, c.week_ending_date) // 7 AS INTEGER) AS k
@@ -231,11 +232,11 @@ def milestone_ctes(cfg: ModelConfig = DEFAULT_CONFIG, shipments: bool = False) -
               ELSE CASE WHEN k >= w + 2 THEN median_baseline WHEN k <= w THEN gl * pow(0.9, k)
                         ELSE gl * pow(0.9, w) * pow(0.5, k - w) END END AS forecast1,
          CASE WHEN k < 0 THEN 0.0 WHEN k = 0 THEN ql
-              WHEN w > 3 AND k < w THEN CASE WHEN negative_covid_impact = 0 THEN ql * pow(0.9, k) ELSE ql / pow(0.9, k) END
+              WHEN w > 3 AND k < w THEN CASE WHEN negative_impact = 0 THEN ql * pow(0.9, k) ELSE ql / pow(0.9, k) END
               ELSE 0.0 END AS forecast_quantity,
          fc_type, first_milestone_date, pos_second_milestone_date AS second_milestone_date,
-         pos_third_milestone_date AS third_milestone_date, median_baseline, negative_covid_impact,
-         covid_max_growth, max_qty_ly
+         pos_third_milestone_date AS third_milestone_date, median_baseline, negative_impact,
+         peak_max_growth, max_qty_ly
   FROM mg
 )"""
     else:
@@ -244,12 +245,12 @@ def milestone_ctes(cfg: ModelConfig = DEFAULT_CONFIG, shipments: bool = False) -
          CASE WHEN datediff('day', {L}, thirty_pct_week) // 7 > datediff('day', {L}, first_milestone_date) // 7
               THEN datediff('day', {L}, thirty_pct_week) // 7
               ELSE datediff('day', {L}, first_milestone_date) // 7 + 3 END + 1 AS b_w,
-         (CASE WHEN covid_max_growth < 0 THEN 0.8
-               WHEN covid_max_growth * 100 >= 0 AND covid_max_growth * 100 <= 50 THEN 0.2
-               WHEN covid_max_growth * 100 > 50 AND covid_max_growth * 100 <= 100 THEN 0.15
-               WHEN covid_max_growth * 100 > 100 AND covid_max_growth * 100 <= 500 THEN 0.1
-               WHEN covid_max_growth * 100 > 500 AND covid_max_growth * 100 <= 1000 THEN 0.08
-               ELSE 0.05 END) * covid_max_growth AS start_g
+         (CASE WHEN peak_max_growth < 0 THEN 0.8
+               WHEN peak_max_growth * 100 >= 0 AND peak_max_growth * 100 <= 50 THEN 0.2
+               WHEN peak_max_growth * 100 > 50 AND peak_max_growth * 100 <= 100 THEN 0.15
+               WHEN peak_max_growth * 100 > 100 AND peak_max_growth * 100 <= 500 THEN 0.1
+               WHEN peak_max_growth * 100 > 500 AND peak_max_growth * 100 <= 1000 THEN 0.08
+               ELSE 0.05 END) * peak_max_growth AS start_g
   FROM mg
 ),
 mp AS (
@@ -259,12 +260,12 @@ mp AS (
               WHEN k <= b_w THEN start_g * pow(0.9, k - a_w)
               ELSE start_g * pow(0.9, b_w - a_w) * pow(0.5, k - b_w) END AS forecast1,
          CASE WHEN k < 0 THEN 0.0 WHEN k = 0 THEN ql WHEN k < a_w THEN 0.0
-              WHEN k < b_w THEN CASE WHEN negative_covid_impact = 0 THEN ql * pow(0.9, k - a_w + 1)
+              WHEN k < b_w THEN CASE WHEN negative_impact = 0 THEN ql * pow(0.9, k - a_w + 1)
                                      ELSE ql / pow(0.9, k - a_w + 1) END
               ELSE 0.0 END AS forecast_quantity,
          first_milestone_date, ship_second_milestone_date AS second_milestone_date,
          CAST(ship_second_milestone_date + 21 AS DATE) AS third_milestone_date,
-         median_baseline, negative_covid_impact, covid_max_growth, max_qty_ly
+         median_baseline, negative_impact, peak_max_growth, max_qty_ly
   FROM mgs
 )"""
     return head + [body]
@@ -340,14 +341,14 @@ def adjusted_ctes(cfg: ModelConfig = DEFAULT_CONFIG, shipments: bool = False) ->
         f"""a1 AS (
   SELECT * REPLACE (
     CASE WHEN week_ending_date > {L} THEN
-      CASE WHEN negative_covid_impact = 0 THEN CASE WHEN forecast1 < median_baseline THEN median_baseline ELSE forecast1 END
+      CASE WHEN negative_impact = 0 THEN CASE WHEN forecast1 < median_baseline THEN median_baseline ELSE forecast1 END
            ELSE CASE WHEN forecast1 > median_baseline THEN median_baseline ELSE forecast1 END END
     ELSE forecast1 END AS forecast1)
   FROM ab
 )""",
         f"""a2 AS (
   SELECT * REPLACE (
-    CASE WHEN negative_covid_impact = 0 THEN
+    CASE WHEN negative_impact = 0 THEN
       CASE WHEN week_ending_date = {L} THEN qty_ty
            WHEN week_ending_date > {L} AND week_ending_date < second_milestone_date THEN forecast_quantity
            WHEN week_ending_date >= second_milestone_date AND high_growth_decline = true THEN roll
@@ -364,7 +365,7 @@ def adjusted_ctes(cfg: ModelConfig = DEFAULT_CONFIG, shipments: bool = False) ->
         "a3 AS (SELECT *, (forecast_quantity - qty_ly) / nullif(qty_ly, 0) AS forecast_growth FROM a2)",
         f"""a4 AS (
   SELECT * REPLACE (
-    CASE WHEN negative_covid_impact = 0 THEN
+    CASE WHEN negative_impact = 0 THEN
       CASE WHEN (week_ending_date > {L} AND week_ending_date < {bound} AND NOT coalesce(high_growth_decline, false))
                 AND forecast_growth < forecast1 THEN (1 + forecast1) * roll ELSE forecast_quantity END
     ELSE
@@ -380,7 +381,7 @@ def adjusted_ctes(cfg: ModelConfig = DEFAULT_CONFIG, shipments: bool = False) ->
          {nul('forecast1')} AS forecast1, {nul('forecast_quantity')} AS forecast_quantity,
          {nul('forecast_growth')} AS forecast_growth, {nul('promo_uplift')} AS promo_uplift,
          first_milestone_date, second_milestone_date, third_milestone_date, median_baseline,
-         negative_covid_impact, high_growth_decline
+         negative_impact, high_growth_decline
   FROM a4
 )""",
     ]
@@ -639,3 +640,62 @@ def master_current_ctes(cfg: ModelConfig = DEFAULT_CONFIG) -> list[str]:
   LEFT JOIN q ON q.year = pm.year AND q.quarter = pm.quarter
   LEFT JOIN pr ON pr.year = pm.year AND pr.month = pm.month
 )"""]
+
+
+def ship_actuals_dated_cte(cfg: ModelConfig = DEFAULT_CONFIG) -> str:
+    return f"""sad0 AS (
+  SELECT coalesce(c.year, p.year) AS year, coalesce(c.week_of_year, p.week_of_year) AS week_of_year,
+         coalesce(c.sell_id, p.sell_id) AS sell_id, coalesce(c.state, p.state) AS state,
+         coalesce(c.category, p.category) AS category, c.week_ending_date, c.qty, c.dollars,
+         p.qty AS stly_qty, p.dollars AS stly_dollars
+  FROM (SELECT year - 1 AS year, week_of_year, sell_id, state, category, week_ending_date, qty, dollars FROM mw) c
+  FULL OUTER JOIN (SELECT year, week_of_year, sell_id, state, category, qty, dollars FROM mw) p
+    ON c.year = p.year AND c.week_of_year = p.week_of_year AND c.sell_id = p.sell_id
+   AND c.state = p.state AND c.category = p.category
+),
+sad AS (
+  SELECT s.sell_id, s.state, s.category, s.week_of_year, coalesce(s.week_ending_date, k.week_ending_date) AS week_ending_date,
+         s.qty, s.dollars, s.stly_qty, s.stly_dollars
+  FROM sad0 s JOIN cal k ON k.week_of_year = s.week_of_year
+  WHERE s.year = {cfg.ly_year}
+)"""
+
+
+def ship_stitch_ctes(cfg: ModelConfig = DEFAULT_CONFIG) -> list[str]:
+    L = d(cfg.latest_week)
+    excl = " OR ".join(f"(state = '{s}' AND category = '{c}')" for s, c in cfg.excluded_series) or "false"
+    return [ship_actuals_dated_cte(cfg), f"""fcs AS (
+  SELECT sell_id, state, category, week_ending_date, forecast_quantity, qty_ly AS qty_ly_filled,
+         promo_uplift_new AS promo_uplift FROM rt
+),
+fnp AS (SELECT * FROM fcs WHERE week_ending_date >= {L} AND state IS NOT NULL AND category IS NOT NULL),
+pa AS (
+  SELECT a.sell_id, a.state, a.category, a.week_ending_date, a.qty, a.dollars, f.forecast_quantity, 0.0 AS promo_uplift
+  FROM (SELECT * FROM sad WHERE week_ending_date <= {L}) a
+  LEFT JOIN (SELECT * FROM fnp WHERE week_ending_date = {L}) f
+    ON f.sell_id = a.sell_id AND f.week_ending_date = a.week_ending_date
+),
+pb AS (
+  SELECT f.sell_id, f.state, f.category, f.week_ending_date, a.qty, a.dollars, f.forecast_quantity, f.promo_uplift
+  FROM (SELECT * FROM fnp WHERE week_ending_date > {L}) f
+  LEFT JOIN (SELECT * FROM sad WHERE week_ending_date < {L}) a
+    ON a.sell_id = f.sell_id AND a.week_ending_date = f.week_ending_date
+),
+s0 AS (
+  SELECT sell_id, state, category, week_ending_date, qty, dollars,
+         CASE WHEN week_ending_date = {L} THEN qty ELSE forecast_quantity END AS forecast_quantity,
+         coalesce(promo_uplift, 0.0) AS promo_uplift
+  FROM (SELECT * FROM pa UNION ALL SELECT * FROM pb) u
+),
+sst AS (
+  SELECT * FROM (
+    SELECT coalesce(s.sell_id, l.sell_id) AS sell_id, coalesce(s.state, l.state) AS state,
+           coalesce(s.category, l.category) AS category,
+           coalesce(s.week_ending_date, l.week_ending_date) AS week_ending_date,
+           s.qty, s.dollars, s.forecast_quantity, coalesce(s.promo_uplift, 0.0) AS promo_uplift,
+           l.stly_qty AS ly_qty, l.stly_dollars AS ly_dollars
+    FROM s0 s FULL OUTER JOIN sad l
+      ON s.sell_id = l.sell_id AND s.state = l.state AND s.category = l.category
+     AND s.week_ending_date = l.week_ending_date) x
+  WHERE NOT coalesce({excl}, false)
+)"""]

@@ -415,3 +415,43 @@ def flatten_props(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     e = t.events.select("event_id", "event_type", "value",
                         F.from_json("props", "k long").alias("p"))
     return e.filter(F.col("p.k").isNotNull()).select("event_id", "event_type", "value", F.col("p.k").alias("k"))
+
+
+# ---------------------------------------------------------- preprocessors ----
+
+def basic_preproc(df: DataFrame, geo: DataFrame, state_col: str, country_col: str | None = None,
+                  country_value: str | None = None, exclude_location_id: int | None = None,
+                  drop=("V1",)) -> DataFrame:
+    """Drop an accidental index column, drop a homonym location id, keep known
+    states (adding the other state form), cast date-token columns to dates,
+    spaces in names -> '_'.  (Row order is left to the sink.)"""
+    from demandlab.operators.reshape import cast_date_columns, drop_tolerant, normalise_names
+    out = drop_tolerant(df, drop)
+    if exclude_location_id is not None and "location_id" in out.columns:
+        out = out.filter(F.col("location_id") != exclude_location_id)
+    out = geo_filter(out, geo, state_col, country_col, country_value)
+    return normalise_names(cast_date_columns(out, "date"))
+
+
+def mobility_preproc(df: DataFrame, expected_baselines: int = 6) -> DataFrame:
+    """State-level rows only (no sub-region), sub-region columns dropped, and
+    the expected number of baseline columns checked."""
+    from demandlab.operators.quality import assert_column_count
+    from demandlab.operators.reshape import columns_with, drop_tolerant
+    out = df.filter(F.col("sub_region_2").isNull()) if "sub_region_2" in df.columns else df
+    out = drop_tolerant(out, ["sub_region_2", "census_fips_code", "country_region_code"])
+    assert_column_count(columns_with(out, "baseline"), expected_baselines, "baseline columns")
+    return out
+
+
+CASE_HARD_DROP = ["hash", "total", "dateChecked", "fips", "checkTimeEt"]
+
+
+def case_tracking_preproc(df: DataFrame, as_of: _dt.date):
+    """Returns (frame, freshness row): single-valued columns and a fixed list
+    dropped, all-NULL rows dropped; freshness = latest update vs ``as_of``."""
+    from demandlab.operators.quality import freshness_lag_days
+    from demandlab.operators.reshape import drop_all_null_rows, drop_constant_columns, drop_tolerant
+    fresh = freshness_lag_days(df, "lastUpdateEt", as_of) if "lastUpdateEt" in df.columns else None
+    out = drop_tolerant(drop_constant_columns(df), CASE_HARD_DROP)
+    return drop_all_null_rows(out), fresh

@@ -45,7 +45,10 @@ def sales_fact(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG,
     line-item scan.
     """
     c = cfg.columns
-    li = t.lineitem.select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus",
+    li = t.lineitem
+    for pred in cfg.ledger_filters:
+        li = li.filter(F.expr(pred))
+    li = li.select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus",
                            F.col(c.qty).alias("qty"), F.col(c.dollars).alias("dollars"),
                            F.col(c.ship_date).alias("ship_ts"))
     if ship_from is not None:

@@ -281,7 +281,7 @@ def milestone_forecast_pos(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> Data
     """
     g, _, _, _ = _milestone_base(t, cfg, shipments=False)
     f, qty = pos_decay(F.col("k"), F.col("pos_weeks_to_second"), F.col("latest_growth"), F.col("latest_qty"),
-                       F.col("median_baseline"), F.col("negative_covid_impact"))
+                       F.col("median_baseline"), F.col("negative_impact"))
     return g.select(
         "sell_id", "state", "category", "week_ending_date", "week_of_year",
         "qty_ty", "dollars_ty", "growth_qty", "growth_sales",
@@ -289,7 +289,7 @@ def milestone_forecast_pos(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> Data
         "first_milestone_date",
         F.col("pos_second_milestone_date").alias("second_milestone_date"),
         F.col("pos_third_milestone_date").alias("third_milestone_date"),
-        "median_baseline", "negative_covid_impact",
+        "median_baseline", "negative_impact",
     )
 
 
@@ -307,8 +307,8 @@ def milestone_forecast_ship(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> Dat
     L = F.lit(cfg.latest_week)
     m1 = F.floor(F.datediff("first_milestone_date", L) / 7).cast("int")
     m2 = F.floor(F.datediff("thirty_pct_week", L) / 7).cast("int")
-    f, qty = ship_decay(F.col("k"), m1, m2, F.col("covid_max_growth"), F.col("latest_growth"), F.col("latest_qty"),
-                        F.col("median_baseline"), F.col("negative_covid_impact"))
+    f, qty = ship_decay(F.col("k"), m1, m2, F.col("peak_max_growth"), F.col("latest_growth"), F.col("latest_qty"),
+                        F.col("median_baseline"), F.col("negative_impact"))
     return g.select(
         "sell_id", "state", "category", "week_ending_date", "week_of_year",
         "qty_ty", "dollars_ty", "growth_qty", "growth_sales",
@@ -316,7 +316,7 @@ def milestone_forecast_ship(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> Dat
         "first_milestone_date",
         F.col("ship_second_milestone_date").alias("second_milestone_date"),
         F.date_add("ship_second_milestone_date", 21).alias("third_milestone_date"),
-        "median_baseline", "negative_covid_impact", "covid_max_growth", "max_qty_ly",
+        "median_baseline", "negative_impact", "peak_max_growth", "max_qty_ly",
     )
 
 
@@ -378,11 +378,11 @@ def _adjust(base: DataFrame, cfg: ModelConfig, *, shipments: bool) -> DataFrame:
     """Rules 4-7: growth clamp, forecast value, outlier update, promo uplift.
 
     ``base`` carries: week_ending_date, forecast1, forecast_quantity (decayed
-    quantity), median_baseline, negative_covid_impact, second/third milestone,
+    quantity), median_baseline, negative_impact, second/third milestone,
     qty_ty, qty_ly, roll (baseline), max_qty_ly, high_growth_decline.
     """
     wk, L = F.col("week_ending_date"), F.lit(cfg.latest_week)
-    neg, med, f0 = F.col("negative_covid_impact"), F.col("median_baseline"), F.col("forecast1")
+    neg, med, f0 = F.col("negative_impact"), F.col("median_baseline"), F.col("forecast1")
     m2, m3 = F.col("second_milestone_date"), F.col("third_milestone_date")
     roll, hgd = F.col("roll"), F.col("high_growth_decline")
     f1 = F.when(wk > L, F.when(neg == 0, F.when(f0 < med, med).otherwise(f0))
@@ -442,7 +442,7 @@ def _adjusted(t: Tables, cfg: ModelConfig, shipments: bool) -> DataFrame:
         "sell_id", "state", "category", "week_ending_date", "week_of_year", "qty_ty", "qty_ly", "dollars_ly",
         F.col("roll").alias("qty_rolling_6_week_med"), "max_qty_ly", "forecast1", "forecast_quantity",
         "forecast_growth", "promo_uplift", "first_milestone_date", "second_milestone_date",
-        "third_milestone_date", "median_baseline", "negative_covid_impact", "high_growth_decline")
+        "third_milestone_date", "median_baseline", "negative_impact", "high_growth_decline")
 
 
 def forecast_adjusted(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -487,3 +487,53 @@ def _ship_combined(t: Tables, cfg: ModelConfig) -> DataFrame:
     mult = F.when(F.col("common_product") == 1, F.lit(1.0)).otherwise(1 - zeros / 7.0)
     allr = allr.withColumn("dampen_multiplier", mult)
     return allr.withColumn("promo_uplift_new", F.col("promo_uplift") * F.col("dampen_multiplier"))
+
+
+# ------------------------------------------------- grouped seasonal fit ----
+
+SEASONAL_FIT_SCHEMA = "sell_id string, week_ending_date date, seasonal_forecast double"
+
+
+def _fourier_fit(pdf, horizon_dates, cap_until, harmonics: int = 3, ridge: float = 1.0):
+    """Per-series least squares: trend + yearly Fourier terms (ridge on the
+    seasonal coefficients), forecast clamped to [floor, cap]."""
+    import numpy as np
+    import pandas as pd
+
+    sid = pdf["sell_id"].iloc[0]
+    d = pd.to_datetime(pdf["week_ending_date"])
+    y = pdf["qty"].to_numpy(dtype=float)
+    t0 = d.min()
+
+    def design(dates):
+        tt = ((dates - t0).dt.days.to_numpy() / 7.0)
+        yr = 2 * np.pi * dates.dt.dayofyear.to_numpy() / 365.25
+        cols = [np.ones_like(tt), tt]
+        for h in range(1, harmonics + 1):
+            cols += [np.sin(h * yr), np.cos(h * yr)]
+        return np.column_stack(cols)
+
+    X = design(d)
+    pen = np.diag([0.0, 0.0] + [ridge] * (X.shape[1] - 2))
+    coef = np.linalg.solve(X.T @ X + pen, X.T @ y)
+    fut = pd.Series(pd.to_datetime(list(horizon_dates)))
+    yhat = design(fut) @ coef
+    train = pdf[pd.to_datetime(pdf["week_ending_date"]) <= pd.Timestamp(cap_until)]["qty"]
+    lo, hi = (train.min(), train.max()) if len(train) else (None, None)
+    if lo is not None:
+        yhat = np.clip(yhat, lo, hi)
+    return pd.DataFrame({"sell_id": sid, "week_ending_date": fut.dt.date, "seasonal_forecast": yhat})
+
+
+def seasonal_fit_grouped(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Optional model: one numpy fit per series with ``applyInPandas``.
+
+    A group is one series' weekly history (at most ~70 rows however large the
+    sales are), so per-group memory is bounded and Arrow moves whole batches;
+    the fit itself has no SQL equivalent, hence the Python path.
+    """
+    w = model_weekly(t, cfg).select("sell_id", "week_ending_date", "qty")
+    dates = [cfg.latest_week + _dt.timedelta(days=7 * k) for k in range(1, cfg.seasonal_horizon_weeks)]
+    cap_until = cfg.cap_floor_until
+    return w.groupBy("sell_id").applyInPandas(
+        lambda pdf: _fourier_fit(pdf, dates, cap_until), SEASONAL_FIT_SCHEMA)

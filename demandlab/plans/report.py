@@ -138,3 +138,65 @@ def top_series(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, n: int = 10) -> Dat
     y = yoy_growth(t, cfg)
     return (y.groupBy("sell_id").agg(F.sum("qty_ty").alias("total_qty"))
              .orderBy(F.desc("total_qty"), F.asc("sell_id")).limit(n))
+
+
+def exclude_series(df: DataFrame, pairs, spark) -> DataFrame:
+    """Drop known-broken (state, category) series with a left anti join
+    against the (small, literal) exclusion list."""
+    if not pairs:
+        return df
+    ex = spark.createDataFrame(list(pairs), "state string, category string")
+    return df.join(F.broadcast(ex), ["state", "category"], "left_anti")
+
+
+def ship_actuals_dated(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Shipment actuals at the modelling grain, each TY week next to the same
+    week last year (full outer, so last-year-only weeks are kept); weeks with
+    no TY row take their date from the week-number -> week-ending map
+    (forecast calendar, inner join: only calendar weeks are reported)."""
+    from demandlab.plans.external import forecast_calendar
+    from demandlab.plans.series import model_weekly
+    w = model_weekly(t, cfg, shipments=True)
+    curr = w.select((F.col("year") - 1).alias("year"), "week_of_year", "sell_id", "state", "category",
+                    "week_ending_date", F.col("qty").alias("qty"), F.col("dollars").alias("dollars"))
+    prev = w.select("year", "week_of_year", "sell_id", "state", "category",
+                    F.col("qty").alias("stly_qty"), F.col("dollars").alias("stly_dollars"))
+    j = curr.join(prev, ["year", "week_of_year", "sell_id", "state", "category"], "full") \
+        .filter(F.col("year") == cfg.ly_year)
+    cal = F.broadcast(forecast_calendar(t, cfg).select("week_of_year", F.col("week_ending_date").alias("date_ref")))
+    return (j.join(cal, "week_of_year", "inner")
+             .withColumn("week_ending_date", F.coalesce("week_ending_date", "date_ref"))
+             .drop("date_ref", "year"))
+
+
+def ship_actual_forecast_stitch(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, rules=DEFAULT_CORRECTIONS) -> DataFrame:
+    """Shipment reporting table: actuals through the latest week (with the
+    forecast at the latest week), forecasts after it, last year's values
+    filled from the model, last year's columns re-attached with a full outer
+    join, and broken series excluded."""
+    act = ship_actuals_dated(t, cfg)
+    fc = running_total_correction(t, cfg, rules).select(
+        "sell_id", "state", "category", "week_ending_date", "forecast_quantity",
+        F.col("qty_ly").alias("qty_ly_filled"), F.col("promo_uplift_new").alias("promo_uplift"))
+    wk, L = F.col("week_ending_date"), F.lit(cfg.latest_week)
+    fnp = fc.filter((wk >= L) & F.col("state").isNotNull() & F.col("category").isNotNull())
+    cols = ["sell_id", "state", "category", "week_ending_date", "qty", "dollars", "stly_qty", "stly_dollars",
+            "forecast_quantity", "qty_ly_filled", "promo_uplift"]
+    part_a = (act.filter(wk <= L)
+                 .join(fnp.filter(wk == L).drop("state", "category", "promo_uplift"),
+                       ["sell_id", "week_ending_date"], "left")
+                 .withColumn("promo_uplift", F.lit(0.0)))
+    part_b = fnp.filter(wk > L).join(act.filter(wk < L).drop("state", "category"),
+                                     ["sell_id", "week_ending_date"], "left")
+    s = part_a.select(*cols).unionByName(part_b.select(*cols))
+    s = s.withColumns({
+        "stly_qty": F.coalesce("stly_qty", "qty_ly_filled"),
+        "forecast_quantity": F.when(wk == L, F.col("qty")).otherwise(F.col("forecast_quantity")),
+        "promo_uplift": F.coalesce("promo_uplift", F.lit(0.0)),
+    }).drop("qty_ly_filled")
+    ly = act.select("sell_id", "state", "category", "week_ending_date",
+                    F.col("stly_qty").alias("ly_qty"), F.col("stly_dollars").alias("ly_dollars"))
+    s = (s.drop("stly_qty", "stly_dollars")
+          .join(ly, ["sell_id", "state", "category", "week_ending_date"], "full")
+          .withColumn("promo_uplift", F.coalesce("promo_uplift", F.lit(0.0))))
+    return exclude_series(s, cfg.excluded_series, t.spark)

@@ -188,9 +188,9 @@ def peak_statistics(yoy: DataFrame, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFr
     )
     return agg.select(
         "sell_id",
-        F.col("pk.g").alias("covid_max_growth"),
+        F.col("pk.g").alias("peak_max_growth"),
         F.col("pk.ly").alias("max_qty_ly"),
-        F.when(F.col("pk.g") < 0, 1).otherwise(0).alias("negative_covid_impact"),
+        F.when(F.col("pk.g") < 0, 1).otherwise(0).alias("negative_impact"),
         "median_baseline", "mean_baseline", "latest_growth", "latest_qty",
     )
 
@@ -199,9 +199,9 @@ def peak_growth(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipments: bool
     y, _, _ = series_with_status(t, cfg, ["complete"], shipments=shipments)
     p = peak_statistics(y, cfg)
     return p.select("sell_id",
-                    *[F.round(c, 4).alias(c) for c in ["covid_max_growth", "max_qty_ly", "median_baseline",
+                    *[F.round(c, 4).alias(c) for c in ["peak_max_growth", "max_qty_ly", "median_baseline",
                                                        "mean_baseline", "latest_growth", "latest_qty"]],
-                    "negative_covid_impact")
+                    "negative_impact")
 
 
 def ly_rolling_median(weekly: DataFrame, cfg: ModelConfig = DEFAULT_CONFIG, k: int = 6) -> DataFrame:

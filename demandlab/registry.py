@@ -193,9 +193,9 @@ def q_series_coverage(spark, sf_dir):
 @register("peak_growth", with_(FACT, O.model_weekly_cte(CFG), O.yoy_cte(CFG), O.lifespan_cte(CFG),
                                "yoy_c AS (SELECT * FROM yoy WHERE sell_id IN (SELECT sell_id FROM lifespan WHERE status = 'complete'))",
                                O.peak_cte(CFG)) + """
-SELECT sell_id, round(covid_max_growth, 4) AS covid_max_growth, round(max_qty_ly, 4) AS max_qty_ly,
+SELECT sell_id, round(peak_max_growth, 4) AS peak_max_growth, round(max_qty_ly, 4) AS max_qty_ly,
        round(median_baseline, 4) AS median_baseline, round(mean_baseline, 4) AS mean_baseline,
-       round(latest_growth, 4) AS latest_growth, round(latest_qty, 4) AS latest_qty, negative_covid_impact
+       round(latest_growth, 4) AS latest_growth, round(latest_qty, 4) AS latest_qty, negative_impact
 FROM peak""")
 def q_peak_growth(spark, sf_dir):
     return series.peak_growth(_t(spark, sf_dir), CFG)
@@ -294,7 +294,7 @@ def q_milestone_markers(spark, sf_dir):
 
 _MP_D = ["qty_ty", "dollars_ty", "growth_qty", "growth_sales", "forecast1", "forecast_quantity", "median_baseline"]
 _MP_O = ["sell_id", "state", "category", "week_ending_date", "week_of_year", "first_milestone_date",
-         "second_milestone_date", "third_milestone_date", "negative_covid_impact"]
+         "second_milestone_date", "third_milestone_date", "negative_impact"]
 
 
 @register("milestone_forecast_pos", with_(*_POS, *O.milestone_ctes(CFG)) + O.round_select(_MP_D, _MP_O + ["fc_type"], "mp"))
@@ -303,9 +303,9 @@ def q_milestone_forecast_pos(spark, sf_dir):
 
 
 @register("milestone_forecast_ship", with_(*_SHIP, *O.milestone_ctes(CFG, shipments=True))
-          + O.round_select(_MP_D + ["covid_max_growth", "max_qty_ly"], _MP_O, "mp"))
+          + O.round_select(_MP_D + ["peak_max_growth", "max_qty_ly"], _MP_O, "mp"))
 def q_milestone_forecast_ship(spark, sf_dir):
-    return _sel(FC.milestone_forecast_ship(_t(spark, sf_dir), CFG), _MP_O + _MP_D + ["covid_max_growth", "max_qty_ly"])
+    return _sel(FC.milestone_forecast_ship(_t(spark, sf_dir), CFG), _MP_O + _MP_D + ["peak_max_growth", "max_qty_ly"])
 
 
 @register("trend_seasonal_forecast", with_(FACT, O.model_weekly_cte(CFG), *O.seasonal_ctes(CFG))
@@ -323,7 +323,7 @@ def q_high_growth_flag(spark, sf_dir):
 _ADJ_D = ["qty_ty", "qty_ly", "dollars_ly", "qty_rolling_6_week_med", "max_qty_ly", "forecast1", "forecast_quantity",
           "forecast_growth", "promo_uplift", "median_baseline"]
 _ADJ_O = ["sell_id", "state", "category", "week_ending_date", "week_of_year", "first_milestone_date",
-          "second_milestone_date", "third_milestone_date", "negative_covid_impact", "high_growth_decline"]
+          "second_milestone_date", "third_milestone_date", "negative_impact", "high_growth_decline"]
 
 
 @register("forecast_adjusted", with_(*_POS, *O.adjusted_ctes(CFG)) + O.round_select(_ADJ_D, _ADJ_O, "adj"))
@@ -358,11 +358,14 @@ def q_retailer_corrections(spark, sf_dir):
     return _sel(RP.retailer_corrections(_t(spark, sf_dir), CFG), _CORR_O + _CORR_D)
 
 
-@register("running_total_correction", with_(*_SHIP_ALL, O.corrections_cte(CFG, DEFAULT_CORRECTIONS),
-                                            f"""rt AS (SELECT * REPLACE (CASE WHEN {O.rule_sql(DEFAULT_CORRECTIONS, 'cumulative')}
+_RT = f"""rt AS (SELECT * REPLACE (CASE WHEN {O.rule_sql(DEFAULT_CORRECTIONS, 'cumulative')}
   THEN sum(forecast_quantity) OVER (PARTITION BY sell_id ORDER BY week_ending_date
                                     RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-  ELSE forecast_quantity END AS forecast_quantity) FROM corr)""") + O.round_select(_CORR_D, _CORR_O, "rt"))
+  ELSE forecast_quantity END AS forecast_quantity) FROM corr)"""
+
+
+@register("running_total_correction", with_(*_SHIP_ALL, O.corrections_cte(CFG, DEFAULT_CORRECTIONS), _RT)
+          + O.round_select(_CORR_D, _CORR_O, "rt"))
 def q_running_total_correction(spark, sf_dir):
     return _sel(RP.running_total_correction(_t(spark, sf_dir), CFG), _CORR_O + _CORR_D)
 
@@ -542,3 +545,26 @@ def q_claims_renamed(spark, sf_dir):
 @register("price_index_clean", with_(O.PRICE) + "SELECT year, period, latest, round(value, 4) AS value, month FROM pr")
 def q_price_index_clean(spark, sf_dir):
     return round_doubles(X.price_index_clean(_t(spark, sf_dir), CFG))
+
+
+@register("ship_actuals_dated", with_(*_SHIP, O.ship_actuals_dated_cte(CFG)) + O.round_select(
+    ["qty", "dollars", "stly_qty", "stly_dollars"], ["sell_id", "state", "category", "week_of_year", "week_ending_date"],
+    "sad"))
+def q_ship_actuals_dated(spark, sf_dir):
+    return round_doubles(RP.ship_actuals_dated(_t(spark, sf_dir), CFG))
+
+
+_SST_D = ["qty", "dollars", "forecast_quantity", "promo_uplift", "ly_qty", "ly_dollars"]
+_SST_O = ["sell_id", "state", "category", "week_ending_date"]
+
+
+@register("ship_actual_forecast_stitch", with_(*_SHIP_ALL, O.corrections_cte(CFG, DEFAULT_CORRECTIONS), _RT,
+                                               *O.ship_stitch_ctes(CFG)) + O.round_select(_SST_D, _SST_O, "sst"))
+def q_ship_actual_forecast_stitch(spark, sf_dir):
+    return _sel(RP.ship_actual_forecast_stitch(_t(spark, sf_dir), CFG), _SST_O + _SST_D)
+
+
+@register("seasonal_fit_grouped")
+def q_seasonal_fit_grouped(spark, sf_dir):
+    """No SQL oracle (per-series numerical fit); checked by invariants in tests."""
+    return round_doubles(FC.seasonal_fit_grouped(_t(spark, sf_dir), CFG))

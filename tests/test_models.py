@@ -133,5 +133,5 @@ def test_peak_tie_earliest_week_wins(spark):
     y = spark.createDataFrame(rows, "sell_id string, week_ending_date date, week_of_year int, growth_qty double, "
                                     "qty_ly double, qty_ty double")
     r = peak_statistics(y, cfg).first()
-    assert r.covid_max_growth == 0.5 and r.max_qty_ly == 10.0 and r.negative_covid_impact == 0
+    assert r.peak_max_growth == 0.5 and r.max_qty_ly == 10.0 and r.negative_impact == 0
     assert r.median_baseline == pytest.approx(0.2) and r.latest_growth == -0.2 and r.latest_qty == 8.0
