@@ -60,3 +60,16 @@ def test_invariants(spark):
     comb = q["promo_dampened"](spark, SF_ORACLE)
     # dampening never touches complete series
     assert comb.filter((F.col("common_product") == 1) & (F.col("dampen_multiplier") != 1.0)).count() == 0
+
+
+def test_grouped_seasonal_fit_invariants(spark):
+    fit = E.queries()["seasonal_fit_grouped"](spark, SF_ORACLE)
+    per = fit.groupBy("sell_id").count().collect()
+    assert per and all(r["count"] == 24 for r in per)
+    assert fit.filter(F.col("seasonal_forecast").isNull()).count() == 0
+
+
+def test_ship_stitch_excludes_broken_series_and_keeps_keys_unique(spark):
+    s = E.queries()["ship_actual_forecast_stitch"](spark, SF_ORACLE)
+    assert s.filter((F.col("state") == "EUROPE") & (F.col("category") == "ECONOMY")).count() == 0
+    assert s.groupBy("sell_id", "week_ending_date").count().filter("count > 1").count() == 0

@@ -63,3 +63,47 @@ def test_overwrite_table_and_column_contract(spark):
 def test_strip_prefix(spark):
     df = spark.createDataFrame([(1, 2)], "`t.a` int, `t.b` int")
     assert strip_column_prefix(df).columns == ["a", "b"]
+
+
+def test_external_readers_and_preprocessors(spark):
+    import datetime as dt
+    from demandlab.sources.external import read_mobility, read_second_case_source
+    from demandlab.plans.external import basic_preproc, case_tracking_preproc, mobility_preproc
+
+    d = _scratch()
+    mob = os.path.join(d, "mob")
+    os.makedirs(mob)
+    base = ",".join(f"b{i}" for i in range(6))
+    with open(os.path.join(mob, "m.csv"), "w") as f:
+        f.write("country_region_code,country_region,sub_region_1,sub_region_2,census_fips_code,date,"
+                "retail_and_recreation_percent_change_from_baseline,grocery_and_pharmacy_percent_change_from_baseline,"
+                "parks_percent_change_from_baseline,transit_stations_percent_change_from_baseline,"
+                "workplaces_percent_change_from_baseline,residential_percent_change_from_baseline\n")
+        f.write("US,United States,Ohio,,,2020-04-01,-10,5,1,2,3,4\n")
+        f.write("US,United States,Ohio,Franklin County,39049,2020-04-01,-1,1,1,1,1,1\n")
+    m = mobility_preproc(read_mobility(spark, mob))
+    assert m.count() == 1 and "sub_region_2" not in m.columns
+
+    geo = spark.createDataFrame([("Ohio", "OH"), ("Texas", "TX")], "state string, state_initial string")
+    raw = spark.createDataFrame([(0, "OH", "US", 1, "2020-04-01"), (1, "ZZ", "US", 2, "2020-04-02"),
+                                 (2, "TX", "CA", 3, "2020-04-03"), (3, "TX", "US", 35, "2020-04-04")],
+                                "V1 int, st string, country string, location_id int, `report date` string")
+    out = basic_preproc(raw, geo, "st", "country", "US", exclude_location_id=35)
+    rows = out.collect()
+    assert [(r.state, r.state_initial) for r in rows] == [("Ohio", "OH")]
+    assert "V1" not in out.columns and "report_date" in out.columns
+    assert rows[0].report_date == dt.date(2020, 4, 1)
+
+    ct = spark.createDataFrame([("2020-04-01", "OH", 5, "x", 9, "2020-04-02 10:00"),
+                                ("2020-04-02", "OH", 7, "y", 9, "2020-04-03 10:00")],
+                               "date string, state string, positiveIncrease long, hash string, total long, "
+                               "lastUpdateEt string")
+    pre, fresh = case_tracking_preproc(ct, dt.date(2020, 4, 10))
+    assert set(pre.columns) == {"date", "positiveIncrease", "lastUpdateEt"}
+    assert fresh.first().lag_days == 7
+
+    sc = os.path.join(d, "sc")
+    os.makedirs(sc)
+    with open(os.path.join(sc, "s.csv"), "w") as f:
+        f.write("date,state,cases,deaths\n2020-04-01,Ohio,10,1\n")
+    assert set(read_second_case_source(spark, sc).columns) == {"date", "state", "src2_cases", "src2_deaths"}
