@@ -29,12 +29,19 @@ def normalise_names(df: DataFrame) -> DataFrame:
 
 
 def constant_columns(df: DataFrame) -> list[str]:
-    """Columns with exactly one distinct non-NULL value (one aggregation;
-    ``approx`` is not used: the answer must be exact)."""
+    """Columns with exactly one distinct non-NULL value.
+
+    "Exactly one distinct value" is ``min == max`` over the non-NULL values:
+    one pass of partial min/max aggregation (no distinct shuffle, no
+    approximation), returning a single row to the driver."""
     if not df.columns:
         return []
-    row = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
-    return [c for i, c in enumerate(df.columns) if row[f"c{i}"] == 1]
+    aggs = []
+    for i, c in enumerate(df.columns):
+        col = F.col(f"`{c}`")
+        aggs.append(((F.min(col) == F.max(col)) & (F.count(col) > 0)).alias(f"c{i}"))
+    row = df.agg(*aggs).first()
+    return [c for i, c in enumerate(df.columns) if row[f"c{i}"]]
 
 
 def drop_constant_columns(df: DataFrame) -> DataFrame:

@@ -118,17 +118,20 @@ def lifespan_split(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipments: b
     """
     w = weekly if weekly is not None else model_weekly(t, cfg, shipments=shipments)
     ty = w.filter(F.col("year") == cfg.ty_year)
+    # Weekly rows are unique per (series, week) by construction (they are the
+    # group-by keys of the weekly aggregate), so a plain count is the number
+    # of distinct weeks -- no distinct-aggregation shuffle.
     per_ty = ty.groupBy("sell_id", "state", "category").agg(
-        F.count_distinct("week_ending_date").alias("weeks_ty"))
+        F.count("week_ending_date").alias("weeks_ty"))
     if shipments:
-        target = ty.agg(F.count_distinct("week_ending_date").alias("target_weeks"))
+        target = ty.select("week_ending_date").distinct().agg(F.count(F.lit(1)).alias("target_weeks"))
         ly = last_year(w, cfg).filter(F.col("week_of_year") <= cfg.ship_ly_weeks)
         ly_target = cfg.ship_ly_weeks
     else:
         target = ty.agg(F.max("week_of_year").alias("target_weeks"))
         ly = last_year(w, cfg)
         ly_target = cfg.ly_full_weeks
-    per_ly = ly.groupBy("sell_id").agg(F.count_distinct("week_ending_date").alias("weeks_ly"))
+    per_ly = ly.groupBy("sell_id").agg(F.count("week_ending_date").alias("weeks_ly"))
     s = attach_scalars(per_ty, target).join(per_ly, "sell_id", "left")
     complete_ty = F.col("weeks_ty") == F.col("target_weeks")
     complete_ly = F.coalesce(F.col("weeks_ly") == ly_target, F.lit(False))

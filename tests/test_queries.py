@@ -73,3 +73,13 @@ def test_ship_stitch_excludes_broken_series_and_keeps_keys_unique(spark):
     s = E.queries()["ship_actual_forecast_stitch"](spark, SF_ORACLE)
     assert s.filter((F.col("state") == "EUROPE") & (F.col("category") == "ECONOMY")).count() == 0
     assert s.groupBy("sell_id", "week_ending_date").count().filter("count > 1").count() == 0
+
+
+def test_pipeline_writes_every_stage(spark):
+    import tempfile
+    from demandlab.pipeline import STAGES, run
+    out = tempfile.mkdtemp(prefix="demandlab-pipe-")
+    written = run(spark, SF_SMALL, out)
+    assert set(written) == set(STAGES)
+    assert spark.read.parquet(written["pos_reporting"]).count() > 0
+    assert spark.read.parquet(written["weekly_sales"]).count() > 0
