@@ -27,8 +27,8 @@ STAGES: dict[str, Callable[[Tables, ModelConfig], DataFrame]] = {
     "yoy_full_outer": lambda t, c: series.yoy_full_outer(t, c),
     "filter_loss_report": lambda t, c: facts.filter_loss_report(t, c),
     # external features
-    "master_current": lambda t, c: external.master_current(t, c),
-    "master_projection": lambda t, c: external.master_projection(t, c),
+    "master_current": lambda t, c: external.master_current(t, c, validate=True),
+    "master_projection": lambda t, c: external.master_projection(t, c, validate=True),
     "scenario_merge": lambda t, c: external.scenario_merge(t, c),
     "policy_duration": lambda t, c: external.policy_duration(t, c),
     # POS chain

@@ -160,7 +160,7 @@ def case_tracking(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
                     "order_value")
 
 
-def per_million_features(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, validate: bool = True) -> DataFrame:
+def per_million_features(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, validate: bool = False) -> DataFrame:
     """Population join (m:1, checked), population in millions, per-million
     versions of every '*increase*' column, and date meta."""
     from demandlab.functions.dates import with_date_meta
@@ -330,11 +330,21 @@ def scenario_merge(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG,
     return cur.join(bes, list(keys), "left").join(wor, list(keys), "left")
 
 
-def master_current(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, validate: bool = True) -> DataFrame:
+def master_current(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, validate: bool = False) -> DataFrame:
     """Case features + mobility + weekly claims on (state, state_initial,
     date); quarterly series on (year, quarter); monthly index on (year, month).
-    Every right side is checked unique on its join keys, which keeps the row
-    count of the left side unchanged."""
+
+    Every right side is an aggregate grouped by exactly its join keys, so the
+    left row count is preserved by construction; ``validate=True`` (used by
+    the production pipeline) additionally checks each right side's key
+    uniqueness before joining.  Materialized once: the projection master
+    reads it too.
+    """
+    return shared(t.spark, ("master_current", t.root, t.database, cfg, validate),
+                  lambda: _master_current(t, cfg, validate))
+
+
+def _master_current(t: Tables, cfg: ModelConfig, validate: bool) -> DataFrame:
     from demandlab.operators.joins import validated_join
     J = (lambda l, r, on, v: validated_join(l, r, on, "left", v)) if validate else \
         (lambda l, r, on, v: l.join(r, on, "left"))
@@ -350,7 +360,7 @@ def master_current(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, validate: bool
     return J(m, price, ["year", "month"], "m:1")
 
 
-def master_projection(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, validate: bool = True) -> DataFrame:
+def master_projection(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, validate: bool = False) -> DataFrame:
     """Policy exposure (projections) + current features, then the quarterly
     series for every projection row."""
     keys = ["state", "state_initial", "date"]
