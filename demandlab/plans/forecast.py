@@ -322,15 +322,23 @@ def milestone_forecast_ship(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> Dat
 
 # --------------------------------------------------------------- seasonal ----
 
-def trend_seasonal_model(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, weekly: DataFrame | None = None) -> DataFrame:
+def trend_seasonal_model(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, weekly: DataFrame | None = None,
+                         shipments: bool = False) -> DataFrame:
     """Per-series linear trend + week-of-year seasonal index, clamped to the
     [floor, cap] of the training target up to ``cap_floor_until``.
 
     Fit = one aggregation (``regr_slope`` / ``regr_intercept``); seasonal
     index = mean residual per ISO week; forecast rows for the 24 weeks after L
-    come from ``sequence`` + ``explode`` per series.
+    come from ``sequence`` + ``explode`` per series.  A model output stage:
+    materialized once (it feeds the baseline choice and the growth flag).
     """
-    w = weekly if weekly is not None else model_weekly(t, cfg)
+    if weekly is not None:
+        return _trend_seasonal(weekly, cfg)
+    return shared(t.spark, ("trend_seasonal", t.root, t.database, cfg, shipments),
+                  lambda: _trend_seasonal(model_weekly(t, cfg, shipments=shipments), cfg))
+
+
+def _trend_seasonal(w: DataFrame, cfg: ModelConfig) -> DataFrame:
     origin = iso_week_saturday(cfg.ly_year, 1)
     w = w.withColumn("t_idx", weeks_since(F.col("week_ending_date"), origin).cast("double"))
     until = F.col("week_ending_date") <= F.lit(cfg.cap_floor_until)
@@ -359,7 +367,9 @@ def high_growth_flags(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, weekly: Data
                       seasonal: DataFrame | None = None) -> DataFrame:
     """Mean (forecast - LY) / LY from ``high_growth_from`` on; |mean| > 0.5."""
     w = weekly if weekly is not None else model_weekly(t, cfg)
-    s = seasonal if seasonal is not None else trend_seasonal_model(t, cfg, w)
+    if seasonal is None:
+        seasonal = trend_seasonal_model(t, cfg, w) if weekly is not None else trend_seasonal_model(t, cfg)
+    s = seasonal
     ly = last_year(w, cfg).select("sell_id", "week_of_year", F.col("qty").alias("qty_ly"))
     d = (s.filter(F.col("week_ending_date") >= F.lit(cfg.high_growth_from))
           .join(ly, ["sell_id", "week_of_year"], "left")
@@ -425,7 +435,7 @@ def _adjusted(t: Tables, cfg: ModelConfig, shipments: bool) -> DataFrame:
     ly = last_year(w, cfg).select("sell_id", "week_of_year", F.col("qty").alias("qty_ly"),
                                   F.col("dollars").alias("dollars_ly"))
     lymed = ly_rolling_median(w, cfg, 6).select("sell_id", "week_of_year", "qty_ly_roll6_median")
-    seasonal = trend_seasonal_model(t, cfg, w)
+    seasonal = trend_seasonal_model(t, cfg, shipments=shipments)
     smed = seasonal_rolling_median(seasonal).select("sell_id", "week_ending_date", "seasonal_roll6_median")
     hg = high_growth_flags(t, cfg, weekly=w, seasonal=seasonal).select("sell_id", "high_growth_decline")
     if not shipments:
