@@ -55,12 +55,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner")
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate (a global max, a national
-    date ...) to every row of ``df``.
+    """Attach the values of a one-row global aggregate (a global max, a
+    national date ...) to every row of ``df`` as typed literals.
 
-    ``one_row`` must be a global aggregate (exactly one row by construction),
-    so the broadcast side is bounded; the join is an equi-join on a constant
-    key, i.e. a broadcast hash join that streams ``df`` once.
+    ``one_row`` must be a global aggregate (exactly one row by construction).
+    It is evaluated once (one small job returning one row to the driver) and
+    its values become literals: no join of any kind is planned, and the
+    optimizer can fold the constants into downstream predicates.
     """
-    one = F.broadcast(one_row.withColumn("__one", F.lit(1)))
-    return df.withColumn("__one", F.lit(1)).join(one, "__one", "inner").drop("__one")
+    row = one_row.first()
+    if row is None:
+        return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in one_row.schema.fields})
+    return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in one_row.schema.fields})
