@@ -100,9 +100,14 @@ def naive_rate_of_sale(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFram
 
     week = L: actual; week > L: mean weekly quantity over the actual weeks
     (zero-filled) or, for a blank state, last year's quantity; earlier: NULL.
+    A model output stage: materialized once.
     """
+    return shared(t.spark, ("naive_pos", t.root, t.database, cfg), lambda: _naive_pos(t, cfg))
+
+
+def _naive_pos(t: Tables, cfg: ModelConfig) -> DataFrame:
     w = model_weekly(t, cfg)
-    y, _, st = series_with_status(t, cfg, ["incomplete", "missing"], weekly=w)
+    y, _, st = series_with_status(t, cfg, ["incomplete", "missing"])
     keys = st.filter(F.col("state").isNotNull()).select("sell_id", "state", "category")
     cal = forecast_calendar(t, cfg).select("week_ending_date", "week_of_year")
     start, end = _grid_bounds(cfg)
@@ -132,9 +137,14 @@ def naive_centered_mean(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFra
     Grid = actual TY weeks (zero-filled) + calendar weeks after L.  The first
     TY week is left out of the rolling window (its value is NULL), as in the
     reference.  Also carries the pre-event median YoY difference per series.
+    A model output stage: materialized once.
     """
+    return shared(t.spark, ("naive_ship", t.root, t.database, cfg), lambda: _naive_ship(t, cfg))
+
+
+def _naive_ship(t: Tables, cfg: ModelConfig) -> DataFrame:
     w = model_weekly(t, cfg, shipments=True)
-    y, _, st = series_with_status(t, cfg, ["incomplete", "missing"], shipments=True, weekly=w)
+    y, _, st = series_with_status(t, cfg, ["incomplete", "missing"], shipments=True)
     ty_weeks = (w.filter(F.col("year") == cfg.ty_year).select("week_ending_date").distinct())
     future = forecast_calendar(t, cfg).filter(F.col("week_ending_date") > F.lit(cfg.latest_week)) \
         .select("week_ending_date")
@@ -210,7 +220,7 @@ def milestone_markers(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame
 
 def _milestone_base(t: Tables, cfg: ModelConfig, shipments: bool):
     w = model_weekly(t, cfg, shipments=shipments)
-    y, _, st = series_with_status(t, cfg, ["complete"], shipments=shipments, weekly=w)
+    y, _, st = series_with_status(t, cfg, ["complete"], shipments=shipments)
     stats = peak_statistics(y, cfg)
     ms = state_milestones(t, cfg)
     keys = st.filter(F.col("state").isNotNull()).select("sell_id", "state", "category")
@@ -439,7 +449,7 @@ def _adjusted(t: Tables, cfg: ModelConfig, shipments: bool) -> DataFrame:
     smed = seasonal_rolling_median(seasonal).select("sell_id", "week_ending_date", "seasonal_roll6_median")
     hg = high_growth_flags(t, cfg, weekly=w, seasonal=seasonal).select("sell_id", "high_growth_decline")
     if not shipments:
-        y, _, st = series_with_status(t, cfg, ["complete"], weekly=w)
+        y, _, st = series_with_status(t, cfg, ["complete"])
         pk = peak_statistics(y, cfg).select("sell_id", "max_qty_ly")
         base = base.join(pk, "sell_id", "left")
     b = (base.join(ly, ["sell_id", "week_of_year"], "left")

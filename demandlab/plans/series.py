@@ -74,8 +74,15 @@ def last_year(weekly: DataFrame, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame
 
 def yoy_growth(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipments: bool = False,
                weekly: DataFrame | None = None) -> DataFrame:
-    """TY weeks left-joined to LY on series keys + ISO week; NULL-safe keys."""
-    w = weekly if weekly is not None else model_weekly(t, cfg, shipments=shipments)
+    """TY weeks left-joined to LY on series keys + ISO week; NULL-safe keys.
+    Materialized once per variant (every model reads it)."""
+    if weekly is None:
+        return shared(t.spark, ("yoy", t.root, t.database, cfg, shipments),
+                      lambda: _yoy(model_weekly(t, cfg, shipments=shipments), cfg))
+    return _yoy(weekly, cfg)
+
+
+def _yoy(w: DataFrame, cfg: ModelConfig) -> DataFrame:
     ty = w.filter(F.col("year") == cfg.ty_year)
     ly = last_year(w, cfg).select(
         F.col("state").alias("ly_state"), F.col("category").alias("ly_category"),
@@ -114,9 +121,15 @@ def lifespan_split(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipments: b
 
     POS: TY-complete = as many weeks as the highest ISO week seen; LY-complete
     = 52 weeks.  Shipments: TY-complete = number of distinct TY weeks; LY
-    complete = all ISO weeks <= 32.
+    complete = all ISO weeks <= 32.  Materialized once per variant.
     """
-    w = weekly if weekly is not None else model_weekly(t, cfg, shipments=shipments)
+    if weekly is None:
+        return shared(t.spark, ("lifespan", t.root, t.database, cfg, shipments),
+                      lambda: _lifespan(model_weekly(t, cfg, shipments=shipments), cfg, shipments))
+    return _lifespan(weekly, cfg, shipments)
+
+
+def _lifespan(w: DataFrame, cfg: ModelConfig, shipments: bool) -> DataFrame:
     ty = w.filter(F.col("year") == cfg.ty_year)
     # Weekly rows are unique per (series, week) by construction (they are the
     # group-by keys of the weekly aggregate), so a plain count is the number
@@ -147,7 +160,7 @@ def lifespan_split(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipments: b
 def series_coverage(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipments: bool = False) -> DataFrame:
     """Share of series / quantity / revenue per lifespan status."""
     w = model_weekly(t, cfg, shipments=shipments)
-    status = lifespan_split(t, cfg, shipments=shipments, weekly=w)
+    status = lifespan_split(t, cfg, shipments=shipments)
     ty_tot = (w.filter(F.col("year") == cfg.ty_year)
                .groupBy("sell_id").agg(F.sum("qty").alias("qty"), F.sum("dollars").alias("dollars")))
     per = (status.join(ty_tot, "sell_id", "left")
@@ -167,9 +180,13 @@ def series_coverage(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipments:
 def series_with_status(t: Tables, cfg: ModelConfig, statuses, *, shipments: bool = False,
                        weekly: DataFrame | None = None):
     """(yoy rows of the chosen lifespan statuses, weekly, status table)."""
-    w = weekly if weekly is not None else model_weekly(t, cfg, shipments=shipments)
-    y = yoy_growth(t, cfg, weekly=w)
-    st = lifespan_split(t, cfg, shipments=shipments, weekly=w).filter(F.col("status").isin(list(statuses)))
+    if weekly is None:
+        w = model_weekly(t, cfg, shipments=shipments)
+        y = yoy_growth(t, cfg, shipments=shipments)
+        st = lifespan_split(t, cfg, shipments=shipments)
+    else:
+        w, y, st = weekly, yoy_growth(t, cfg, weekly=weekly), lifespan_split(t, cfg, shipments=shipments, weekly=weekly)
+    st = st.filter(F.col("status").isin(list(statuses)))
     return y.join(st.select("sell_id"), "sell_id", "left_semi"), w, st
 
 
