@@ -88,8 +88,10 @@ def with_week_fields(df: DataFrame, date_col: str = "week_ending_date") -> DataF
 
 def weekly_fact(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, week_rule: str = "same_or_next") -> DataFrame:
     """Daily ledger -> product x state x retailer x channel x week sums (+ line
-    count).  Materialized once (reliable checkpoint): the weekly table is the
-    shared input of the reporting queries, like a warehouse aggregate table."""
+    count).  This is the run's only ledger join.  Materialized once as a
+    year-partitioned table in the checkpoint folder: it is the shared input of
+    the reporting queries and of the modelling series (which read only the
+    two model years' partitions)."""
     def build():
         fact = sales_fact(t, cfg)
         weekly = (fact.withColumn("week_ending_date", week_ending("sale_date", week_rule))
@@ -97,7 +99,7 @@ def weekly_fact(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, week_rule: str = "
                       .agg(F.sum("qty").alias("qty"), F.sum("dollars").alias("dollars"),
                            F.count(F.lit(1)).alias("n_lines")))
         return with_week_fields(weekly)
-    return shared(t.spark, ("weekly_fact", t.root, t.database, cfg, week_rule), build)
+    return shared(t.spark, ("weekly_fact", t.root, t.database, cfg, week_rule), build, partition_by=["year"])
 
 
 def weekly_sales(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, with_channel: bool = True,

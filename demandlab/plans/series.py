@@ -35,14 +35,50 @@ SERIES_KEYS = ["state", "category"]
 def model_weekly(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipments: bool = False) -> DataFrame:
     """Filtered weekly sales at the modelling grain, TY and LY, up to L.
 
-    Materialized once per (tables, config, variant): every model reads this
-    small aggregate instead of re-running the ledger join.
+    Both variants (POS keeps strictly positive weeks, shipments keep zeros)
+    are a filter over one materialized aggregate, which itself is derived
+    from the materialized weekly fact -- no second ledger join.
     """
-    return shared(t.spark, ("model_weekly", t.root, t.database, cfg, shipments),
-                  lambda: build_model_weekly(t, cfg, shipments=shipments))
+    base = shared(t.spark, ("model_weekly_base", t.root, t.database, cfg),
+                  lambda: build_model_weekly_base(t, cfg))
+    return base.filter(variant_filter(shipments))
+
+
+def variant_filter(shipments: bool):
+    if shipments:
+        keep = (F.col("qty") >= 0) & (F.col("dollars") >= 0)
+    else:
+        keep = (F.col("qty") > 0) & (F.col("dollars") > 0)
+    return keep & ~(F.col("qty").isNull() & F.col("dollars").isNull())
+
+
+def build_model_weekly_base(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Weekly fact -> (week, state := business, category) sums in the model
+    window.  The row filters (blank / NULL product group, blank hierarchy,
+    excluded categories) are on grouping keys of the weekly fact, so
+    filtering its rows equals filtering ledger lines; the year filter prunes
+    partitions of the year-partitioned weekly fact."""
+    from demandlab.plans.facts import weekly_fact
+    years = list(range(cfg.history_start.year, cfg.latest_week.year + 1))
+    wf = weekly_fact(t, cfg).filter(F.col("year").isin(years))
+    excluded = list(cfg.excluded_categories)
+    row_ok = ~((F.col("ppg") == "") | F.col("ppg").isNull())
+    row_ok = row_ok & ~((F.col("business") == "") & (F.col("category") == "")
+                        & (F.col("brand") == "") & (F.col("ppg") != ""))
+    if excluded:
+        row_ok = row_ok & ~F.col("category").isin(excluded)
+    wk = F.col("week_ending_date")
+    in_window = (wk > F.lit(cfg.history_start)) & (wk <= F.lit(cfg.latest_week))
+    weekly = (wf.filter(row_ok & in_window)
+                .groupBy("week_ending_date", F.col("business").alias("state"), "category")
+                .agg(F.sum("qty").alias("qty"), F.sum("dollars").alias("dollars")))
+    out = with_week_fields(weekly)
+    return out.withColumn("sell_id", composite_key("category", "state"))
 
 
 def build_model_weekly(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipments: bool = False) -> DataFrame:
+    """Same result straight from the ledger (used when no weekly fact is
+    wanted): the ship-date window is pushed into the line-item scan."""
     # Week ending (same-or-next Saturday) > history_start  <=>  sale date
     # >= the Sunday six days before the first such Saturday.
     first_sat = cfg.history_start + _dt.timedelta(days=(5 - cfg.history_start.weekday()) % 7 or 7)
@@ -58,12 +94,7 @@ def build_model_weekly(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipment
                   .groupBy("week_ending_date", F.col("business").alias("state"), "category")
                   .agg(F.sum("qty").alias("qty"), F.sum("dollars").alias("dollars")))
     wk = F.col("week_ending_date")
-    keep = (wk > F.lit(cfg.history_start)) & (wk <= F.lit(cfg.latest_week))
-    if shipments:
-        keep = keep & (F.col("qty") >= 0) & (F.col("dollars") >= 0)
-    else:
-        keep = keep & (F.col("qty") > 0) & (F.col("dollars") > 0)
-    keep = keep & ~(F.col("qty").isNull() & F.col("dollars").isNull())
+    keep = (wk > F.lit(cfg.history_start)) & (wk <= F.lit(cfg.latest_week)) & variant_filter(shipments)
     out = with_week_fields(weekly.filter(keep))
     return out.withColumn("sell_id", composite_key("category", "state"))
 
