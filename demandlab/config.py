@@ -80,6 +80,10 @@ class ModelConfig:
     # Series excluded from the reporting table (known-broken keys), as
     # (state, category) pairs; applied with an anti join.
     excluded_series: tuple = (("EUROPE", "ECONOMY"),)
+    # > 0: salt the ledger's customer and part joins over this many buckets
+    # (explicit skew handling); 0 leaves hot keys to adaptive skew-join
+    # splitting.
+    hot_key_salt_buckets: int = 0
 
     @property
     def ty_start(self) -> _dt.date:

@@ -67,3 +67,32 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     if row is None:
         return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in one_row.schema.fields})
     return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in one_row.schema.fields})
+
+
+def salted_join(big: DataFrame, small: DataFrame, on, how: str = "left", buckets: int = 16,
+                salt_cols=None) -> DataFrame:
+    """Many-to-one equi-join that spreads hot keys of ``big`` over ``buckets``
+    tasks (for when one key holds a large share of the rows and adaptive
+    skew handling is unavailable).
+
+    ``big`` rows get a salt = pmod(xxhash64(salt_cols), buckets): a hash, not
+    ``rand()``, so a retried task reproduces exactly the same partitioning
+    after an executor loss.  ``small`` (the "one" side) is replicated once per
+    salt value, i.e. it grows by ``buckets``x, never with ``big``.  No row is
+    dropped or duplicated in the result.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    cols = list(salt_cols) if salt_cols else [c for c in big.columns if c not in keys]
+    b = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(buckets)))
+    s = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    return b.join(s, keys + ["__salt"], how).drop("__salt")
+
+
+def key_shares(df: DataFrame, key, top: int = 5) -> DataFrame:
+    """Heaviest key values and their share of all rows (a skew report; one
+    aggregation, top-n only reaches the driver if collected)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return attach_scalars(counts, total).withColumn("share", F.col("rows") / F.col("total")) \
+        .orderBy(F.desc("rows")).limit(top)

@@ -64,12 +64,20 @@ def sales_fact(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG,
             .select("c_custkey", "retailer",
                     F.col(c.state).alias("state"), F.col(c.business).alias("business")))
     orders = t.orders.select("o_orderkey", "o_custkey")
-    order_geo = orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
     part = t.part.select("p_partkey", F.col(c.category).alias("category"),
                          F.col(c.brand).alias("brand"), F.col(c.ppg).alias("ppg"))
-
-    joined = (li.join(order_geo, li.l_orderkey == order_geo.o_orderkey, "left")
-                .join(part, li.l_partkey == part.p_partkey, "left"))
+    if cfg.hot_key_salt_buckets > 0:
+        from demandlab.operators.joins import salted_join
+        n = cfg.hot_key_salt_buckets
+        order_geo = salted_join(orders, cust.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", "left", n,
+                                ["o_orderkey"])
+        joined = salted_join(li.join(order_geo, li.l_orderkey == order_geo.o_orderkey, "left"),
+                             part.withColumnRenamed("p_partkey", "l_partkey"), "l_partkey", "left", n,
+                             ["l_orderkey", "ship_ts", "qty", "dollars"])
+    else:
+        order_geo = orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
+        joined = (li.join(order_geo, li.l_orderkey == order_geo.o_orderkey, "left")
+                    .join(part, li.l_partkey == part.p_partkey, "left"))
     return joined.select(
         F.to_date("ship_ts").alias("sale_date"),
         "retailer", "state", "business", "category", "brand", "ppg",
