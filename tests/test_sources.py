@@ -107,3 +107,20 @@ def test_external_readers_and_preprocessors(spark):
     with open(os.path.join(sc, "s.csv"), "w") as f:
         f.write("date,state,cases,deaths\n2020-04-01,Ohio,10,1\n")
     assert set(read_second_case_source(spark, sc).columns) == {"date", "state", "src2_cases", "src2_deaths"}
+
+
+def test_bucketed_ledger_join_has_no_exchange(spark):
+    from demandlab.sources.layout import bucket_ledger
+    d = _scratch()
+    bucket_ledger(spark, "/root/testdata/sf0.001", "demandlab_bkt", 4, d)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        li, od = spark.table("demandlab_bkt.lineitem"), spark.table("demandlab_bkt.orders")
+        j = li.join(od, li.l_orderkey == od.o_orderkey)
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert j.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+        spark.sql("DROP DATABASE IF EXISTS demandlab_bkt CASCADE")
