@@ -566,10 +566,10 @@ def pm_cte() -> str:
 def rm_cte() -> str:
     return """rm AS (
   SELECT state, state_initial, date, CAST(urgent_orders AS DOUBLE) AS urgent_orders_baseline,
-         avg_value AS avg_value_baseline,
+         CAST(n_orders AS DOUBLE) AS orders_baseline,
          CASE WHEN count(urgent_orders) OVER w = 6 THEN avg(CAST(urgent_orders AS DOUBLE)) OVER w END
            AS urgent_orders_baseline_6_roll_mean,
-         CASE WHEN count(avg_value) OVER w = 6 THEN avg(avg_value) OVER w END AS avg_value_baseline_6_roll_mean
+         CASE WHEN count(n_orders) OVER w = 6 THEN avg(CAST(n_orders AS DOUBLE)) OVER w END AS orders_baseline_6_roll_mean
   FROM sd
   WINDOW w AS (PARTITION BY state ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)
 )"""
@@ -631,8 +631,8 @@ PRICE = """pr AS (
 
 def master_current_ctes(cfg: ModelConfig = DEFAULT_CONFIG) -> list[str]:
     return [GEO, sd_cte(cfg), POP, pm_cte(), rm_cte(), CLAIMS, QUARTERLY, PRICE, """mc AS (
-  SELECT pm.*, rm.urgent_orders_baseline, rm.avg_value_baseline, rm.urgent_orders_baseline_6_roll_mean,
-         rm.avg_value_baseline_6_roll_mean, cr.wk_num, cr.IC, cr.FIC, cr.XIC, cr.WSIC, cr.WSEIC, cr.CW,
+  SELECT pm.*, rm.urgent_orders_baseline, rm.orders_baseline, rm.urgent_orders_baseline_6_roll_mean,
+         rm.orders_baseline_6_roll_mean, cr.wk_num, cr.IC, cr.FIC, cr.XIC, cr.WSIC, cr.WSEIC, cr.CW,
          q.avg_order_value_q, pr.value AS price_index
   FROM pm
   LEFT JOIN rm ON rm.state = pm.state AND rm.state_initial = pm.state_initial AND rm.date = pm.date

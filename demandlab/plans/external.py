@@ -132,7 +132,7 @@ def mobility(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     d = state_daily(t, cfg)
     return d.select("state", "state_initial", "date",
                     F.col("urgent_orders").cast("double").alias("urgent_orders_baseline"),
-                    F.col("avg_value").alias("avg_value_baseline"))
+                    F.col("n_orders").cast("double").alias("orders_baseline"))
 
 
 def rolling_mean_by_state(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, k: int = 6) -> DataFrame:

@@ -461,7 +461,7 @@ def q_drop_constant_columns(spark, sf_dir):
 
 
 @register("rolling_mean_by_state", with_(O.GEO, O.sd_cte(CFG), O.rm_cte()) + O.round_select(
-    ["urgent_orders_baseline", "avg_value_baseline", "urgent_orders_baseline_6_roll_mean", "avg_value_baseline_6_roll_mean"],
+    ["urgent_orders_baseline", "orders_baseline", "urgent_orders_baseline_6_roll_mean", "orders_baseline_6_roll_mean"],
     ["state", "state_initial", "date"], "rm"))
 def q_rolling_mean_by_state(spark, sf_dir):
     return round_doubles(X.rolling_mean_by_state(_t(spark, sf_dir), CFG))
@@ -489,8 +489,8 @@ def q_policy_exposure(spark, sf_dir):
 
 _MC_D = ["orders_increase", "urgent_increase", "order_value", "state_pop_mil", "orders_increase_per_mil",
          "urgent_increase_per_mil",
-         "urgent_orders_baseline", "avg_value_baseline", "urgent_orders_baseline_6_roll_mean",
-         "avg_value_baseline_6_roll_mean", "WSEIC", "CW", "avg_order_value_q", "price_index"]
+         "urgent_orders_baseline", "orders_baseline", "urgent_orders_baseline_6_roll_mean",
+         "orders_baseline_6_roll_mean", "WSEIC", "CW", "avg_order_value_q", "price_index"]
 _MC_O = ["year", "month", "quarter", "state", "state_initial", "date", "state_pop", "wk_num", "IC", "FIC", "XIC", "WSIC"]
 
 
