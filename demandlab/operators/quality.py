@@ -82,3 +82,19 @@ def duplicate_rows(df: DataFrame, keys) -> DataFrame:
 
 def null_share(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.avg(F.when(F.col(col).isNull(), 1.0).otherwise(0.0)).alias(f"{col}_null_share"))
+
+
+def null_key_rejects(df: DataFrame, keys, name: str = "rejected_null_keys") -> DataFrame:
+    """One row: how many rows have a NULL in any of ``keys`` (the rows a
+    NULL-key filter drops) -- a lazy metric to write next to the output."""
+    cond = None
+    for k in keys:
+        c = F.col(k).isNull()
+        cond = c if cond is None else (cond | c)
+    return df.agg(F.count(F.when(cond, 1)).alias(name), F.count(F.lit(1)).alias("rows"))
+
+
+def distinct_count(df: DataFrame, cols, name: str = "n_distinct") -> DataFrame:
+    """One row: number of distinct combinations of ``cols`` (NULL is a value,
+    as in ``select(cols).distinct().count()``)."""
+    return df.select(*cols).distinct().agg(F.count(F.lit(1)).alias(name))

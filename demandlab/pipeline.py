@@ -21,6 +21,11 @@ from demandlab.plans import external, facts, forecast, report, series
 from demandlab.sources.files import write_stage
 from demandlab.sources.tables import Tables
 
+def _q():
+    from demandlab.operators import quality
+    return quality
+
+
 STAGES: dict[str, Callable[[Tables, ModelConfig], DataFrame]] = {
     # sales facts and YoY
     "weekly_sales": lambda t, c: facts.weekly_sales(t, c),
@@ -36,6 +41,8 @@ STAGES: dict[str, Callable[[Tables, ModelConfig], DataFrame]] = {
     "pos_seasonal": lambda t, c: forecast.trend_seasonal_model(t, c),
     "pos_results": lambda t, c: report.pos_forecasts(t, c),
     "pos_reporting": lambda t, c: report.actual_forecast_stitch(t, c),
+    "pos_null_key_rejects": lambda t, c: _q().null_key_rejects(report.pos_forecasts(t, c), ["state", "category"]),
+    "pos_series_count": lambda t, c: _q().distinct_count(series.model_weekly(t, c), ["sell_id"]),
     # shipment chain
     "ship_lifespan": lambda t, c: series.lifespan_split(t, c, shipments=True),
     "ship_results": lambda t, c: report.running_total_correction(t, c),

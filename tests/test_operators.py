@@ -114,3 +114,11 @@ def test_salted_ledger_join_matches_default(spark):
     a = sales_fact(t, DEFAULT_CONFIG).select(*cols)
     b = sales_fact(t, dataclasses.replace(DEFAULT_CONFIG, hot_key_salt_buckets=4)).select(*cols)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() == b.count()
+
+
+def test_null_key_rejects_and_distinct_count(spark):
+    from demandlab.operators.quality import distinct_count, null_key_rejects
+    df = spark.createDataFrame([("a", "x"), (None, "x"), ("a", None), ("a", "x")], "s string, c string")
+    r = null_key_rejects(df, ["s", "c"]).first()
+    assert (r.rejected_null_keys, r.rows) == (2, 4)
+    assert distinct_count(df, ["s", "c"]).first().n_distinct == 3
