@@ -392,6 +392,20 @@ def geo_filter(df: DataFrame, geo: DataFrame, state_col: str, country_col: str |
     return out.select("state", "state_initial", *rest)
 
 
+def validate_geo_filter(out: DataFrame, geo: DataFrame, country_col: str | None = None,
+                        expected_states: int | None = None) -> None:
+    """Post-conditions of ``geo_filter``: every output state is known and
+    (when the whole lookup is expected) every known state is present; no
+    NULL country; the expected number of distinct states.  Raises on failure."""
+    from demandlab.operators.quality import assert_coverage, assert_distinct_count, assert_no_nulls
+    if expected_states is None:
+        assert_coverage(out, geo, "state")
+    else:
+        assert_distinct_count(out, "state", expected_states)
+    if country_col is not None and country_col in out.columns:
+        assert_no_nulls(out, country_col)
+
+
 def geo_filtered(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, country: str = "AMERICA") -> DataFrame:
     geo = geography(t)
     d = state_daily(t, cfg).drop("state_initial")

@@ -122,3 +122,17 @@ def test_null_key_rejects_and_distinct_count(spark):
     r = null_key_rejects(df, ["s", "c"]).first()
     assert (r.rejected_null_keys, r.rows) == (2, 4)
     assert distinct_count(df, ["s", "c"]).first().n_distinct == 3
+
+
+def test_validate_geo_filter(spark):
+    from demandlab.operators.quality import CoverageError, DataQualityError
+    from demandlab.plans.external import geo_filter, validate_geo_filter
+    geo = spark.createDataFrame([("Ohio", "OH"), ("Texas", "TX")], "state string, state_initial string")
+    df = spark.createDataFrame([("OH", "US", 1), ("TX", "US", 2), ("ZZ", "US", 3)], "st string, country string, v int")
+    out = geo_filter(df, geo, "st", "country", "US")
+    validate_geo_filter(out, geo, "country")
+    validate_geo_filter(out, geo, "country", expected_states=2)
+    with pytest.raises(CoverageError):
+        validate_geo_filter(out.filter("state = 'Ohio'"), geo, "country")
+    with pytest.raises(DataQualityError):
+        validate_geo_filter(out, geo, "country", expected_states=3)
