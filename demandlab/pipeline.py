@@ -37,6 +37,7 @@ STAGES: dict[str, Callable[[Tables, ModelConfig], DataFrame]] = {
     "scenario_merge": lambda t, c: external.scenario_merge(t, c),
     "policy_duration": lambda t, c: external.policy_duration(t, c),
     # POS chain
+    "pos_fact": lambda t, c: report.pos_fact_with_markers(t, c),
     "pos_lifespan": lambda t, c: series.lifespan_split(t, c),
     "pos_seasonal": lambda t, c: forecast.trend_seasonal_model(t, c),
     "pos_results": lambda t, c: report.pos_forecasts(t, c),

@@ -200,3 +200,26 @@ def ship_actual_forecast_stitch(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, ru
           .join(ly, ["sell_id", "state", "category", "week_ending_date"], "full")
           .withColumn("promo_uplift", F.coalesce("promo_uplift", F.lit(0.0))))
     return exclude_series(s, cfg.excluded_series, t.spark)
+
+
+MARKERS = {"first": "marker_first", "second": "marker_second", "third": "marker_third"}
+
+
+def pos_fact_with_markers(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """The POS reporting fact (TY weeks with LY alongside) plus one marker row
+    per state and milestone week, each flagging 2.0 in its own marker column.
+
+    The frames are aligned by name: columns missing on one side become typed
+    NULLs (``unionByName(allowMissingColumns=True)``), not positional unions.
+    """
+    from demandlab.plans.forecast import milestone_markers
+    fact = yoy_growth(t, cfg).select("sell_id", "state", "category", "week_of_year", "week_ending_date",
+                                     "qty_ty", "dollars_ty", "qty_ly", "dollars_ly")
+    m = milestone_markers(t, cfg)
+    marks = [m.filter(F.col("marker") == name)
+              .select("state", F.col("marker_date").alias("week_ending_date"), F.lit(2.0).alias(col))
+             for name, col in MARKERS.items()]
+    out = fact
+    for frame in marks:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out

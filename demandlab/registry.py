@@ -568,3 +568,24 @@ def q_ship_actual_forecast_stitch(spark, sf_dir):
 def q_seasonal_fit_grouped(spark, sf_dir):
     """No SQL oracle (per-series numerical fit); checked by invariants in tests."""
     return round_doubles(FC.seasonal_fit_grouped(_t(spark, sf_dir), CFG))
+
+
+_PFM_D = ["qty_ty", "dollars_ty", "qty_ly", "dollars_ly", "marker_first", "marker_second", "marker_third"]
+_PFM_O = ["sell_id", "state", "category", "week_of_year", "week_ending_date"]
+
+
+@register("pos_fact_with_markers", with_(*_POS) + """
+, u AS (
+  SELECT sell_id, state, category, week_of_year, week_ending_date, qty_ty, dollars_ty, qty_ly, dollars_ly,
+         CAST(NULL AS DOUBLE) AS marker_first, CAST(NULL AS DOUBLE) AS marker_second, CAST(NULL AS DOUBLE) AS marker_third
+  FROM yoy
+  UNION ALL
+  SELECT NULL, state, NULL, NULL, first_milestone_date, NULL, NULL, NULL, NULL, 2.0, NULL, NULL FROM ms
+  UNION ALL
+  SELECT NULL, state, NULL, NULL, pos_second_milestone_date, NULL, NULL, NULL, NULL, NULL, 2.0, NULL FROM ms
+  UNION ALL
+  SELECT NULL, state, NULL, NULL, pos_third_milestone_date, NULL, NULL, NULL, NULL, NULL, NULL, 2.0 FROM ms
+)
+""" + O.round_select(_PFM_D, _PFM_O, "u"))
+def q_pos_fact_with_markers(spark, sf_dir):
+    return _sel(RP.pos_fact_with_markers(_t(spark, sf_dir), CFG), _PFM_O + _PFM_D)
