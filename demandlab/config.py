@@ -84,6 +84,9 @@ class ModelConfig:
     # (explicit skew handling); 0 leaves hot keys to adaptive skew-join
     # splitting.
     hot_key_salt_buckets: int = 0
+    # Projection scenario feeding the projection master: "current", "best"
+    # or "worst" (all three are merged side by side in ``scenario_merge``).
+    scenario: str = "current"
 
     @property
     def ty_start(self) -> _dt.date:

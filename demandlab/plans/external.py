@@ -219,7 +219,7 @@ def policy_exposure(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     on_<policy> (1 iff days_on > 0)."""
     from demandlab.functions.dates import with_date_meta
     from demandlab.operators.reshape import front_columns
-    days = state_daily(t, cfg).select("state", "state_initial", "date")
+    days = state_daily(t, cfg, scenario_status(cfg)).select("state", "state_initial", "date")
     s = policy_summary(t, cfg)
     j = with_policy_exposure(days.join(s, ["state", "state_initial"], "left"),
                              policies_from_columns(s.columns), cfg.as_of)
@@ -313,10 +313,19 @@ def claims_renamed(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     return r.join(geo, "state_initial", "inner")
 
 
+# Order status that defines each projection scenario (current = all orders).
+SCENARIO_STATUS = {"current": None, "best": "F", "worst": "O"}
+
+
+def scenario_status(cfg: ModelConfig) -> str | None:
+    if cfg.scenario not in SCENARIO_STATUS:
+        raise ValueError(f"unknown scenario {cfg.scenario!r}; expected one of {sorted(SCENARIO_STATUS)}")
+    return SCENARIO_STATUS[cfg.scenario]
+
+
 def scenario_frames(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG):
     keep = ["state", "state_initial", "date", "n_orders", "order_value"]
-    return (state_daily(t, cfg).select(*keep), state_daily(t, cfg, status="F").select(*keep),
-            state_daily(t, cfg, status="O").select(*keep))
+    return tuple(state_daily(t, cfg, status=SCENARIO_STATUS[n]).select(*keep) for n in ("current", "best", "worst"))
 
 
 def scenario_merge(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG,

@@ -83,3 +83,16 @@ def test_pipeline_writes_every_stage(spark):
     assert set(written) == set(STAGES)
     assert spark.read.parquet(written["pos_reporting"]).count() > 0
     assert spark.read.parquet(written["weekly_sales"]).count() > 0
+
+
+def test_scenario_parameter_selects_projection_days(spark):
+    import dataclasses
+    from demandlab.config import DEFAULT_CONFIG
+    from demandlab.plans.external import policy_exposure
+    from demandlab.sources.tables import Tables
+    t = Tables(spark, SF_SMALL)
+    cur = policy_exposure(t, DEFAULT_CONFIG).count()
+    best = policy_exposure(t, dataclasses.replace(DEFAULT_CONFIG, scenario="best")).count()
+    assert 0 < best <= cur
+    with pytest.raises(ValueError):
+        policy_exposure(t, dataclasses.replace(DEFAULT_CONFIG, scenario="bogus"))
