@@ -699,3 +699,16 @@ sst AS (
      AND s.week_ending_date = l.week_ending_date) x
   WHERE NOT coalesce({excl}, false)
 )"""]
+
+
+PFM = """pfm AS (
+  SELECT sell_id, state, category, week_of_year, week_ending_date, qty_ty, dollars_ty, qty_ly, dollars_ly,
+         CAST(NULL AS DOUBLE) AS marker_first, CAST(NULL AS DOUBLE) AS marker_second, CAST(NULL AS DOUBLE) AS marker_third
+  FROM yoy
+  UNION ALL
+  SELECT NULL, state, NULL, NULL, first_milestone_date, NULL, NULL, NULL, NULL, 2.0, NULL, NULL FROM ms
+  UNION ALL
+  SELECT NULL, state, NULL, NULL, pos_second_milestone_date, NULL, NULL, NULL, NULL, NULL, 2.0, NULL FROM ms
+  UNION ALL
+  SELECT NULL, state, NULL, NULL, pos_third_milestone_date, NULL, NULL, NULL, NULL, NULL, NULL, 2.0 FROM ms
+)"""

@@ -88,15 +88,17 @@ def pos_forecasts(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
 
 
 def actual_forecast_stitch(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, rules=DEFAULT_CORRECTIONS) -> DataFrame:
-    """Actual weeks up to the latest actual week + forecast weeks after it.
-
-    The latest week carries both the actual and the forecast columns (for a
-    continuous chart); last year's values missing on forecast weeks are
-    filled from the forecast table; the 'zero' rule zeroes a category.
+    """Reporting table: the POS fact (actual weeks with LY alongside, plus the
+    milestone marker rows) with forecasts attached.
+
+    The latest actual week is the newest week among product rows (marker rows
+    carry no category and are ignored).  That week carries both the actual
+    and the forecast columns (for a continuous chart); forecast weeks after
+    it are appended; last year's values missing on forecast weeks are filled
+    from the forecast table; the 'zero' rule zeroes a category.
     """
-    actuals = yoy_growth(t, cfg).select("sell_id", "state", "category", "week_ending_date",
-                                        "qty_ty", "dollars_ty", "qty_ly", "dollars_ly")
-    latest = actuals.filter(F.col("state").isNotNull()).agg(F.max("week_ending_date").alias("latest_week"))
+    actuals = pos_fact_with_markers(t, cfg)
+    latest = actuals.filter(F.col("category").isNotNull()).agg(F.max("week_ending_date").alias("latest_week"))
     fc = attach_scalars(pos_forecasts(t, cfg), latest)
     wk = F.col("week_ending_date")
     fnp = (fc.filter(wk >= F.col("latest_week"))
@@ -113,6 +115,7 @@ def actual_forecast_stitch(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, rules=D
                  .join(a.filter(wk < F.col("latest_week")).drop("latest_week", "state", "category"),
                        ["sell_id", "week_ending_date"], "left"))
     cols = ["sell_id", "state", "category", "week_ending_date", "qty_ty", "dollars_ty", "qty_ly", "dollars_ly",
+            "marker_first", "marker_second", "marker_third",
             "forecast_percent", "forecast_quantity", "qty_ly_filled", "dollars_ly_filled", "promo_uplift", "latest_week"]
     s = part_a.select(*cols).unionByName(part_b.select(*cols))
     s = s.withColumns({
@@ -128,7 +131,8 @@ def actual_forecast_stitch(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, rules=D
     s = s.withColumn("forecast_quantity",
                      F.when(wk == F.col("latest_week"), F.col("qty_ty")).otherwise(F.col("forecast_quantity")))
     return s.select("sell_id", "state", "category", "week_ending_date", "qty_ty", "dollars_ty", "qty_ly",
-                    "dollars_ly", "forecast_percent", "forecast_quantity", "promo_uplift")
+                    "dollars_ly", "forecast_percent", "forecast_quantity", "promo_uplift",
+                    "marker_first", "marker_second", "marker_third")
 
 
 def top_series(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, n: int = 10) -> DataFrame:

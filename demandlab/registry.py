@@ -370,7 +370,8 @@ def q_running_total_correction(spark, sf_dir):
     return _sel(RP.running_total_correction(_t(spark, sf_dir), CFG), _CORR_O + _CORR_D)
 
 
-_ST_D = ["qty_ty", "dollars_ty", "qty_ly", "dollars_ly", "forecast_percent", "forecast_quantity", "promo_uplift"]
+_ST_D = ["qty_ty", "dollars_ty", "qty_ly", "dollars_ly", "forecast_percent", "forecast_quantity", "promo_uplift",
+         "marker_first", "marker_second", "marker_third"]
 _ST_O = ["sell_id", "state", "category", "week_ending_date"]
 _ZERO = O.rule_sql(DEFAULT_CORRECTIONS, "zero")
 
@@ -381,7 +382,8 @@ fcu AS (
   UNION ALL
   SELECT sell_id, state, category, week_ending_date, qty_ly, dollars_ly, NULL, forecast_quantity, NULL FROM np
 ),
-lw AS (SELECT max(week_ending_date) AS latest_week FROM yoy WHERE state IS NOT NULL),
+{O.PFM},
+lw AS (SELECT max(week_ending_date) AS latest_week FROM pfm WHERE category IS NOT NULL),
 fnp AS (
   SELECT f.sell_id, f.state, f.category, f.week_ending_date, lw.latest_week, f.forecast1 AS forecast_percent,
          f.forecast_quantity, f.qty_ly AS qty_ly_filled, f.dollars_ly AS dollars_ly_filled, f.promo_uplift
@@ -390,21 +392,24 @@ fnp AS (
 ),
 pa AS (
   SELECT a.sell_id, a.state, a.category, a.week_ending_date, a.qty_ty, a.dollars_ty, a.qty_ly, a.dollars_ly,
+         a.marker_first, a.marker_second, a.marker_third,
          f.forecast_percent, f.forecast_quantity, f.qty_ly_filled, f.dollars_ly_filled, 0.0 AS promo_uplift, lw.latest_week
-  FROM yoy a CROSS JOIN lw
+  FROM pfm a CROSS JOIN lw
   LEFT JOIN (SELECT * FROM fnp WHERE week_ending_date = latest_week) f
     ON f.sell_id = a.sell_id AND f.week_ending_date = a.week_ending_date
 ),
 pb AS (
   SELECT f.sell_id, f.state, f.category, f.week_ending_date, a.qty_ty, a.dollars_ty, a.qty_ly, a.dollars_ly,
+         a.marker_first, a.marker_second, a.marker_third,
          f.forecast_percent, f.forecast_quantity, f.qty_ly_filled, f.dollars_ly_filled, f.promo_uplift, f.latest_week
   FROM (SELECT * FROM fnp WHERE week_ending_date > latest_week) f
-  LEFT JOIN (SELECT * FROM yoy WHERE week_ending_date < (SELECT latest_week FROM lw)) a
+  LEFT JOIN (SELECT * FROM pfm WHERE week_ending_date < (SELECT latest_week FROM lw)) a
     ON a.sell_id = f.sell_id AND a.week_ending_date = f.week_ending_date
 ),
 s0 AS (
   SELECT sell_id, state, category, week_ending_date, qty_ty, dollars_ty,
          coalesce(qty_ly, qty_ly_filled) AS qty_ly, coalesce(dollars_ly, dollars_ly_filled) AS dollars_ly,
+         marker_first, marker_second, marker_third,
          forecast_percent, forecast_quantity, coalesce(promo_uplift, 0.0) AS promo_uplift, latest_week
   FROM (SELECT * FROM pa UNION ALL SELECT * FROM pb) u
 ),
@@ -574,18 +579,6 @@ _PFM_D = ["qty_ty", "dollars_ty", "qty_ly", "dollars_ly", "marker_first", "marke
 _PFM_O = ["sell_id", "state", "category", "week_of_year", "week_ending_date"]
 
 
-@register("pos_fact_with_markers", with_(*_POS) + """
-, u AS (
-  SELECT sell_id, state, category, week_of_year, week_ending_date, qty_ty, dollars_ty, qty_ly, dollars_ly,
-         CAST(NULL AS DOUBLE) AS marker_first, CAST(NULL AS DOUBLE) AS marker_second, CAST(NULL AS DOUBLE) AS marker_third
-  FROM yoy
-  UNION ALL
-  SELECT NULL, state, NULL, NULL, first_milestone_date, NULL, NULL, NULL, NULL, 2.0, NULL, NULL FROM ms
-  UNION ALL
-  SELECT NULL, state, NULL, NULL, pos_second_milestone_date, NULL, NULL, NULL, NULL, NULL, 2.0, NULL FROM ms
-  UNION ALL
-  SELECT NULL, state, NULL, NULL, pos_third_milestone_date, NULL, NULL, NULL, NULL, NULL, NULL, 2.0 FROM ms
-)
-""" + O.round_select(_PFM_D, _PFM_O, "u"))
+@register("pos_fact_with_markers", with_(*_POS, O.PFM) + O.round_select(_PFM_D, _PFM_O, "pfm"))
 def q_pos_fact_with_markers(spark, sf_dir):
     return _sel(RP.pos_fact_with_markers(_t(spark, sf_dir), CFG), _PFM_O + _PFM_D)

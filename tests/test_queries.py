@@ -56,7 +56,11 @@ def test_invariants(spark):
     n_weeks = grid.select("week_ending_date").distinct().count()
     assert grid.count() == n_series * n_weeks
     stitch = q["actual_forecast_stitch"](spark, SF_ORACLE)
-    assert stitch.groupBy("sell_id", "week_ending_date").count().filter("count > 1").count() == 0
+    products = stitch.filter("sell_id IS NOT NULL")
+    assert products.groupBy("sell_id", "week_ending_date").count().filter("count > 1").count() == 0
+    # one marker row per state and milestone
+    markers = stitch.filter("sell_id IS NULL")
+    assert markers.count() == 3 * markers.select("state").distinct().count()
     comb = q["promo_dampened"](spark, SF_ORACLE)
     # dampening never touches complete series
     assert comb.filter((F.col("common_product") == 1) & (F.col("dampen_multiplier") != 1.0)).count() == 0
