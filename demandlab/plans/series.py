@@ -137,7 +137,14 @@ def yoy_full_outer(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, null_sentinel:
     from demandlab.plans.facts import weekly_sales  # local: avoid cycle at import
 
     keys = ["retailer", "state", "business", "category", "brand", "ppg", "channel"]
-    w = weekly_sales(t, cfg, with_channel=True).na.fill(null_sentinel, subset=keys)
+    return year_shift_full_outer(weekly_sales(t, cfg, with_channel=True), keys, null_sentinel)
+
+
+def year_shift_full_outer(w: DataFrame, keys, null_sentinel: str = "Null_Value") -> DataFrame:
+    """Current rows keyed by (year - 1, week) full-outer-joined to the rows of
+    that year: same-time-last-year measures.  NULL string keys are replaced by
+    ``null_sentinel`` so they match each other (kept in the output)."""
+    w = w.na.fill(null_sentinel, subset=list(keys))
     curr = w.select(
         (F.col("year") - 1).alias("year"), "week_of_year", *keys, "week_ending_date",
         F.col("qty").alias("qty"), F.col("dollars").alias("dollars"))

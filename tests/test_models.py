@@ -135,3 +135,28 @@ def test_peak_tie_earliest_week_wins(spark):
     r = peak_statistics(y, cfg).first()
     assert r.peak_max_growth == 0.5 and r.max_qty_ly == 10.0 and r.negative_impact == 0
     assert r.median_baseline == pytest.approx(0.2) and r.latest_growth == -0.2 and r.latest_qty == 8.0
+
+
+def test_yoy_growth_zero_and_missing_last_year(spark):
+    from demandlab.plans.series import _yoy
+    cfg = ModelConfig()
+    rows = [(dt.date(1998, 1, 10), "S", "C", 10.0, 5.0, 2, 1998, "C_S"),
+            (dt.date(1997, 1, 11), "S", "C", 0.0, 0.0, 2, 1997, "C_S"),      # LY zero
+            (dt.date(1998, 1, 17), "S", "C", 12.0, 6.0, 3, 1998, "C_S")]     # LY missing
+    w = spark.createDataFrame(rows, "week_ending_date date, state string, category string, qty double, "
+                                    "dollars double, week_of_year int, year int, sell_id string")
+    out = {r.week_of_year: r for r in _yoy(w, cfg).collect()}
+    assert out[2].qty_ly == 0.0 and out[2].growth_qty is None
+    assert out[3].qty_ly is None and out[3].growth_qty is None and out[3].qty_ty == 12.0
+
+
+def test_full_outer_yoy_matches_null_keys_through_sentinel(spark):
+    from demandlab.plans.series import year_shift_full_outer
+    rows = [(dt.date(1998, 1, 10), None, 10.0, 1.0, 2, 1998), (dt.date(1997, 1, 11), None, 4.0, 0.5, 2, 1997),
+            (dt.date(1997, 1, 18), "k", 3.0, 0.3, 3, 1997)]
+    w = spark.createDataFrame(rows, "week_ending_date date, key string, qty double, dollars double, "
+                                    "week_of_year int, year int")
+    out = year_shift_full_outer(w, ["key"]).collect()
+    matched = [r for r in out if r.key == "Null_Value" and r.year == 1997 and r.week_of_year == 2]
+    assert len(matched) == 1 and matched[0].qty == 10.0 and matched[0].stly_qty == 4.0
+    assert any(r.key == "k" and r.qty is None and r.stly_qty == 3.0 for r in out)
