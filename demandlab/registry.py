@@ -582,3 +582,12 @@ _PFM_O = ["sell_id", "state", "category", "week_of_year", "week_ending_date"]
 @register("pos_fact_with_markers", with_(*_POS, O.PFM) + O.round_select(_PFM_D, _PFM_O, "pfm"))
 def q_pos_fact_with_markers(spark, sf_dir):
     return _sel(RP.pos_fact_with_markers(_t(spark, sf_dir), CFG), _PFM_O + _PFM_D)
+
+
+@register("latest_file_read", """
+SELECT event_id, ts, user_id, event_type, round(value, 4) AS value, props FROM events""")
+def q_latest_file_read(spark, sf_dir):
+    """Newest-file read of a landed table path (a single file here, so every
+    row is kept; a multi-file drop directory keeps only the newest file)."""
+    from demandlab.sources.files import latest_file_read
+    return round_doubles(latest_file_read(spark, f"{sf_dir}/events.parquet", "parquet"))
