@@ -325,18 +325,18 @@ def adjusted_ctes(cfg: ModelConfig = DEFAULT_CONFIG, shipments: bool = False) ->
   WINDOW w6 AS (PARTITION BY sell_id ORDER BY week_of_year ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)
 )""",
         """smed AS (
-  SELECT sell_id, week_ending_date,
-         CASE WHEN count(seasonal_forecast) OVER w6 = 6 THEN quantile_cont(seasonal_forecast, 0.5) OVER w6 END AS s_med
-  FROM sfc
-  WINDOW w6 AS (PARTITION BY sell_id ORDER BY week_ending_date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)
+  SELECT sfc.sell_id, sfc.week_ending_date,
+         CASE WHEN count(seasonal_forecast) OVER w6 = 6 THEN quantile_cont(seasonal_forecast, 0.5) OVER w6 END AS s_med,
+         hgf.high_growth_decline
+  FROM sfc JOIN hgf ON hgf.sell_id = sfc.sell_id
+  WINDOW w6 AS (PARTITION BY sfc.sell_id ORDER BY sfc.week_ending_date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)
 )""",
         """ab AS (
   SELECT mp.*, lyr.qty_ly, lyr.dollars_ly, coalesce(smed.s_med, lyr.ly_med) AS roll,
-         hgf.high_growth_decline
+         smed.high_growth_decline
   FROM mp
   LEFT JOIN lyr ON lyr.sell_id = mp.sell_id AND lyr.week_of_year = mp.week_of_year
   LEFT JOIN smed ON smed.sell_id = mp.sell_id AND smed.week_ending_date = mp.week_ending_date
-  LEFT JOIN hgf ON hgf.sell_id = mp.sell_id
 )""",
         f"""a1 AS (
   SELECT * REPLACE (

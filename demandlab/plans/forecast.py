@@ -446,8 +446,11 @@ def _adjusted(t: Tables, cfg: ModelConfig, shipments: bool) -> DataFrame:
                                   F.col("dollars").alias("dollars_ly"))
     lymed = ly_rolling_median(w, cfg, 6).select("sell_id", "week_of_year", "qty_ly_roll6_median")
     seasonal = trend_seasonal_model(t, cfg, shipments=shipments)
-    smed = seasonal_rolling_median(seasonal).select("sell_id", "week_ending_date", "seasonal_roll6_median")
     hg = high_growth_flags(t, cfg, weekly=w, seasonal=seasonal).select("sell_id", "high_growth_decline")
+    # The flag travels with the seasonal forecast rows (series x forecast
+    # week), so actual weeks carry no flag -- it is only read after L.
+    smed = (seasonal_rolling_median(seasonal).select("sell_id", "week_ending_date", "seasonal_roll6_median")
+            .join(hg, "sell_id", "inner"))
     if not shipments:
         y, _, st = series_with_status(t, cfg, ["complete"])
         pk = peak_statistics(y, cfg).select("sell_id", "max_qty_ly")
@@ -455,7 +458,6 @@ def _adjusted(t: Tables, cfg: ModelConfig, shipments: bool) -> DataFrame:
     b = (base.join(ly, ["sell_id", "week_of_year"], "left")
              .join(lymed, ["sell_id", "week_of_year"], "left")
              .join(smed, ["sell_id", "week_ending_date"], "left")
-             .join(hg, "sell_id", "left")
              .withColumn("roll", F.coalesce("seasonal_roll6_median", "qty_ly_roll6_median")))
     out = _adjust(b, cfg, shipments=shipments)
     return out.select(
