@@ -31,7 +31,7 @@ from demandlab.operators.grid import series_grid
 from demandlab.operators.windows import centered_count, centered_mean, fill_both, forward_fill, rolling_expr
 from demandlab.plans.external import forecast_calendar
 from demandlab.plans.series import (last_year, ly_rolling_median, model_weekly, peak_statistics,
-                                    series_with_status, yoy_growth)
+                                    series_with_status)
 from demandlab.session import shared
 from demandlab.sources.literals import iso_week_saturday, milestone_parameters
 from demandlab.sources.tables import Tables

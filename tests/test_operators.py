@@ -1,4 +1,3 @@
-import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
