@@ -70,7 +70,14 @@ def retailer_corrections(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, rules=DEF
 
 def running_total_correction(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, rules=DEFAULT_CORRECTIONS) -> DataFrame:
     """Series under the 'cumulative' rule get the running total of their
-    forecast (RANGE unbounded preceding .. current row, by week)."""
+    forecast (RANGE unbounded preceding .. current row, by week).  The
+    corrected shipment results are a stage output: materialized once."""
+    from demandlab.session import shared
+    return shared(t.spark, ("ship_results", t.root, t.database, cfg, tuple(rules)),
+                  lambda: _running_total(t, cfg, rules))
+
+
+def _running_total(t: Tables, cfg: ModelConfig, rules) -> DataFrame:
     df = retailer_corrections(t, cfg, rules)
     cum = running_total("forecast_quantity", ["sell_id"], "week_ending_date")
     return df.withColumn("forecast_quantity",
@@ -157,7 +164,14 @@ def ship_actuals_dated(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFram
     """Shipment actuals at the modelling grain, each TY week next to the same
     week last year (full outer, so last-year-only weeks are kept); weeks with
     no TY row take their date from the week-number -> week-ending map
-    (forecast calendar, inner join: only calendar weeks are reported)."""
+    (forecast calendar, inner join: only calendar weeks are reported).
+    This is the shipment actuals table of the reporting layer: materialized
+    once (the stitch reads it three times)."""
+    from demandlab.session import shared
+    return shared(t.spark, ("ship_actuals_dated", t.root, t.database, cfg), lambda: _ship_actuals_dated(t, cfg))
+
+
+def _ship_actuals_dated(t: Tables, cfg: ModelConfig) -> DataFrame:
     from demandlab.plans.external import forecast_calendar
     from demandlab.plans.series import model_weekly
     w = model_weekly(t, cfg, shipments=True)
