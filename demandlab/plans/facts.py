@@ -167,27 +167,36 @@ def business_filtered_sales(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG,
 
 FILTER_STEPS = ["history_start", "training_end", "category", "ppg_blank",
                 "blank_hierarchy", "returns", "null_sales"]
+POS_FILTER_STEPS = ["history_start", "category", "ppg_blank", "blank_hierarchy", "returns", "null_sales"]
 
 
 def filter_loss_report(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG,
-                       excluded_categories=("PROMO",)) -> DataFrame:
-    """Rows / quantity / revenue lost at each shipment filter step.
-
-    One pass: each step's cumulative predicate becomes a conditional sum, so
-    the whole report is a single aggregation (one shuffle of one row per map
-    task), then the wide row is unpivoted to one row per step.
+                       excluded_categories=("PROMO",), shipments: bool = True) -> DataFrame:
+    """Rows / quantity / revenue lost at each filter step.
+
+    Shipments: weekly rows by channel, training-end step, zeros kept.  POS:
+    weekly rows without channel, no training-end step, strictly positive
+    sales.  One pass: each step's cumulative predicate becomes a conditional
+    sum, so the whole report is a single aggregation (one shuffle of one row
+    per map task), then the wide row is unpivoted to one row per step.
     """
-    w = weekly_sales(t, cfg, with_channel=True)
+    w = weekly_sales(t, cfg, with_channel=shipments)
     wk = F.col("week_ending_date")
+    sign_ok = ((F.col("dollars") >= 0) & (F.col("qty") >= 0)) if shipments else \
+        ((F.col("dollars") > 0) & (F.col("qty") > 0))
     preds = [
         wk > F.lit(cfg.history_start),
         wk <= F.lit(cfg.latest_week),
         ~F.col("category").isin(list(excluded_categories)) if excluded_categories else F.lit(True),
         ~((F.col("ppg") == "") | F.col("ppg").isNull()),
         ~((F.col("business") == "") & (F.col("category") == "") & (F.col("brand") == "") & (F.col("ppg") != "")),
-        (F.col("dollars") >= 0) & (F.col("qty") >= 0),
+        sign_ok,
         ~(F.col("dollars").isNull() & F.col("qty").isNull()),
     ]
+    steps = FILTER_STEPS
+    if not shipments:
+        preds.pop(1)
+        steps = POS_FILTER_STEPS
     aggs = [F.count(F.lit(1)).alias("rows_0"), F.sum("qty").alias("qty_0"), F.sum("dollars").alias("dollars_0")]
     cum = F.lit(True)
     for i, p in enumerate(preds, start=1):
@@ -198,9 +207,9 @@ def filter_loss_report(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG,
     wide = w.agg(*aggs)
     stack = ", ".join(
         f"{i}, '{name}', rows_{i - 1}, rows_{i}, qty_{i - 1}, qty_{i}, dollars_{i - 1}, dollars_{i}"
-        for i, name in enumerate(FILTER_STEPS, start=1))
+        for i, name in enumerate(steps, start=1))
     long = wide.selectExpr(
-        f"stack({len(FILTER_STEPS)}, {stack}) as (step, filter_name, rows_before, rows_after, "
+        f"stack({len(steps)}, {stack}) as (step, filter_name, rows_before, rows_after, "
         "qty_before, qty_after, dollars_before, dollars_after)")
     pct = lambda a, b: F.round(F.coalesce(F.try_divide(100.0 * (F.col(a) - F.col(b)), F.col(a)), F.lit(0.0)), 4)
     return long.select(

@@ -105,16 +105,18 @@ def q_business_filtered_sales(spark, sf_dir):
     return round_doubles(facts.business_filtered_sales(_t(spark, sf_dir), CFG, excluded_categories=("PROMO",)))
 
 
-def _loss_sql() -> str:
+def _loss_sql(shipments: bool = True) -> str:
     steps = [
         ("history_start", f"week_ending_date > {d(CFG.history_start)}"),
         ("training_end", f"week_ending_date <= {d(CFG.latest_week)}"),
         ("category", "category NOT IN ('PROMO')"),
         ("ppg_blank", "NOT (ppg = '' OR ppg IS NULL)"),
         ("blank_hierarchy", "NOT (business = '' AND category = '' AND brand = '' AND ppg <> '')"),
-        ("returns", "dollars >= 0 AND qty >= 0"),
+        ("returns", "dollars >= 0 AND qty >= 0" if shipments else "dollars > 0 AND qty > 0"),
         ("null_sales", "NOT (dollars IS NULL AND qty IS NULL)"),
     ]
+    if not shipments:
+        steps.pop(1)
     cols = ["count(*) AS rows_0", "sum(qty) AS qty_0", "sum(dollars) AS dollars_0"]
     cum = []
     for i, (_, p) in enumerate(steps, start=1):
@@ -129,7 +131,7 @@ def _loss_sql() -> str:
         f"CAST(rows_{i} AS BIGINT) AS rows_after, {pct(f'rows_{i-1}', f'rows_{i}')} AS pct_rows_lost, "
         f"{pct(f'qty_{i-1}', f'qty_{i}')} AS pct_qty_lost, {pct(f'dollars_{i-1}', f'dollars_{i}')} AS pct_dollars_lost FROM agg"
         for i, (name, _) in enumerate(steps, start=1))
-    return with_(FACT, O.weekly_cte("w", channel=True), "agg AS (SELECT " + ",\n ".join(cols) + " FROM w)") + unions
+    return with_(FACT, O.weekly_cte("w", channel=shipments), "agg AS (SELECT " + ",\n ".join(cols) + " FROM w)") + unions
 
 
 @register("filter_loss_report", _loss_sql())
@@ -137,6 +139,11 @@ def q_filter_loss_report(spark, sf_dir):
     return facts.filter_loss_report(_t(spark, sf_dir), CFG, excluded_categories=("PROMO",))
 
 
+@register("filter_loss_report_pos", _loss_sql(shipments=False))
+def q_filter_loss_report_pos(spark, sf_dir):
+    return facts.filter_loss_report(_t(spark, sf_dir), CFG, excluded_categories=("PROMO",), shipments=False)
+
+
 @register("yoy_growth", with_(FACT, O.model_weekly_cte(CFG), O.yoy_cte(CFG)) + """
 SELECT sell_id, state, category, week_ending_date, week_of_year,
        round(qty_ty, 4) AS qty_ty, round(dollars_ty, 4) AS dollars_ty,
