@@ -80,7 +80,11 @@ def shared(spark: SparkSession, key: tuple, build: Callable[[], DataFrame], part
     """Build once per (application, key) and reuse the materialized result."""
     if not ENABLED:
         return build()
-    full = (spark.sparkContext.applicationId,) + key
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: no context, plain lazy plans
+        return build()
+    full = (app,) + key
     with _LOCK:
         hit = _MEMO.get(full)
     if hit is not None:
