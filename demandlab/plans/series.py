@@ -5,12 +5,13 @@ Modelling grain (declared in one place): ``state`` := region name,
 ``category`` := product type, ``sell_id`` := '<category>_<state>'.
 
 Scale notes: every operator here runs on the weekly aggregate (series x
-week), not on ledger lines.  Per-series statistics are single hash
+week), not on ledger lines; the aggregate is derived from the materialized
+weekly fact and materialized itself.  Per-series statistics are single hash
 aggregations (``max_by`` / ``percentile`` with conditional inputs) instead of
-sort + row-number; windows are partitioned by ``sell_id`` so each task holds
-at most one series-year of rows (<= 53), so no hot partition can form from a
-heavy series: a series has the same number of weekly rows however large its
-sales are.
+sort + row-number.  Windows are partitioned by ``sell_id``: one window
+partition holds one series' weekly rows (at most one row per week of the
+model span), so a series with huge sales is no larger than any other and no
+hot window partition can form.
 """
 
 from __future__ import annotations
