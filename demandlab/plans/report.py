@@ -241,3 +241,23 @@ def pos_fact_with_markers(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataF
     for frame in marks:
         out = out.unionByName(frame, allowMissingColumns=True)
     return out
+
+
+def ship_coverage(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Share of shipment series and quantity that is modelled as common
+    (milestone), non-common (naive) or not modelled at all (present in the
+    filtered data, absent from the model output)."""
+    from demandlab.plans.series import model_weekly
+    main = (model_weekly(t, cfg, shipments=True).groupBy("sell_id")
+            .agg(F.sum("qty").alias("qty")))
+    modeled = ship_forecast_combined(t, cfg).select("sell_id", "common_product").distinct()
+    j = main.join(modeled, "sell_id", "left")
+    status = (F.when(F.col("common_product") == 1, "common")
+              .when(F.col("common_product") == 0, "non_common")
+              .otherwise("not_modeled"))
+    per = j.groupBy(status.alias("coverage")).agg(F.count(F.lit(1)).alias("n_series"), F.sum("qty").alias("qty"))
+    tot = per.agg(F.sum("n_series").alias("all_series"), F.sum("qty").alias("all_qty"))
+    per = attach_scalars(per, tot)
+    return per.select("coverage", F.col("n_series").cast("long").alias("n_series"), F.round("qty", 4).alias("qty"),
+                      F.round(100.0 * F.col("n_series") / F.col("all_series"), 4).alias("pct_series"),
+                      F.round(F.try_divide(100.0 * F.col("qty"), F.col("all_qty")), 4).alias("pct_qty"))

@@ -598,3 +598,21 @@ def q_latest_file_read(spark, sf_dir):
     row is kept; a multi-file drop directory keeps only the newest file)."""
     from demandlab.sources.files import latest_file_read
     return round_doubles(latest_file_read(spark, f"{sf_dir}/events.parquet", "parquet"))
+
+
+@register("ship_coverage", with_(*_SHIP) + """
+, cov AS (
+  SELECT m.sell_id, m.qty,
+         CASE WHEN l.status = 'complete' AND l.state IS NOT NULL THEN 'common'
+              WHEN l.status IN ('incomplete', 'missing') THEN 'non_common'
+              ELSE 'not_modeled' END AS coverage
+  FROM (SELECT sell_id, sum(qty) AS qty FROM mw GROUP BY sell_id) m
+  LEFT JOIN lifespan l ON l.sell_id = m.sell_id
+),
+per AS (SELECT coverage, count(*) AS n_series, sum(qty) AS qty FROM cov GROUP BY coverage)
+SELECT coverage, CAST(n_series AS BIGINT) AS n_series, round(qty, 4) AS qty,
+       round(100.0 * n_series / sum(n_series) OVER (), 4) AS pct_series,
+       round(100.0 * qty / nullif(sum(qty) OVER (), 0), 4) AS pct_qty
+FROM per""")
+def q_ship_coverage(spark, sf_dir):
+    return RP.ship_coverage(_t(spark, sf_dir), CFG)
