@@ -48,6 +48,8 @@ STAGES: dict[str, Callable[[Tables, ModelConfig], DataFrame]] = {
     "ship_lifespan": lambda t, c: series.lifespan_split(t, c, shipments=True),
     "ship_results": lambda t, c: report.running_total_correction(t, c),
     "ship_reporting": lambda t, c: report.ship_actual_forecast_stitch(t, c),
+    "ship_coverage": lambda t, c: report.ship_coverage(t, c),
+    "filter_loss_pos": lambda t, c: facts.filter_loss_report(t, c, shipments=False),
     "state_milestones": lambda t, c: forecast.state_milestones(t, c),
 }
 
