@@ -100,3 +100,13 @@ def test_scenario_parameter_selects_projection_days(spark):
     assert 0 < best <= cur
     with pytest.raises(ValueError):
         policy_exposure(t, dataclasses.replace(DEFAULT_CONFIG, scenario="bogus"))
+
+
+def test_pipeline_cli_stage_subset(spark, capsys):
+    import tempfile
+    from demandlab.pipeline import main
+    out = tempfile.mkdtemp(prefix="demandlab-cli-")
+    main(["--source", SF_SMALL, "--out", out, "--stages", "pos_lifespan,state_milestones"])
+    printed = capsys.readouterr().out.strip().splitlines()
+    assert [line.split("\t")[0] for line in printed] == ["pos_lifespan", "state_milestones"]
+    assert spark.read.parquet(f"{out}/state_milestones").count() == 5
