@@ -48,7 +48,8 @@ def instance_shape(band_end: np.ndarray, percent: int) -> tuple[np.ndarray, np.n
 
 def signatures(sets: np.ndarray, sizes: np.ndarray, percent: int, band_shift: int):
     """Signatures of every set for its band (shift 0) or the next one (shift 1):
-    (signature, row of the set)."""
+    (signature, row of the set), and how many of them each set shares with any
+    similar set in that band at least."""
     ends = size_bands(int(sizes.max(initial=1)), percent)
     band = np.searchsorted(ends, sizes) + band_shift
     k, groups, slack = instance_shape(ends[np.minimum(band, len(ends) - 1)], percent)
@@ -61,7 +62,7 @@ def signatures(sets: np.ndarray, sizes: np.ndarray, percent: int, band_shift: in
     slot = base[owner] + part.astype(np.int64)
     total = int(base[-1])
     if total == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.ones(len(sizes), np.int64)
     content = set_sums(mix(h), slot, total).reshape(-1, 3)
     filled = (np.bincount(slot, minlength=total) > 0).reshape(-1, 3)
     who = np.repeat(np.arange(len(sizes)), groups)
@@ -76,7 +77,7 @@ def signatures(sets: np.ndarray, sizes: np.ndarray, percent: int, band_shift: in
             ok = ~(pair_empty[:, c] & drop_empty)
             out.append(mix(seed + np.uint64(c + 1) * content[:, i] + mix(content[:, j] + np.uint64(c)))[ok])
             rows.append(who[ok])
-    return np.concatenate(out), np.concatenate(rows)
+    return np.concatenate(out), np.concatenate(rows), np.maximum(1, 1 + slack - risky.astype(np.int64))
 
 
 def _set_keys(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -106,7 +107,7 @@ def _sign(size: int, percent: int):
                 fresh = np.array([not (k in seen or seen.add(k)) for k in keys.tolist()], bool)
                 sets, keys, sizes = sets[np.repeat(fresh, sizes)], keys[fresh], sizes[fresh]
                 for shift in (0, 1):
-                    sig, row = signatures(sets, sizes, percent, shift)
+                    sig, row, _ = signatures(sets, sizes, percent, shift)
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(keys[row])],
                                                      ["sig", "set_key"])
     return run
@@ -171,23 +172,11 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
 
     tried = stage_table(best("low").unionByName(best("high")).distinct(), "pairs")
     wanted = tried.select(F.col("a").alias("set_key")).unionByName(groups.select("set_key")).distinct().join(nodes, "set_key")
-    texts = _texts(known, wanted, size)
+    texts = _texts(known, wanted, size, percent)
     links = stage_table(_links(tried, texts, size, percent), "links")
     comp = connected_components(links)
 
-    # members of a group that are still apart: every pair across components
-    lab = groups.select("sig", "set_key").distinct().join(
-        comp.select(F.col("node").alias("set_key"), F.col("component").alias("comp")), "set_key", "left") \
-        .withColumn("comp", F.coalesce("comp", "set_key"))
-    apart = stage_table(lab.select("*", F.min("comp").over(by_sig).alias("c0"), F.max("comp").over(by_sig).alias("c1"))
-                        .where("c0 <> c1").join(nodes.select("set_key", "n"), "set_key")
-                        .select("sig", "set_key", "comp", "n"), "apart")
-    x = apart.select("sig", F.col("set_key").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    y = apart.select("sig", F.col("set_key").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    rest = (x.join(y, "sig").where("a < b AND ca <> cb")
-            .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-            .select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    more = stage_table(_links(rest, texts, size, percent), "links")
+    more = stage_table(_resolve(groups, comp, texts, size, percent), "links")
     final = connected_components(links.unionByName(more))
 
     ids = nodes.join(final.withColumnRenamed("node", "set_key"), "set_key")
@@ -199,15 +188,124 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
                       .when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _texts(known: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """One text for each wanted set, taken from its smallest document.  Rows
-    that merely repeat the document's id with another text are left out."""
+CELL_ROWS = 256  # members of a family that meet in one task at a time (twice as many in a cell of two blocks)
+
+
+def _resolve(groups: DataFrame, comp: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between members of one signature group that lie in different
+    components.  Such members form families (they share groups, directly or in
+    chains).  Members with fewer contested signatures than they share with
+    any similar set (``least``) are settled.  Families are cut into blocks;
+    each pair of blocks is one cell, tested in one task with one matrix product
+    of memberships.  Cells return a spanning forest of what they link."""
+    by_sig = Window.partitionBy("sig")
+
+    def contested(rows: DataFrame) -> DataFrame:
+        return rows.select("*", F.min("comp").over(by_sig).alias("c0"), F.max("comp").over(by_sig).alias("c1"),
+                           F.min("set_key").over(by_sig).alias("first")).where("c0 <> c1").drop("c0", "c1")
+
+    lab = groups.select("sig", "set_key").distinct().join(
+        comp.select(F.col("node").alias("set_key"), F.col("component").alias("comp")), "set_key", "left") \
+        .withColumn("comp", F.coalesce("comp", "set_key"))
+    apart = stage_table(contested(lab), "apart")
+    # fewest shared signatures of a similar pair: every set counts its own risky groups as lost
+    enough = apart.groupBy("set_key").agg(F.count("*").alias("shared")).join(texts.select("set_key", "least"), "set_key") \
+        .where("shared >= least").select("set_key")
+    apart = stage_table(contested(apart.drop("first").join(enough, "set_key")), "apart")
+    family = connected_components(apart.select(F.col("first").alias("a"), F.col("set_key").alias("b")))
+    members = family.join(apart.select(F.col("set_key").alias("node"), "comp").distinct(), "node")
+    blocks = family.groupBy("component").agg(F.ceil(F.count("*") / CELL_ROWS).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    cells = (members.join(blocks, "component").withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
+                     F.col("node").alias("set_key"), "comp"))
+    rows = cells.join(texts, "set_key").repartition("cell").sortWithinPartitions("cell")
+    return rows.select("cell", "comp", "text").mapInArrow(_cell_links(size, percent), "a long, b long")
+
+
+def _forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that join what all pairs (x, y) join, without cycles."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    out = []
+    for a, b in zip(x.tolist(), y.tolist()):
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            root[max(ra, rb)] = min(ra, rb)
+            out.append((a, b))
+    return out
+
+
+def _cell_links(size: int, percent: int):
+    def test(sets: list[np.ndarray], comp: np.ndarray) -> list[tuple[int, int]]:
+        m, n = len(sets), np.array([len(s) for s in sets])
+        if m < 2:
+            return []
+        _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times > 1
+        place = np.cumsum(shared) - 1
+        use = shared[col]
+        who, col = np.repeat(np.arange(m), n)[use], place[col[use]]
+        both = np.zeros((m, m), np.float64)
+        order = np.argsort(col, kind="stable")
+        who, col = who[order], col[order]
+        for c in range(0, int(shared.sum()), 4096):
+            i, j = np.searchsorted(col, (c, c + 4096))
+            has = np.zeros((m, 4096), np.float32)
+            has[who[i:j], col[i:j] - c] = 1
+            both += has @ has.T
+        linked = np.triu(both * 100 >= percent * (n[:, None] + n[None, :] - both), 1) & (comp[:, None] != comp[None, :])
+        x, y = np.nonzero(linked & (both > 0))
+        return _forest(comp[x], comp[y])
+
+    def run(batches):
+        cell, sets, comps = None, [], []
+        for b in batches:
+            keys = b.column("cell").to_numpy()
+            comp = b.column("comp").to_numpy()
+            for a, buf, off in text_chunks(b.column("text")):
+                got, sizes = shingle_sets(buf, off, size)
+                for k, s in enumerate(np.split(got, np.cumsum(sizes)[:-1])):
+                    if keys[a + k] != cell:
+                        found = test(sets, np.array(comps))
+                        if found:
+                            yield _pairs(found)
+                        cell, sets, comps = keys[a + k], [], []
+                    sets.append(s)
+                    comps.append(comp[a + k])
+        found = test(sets, np.array(comps))
+        if found:
+            yield _pairs(found)
+
+    return run
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())],
+                                      ["a", "b"])
+
+
+def _texts(known: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
+    """One text for each wanted set, taken from its smallest document, and the
+    fewest signatures it shares with a similar one.  Rows that merely repeat
+    the document's id with another text are left out."""
     rows = known.join(wanted.select(F.col("rep").alias("doc_id"), "set_key"), "doc_id").select("set_key", "text")
 
     def own(batches):
         for b in batches:
-            keys = [_set_keys(*shingle_sets(buf, off, size)) for _, buf, off in text_chunks(b.column("text"))]
-            same = np.concatenate(keys) == b.column("set_key").to_numpy() if keys else np.zeros(0, bool)
-            yield b.filter(pa.array(same))
+            for a, buf, off in text_chunks(b.column("text")):
+                sets, sizes = shingle_sets(buf, off, size)
+                part = b.slice(a, len(sizes))
+                same = _set_keys(sets, sizes) == part.column("set_key").to_numpy()
+                least = np.minimum(*(signatures(sets, sizes, percent, shift)[2] for shift in (0, 1)))
+                yield pa.RecordBatch.from_arrays([part.column("set_key"), part.column("text"), pa.array(least)],
+                                                 ["set_key", "text", "least"]).filter(pa.array(same))
 
-    return stage_table(rows.mapInArrow(own, "set_key long, text string"), "texts")
+    return stage_table(rows.mapInArrow(own, "set_key long, text string, least long"), "texts")
