@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 MEMO_ENTRIES = 400_000  # pre-tokens a worker remembers before it starts anew
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
+def parse_ranks(rank_file: bytes) -> dict[bytes, int]:
     """A rank file: one base64 token and its rank per line."""
-    return {base64.b64decode(t): int(r) for t, r in (x.split() for x in Path(path).read_bytes().splitlines() if x)}
+    return {base64.b64decode(t): int(r) for t, r in (x.split() for x in rank_file.splitlines() if x)}
 
 
 class PerfectHash:
@@ -154,8 +154,7 @@ _CODECS: dict[str, Codec] = {}
 def _codec(rank_file: bytes, pattern: str) -> Codec:
     key = hashlib.sha1(rank_file + pattern.encode()).hexdigest()
     if key not in _CODECS:
-        ranks = {base64.b64decode(t): int(r) for t, r in (x.split() for x in rank_file.splitlines() if x)}
-        _CODECS[key] = Codec(ranks, pattern)
+        _CODECS[key] = Codec(parse_ranks(rank_file), pattern)
     return _CODECS[key]
 
 

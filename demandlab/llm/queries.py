@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe
 from .common import read, ship_code
 from .partenum import jaccard_components
 
@@ -15,5 +16,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), size=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every text with the public multilingual byte-level ranks."""
+    import public_tokenizers
+    ship_code(spark)
+    return bpe.round_trip_digests(read(spark, sf_dir, "documents"),
+                                  public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op9_byte_level_bpe)}
 SQL: dict[str, str] = {}
