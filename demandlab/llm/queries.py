@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, fingerprint, warc
 from .common import read, ship_code
 from .partenum import jaccard_components
 
@@ -16,6 +16,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, its edited text, and their likeness."""
+    ship_code(spark)
+    return fingerprint.edit_fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text with the public multilingual byte-level ranks."""
     import public_tokenizers
@@ -24,5 +30,13 @@ def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op9_byte_level_bpe)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page to seekable bundles and read the archives back."""
+    ship_code(spark)
+    bundles = warc.write_bundles(read(spark, sf_dir, "pages"))
+    return warc.read_bundles(bundles, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_document_fingerprints, op9_byte_level_bpe, op10_warc)}
 SQL: dict[str, str] = {}
