@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, warc
+from . import bpe, fingerprint, mixing, warc
 from .common import read, ship_code
 from .partenum import jaccard_components
 
@@ -22,6 +22,11 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix all documents: weights 5, 2, 1, repeating; 150 % of all words."""
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text with the public multilingual byte-level ranks."""
     import public_tokenizers
@@ -38,5 +43,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_document_fingerprints, op9_byte_level_bpe, op10_warc)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_document_fingerprints, op3_mix_sources, op9_byte_level_bpe, op10_warc)}
+SQL: dict[str, str] = {"op3_mix_sources": mixing.MIX_SQL}
