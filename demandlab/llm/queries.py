@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, mixing, warc
+from . import bpe, fingerprint, mixing, quality, secret_scan, warc
 from .common import read, ship_code
 from .partenum import jaccard_components
 
@@ -27,6 +27,18 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the labels outside the held-out fold."""
+    ship_code(spark)
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: fixed patterns and inferred formats."""
+    ship_code(spark)
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text with the public multilingual byte-level ranks."""
     import public_tokenizers
@@ -43,5 +55,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_document_fingerprints, op3_mix_sources, op9_byte_level_bpe, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_document_fingerprints, op3_mix_sources,
+                              op5_quality_classifier, op8_secret_scans, op9_byte_level_bpe, op10_warc)}
 SQL: dict[str, str] = {"op3_mix_sources": mixing.MIX_SQL}
