@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
             roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         state = new
+
+
+def spanning_forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that join what all pairs (x, y) join, without cycles."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    out = []
+    for a, b in zip(x.tolist(), y.tolist()):
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            root[max(ra, rb)] = min(ra, rb)
+            out.append((a, b))
+    return out

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix, set_sums, shingle_sets, stage_table, text_chunks
-from .graph import connected_components
+from .graph import connected_components, spanning_forest
 
 
 def size_bands(largest: int, percent: int) -> np.ndarray:
@@ -224,25 +224,6 @@ def _resolve(groups: DataFrame, comp: DataFrame, texts: DataFrame, size: int, pe
     return rows.select("cell", "comp", "text").mapInArrow(_cell_links(size, percent), "a long, b long")
 
 
-def _forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that join what all pairs (x, y) join, without cycles."""
-    root: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while root.setdefault(v, v) != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    out = []
-    for a, b in zip(x.tolist(), y.tolist()):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            root[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
-    return out
-
-
 def _cell_links(size: int, percent: int):
     def test(sets: list[np.ndarray], comp: np.ndarray) -> list[tuple[int, int]]:
         m, n = len(sets), np.array([len(s) for s in sets])
@@ -263,7 +244,7 @@ def _cell_links(size: int, percent: int):
             both += has @ has.T
         linked = np.triu(both * 100 >= percent * (n[:, None] + n[None, :] - both), 1) & (comp[:, None] != comp[None, :])
         x, y = np.nonzero(linked & (both > 0))
-        return _forest(comp[x], comp[y])
+        return spanning_forest(comp[x], comp[y])
 
     def run(batches):
         cell, sets, comps = None, [], []
