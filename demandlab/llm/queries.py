@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, mixing, quality, rabitq, secret_scan, warc
+from . import bpe, fingerprint, mixing, ngram_lm, quality, rabitq, secret_scan, warc
 from .common import read, ship_code
 from .partenum import jaccard_components
 
@@ -33,6 +33,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backoff automaton scores of all documents."""
+    ship_code(spark)
+    return ngram_lm.lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.9 or more."""
     ship_code(spark)
@@ -62,5 +68,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_document_fingerprints, op3_mix_sources,
-                              op5_quality_classifier, op7_embedding_near_duplicates, op8_secret_scans, op9_byte_level_bpe, op10_warc)}
+                              op5_quality_classifier, op6_lm_scoring, op7_embedding_near_duplicates, op8_secret_scans, op9_byte_level_bpe, op10_warc)}
 SQL: dict[str, str] = {"op3_mix_sources": mixing.MIX_SQL}
