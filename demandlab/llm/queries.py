@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, mixing, ngram_lm, quality, rabitq, secret_scan, warc
+from . import bpe, fingerprint, host_paths, mixing, ngram_lm, quality, rabitq, secret_scan, warc
 from .common import read, ship_code
 from .partenum import jaccard_components
 
@@ -27,6 +27,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by their hosts' consensus paths."""
+    ship_code(spark)
+    return host_paths.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learnt from the labels outside the held-out fold."""
     ship_code(spark)
@@ -68,5 +74,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_document_fingerprints, op3_mix_sources,
-                              op5_quality_classifier, op6_lm_scoring, op7_embedding_near_duplicates, op8_secret_scans, op9_byte_level_bpe, op10_warc)}
+                              op4_html_extraction, op5_quality_classifier, op6_lm_scoring, op7_embedding_near_duplicates,
+                              op8_secret_scans, op9_byte_level_bpe, op10_warc)}
 SQL: dict[str, str] = {"op3_mix_sources": mixing.MIX_SQL}
