@@ -85,50 +85,83 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share:
     return src.withColumn("target", target).select("source", "source_no", "docs", "source_size", "cap", "target")
 
 
-def mix(docs: DataFrame, block: int = 4, shard_docs: int = 4096, seed: str = "mix") -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) -> doc_id, size, source_size, target,
-    taken, and how it is taken: ``rounds`` times whole, then ``ahead`` words after
-    the first ``skip`` ones and the first ``behind`` words (parts of one round).
-
-    Null or blank texts have size 0 and are taken 0 times.  A null source is a
-    source of its own, the last one.  Rows with a null doc_id take part like any
-    other; repeated rows are documents of their own.  Other columns are ignored.
-    A source's taken words differ from its target by a few blocks, and by less
-    than one block in each of its shards (``shard_docs`` documents on average).
-    """
-    sizes = stage_table(docs.select("doc_id", F.col("source").cast("string").alias("source"),
-                                    word_count(F.col("text").cast("string")).alias("size")), "sizes")
+def _plan(sizes: DataFrame, block: int, shard_docs: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Source table (with numbers and targets) and shard quotas of (doc_id, source, size) rows."""
     src = source_targets(sizes).withColumn("seats", F.floor(F.sum("source_size").over(Window.partitionBy()) * 1.5 / block)) \
         .withColumn("share", F.col("target")).withColumn("stock", F.floor(F.col("cap") / block)).withColumn("all", F.lit(0))
     src = stage_table(apportion(src, ["all"], "source_no").withColumn("shards", F.ceil(F.col("docs") / shard_docs))
-                      .select("source", "source_no", "source_size", "target", "shards", F.col("quota").alias("source_quota")), "sources")
+                      .select(F.col("source").alias("name"), "source_no", "source_size", "target", "shards",
+                              F.col("quota").alias("seats")), "sources")
+    shard = _place(sizes, src, seed).groupBy("source_no", "shard") \
+        .agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats")) \
+        .withColumn("share", F.col("shard_size").cast("double")).withColumn("stock", F.floor(2 * F.col("shard_size") / block))
+    return src, stage_table(apportion(shard, ["source_no"], "shard").select("source_no", "shard", "shard_size", "quota"), "quotas")
+
 
+def _place(rows: DataFrame, src: DataFrame, seed: str) -> DataFrame:
     order = _hash32(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    s = src.withColumnRenamed("source", "name")
-    placed = sizes.join(s, sizes.source.eqNullSafe(s.name)).drop("source", "name") \
+    return rows.join(src, rows.source.eqNullSafe(src.name)).drop("source", "name") \
         .withColumn("order", order).withColumn("shard", F.pmod("order", F.col("shards")))
-    shard = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("seats")) \
-        .withColumn("share", F.col("shard_size").cast("double")).withColumn("stock", F.floor(2 * F.col("shard_size") / block))
-    quotas = stage_table(apportion(shard, ["source_no"], "shard").select("source_no", "shard", "shard_size", "quota"), "quotas")
 
+
+def _deal(rows: DataFrame, src: DataFrame, quotas: DataFrame, block: int, seed: str) -> DataFrame:
+    """Adds to (doc_id, source, size, ...) what the mix takes of each row."""
     ring = Window.partitionBy("source_no", "shard").orderBy("order", F.asc_nulls_last("doc_id"), "size")
-    rows = placed.withColumn("end", F.sum("size").over(ring.rowsBetween(Window.unboundedPreceding, 0))) \
+    rows = _place(rows, src, seed).withColumn("end", F.sum("size").over(ring.rowsBetween(Window.unboundedPreceding, 0))) \
         .withColumn("start", F.col("end") - F.col("size")).join(quotas, ["source_no", "shard"])
-    length = F.greatest("shard_size", F.lit(1))
-    words = F.col("quota") * block
+    length, words = F.greatest("shard_size", F.lit(1)), F.col("quota") * block
     rows = rows.withColumn("rounds", F.floor(words / length)).withColumn("run", F.pmod(words, length)) \
         .withColumn("from", F.pmod(_hash32(F.lit(seed), F.col("source_no"), F.col("shard")), length))
 
     def overlap(lo: Column, hi: Column) -> Column:
-        return F.greatest(F.lit(0), F.least("end", hi) - F.greatest("start", lo))
-
-    ahead = overlap(F.col("from"), F.least(F.col("from") + F.col("run"), F.col("shard_size")))
-    behind = overlap(F.lit(0), F.col("from") + F.col("run") - F.col("shard_size"))
-    return rows.select("doc_id", "size", "source_size", "target",
-                       (F.col("rounds") * F.col("size") + ahead + behind).cast("long").alias("taken"),
-                       F.when(ahead > 0, F.greatest(F.lit(0), F.col("from") - F.col("start"))).otherwise(0).cast("long").alias("skip"),
-                       ahead.cast("long").alias("ahead"), behind.cast("long").alias("behind"),
-                       F.col("rounds").cast("long").alias("rounds"))
+        return F.greatest(F.lit(0), F.least("end", hi) - F.greatest("start", lo)).cast("long")
+
+    rows = rows.withColumn("ahead", overlap(F.col("from"), F.least(F.col("from") + F.col("run"), F.col("shard_size")))) \
+        .withColumn("behind", overlap(F.lit(0), F.col("from") + F.col("run") - F.col("shard_size"))) \
+        .withColumn("skip", F.greatest(F.lit(0), F.col("from") - F.col("start")))
+    return rows.withColumn("taken", (F.col("rounds") * F.col("size") + F.col("ahead") + F.col("behind")).cast("long"))
+
+
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"),
+                       word_count(F.col("text").cast("string")).alias("size"), *more)
+
+
+def mix(docs: DataFrame, block: int = 4, shard_docs: int = 4096, seed: str = "mix") -> DataFrame:
+    """``docs`` (doc_id, text, source, ...) -> doc_id, size, source_size, target,
+    taken: the words that the mix takes of the row, repeats counted.
+
+    Null or blank texts have size 0 and are taken 0 times.  A null source is a
+    source of its own, the last one.  Rows with a null doc_id take part like any
+    other; repeated rows are documents of their own.  Other columns are ignored.
+    A source's taken words differ from its target by a few blocks, and by less
+    than one block in each of its shards (``shard_docs`` documents on average).
+    """
+    sizes = stage_table(_sized(docs), "sizes")
+    src, quotas = _plan(sizes, block, shard_docs, seed)
+    return _deal(sizes, src, quotas, block, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, block: int = 4, shard_docs: int = 4096, seed: str = "mix") -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for every whole time a
+    document is taken, and one for each part (its words joined by one space).
+    n_chars, if there, is the new text's length.  Rows that are taken 0 times go,
+    those of null or blank texts too; see ``mix`` for the other cases."""
+    src, quotas = _plan(stage_table(_sized(docs), "sizes"), block, shard_docs, seed)
+    dealt = _deal(_sized(docs, F.struct("*").alias("row")), src, quotas, block, seed).where("taken > 0")
+    words = F.split(F.btrim(F.col("row.text").cast("string"), F.lit(TRIMMED)), SPACES)
+
+    def part(first: Column, n: Column) -> Column:
+        some = F.array_join(F.slice(words, (first + 1).cast("int"), n.cast("int")), " ")
+        return F.when(n == F.col("size"), F.array(F.col("row.text").cast("string"))).when(n > 0, F.array(some)) \
+            .otherwise(F.array().cast("array<string>"))
+
+    texts = F.concat(F.array_repeat(F.col("row.text").cast("string"), F.col("rounds").cast("int")),
+                     part(F.col("skip"), F.col("ahead")), part(F.lit(0), F.col("behind")))
+    new = dealt.select("row", F.explode(texts).alias("text"))
+    changed = {"text": F.col("text"), "n_chars": F.length("text")}
+    return new.select(*[changed[f.name].cast(f.dataType).alias(f.name) if f.name in changed else F.col(f"row.`{f.name}`").alias(f.name)
+                        for f in docs.schema])
 
 
 # The same rows for DuckDB.

@@ -188,6 +188,15 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
                       .when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without near-duplicates: of
+    each component the document with the smallest doc_id stays.  Equal rows of
+    one doc_id and text stay once; texts without words link with nothing."""
+    kept = jaccard_components(docs, size, percent).where("doc_id = component_id").select("doc_id").distinct()
+    found = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return found.unionByName(docs.where("doc_id IS NULL")).dropDuplicates(["doc_id", "text"])
+
+
 CELL_ROWS = 256  # members of a family that meet in one task at a time (twice as many in a cell of two blocks)
 
 

@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import (_BYTE, gram_hash, mix, powers, prefix_hash, slice_hash, stage_table, text_chunks, word_spans)
 
@@ -129,11 +130,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 1, sample: int = S
     return table
 
 
-def score(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """All columns of ``docs`` and ``quality_score`` (0 to 1, any old column of
-    that name gives way); a null or blank text scores by the bias alone."""
+def score(docs: DataFrame, table: np.ndarray, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score (0 to 1) as column ``name``, which
+    ``docs`` mustn't have; a null or blank text scores by the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.float64))
-    docs = docs.drop("quality_score")
     text = docs.columns.index("text")
 
     def run(batches):
@@ -146,10 +146,17 @@ def score(docs: DataFrame, table: np.ndarray) -> DataFrame:
                 dot = np.bincount(row, w[at], m) * SCALE / np.maximum(np.bincount(row, minlength=m), 1)
                 out.append(1 / (1 + np.exp(-np.clip(dot + w[-1], -35, 35))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([np.zeros(0), *out]))],
-                                             [*b.schema.names, "quality_score"])
+                                             [*b.schema.names, name])
 
-    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["quality_score double"])
-    return docs.mapInArrow(run, kinds)
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` or more, all columns as they are."""
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, train(docs, labels), name).where(F.col(name) >= least).select(*docs.columns)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -160,5 +167,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     table = train(docs, labels)
     rows = score(docs.select("doc_id", F.col("text").cast("string").alias("text")), table)
-    return rows.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), F.col("quality_score").alias("score"),
-                       (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -237,6 +237,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             texts = [None if t is None else clean(t, shared.value) for t in b.column("text").to_pylist()]
             new = {"text": pa.array(texts, pa.string()),
                    "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([new.get(n, c) for n, c in zip(b.schema.names, b.columns)], b.schema.names)
+            yield pa.RecordBatch.from_arrays([new[f.name].cast(f.type) if f.name in new else c for f, c in zip(b.schema, b.columns)],
+                                             b.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
