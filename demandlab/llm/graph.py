@@ -19,29 +19,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
     an edge to another one, with the smallest node it can reach.
 
     Each round hooks larger partners, then smaller partners, to the smallest
-    one known.  Rounds end when an edge table of stars repeats itself.  Every
-    round is a written table, so no lineage grows and no node list reaches the
+    one known, until all edges form stars.  Every round is a written table, so no lineage grows and no node list reaches the
     driver.  Null ends and self-loops are ignored; repeated edges count once.
     """
     cur = stage_table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                       .distinct(), "edges")
-    state = None
     while True:
-        # larger partners of u (and u) move to the smallest partner
+        # larger partners of u move to the smallest partner
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (both.where("v > u").join(_nearest(both), "u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        # smaller partners of u (and u itself) move to the smallest of them
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        # smaller partners of u and u itself move to the smallest of them
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         near = down.groupBy("u").agg(F.min("v").alias("m"))
         small = (down.join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         cur = stage_table(small, "stars")
-        new = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == state:
+        # done when every node has one partner, which has none itself: all edges are stars
+        ends = cur.select("u", F.lit(1).alias("n")).unionByName(cur.select(F.col("v").alias("u"), F.lit(0).alias("n")).distinct())
+        chained = ends.groupBy("u").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1 OR (n = 1 AND rows > 1)")
+        if chained.isEmpty():
             roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-        state = new
 
 
 def spanning_forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:

@@ -28,7 +28,7 @@ from .graph import connected_components, spanning_forest
 ROTATIONS = 4         # code length / dimension
 CONFIDENCE = 4.0      # standard errors of the upper bound (misses about 3 of 100,000 pairs at the threshold)
 BUCKET = 64           # rows per bucket that the number of sampled bits aims at
-MISS = 0.005          # share of pairs at the threshold that may meet in no table
+MISS = 0.0005         # share of pairs at the threshold that may meet in no table
 BLOCK = 512           # rows of a bucket that meet in one task
 
 
