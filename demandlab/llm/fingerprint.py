@@ -185,11 +185,11 @@ def edit_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         return pd.Series(at)
 
     placed = docs.withColumn("bucket", bucket_of("doc_id"))
-    # the largest doc_id of every range that has rows: as many values as ranges
+    # the largest doc_id of every range that has rows: as many values, and rows broadcast, as ranges
     tops = sorted(docs.select("doc_id", bucket_of("doc_id").alias("bucket")).groupBy("bucket")
                   .agg(F.max("doc_id").alias("top")).collect(), key=lambda r: r.bucket)
     tails = [(r.top, tops[i - 1].bucket) for i, r in enumerate(tops) if r.top is not None]
-    extra = docs.join(spark.createDataFrame(tails, "doc_id long, bucket long"), "doc_id")
+    extra = docs.join(F.broadcast(spark.createDataFrame(tails, "doc_id long, bucket long")), "doc_id")
     rows = (placed.withColumn("extra", F.lit(0)).unionByName(extra.withColumn("extra", F.lit(1)))
             .repartition(n, "bucket").sortWithinPartitions("bucket", "extra", F.desc_nulls_last("doc_id"), "text"))
     return rows.mapInArrow(_run, KIND)
