@@ -29,10 +29,3 @@ def series_grid(keys: DataFrame, calendar: DataFrame, start: _dt.date, end: _dt.
     exploded = keys.withColumn(date_col, week_sequence(start, end))
     return exploded.join(F.broadcast(calendar), date_col, "inner")
 
-
-def complete_series(keys: DataFrame, calendar: DataFrame, facts: DataFrame, on, start: _dt.date, end: _dt.date,
-                    date_col: str = "week_ending_date") -> DataFrame:
-    """Grid left-joined with the series' facts (missing weeks get NULL measures)."""
-    keys_on = [on] if isinstance(on, str) else list(on)
-    grid = series_grid(keys, calendar, start, end, date_col)
-    return grid.join(facts, keys_on + [date_col], "left")

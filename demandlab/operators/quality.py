@@ -34,10 +34,14 @@ def coverage_gaps(df: DataFrame, lookup: DataFrame, col: str) -> DataFrame:
 
 
 def assert_coverage(df: DataFrame, lookup: DataFrame, col: str) -> None:
-    gaps = coverage_gaps(df, lookup, col).limit(5).collect()
-    if gaps:
-        missing = [r.value for r in gaps if not r.in_data]
-        extra = [r.value for r in gaps if not r.in_lookup]
+    """Raise with every value of the (bounded) lookup that the data lack, and the
+    first values that the lookup lacks with their number."""
+    gaps = coverage_gaps(df, lookup, col)
+    missing = sorted((r.value for r in gaps.filter(~F.col("in_data")).collect()), key=str)
+    unknown = gaps.filter(~F.col("in_lookup"))
+    extra = sorted((r.value for r in unknown.limit(20).collect()), key=str)
+    if missing or extra:
+        extra = extra if len(extra) < 20 else [*extra, f"{unknown.count()} in all"]
         raise CoverageError(f"{col} coverage mismatch: missing from data {missing}, not in lookup {extra}")
 
 
@@ -46,6 +50,12 @@ def assert_no_nulls(df: DataFrame, col: str) -> None:
         raise DataQualityError(f"NULL values in {col}")
 
 
+def assert_columns(df: DataFrame, columns) -> None:
+    gone = [c for c in columns if c not in df.columns]
+    if gone:
+        raise DataQualityError(f"columns {gone} are missing")
+
+
 def assert_distinct_count(df: DataFrame, col: str, expected: int) -> None:
     n = df.agg(F.count_distinct(col).alias("n")).first()["n"]
     if n != expected:

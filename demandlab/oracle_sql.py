@@ -479,10 +479,7 @@ c3 AS (SELECT * REPLACE (CASE WHEN {rule_sql(rules, 'set_ly')} THEN qty_ly ELSE
 c4 AS (SELECT * REPLACE (CASE WHEN week_ending_date < {L} THEN NULL ELSE forecast_quantity END AS forecast_quantity) FROM c3),
 c5 AS (SELECT * REPLACE (CASE WHEN {rule_sql(rules, 'halve_gap')} AND week_ending_date > {L}
                               THEN forecast_quantity - (forecast_quantity - qty_ly) / 2 ELSE forecast_quantity END AS forecast_quantity) FROM c4),
-corr AS (SELECT * REPLACE (
-           CASE WHEN {rule_sql(rules, 'zero')} AND forecast_quantity IS NOT NULL THEN 0.0 ELSE forecast_quantity END AS forecast_quantity,
-           CASE WHEN {rule_sql(rules, 'zero')} AND forecast_quantity IS NOT NULL THEN 0.0 ELSE promo_uplift_new END AS promo_uplift_new)
-         FROM c5)"""
+corr AS (SELECT * FROM c5)"""
 
 
 def naive_pos_cte(cfg: ModelConfig = DEFAULT_CONFIG) -> str:
@@ -525,11 +522,6 @@ GEO = """geo AS (
 )"""
 
 
-def ty_filter(cfg: ModelConfig, col: str = "o.o_orderdate") -> str:
-    return (f"{col} >= TIMESTAMP '{cfg.ty_year}-01-01 00:00:00' AND "
-            f"{col} < TIMESTAMP '{cfg.ty_year + 1}-01-01 00:00:00'")
-
-
 def sd_cte(cfg: ModelConfig = DEFAULT_CONFIG, name: str = "sd", status: str | None = None) -> str:
     st = f" AND o.o_orderstatus = '{status}'" if status else ""
     return f"""{name} AS (
@@ -538,7 +530,7 @@ def sd_cte(cfg: ModelConfig = DEFAULT_CONFIG, name: str = "sd", status: str | No
          count(*) FILTER (WHERE o.o_orderpriority = '{PRIORITIES[0]}') AS urgent_orders,
          avg(o.o_totalprice) AS avg_value
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN geo g ON c.c_nationkey = g.location_id
-  WHERE {ty_filter(cfg)}{st}
+  WHERE TRUE{st}
   GROUP BY ALL
 )"""
 
@@ -584,7 +576,6 @@ def ps_cte(cfg: ModelConfig = DEFAULT_CONFIG) -> str:
     return f"""ps AS (
   SELECT g.state, g.state_initial, {", ".join(cols)}
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN geo g ON c.c_nationkey = g.location_id
-  WHERE {ty_filter(cfg)}
   GROUP BY g.state, g.state_initial
 )"""
 

@@ -4,9 +4,9 @@
 
 Each stage is a lazy plan; writing it is the only action.  Shared inputs
 (weekly series, weekly fact, per-state daily table, model outputs) are
-materialized once into ``spark.checkpoint.dir`` and reused by every stage
-that reads them, so a rerun after a lost executor restarts from checkpoint
-files, not from the ledger join.
+materialized once per run into ``spark.checkpoint.dir`` and reused by every
+stage that reads them, so a lost executor restarts from those files, not from
+the ledger join; they are deleted when the run ends.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from demandlab.config import DEFAULT_CONFIG, ModelConfig
+from demandlab.session import Run
 from demandlab.plans import external, facts, forecast, report, series
 from demandlab.sources.files import write_stage
 from demandlab.sources.tables import Tables
@@ -56,10 +57,11 @@ STAGES: dict[str, Callable[[Tables, ModelConfig], DataFrame]] = {
 
 def run(spark: SparkSession, source: str | None, out: str, cfg: ModelConfig = DEFAULT_CONFIG,
         stages=None, fmt: str = "parquet", database: str | None = None) -> dict[str, str]:
-    t = Tables(spark, source, database)
     written = {}
-    for name in (stages or list(STAGES)):
-        written[name] = write_stage(STAGES[name](t, cfg), out, name, fmt)
+    with Run(spark) as held:  # intermediates go when the run ends
+        t = Tables(spark, source, database, held)
+        for name in (stages or list(STAGES)):
+            written[name] = write_stage(STAGES[name](t, cfg), out, name, fmt)
     return written
 
 

@@ -55,7 +55,7 @@ def forecast_calendar(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame
     """(week_ending_date, week_of_year, n_states): TY weeks up to the horizon
     week, from the weekly projections (Monday-based weeks).  At most 53 rows,
     so it is broadcast wherever it is joined."""
-    return shared(t.spark, ("forecast_calendar", t.root, t.database, cfg),
+    return shared(t, ("forecast_calendar", cfg),
                   lambda: build_forecast_calendar(t, cfg))
 
 
@@ -99,33 +99,34 @@ def geography(t: Tables) -> DataFrame:
     )
 
 
-def ty_bounds(cfg: ModelConfig):
-    return _dt.date(cfg.ty_year, 1, 1), _dt.date(cfg.ty_year, 12, 31)
+def state_orders(t: Tables) -> DataFrame:
+    """(state, state_initial, date, status, priority) order counts and values:
+    the run's only orders-customer join, over all dates.  Partial aggregation
+    comes before the shuffle of the result; the geography side is the 25-row
+    nation table (fixed size): broadcast.  Every state-level table is a small
+    aggregate of it."""
+    def build():
+        o = t.orders.select("o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus")
+        cust = t.customer.select("c_custkey", "c_nationkey")
+        geo = F.broadcast(geography(t).select("location_id", "state", "state_initial"))
+        j = (o.join(cust, o.o_custkey == cust.c_custkey, "inner")
+              .join(geo, F.col("c_nationkey") == F.col("location_id"), "inner"))
+        return (j.groupBy("state", "state_initial", F.to_date("o_orderdate").alias("date"),
+                          F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+                 .agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("value"),
+                      F.count("o_totalprice").alias("n_value")))
+    return shared(t, ("state_orders",), build)
 
 
 def state_daily(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, status: str | None = None) -> DataFrame:
-    """Per (state, state_initial, date) order measures over the TY.  The
-    geography side is the 25-row nation table (fixed size): broadcast.
-    Materialized once: it feeds every state-level feature table."""
-    return shared(t.spark, ("state_daily", t.root, t.database, cfg, status),
-                  lambda: _state_daily(t, cfg, status))
-
-
-def _state_daily(t: Tables, cfg: ModelConfig, status: str | None) -> DataFrame:
-    lo, hi = ty_bounds(cfg)
-    o = (t.orders.select("o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus")
-         .filter((F.col("o_orderdate") >= _ts(lo)) & (F.col("o_orderdate") < _ts(hi + _dt.timedelta(days=1)))))
+    """Per (state, state_initial, date) order measures, all dates."""
+    o = state_orders(t)
     if status is not None:
-        o = o.filter(F.col("o_orderstatus") == status)
-    cust = t.customer.select("c_custkey", "c_nationkey")
-    geo = F.broadcast(geography(t).select("location_id", "state", "state_initial"))
-    j = (o.join(cust, o.o_custkey == cust.c_custkey, "inner")
-          .join(geo, F.col("c_nationkey") == F.col("location_id"), "inner"))
-    return (j.groupBy("state", "state_initial", F.to_date("o_orderdate").alias("date"))
-             .agg(F.count(F.lit(1)).alias("n_orders"),
-                  F.sum("o_totalprice").alias("order_value"),
-                  F.count(F.when(F.col("o_orderpriority") == PRIORITIES[0], 1)).alias("urgent_orders"),
-                  F.avg("o_totalprice").alias("avg_value")))
+        o = o.filter(F.col("status") == status)
+    return (o.groupBy("state", "state_initial", "date")
+             .agg(F.sum("n").alias("n_orders"), F.sum("value").alias("order_value"),
+                  F.coalesce(F.sum(F.when(F.col("priority") == PRIORITIES[0], F.col("n"))), F.lit(0)).alias("urgent_orders"),
+                  (F.sum("value") / F.sum("n_value")).alias("avg_value")))
 
 
 def mobility(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -177,23 +178,15 @@ def per_million_features(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, validate:
 
 
 def policy_summary(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Per state: <policy>_start_date / <policy>_end_date (first / last TY
-    order date of that priority) -- one conditional aggregation, no pivot."""
-    lo, hi = ty_bounds(cfg)
-    o = (t.orders.select("o_custkey", "o_orderdate", "o_orderpriority")
-         .filter((F.col("o_orderdate") >= _ts(lo)) & (F.col("o_orderdate") < _ts(hi + _dt.timedelta(days=1)))))
-    cust = t.customer.select("c_custkey", "c_nationkey")
-    geo = F.broadcast(geography(t).select("location_id", "state", "state_initial"))
-    j = (o.join(cust, o.o_custkey == cust.c_custkey, "inner")
-          .join(geo, F.col("c_nationkey") == F.col("location_id"), "inner")
-          .withColumn("d", F.to_date("o_orderdate")))
+    """Per state: <policy>_start_date / <policy>_end_date (first / last order
+    date of that priority) -- one conditional aggregation, no pivot."""
     aggs = []
     for p in PRIORITIES:
         name = policy_name(p)
-        hit = F.col("o_orderpriority") == p
-        aggs += [F.min(F.when(hit, F.col("d"))).alias(f"{name}_start_date"),
-                 F.max(F.when(hit, F.col("d"))).alias(f"{name}_end_date")]
-    return j.groupBy("state", "state_initial").agg(*aggs)
+        hit = F.col("priority") == p
+        aggs += [F.min(F.when(hit, F.col("date"))).alias(f"{name}_start_date"),
+                 F.max(F.when(hit, F.col("date"))).alias(f"{name}_end_date")]
+    return state_orders(t).groupBy("state", "state_initial").agg(*aggs)
 
 
 def policies_from_columns(columns) -> list[str]:
@@ -238,20 +231,27 @@ def with_policy_exposure(df: DataFrame, policies, as_of: _dt.date, date_col: str
     return df.withColumns({f"on_{p}": F.when(F.col(f"days_on_{p}") > 0, 1).otherwise(0) for p in policies})
 
 
+def monthly_orders(t: Tables) -> DataFrame:
+    """(y, m, total, n) of all orders: both macro series are small aggregates of
+    this one pass."""
+    def build():
+        o = t.orders.select("o_orderdate", "o_totalprice")
+        return (o.groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
+                 .agg(F.sum("o_totalprice").alias("total"), F.count("o_totalprice").alias("n")))
+    return shared(t, ("monthly_orders",), build)
+
+
 def quarterly_series(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     """(year, quarter 'qN', avg_order_value_q): the quarterly macro analog."""
-    o = t.orders.select("o_orderdate", "o_totalprice")
-    return (o.groupBy(F.year("o_orderdate").alias("year"),
-                      F.concat(F.lit("q"), F.quarter("o_orderdate").cast("string")).alias("quarter"))
-             .agg(F.avg("o_totalprice").alias("avg_order_value_q")))
+    return (monthly_orders(t).groupBy(F.col("y").alias("year"),
+                                      F.concat(F.lit("q"), F.ceil(F.col("m") / 3).cast("string")).alias("quarter"))
+            .agg((F.sum("total") / F.sum("n")).alias("avg_order_value_q")))
 
 
 def price_index_raw(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     """Monthly series as landed text: year, period 'Mnn', periodName, latest,
     value, footnotes (all strings)."""
-    o = t.orders.select("o_orderdate", "o_totalprice")
-    m = o.groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).agg(
-        F.avg("o_totalprice").alias("v"))
+    m = monthly_orders(t).select("y", "m", (F.col("total") / F.col("n")).alias("v"))
     return m.select(
         F.col("y").cast("string").alias("year"),
         F.concat(F.lit("M"), F.lpad(F.col("m").cast("string"), 2, "0")).alias("period"),
@@ -279,6 +279,7 @@ CLAIMS_CODES = {
     "c13": "EBT", "c14": "EBUI", "c15": "ABT", "c16": "ABUI", "c17": "AT", "c18": "CE",
     "c19": "R", "c20": "AR", "c21": "P", "c22": "status", "c23": "status_chg_date",
 }
+# Landed claims columns that are not kept.
 CLAIMS_DROP = ["refl_wk_date", "rptdate", "status_chg_date", "curdate", "priorwk_pub", "priorwk"]
 
 
@@ -349,7 +350,7 @@ def master_current(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, validate: bool
     uniqueness before joining.  Materialized once: the projection master
     reads it too.
     """
-    return shared(t.spark, ("master_current", t.root, t.database, cfg, validate),
+    return shared(t, ("master_current", cfg, validate),
                   lambda: _master_current(t, cfg, validate))
 
 
@@ -386,10 +387,10 @@ def geo_filter(df: DataFrame, geo: DataFrame, state_col: str, country_col: str |
     """Keep rows of known states, add the other state form.
 
     Whether ``state_col`` holds codes or names is inferred from the modal
-    string length (ties -> shortest): one tiny aggregation.  The lookup is
+    string length (NULL has none; ties -> shortest): one tiny aggregation.  The lookup is
     the fixed-size geography table, broadcast.
     """
-    mode_len = (df.groupBy(F.length(state_col).alias("len")).count()
+    mode_len = (df.filter(F.col(state_col).isNotNull()).groupBy(F.length(state_col).alias("len")).count()
                   .orderBy(F.desc("count"), F.asc("len")).first())
     form = "state_initial" if mode_len is not None and mode_len["len"] == initial_len else "state"
     out = df.withColumnRenamed(state_col, form)
@@ -403,16 +404,16 @@ def geo_filter(df: DataFrame, geo: DataFrame, state_col: str, country_col: str |
 
 def validate_geo_filter(out: DataFrame, geo: DataFrame, country_col: str | None = None,
                         expected_states: int | None = None) -> None:
-    """Post-conditions of ``geo_filter``: every output state is known and
-    (when the whole lookup is expected) every known state is present; no
-    NULL country; the expected number of distinct states.  Raises on failure."""
+    """Post-conditions of ``geo_filter``: the output's states are those of the
+    lookup ``geo`` (pass the expected part of it); their number, if given; one
+    country and no NULL one.  Raises on failure."""
     from demandlab.operators.quality import assert_coverage, assert_distinct_count, assert_no_nulls
-    if expected_states is None:
-        assert_coverage(out, geo, "state")
-    else:
+    assert_coverage(out, geo, "state")
+    if expected_states is not None:
         assert_distinct_count(out, "state", expected_states)
     if country_col is not None and country_col in out.columns:
         assert_no_nulls(out, country_col)
+        assert_distinct_count(out, country_col, 1)
 
 
 def geo_filtered(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, country: str = "AMERICA") -> DataFrame:
@@ -422,23 +423,33 @@ def geo_filtered(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, country: str = "A
     return geo_filter(d, geo, "state", "country", country)
 
 
-def wide_quarterly(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, years=range(1995, 2002)) -> DataFrame:
-    """One row per order priority, one column per 'yYYYY_qN' (as landed)."""
+def geo_filtered_codes(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """``geo_filter`` on the code form: priority x nation order counts with a
+    two-letter code that is NULL for urgent orders and unknown for low ones."""
+    o = state_orders(t).groupBy("state_initial", "priority").agg(F.sum("n").alias("n_orders"))
+    code = F.when(F.col("priority") == PRIORITIES[0], F.lit(None).cast("string")) \
+        .when(F.col("priority") == PRIORITIES[4], F.lit("??")).otherwise(F.col("state_initial"))
+    return geo_filter(o.select(code.alias("code"), "priority", "n_orders"), geography(t), "code")
+
+
+def wide_quarterly(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """One row per order priority, one column per 'yYYYY_qN' that the orders
+    have (as landed: the header grows with the history, a column a quarter)."""
     o = t.orders.select("o_orderpriority", "o_orderdate", "o_totalprice").withColumn(
         "label", F.concat(F.lit("y"), F.year("o_orderdate").cast("string"), F.lit("_q"),
                           F.quarter("o_orderdate").cast("string")))
-    labels = [f"y{y}_q{q}" for y in years for q in range(1, 5)]
-    return o.groupBy("o_orderpriority").pivot("label", labels).agg(F.avg("o_totalprice"))
+    return o.filter(F.col("label").isNotNull()).groupBy("o_orderpriority").pivot("label").agg(F.avg("o_totalprice"))
 
 
-def wide_to_long_quarters(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, years=range(1995, 2002)) -> DataFrame:
+def wide_to_long_quarters(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Long form of ``wide_quarterly``; years and quarters come from its header."""
     from demandlab.operators.reshape import wide_to_long
-    w = wide_quarterly(t, cfg, years)
+    w = wide_quarterly(t, cfg)
     long = wide_to_long(w, ["o_orderpriority"], [c for c in w.columns if c.startswith("y")], "label", "avg_value")
     return long.filter(F.col("avg_value").isNotNull()).select(
         F.col("o_orderpriority").alias("priority"),
-        F.substring("label", 2, 4).cast("int").alias("year"),
-        F.concat(F.lit("q"), F.substring("label", 8, 1)).alias("quarter"),
+        F.regexp_extract("label", r"^y(-?\d+)_", 1).cast("int").alias("year"),
+        F.regexp_extract("label", r"_(q\d)$", 1).alias("quarter"),
         "avg_value")
 
 
@@ -461,7 +472,7 @@ def basic_preproc(df: DataFrame, geo: DataFrame, state_col: str, country_col: st
     from demandlab.operators.reshape import cast_date_columns, drop_tolerant, normalise_names
     out = drop_tolerant(df, drop)
     if exclude_location_id is not None and "location_id" in out.columns:
-        out = out.filter(F.col("location_id") != exclude_location_id)
+        out = out.filter(~F.col("location_id").eqNullSafe(F.lit(exclude_location_id)))
     out = geo_filter(out, geo, state_col, country_col, country_value)
     return normalise_names(cast_date_columns(out, "date"))
 
@@ -469,14 +480,16 @@ def basic_preproc(df: DataFrame, geo: DataFrame, state_col: str, country_col: st
 def mobility_preproc(df: DataFrame, expected_baselines: int = 6) -> DataFrame:
     """State-level rows only (no sub-region), sub-region columns dropped, and
     the expected number of baseline columns checked."""
-    from demandlab.operators.quality import assert_column_count
+    from demandlab.operators.quality import assert_column_count, assert_columns
     from demandlab.operators.reshape import columns_with, drop_tolerant
-    out = df.filter(F.col("sub_region_2").isNull()) if "sub_region_2" in df.columns else df
-    out = drop_tolerant(out, ["sub_region_2", "census_fips_code", "country_region_code"])
+    assert_columns(df, ["sub_region_2"])
+    out = df.filter(F.col("sub_region_2").isNull())
+    out = drop_tolerant(out, ["sub_region_2", "census_fips_code"])
     assert_column_count(columns_with(out, "baseline"), expected_baselines, "baseline columns")
     return out
 
 
+# Landed case columns that are not kept.
 CASE_HARD_DROP = ["hash", "total", "dateChecked", "fips", "checkTimeEt"]
 
 

@@ -107,7 +107,7 @@ def weekly_fact(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, week_rule: str = "
                       .agg(F.sum("qty").alias("qty"), F.sum("dollars").alias("dollars"),
                            F.count(F.lit(1)).alias("n_lines")))
         return with_week_fields(weekly)
-    return shared(t.spark, ("weekly_fact", t.root, t.database, cfg, week_rule), build, partition_by=["year"])
+    return shared(t, ("weekly_fact", cfg, week_rule), build, partition_by=["year"])
 
 
 def weekly_sales(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, with_channel: bool = True,

@@ -102,7 +102,7 @@ def naive_rate_of_sale(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFram
     (zero-filled) or, for a blank state, last year's quantity; earlier: NULL.
     A model output stage: materialized once.
     """
-    return shared(t.spark, ("naive_pos", t.root, t.database, cfg), lambda: _naive_pos(t, cfg))
+    return shared(t, ("naive_pos", cfg), lambda: _naive_pos(t, cfg))
 
 
 def _naive_pos(t: Tables, cfg: ModelConfig) -> DataFrame:
@@ -139,7 +139,7 @@ def naive_centered_mean(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFra
     reference.  Also carries the pre-event median YoY difference per series.
     A model output stage: materialized once.
     """
-    return shared(t.spark, ("naive_ship", t.root, t.database, cfg), lambda: _naive_ship(t, cfg))
+    return shared(t, ("naive_ship", cfg), lambda: _naive_ship(t, cfg))
 
 
 def _naive_ship(t: Tables, cfg: ModelConfig) -> DataFrame:
@@ -182,12 +182,13 @@ def _naive_ship(t: Tables, cfg: ModelConfig) -> DataFrame:
 
 def state_milestones(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     """Per state: national peak week, 30 % week, and the POS / shipment
-    second and third milestones with the POS forecast type."""
+    second and third milestones with the POS forecast type.  A state without
+    a parameter fails the job: its series would get no forecast."""
     params = milestone_parameters(t.spark, cfg)
     reg = t.region.select("r_regionkey", "r_name")
-    m = params.join(F.broadcast(reg), params.region_key == reg.r_regionkey, "inner").select(
-        F.col("r_name").alias("state"),
-        F.date_add(F.lit(cfg.latest_week), F.col("weeks_to_thirty_pct") * 7).alias("thirty_pct_date"))
+    weeks = F.coalesce("weeks_to_thirty_pct", F.raise_error(F.concat(F.lit("no milestone is set for state "), F.col("r_name"))).cast("int"))
+    m = reg.join(F.broadcast(params), params.region_key == reg.r_regionkey, "left").select(
+        F.col("r_name").alias("state"), F.date_add(F.lit(cfg.latest_week), weeks * 7).alias("thirty_pct_date"))
     L = F.lit(cfg.latest_week)
     peak = week_ending(F.lit(cfg.national_peak), "same_or_next")
     thirty = week_ending(F.col("thirty_pct_date"), "same_or_next")
@@ -344,7 +345,7 @@ def trend_seasonal_model(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, weekly: D
     """
     if weekly is not None:
         return _trend_seasonal(weekly, cfg)
-    return shared(t.spark, ("trend_seasonal", t.root, t.database, cfg, shipments),
+    return shared(t, ("trend_seasonal", cfg, shipments),
                   lambda: _trend_seasonal(model_weekly(t, cfg, shipments=shipments), cfg))
 
 
@@ -470,14 +471,14 @@ def _adjusted(t: Tables, cfg: ModelConfig, shipments: bool) -> DataFrame:
 def forecast_adjusted(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     """POS: milestone forecast + baseline choice + clamps + update + promo.
     A model output stage: materialized once and reused downstream."""
-    return shared(t.spark, ("forecast_adjusted", t.root, t.database, cfg),
+    return shared(t, ("forecast_adjusted", cfg),
                   lambda: _adjusted(t, cfg, shipments=False))
 
 
 def ship_forecast_adjusted(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     """Shipments: same rules, update bounded by the second milestone, promo
     uplift from two weeks after the training end, floored at 0."""
-    return shared(t.spark, ("ship_forecast_adjusted", t.root, t.database, cfg),
+    return shared(t, ("ship_forecast_adjusted", cfg),
                   lambda: _adjusted(t, cfg, shipments=True))
 
 
@@ -486,7 +487,7 @@ def ship_forecast_combined(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> Data
     state milestone table attached, promo dampening for incomplete series
     (1 - zero-LY weeks in a centered 7-week window / 7) and forecasts before
     the training end nulled.  Materialized once (the shipment model output)."""
-    return shared(t.spark, ("ship_forecast_combined", t.root, t.database, cfg),
+    return shared(t, ("ship_forecast_combined", cfg),
                   lambda: _ship_combined(t, cfg))
 
 
@@ -537,7 +538,7 @@ def _fourier_fit(pdf, horizon_dates, cap_until, harmonics: int = 3, ridge: float
 
     X = design(d)
     pen = np.diag([0.0, 0.0] + [ridge] * (X.shape[1] - 2))
-    coef = np.linalg.solve(X.T @ X + pen, X.T @ y)
+    coef = np.linalg.lstsq(np.vstack([X, np.sqrt(pen)]), np.r_[y, np.zeros(len(pen))], rcond=None)[0]
     fut = pd.Series(pd.to_datetime(list(horizon_dates)))
     yhat = design(fut) @ coef
     train = pdf[pd.to_datetime(pdf["week_ending_date"]) <= pd.Timestamp(cap_until)]["qty"]

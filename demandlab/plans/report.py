@@ -38,11 +38,16 @@ def rule_match(rules, action: str) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, conds), F.lit(False))
 
 
+def typed_nulls(df: DataFrame, like: DataFrame) -> DataFrame:
+    """``df`` with NULL columns of the names and types that only ``like`` has."""
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in like.schema if f.name not in df.columns})
+
+
 def apply_ship_corrections(df: DataFrame, cfg: ModelConfig = DEFAULT_CONFIG, rules=DEFAULT_CORRECTIONS) -> DataFrame:
     """Shipment rules in reference order: hold the latest actual until the
     state's third milestone (incomplete series), double after L, set to last
-    year, halve the gap to last year after L, zero a category; forecasts
-    before L are NULL."""
+    year, halve the gap to last year after L; forecasts before L are NULL.
+    (The 'zero' rule is a POS rule, see ``actual_forecast_stitch``.)"""
     wk, L = F.col("week_ending_date"), F.lit(cfg.latest_week)
     fq = F.col("forecast_quantity")
     df = df.withColumn("__lq", F.when(wk == L, F.col("qty_ty")))
@@ -53,13 +58,8 @@ def apply_ship_corrections(df: DataFrame, cfg: ModelConfig = DEFAULT_CONFIG, rul
     df = df.withColumn("forecast_quantity", F.when(rule_match(rules, "double") & (wk > L), fq * 2).otherwise(fq))
     df = df.withColumn("forecast_quantity", F.when(rule_match(rules, "set_ly"), F.col("qty_ly")).otherwise(fq))
     df = df.withColumn("forecast_quantity", F.when(wk < L, F.lit(None).cast("double")).otherwise(fq))
-    df = df.withColumn("forecast_quantity",
-                       F.when(rule_match(rules, "halve_gap") & (wk > L), fq - (fq - F.col("qty_ly")) / 2).otherwise(fq))
-    zero = rule_match(rules, "zero") & fq.isNotNull()
-    return df.withColumns({
-        "promo_uplift_new": F.when(zero, F.lit(0.0)).otherwise(F.col("promo_uplift_new")),
-        "forecast_quantity": F.when(zero, F.lit(0.0)).otherwise(fq),
-    })
+    return df.withColumn("forecast_quantity",
+                         F.when(rule_match(rules, "halve_gap") & (wk > L), fq - (fq - F.col("qty_ly")) / 2).otherwise(fq))
 
 
 def retailer_corrections(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, rules=DEFAULT_CORRECTIONS) -> DataFrame:
@@ -73,7 +73,7 @@ def running_total_correction(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, rules
     forecast (RANGE unbounded preceding .. current row, by week).  The
     corrected shipment results are a stage output: materialized once."""
     from demandlab.session import shared
-    return shared(t.spark, ("ship_results", t.root, t.database, cfg, tuple(rules)),
+    return shared(t, ("ship_results", cfg, tuple(rules)),
                   lambda: _running_total(t, cfg, rules))
 
 
@@ -118,9 +118,8 @@ def actual_forecast_stitch(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, rules=D
     part_a = (a.join(fnp.filter(wk == F.col("latest_week")).drop("latest_week", "promo_uplift", "state", "category"),
                      ["sell_id", "week_ending_date"], "left")
                .withColumn("promo_uplift", F.lit(0.0)))
-    part_b = (fnp.filter(wk > F.col("latest_week"))
-                 .join(a.filter(wk < F.col("latest_week")).drop("latest_week", "state", "category"),
-                       ["sell_id", "week_ending_date"], "left"))
+    # forecast weeks have no actuals: typed NULLs
+    part_b = typed_nulls(fnp.filter(wk > F.col("latest_week")), a)
     cols = ["sell_id", "state", "category", "week_ending_date", "qty_ty", "dollars_ty", "qty_ly", "dollars_ly",
             "marker_first", "marker_second", "marker_third",
             "forecast_percent", "forecast_quantity", "qty_ly_filled", "dollars_ly_filled", "promo_uplift", "latest_week"]
@@ -168,7 +167,7 @@ def ship_actuals_dated(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFram
     This is the shipment actuals table of the reporting layer: materialized
     once (the stitch reads it three times)."""
     from demandlab.session import shared
-    return shared(t.spark, ("ship_actuals_dated", t.root, t.database, cfg), lambda: _ship_actuals_dated(t, cfg))
+    return shared(t, ("ship_actuals_dated", cfg), lambda: _ship_actuals_dated(t, cfg))
 
 
 def _ship_actuals_dated(t: Tables, cfg: ModelConfig) -> DataFrame:
@@ -204,8 +203,7 @@ def ship_actual_forecast_stitch(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, ru
                  .join(fnp.filter(wk == L).drop("state", "category", "promo_uplift"),
                        ["sell_id", "week_ending_date"], "left")
                  .withColumn("promo_uplift", F.lit(0.0)))
-    part_b = fnp.filter(wk > L).join(act.filter(wk < L).drop("state", "category"),
-                                     ["sell_id", "week_ending_date"], "left")
+    part_b = typed_nulls(fnp.filter(wk > L), act)
     s = part_a.select(*cols).unionByName(part_b.select(*cols))
     s = s.withColumns({
         "stly_qty": F.coalesce("stly_qty", "qty_ly_filled"),

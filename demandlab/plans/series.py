@@ -40,7 +40,7 @@ def model_weekly(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipments: boo
     are a filter over one materialized aggregate, which itself is derived
     from the materialized weekly fact -- no second ledger join.
     """
-    base = shared(t.spark, ("model_weekly_base", t.root, t.database, cfg),
+    base = shared(t, ("model_weekly_base", cfg),
                   lambda: build_model_weekly_base(t, cfg))
     return base.filter(variant_filter(shipments))
 
@@ -77,29 +77,6 @@ def build_model_weekly_base(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> Dat
     return out.withColumn("sell_id", composite_key("category", "state"))
 
 
-def build_model_weekly(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipments: bool = False) -> DataFrame:
-    """Same result straight from the ledger (used when no weekly fact is
-    wanted): the ship-date window is pushed into the line-item scan."""
-    # Week ending (same-or-next Saturday) > history_start  <=>  sale date
-    # >= the Sunday six days before the first such Saturday.
-    first_sat = cfg.history_start + _dt.timedelta(days=(5 - cfg.history_start.weekday()) % 7 or 7)
-    fact = sales_fact(t, cfg, ship_from=first_sat - _dt.timedelta(days=6), ship_to=cfg.latest_week)
-    excluded = list(cfg.excluded_categories)
-    row_ok = ~((F.col("ppg") == "") | F.col("ppg").isNull())
-    row_ok = row_ok & ~((F.col("business") == "") & (F.col("category") == "")
-                        & (F.col("brand") == "") & (F.col("ppg") != ""))
-    if excluded:
-        row_ok = row_ok & ~F.col("category").isin(excluded)
-    weekly = (fact.filter(row_ok)
-                  .withColumn("week_ending_date", week_ending("sale_date"))
-                  .groupBy("week_ending_date", F.col("business").alias("state"), "category")
-                  .agg(F.sum("qty").alias("qty"), F.sum("dollars").alias("dollars")))
-    wk = F.col("week_ending_date")
-    keep = (wk > F.lit(cfg.history_start)) & (wk <= F.lit(cfg.latest_week)) & variant_filter(shipments)
-    out = with_week_fields(weekly.filter(keep))
-    return out.withColumn("sell_id", composite_key("category", "state"))
-
-
 def last_year(weekly: DataFrame, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     return weekly.filter(F.col("year") == cfg.ly_year)
 
@@ -109,7 +86,7 @@ def yoy_growth(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipments: bool
     """TY weeks left-joined to LY on series keys + ISO week; NULL-safe keys.
     Materialized once per variant (every model reads it)."""
     if weekly is None:
-        return shared(t.spark, ("yoy", t.root, t.database, cfg, shipments),
+        return shared(t, ("yoy", cfg, shipments),
                       lambda: _yoy(model_weekly(t, cfg, shipments=shipments), cfg))
     return _yoy(weekly, cfg)
 
@@ -142,16 +119,33 @@ def yoy_full_outer(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, null_sentinel:
 
 
 def year_shift_full_outer(w: DataFrame, keys, null_sentinel: str = "Null_Value") -> DataFrame:
-    """Current rows keyed by (year - 1, week) full-outer-joined to the rows of
-    that year: same-time-last-year measures.  NULL string keys are replaced by
-    ``null_sentinel`` so they match each other (kept in the output)."""
-    w = w.na.fill(null_sentinel, subset=list(keys))
-    curr = w.select(
-        (F.col("year") - 1).alias("year"), "week_of_year", *keys, "week_ending_date",
-        F.col("qty").alias("qty"), F.col("dollars").alias("dollars"))
-    prev = w.select("year", "week_of_year", *keys,
-                    F.col("qty").alias("stly_qty"), F.col("dollars").alias("stly_dollars"))
-    return curr.join(prev, ["year", "week_of_year", *keys], "full")
+    """Rows keyed by (ISO year - 1, ISO week) next to the rows of that ISO year:
+    same-time-last-year measures, full outer.  The ISO year is the year of the
+    week's Thursday, so (year, week) names one week and no row meets two.
+    NULL string keys are replaced by ``null_sentinel`` so they match each other
+    (kept in the output).
+
+    Both roles of a row are stacked and grouped by the key: one shuffle, no
+    join (``w`` has one row per week and keys).
+    """
+    w = w.na.fill(null_sentinel, subset=list(keys)).withColumn("year", F.year(F.date_sub("week_ending_date", 2)))
+    curr = w.select((F.col("year") - 1).alias("year"), "week_of_year", *keys, "week_ending_date", "qty", "dollars")
+    prev = w.select("year", "week_of_year", *keys, F.col("qty").alias("stly_qty"), F.col("dollars").alias("stly_dollars"))
+    values = ["week_ending_date", "qty", "dollars", "stly_qty", "stly_dollars"]
+    return curr.unionByName(prev, allowMissingColumns=True).groupBy("year", "week_of_year", *keys) \
+        .agg(*[F.max(c).alias(c) for c in values])
+
+
+def yoy_category(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, null_sentinel: str = "Null_Value") -> DataFrame:
+    """``yoy_full_outer`` at the (state, business, category) grain, where weeks of
+    neighbouring years meet; accessory categories (names ending in BRASS) have
+    no category name."""
+    from demandlab.plans.facts import weekly_sales
+    w = weekly_sales(t, cfg, with_channel=True)
+    cat = F.when(~F.col("category").endswith("BRASS"), F.col("category"))
+    w = w.groupBy("week_ending_date", "week_of_year", "state", "business", cat.alias("category")) \
+        .agg(F.sum("qty").alias("qty"), F.sum("dollars").alias("dollars"))
+    return year_shift_full_outer(w, ["state", "business", "category"], null_sentinel)
 
 
 def lifespan_split(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipments: bool = False,
@@ -163,7 +157,7 @@ def lifespan_split(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, *, shipments: b
     complete = all ISO weeks <= 32.  Materialized once per variant.
     """
     if weekly is None:
-        return shared(t.spark, ("lifespan", t.root, t.database, cfg, shipments),
+        return shared(t, ("lifespan", cfg, shipments),
                       lambda: _lifespan(model_weekly(t, cfg, shipments=shipments), cfg, shipments))
     return _lifespan(weekly, cfg, shipments)
 

@@ -157,19 +157,36 @@ def q_yoy_growth(spark, sf_dir):
 _YOY_KEYS = ["retailer", "state", "business", "category", "brand", "ppg", "channel"]
 
 
+_ISO_YEAR = "wi AS (SELECT * REPLACE (CAST(isoyear(week_ending_date) AS INTEGER) AS year) FROM w)"
+
+
 @register("yoy_full_outer", with_(FACT, O.weekly_cte("w0", channel=True), "w AS (SELECT week_ending_date, week_of_year, year, qty, dollars, "
-                                  + ", ".join(f"coalesce({k}, 'Null_Value') AS {k}" for k in _YOY_KEYS) + " FROM w0)") + f"""
+                                  + ", ".join(f"coalesce({k}, 'Null_Value') AS {k}" for k in _YOY_KEYS) + " FROM w0)", _ISO_YEAR) + f"""
 SELECT coalesce(c.year, p.year) AS year, coalesce(c.week_of_year, p.week_of_year) AS week_of_year,
        {", ".join(f"coalesce(c.{k}, p.{k}) AS {k}" for k in _YOY_KEYS)},
        c.week_ending_date, round(c.qty, 4) AS qty, round(c.dollars, 4) AS dollars,
        round(p.qty, 4) AS stly_qty, round(p.dollars, 4) AS stly_dollars
-FROM (SELECT year - 1 AS year, * EXCLUDE (year) FROM w) c
-FULL OUTER JOIN w p
+FROM (SELECT year - 1 AS year, * EXCLUDE (year) FROM wi) c
+FULL OUTER JOIN wi p
   ON c.year = p.year AND c.week_of_year = p.week_of_year AND {" AND ".join(f"c.{k} = p.{k}" for k in _YOY_KEYS)}""")
 def q_yoy_full_outer(spark, sf_dir):
     return round_doubles(series.yoy_full_outer(_t(spark, sf_dir), CFG))
 
 
+@register("yoy_category", with_(FACT, O.weekly_cte("w0", channel=True), """w AS (
+  SELECT week_ending_date, week_of_year, year, coalesce(state, 'Null_Value') AS state, coalesce(business, 'Null_Value') AS business,
+         CASE WHEN category IS NULL OR category LIKE '%BRASS' THEN 'Null_Value' ELSE category END AS category,
+         sum(qty) AS qty, sum(dollars) AS dollars FROM w0 GROUP BY ALL)""", _ISO_YEAR) + """
+SELECT coalesce(c.year, p.year) AS year, coalesce(c.week_of_year, p.week_of_year) AS week_of_year,
+       coalesce(c.state, p.state) AS state, coalesce(c.business, p.business) AS business, coalesce(c.category, p.category) AS category,
+       c.week_ending_date, round(c.qty, 4) AS qty, round(c.dollars, 4) AS dollars,
+       round(p.qty, 4) AS stly_qty, round(p.dollars, 4) AS stly_dollars
+FROM (SELECT year - 1 AS year, * EXCLUDE (year) FROM wi) c
+FULL OUTER JOIN wi p USING (year, week_of_year, state, business, category)""")
+def q_yoy_category(spark, sf_dir):
+    return round_doubles(series.yoy_category(_t(spark, sf_dir), CFG))
+
+
 @register("lifespan_split", with_(FACT, O.model_weekly_cte(CFG), O.lifespan_cte(CFG)) + "SELECT * FROM lifespan")
 def q_lifespan_split(spark, sf_dir):
     return series.lifespan_split(_t(spark, sf_dir), CFG)
@@ -540,10 +557,18 @@ def q_flatten_series_json(spark, sf_dir):
     return round_doubles(X.flatten_props(_t(spark, sf_dir), CFG))
 
 
+@register("geo_filtered_codes", with_(O.GEO) + f"""
+SELECT g.state, g.state_initial, o.o_orderpriority AS priority, count(*) AS n_orders
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN geo g ON c.c_nationkey = g.location_id
+WHERE o.o_orderpriority NOT IN ('1-URGENT', '5-LOW') GROUP BY ALL""")
+def q_geo_filtered_codes(spark, sf_dir):
+    return X.geo_filtered_codes(_t(spark, sf_dir), CFG)
+
+
 @register("wide_to_long_quarters", """
 SELECT o_orderpriority AS priority, CAST(year(o_orderdate) AS INTEGER) AS year,
        'q' || CAST(quarter(o_orderdate) AS VARCHAR) AS quarter, round(avg(o_totalprice), 4) AS avg_value
-FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2001 GROUP BY ALL""")
+FROM orders WHERE o_orderdate IS NOT NULL GROUP BY ALL""")
 def q_wide_to_long_quarters(spark, sf_dir):
     return round_doubles(X.wide_to_long_quarters(_t(spark, sf_dir), CFG))
 
@@ -594,10 +619,19 @@ def q_pos_fact_with_markers(spark, sf_dir):
 @register("latest_file_read", """
 SELECT event_id, ts, user_id, event_type, round(value, 4) AS value, props FROM events""")
 def q_latest_file_read(spark, sf_dir):
-    """Newest-file read of a landed table path (a single file here, so every
-    row is kept; a multi-file drop directory keeps only the newest file)."""
+    """Newest-file read of a drop folder: an older drop of half of the events
+    and then one of all events are landed from the given table."""
+    import time
+    import uuid
+
+    from demandlab.session import ensure_checkpoint_dir
     from demandlab.sources.files import latest_file_read
-    return round_doubles(latest_file_read(spark, f"{sf_dir}/events.parquet", "parquet"))
+    drop = f"{ensure_checkpoint_dir(spark).rstrip('/')}/demandlab-drop-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.filter("event_id % 2 = 0").coalesce(1).write.parquet(f"{drop}/first")
+    time.sleep(0.05)  # drops are told apart by modification time
+    events.coalesce(1).write.parquet(f"{drop}/second")
+    return round_doubles(latest_file_read(spark, drop, "parquet", pattern="*.parquet"))
 
 
 @register("ship_coverage", with_(*_SHIP) + """

@@ -1,14 +1,17 @@
-"""Session helpers: recommended configuration, reliable checkpoints and
-materialization of shared intermediates.
-
-Shared intermediates (the weekly series every model reads, the forecast
-calendar) are materialized with ``DataFrame.checkpoint(eager=True)`` into the
-directory the cluster names in ``spark.checkpoint.dir``.  That cuts the
-lineage back to the ledger join, so a lost executor only re-reads checkpoint
-files instead of re-running the multi-table join, and every later plan starts
-from a small, already-aggregated table.  A machine-local temporary directory
-is used only when no checkpoint directory is configured and the master is
-local (tests).
+"""Session helpers: recommended configuration, and the run that holds the
+materialized shared intermediates.
+
+Shared intermediates (the weekly fact, the modelling series, model outputs)
+are written as parquet tables into the folder that the cluster names in
+``spark.checkpoint.dir``: the lineage back to the ledger join is cut, a lost
+executor only re-reads files, and later plans keep column pruning, filter
+pushdown and file statistics.
+
+A ``Run`` owns these tables.  Pass one to ``Tables`` for a pipeline run and
+close it at the end (``with Run(spark) as run``); its folder is deleted then.
+Without one, ``Tables`` uses the run of its input: the run is found by the
+identity (path, size, modification time) of the input files, so changed input
+gets a new run, and the run of the old files is closed.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -41,60 +45,102 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    cur = sc.getCheckpointDir()
-    if cur:
-        return cur
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="demandlab-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a shared (cluster-visible) directory")
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame, partition_by=None, name: str = "stage") -> DataFrame:
-    """Reliable, eager materialization (lineage cut, survives executor loss).
-
-    Without ``partition_by``: ``DataFrame.checkpoint(eager=True)``.  With it:
-    a parquet table written under the checkpoint directory, partitioned by
-    those columns, and read back -- later filters on the partition columns
-    prune whole directories instead of scanning every file.
-    """
-    ckpt = ensure_checkpoint_dir(df.sparkSession)
-    if not partition_by:
-        return df.checkpoint(eager=True)
-    path = f"{ckpt.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-_LOCK = threading.Lock()
-_MEMO: dict[tuple, DataFrame] = {}
-ENABLED = True
-
-
-def shared(spark: SparkSession, key: tuple, build: Callable[[], DataFrame], partition_by=None) -> DataFrame:
-    """Build once per (application, key) and reuse the materialized result."""
-    if not ENABLED:
-        return build()
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: no context, plain lazy plans
-        return build()
-    full = (app,) + key
-    with _LOCK:
-        hit = _MEMO.get(full)
-    if hit is not None:
-        return hit
-    df = materialize(build(), partition_by, str(key[0]))
-    with _LOCK:
-        _MEMO[full] = df
-    return df
-
-
-def clear_shared() -> None:
-    with _LOCK:
-        _MEMO.clear()
+    """The folder of ``spark.checkpoint.dir``.  Where it is unset, only a local
+    session (tests, bench) gets a temporary one; a cluster must name it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared (cluster-visible) directory")
+        folder = tempfile.mkdtemp(prefix="demandlab-stages-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+class Run:
+    """Materialized tables of one run: built once per key, also under threads."""
+
+    def __init__(self, spark: SparkSession, materialized: bool = True):
+        self.spark, self.materialized = spark, materialized
+        self.folder: str | None = None
+        self._lock = threading.Lock()
+        self._tables: dict[tuple, DataFrame] = {}
+        self._building: dict[tuple, threading.Lock] = {}
+
+    def table(self, key: tuple, build: Callable[[], DataFrame], partition_by=None) -> DataFrame:
+        """The table of ``key``, built on first use; a plain lazy plan each time
+        when the run was made with ``materialized=False``."""
+        if not self.materialized:
+            return build()
+        with self._lock:
+            building = self._building.setdefault(key, threading.Lock())
+        with building:
+            if key not in self._tables:
+                self._tables[key] = self._write(build(), partition_by, str(key[0]))
+            return self._tables[key]
+
+    def _write(self, df: DataFrame, partition_by, name: str) -> DataFrame:
+        with self._lock:
+            if self.folder is None:
+                self.folder = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/demandlab-run-{uuid.uuid4().hex}"
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        if partition_by:  # rows of a partition value come together: few files each, later filters skip directories
+            df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
+        else:
+            df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+    def close(self) -> None:
+        """Forget and delete the run's tables; frames that still read them fail."""
+        with self._lock:
+            self._tables.clear()
+            self._building.clear()
+            folder, self.folder = self.folder, None
+        if folder is not None:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def __enter__(self) -> Run:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def input_identity(spark: SparkSession, paths: list[str]) -> tuple:
+    """One row about the files below ``paths``: number and a hash of their paths,
+    sizes and modification times.  Only file metadata is read."""
+    row = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+           .agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
+    return (row[0], str(row[1]))
+
+
+_RUNS_LOCK = threading.Lock()
+_RUNS: dict[tuple, tuple[tuple, Run]] = {}  # (application, source) -> (identity, run): one run a source
+
+
+def run_of_input(spark: SparkSession, source: tuple, identity: tuple) -> Run:
+    """The run of these files; the run of the source's former files is closed."""
+    key = (spark.sparkContext.applicationId, *source)
+    with _RUNS_LOCK:
+        known = _RUNS.get(key)
+        if known is not None and known[0] == identity:
+            return known[1]
+        run = Run(spark)
+        _RUNS[key] = (identity, run)
+    if known is not None:
+        known[1].close()
+    return run
+
+
+def close_runs() -> None:
+    """Close every run that was found by its input."""
+    with _RUNS_LOCK:
+        runs = [r for _, r in _RUNS.values()]
+        _RUNS.clear()
+    for r in runs:
+        r.close()
+
+
+def shared(t, key: tuple, build: Callable[[], DataFrame], partition_by=None) -> DataFrame:
+    """The table ``key`` of the run that ``t`` (a ``Tables``) belongs to."""
+    return t.run.table(key, build, partition_by)

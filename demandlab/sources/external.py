@@ -2,8 +2,8 @@
 
 Every source lands as CSV files in its own directory; a refresh adds a new
 file.  Each reader reads the newest file of the directory (``latest_file_read``)
-with an explicit schema, so no inference pass runs over the data and a column
-drift fails loudly in the column contract instead of silently changing types.
+with an explicit schema, so no inference pass runs over the data; a header that
+differs from the schema, or a value that doesn't parse, fails the read.
 Network download is outside the engine: ingestion starts at landed files.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from demandlab.sources.files import latest_file_read
 
+# Column names and types of the landed files.
 PROJECTION_SCHEMA = ("location_name string, location_id int, date date, deaths_mean double, "
                      "deaths_lower double, deaths_upper double, new_pop_affected double")
 SUMMARY_SCHEMA = ("location_name string, location_id int, peak_bed_day_mean date, "
@@ -45,8 +46,9 @@ PRICE_SCHEMA = "year string, period string, periodName string, latest string, va
 
 def read_projection_table(spark: SparkSession, directory: str, table: str = "projections",
                           schema: str = PROJECTION_SCHEMA) -> DataFrame:
-    """A named table inside the newest projection drop (``<dir>/<table>*.csv``)."""
-    return latest_file_read(spark, f"{directory.rstrip('/')}/{table}*", "csv", schema)
+    """A named table inside the newest projection drop
+    (``<dir>/<drop>/<table>*.csv`` or ``<dir>/<table>*.csv``)."""
+    return latest_file_read(spark, directory, "csv", schema, pattern=f"{table}*.csv")
 
 
 def read_mobility(spark: SparkSession, directory: str) -> DataFrame:

@@ -11,33 +11,33 @@ from pyspark.sql import types as T
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
     """CSV with a header.  Pass an explicit schema in production (no
     inference pass over the data); ``inferSchema`` is used only without one."""
-    r = spark.read.option("header", "true").options(**options)
+    r = spark.read.option("header", "true")
     if schema is not None:
-        return r.schema(schema).csv(path)
-    return r.option("inferSchema", "true").csv(path)
+        # the header must carry the schema's names in its order, and every value its type
+        return r.option("enforceSchema", "false").option("mode", "FAILFAST").options(**options).schema(schema).csv(path)
+    return r.option("inferSchema", "true").options(**options).csv(path)
+
+
+def newest_file(spark: SparkSession, path: str, pattern: str = "*") -> str:
+    """Path of the most recently modified file below ``path`` whose name matches
+    ``pattern``; of files modified at the same time, the one with the largest
+    path.  Only file metadata is read (no content), and one row comes back."""
+    row = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+           .select("path", "modificationTime").orderBy(F.desc("modificationTime"), F.desc("path")).first())
+    if row is None:
+        raise FileNotFoundError(f"no file {pattern} below {path}")
+    return row["path"]
 
 
 def latest_file_read(spark: SparkSession, directory: str, fmt: str = "csv",
                      schema: T.StructType | str | None = None, **options) -> DataFrame:
-    """Rows of the most recently modified file in ``directory``.
-
-    The directory is read as one dataset and rows are kept whose file
-    modification time (``_metadata``) equals the newest one: the choice is a
-    filter inside the plan, not a driver-side listing, and it works on any
-    file system Spark can read.
-    """
-    r = spark.read.options(**options)
+    """Rows of the most recently modified file below ``directory``: exactly one
+    file, older ones are never opened (``newest_file``)."""
+    path = newest_file(spark, directory, options.pop("pattern", "*"))
     if fmt == "csv":
-        r = r.option("header", "true")
-    if schema is not None:
-        r = r.schema(schema)
-    elif fmt == "csv":
-        r = r.option("inferSchema", "true")
-    df = r.format(fmt).load(directory)
-    data_cols = df.columns
-    df = df.withColumn("__mtime", F.col("_metadata.file_modification_time"))
-    newest = df.agg(F.max("__mtime").alias("__newest"))
-    return df.join(F.broadcast(newest), F.col("__mtime") == F.col("__newest"), "inner").select(*data_cols)
+        return read_csv(spark, path, schema, **options)
+    r = spark.read.options(**options)
+    return (r.schema(schema) if schema is not None else r).format(fmt).load(path)
 
 
 SERIES_DATA = T.ArrayType(T.StructType([
@@ -59,10 +59,10 @@ SERIES_RESPONSE = T.StructType([
 
 def flatten_series_response(df: DataFrame, json_col: str = "value", ok_status: str = "REQUEST_SUCCEEDED") -> DataFrame:
     """API response documents -> one row per data point of the first series;
-    failed responses are dropped."""
+    failed responses, and those without a series, are dropped."""
     parsed = df.select(F.from_json(F.col(json_col), SERIES_RESPONSE).alias("r"))
     return (parsed.filter(F.col("r.status") == ok_status)
-                  .select(F.explode(F.element_at("r.Results.series", 1).getField("data")).alias("d"))
+                  .select(F.explode(F.try_element_at("r.Results.series", F.lit(1)).getField("data")).alias("d"))
                   .select("d.year", "d.period", "d.periodName", "d.latest", "d.value"))
 
 

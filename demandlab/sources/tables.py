@@ -10,14 +10,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from demandlab.session import Run, input_identity, run_of_input
+
 
 class Tables:
-    def __init__(self, spark: SparkSession, root: str | None = None, database: str | None = None):
+    """``run`` owns the materialized intermediates (see ``session.Run``).
+    Without one, directories use the run of their files' identity, and catalog
+    tables a run of this object alone."""
+
+    LEDGER = ("region", "nation", "customer", "part", "orders", "lineitem")
+
+    def __init__(self, spark: SparkSession, root: str | None = None, database: str | None = None, run: Run | None = None):
         self.spark = spark
         self.root = root.rstrip("/") if root else None
         self.database = database
+        self._run = run
         self._cache: dict[str, DataFrame] = {}
 
+    @property
+    def run(self) -> Run:
+        if self._run is None:
+            if self.root is None:
+                self._run = Run(self.spark)
+            else:
+                identity = input_identity(self.spark, [f"{self.root}/{n}.parquet" for n in self.LEDGER])
+                self._run = run_of_input(self.spark, (self.root,), identity)
+        return self._run
+
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:
             if self.root is not None:

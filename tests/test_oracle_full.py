@@ -1,6 +1,5 @@
 """Every registered query against its oracle SQL at sf0.01 (the correctness
-gate).  Slow (a few minutes), so it runs only with DEMANDLAB_FULL_ORACLE=1;
-`python tools/check_oracle.py` runs the same comparison from the shell."""
+gate); `python tools/check_oracle.py` runs the same comparison from the shell."""
 
 import os
 
@@ -11,9 +10,6 @@ import __spark_entry__ as E
 from conftest import SF_ORACLE
 from tools.check_oracle import TABLES, rows_of
 
-pytestmark = pytest.mark.skipif(os.environ.get("DEMANDLAB_FULL_ORACLE") != "1",
-                                reason="set DEMANDLAB_FULL_ORACLE=1 to run the full oracle comparison")
-
 
 @pytest.fixture(scope="module")
 def duck():
