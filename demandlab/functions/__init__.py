@@ -5,6 +5,6 @@ from demandlab.functions.dates import (  # noqa: F401
     parse_date, month_number, weeks_between, WEEK_RULES,
 )
 from demandlab.functions.scalar import (  # noqa: F401
-    growth, growth_or_zero, decay_multiplier, per_million, null_flag,
+    growth, decay_multiplier, per_million, null_flag,
     composite_key, key_part, r4, as_col,
 )

@@ -16,10 +16,6 @@ def growth(ty, ly) -> Column:
     return F.try_divide(ty - ly, ly)
 
 
-def growth_or_zero(ty, ly) -> Column:
-    """Growth with inf/NaN replaced by 0."""
-    return F.coalesce(growth(ty, ly), F.lit(0.0))
-
 
 def decay_multiplier(g) -> Column:
     """Step function from peak growth to a decay multiplier.

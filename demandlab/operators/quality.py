@@ -85,13 +85,9 @@ def freshness_lag_days(df: DataFrame, col: str, as_of: _dt.date) -> DataFrame:
         "lag_days", F.datediff(F.lit(as_of), F.col("latest")))
 
 
-def duplicate_rows(df: DataFrame, keys) -> DataFrame:
-    """Key values occurring more than once (e.g. duplicate weeks in a fill)."""
-    return df.groupBy(*keys).count().filter(F.col("count") > 1)
-
-
-def null_share(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.avg(F.when(F.col(col).isNull(), 1.0).otherwise(0.0)).alias(f"{col}_null_share"))
+def null_share(col: str):
+    """Aggregate: the share of rows whose ``col`` is NULL."""
+    return F.avg(F.when(F.col(col).isNull(), 1.0).otherwise(0.0)).alias(f"{col}_null_share")
 
 
 def null_key_rejects(df: DataFrame, keys, name: str = "rejected_null_keys") -> DataFrame:

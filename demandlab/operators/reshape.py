@@ -83,11 +83,3 @@ def columns_with(df: DataFrame, token: str) -> list[str]:
 
 def wide_to_long(df: DataFrame, ids, values, var_name: str = "variable", value_name: str = "value") -> DataFrame:
     return df.unpivot(list(ids), list(values), var_name, value_name)
-
-
-def align_union(frames) -> DataFrame:
-    """Union frames by name; columns missing on one side become typed NULLs."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out

@@ -138,11 +138,10 @@ def year_shift_full_outer(w: DataFrame, keys, null_sentinel: str = "Null_Value")
 
 def yoy_category(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, null_sentinel: str = "Null_Value") -> DataFrame:
     """``yoy_full_outer`` at the (state, business, category) grain, where weeks of
-    neighbouring years meet; accessory categories (names ending in BRASS) have
-    no category name."""
+    neighbouring years meet; lines of one category (SMALL) come without its name."""
     from demandlab.plans.facts import weekly_sales
     w = weekly_sales(t, cfg, with_channel=True)
-    cat = F.when(~F.col("category").endswith("BRASS"), F.col("category"))
+    cat = F.when(F.col("category") != "SMALL", F.col("category"))
     w = w.groupBy("week_ending_date", "week_of_year", "state", "business", cat.alias("category")) \
         .agg(F.sum("qty").alias("qty"), F.sum("dollars").alias("dollars"))
     return year_shift_full_outer(w, ["state", "business", "category"], null_sentinel)

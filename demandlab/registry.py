@@ -175,7 +175,7 @@ def q_yoy_full_outer(spark, sf_dir):
 
 @register("yoy_category", with_(FACT, O.weekly_cte("w0", channel=True), """w AS (
   SELECT week_ending_date, week_of_year, year, coalesce(state, 'Null_Value') AS state, coalesce(business, 'Null_Value') AS business,
-         CASE WHEN category IS NULL OR category LIKE '%BRASS' THEN 'Null_Value' ELSE category END AS category,
+         CASE WHEN category IS NULL OR category = 'SMALL' THEN 'Null_Value' ELSE category END AS category,
          sum(qty) AS qty, sum(dollars) AS dollars FROM w0 GROUP BY ALL)""", _ISO_YEAR) + """
 SELECT coalesce(c.year, p.year) AS year, coalesce(c.week_of_year, p.week_of_year) AS week_of_year,
        coalesce(c.state, p.state) AS state, coalesce(c.business, p.business) AS business, coalesce(c.category, p.category) AS category,
@@ -650,3 +650,82 @@ SELECT coverage, CAST(n_series AS BIGINT) AS n_series, round(qty, 4) AS qty,
 FROM per""")
 def q_ship_coverage(spark, sf_dir):
     return RP.ship_coverage(_t(spark, sf_dir), CFG)
+
+
+# ------------------------------------------------------------- ledger as landed ----
+
+from demandlab.plans import ledger as LG  # noqa: E402
+
+_LEDGER = f"""landed AS (
+  SELECT CASE WHEN l_suppkey % 11 = 0 THEN '' ELSE CAST(l_partkey AS VARCHAR) END AS material,
+         'C' || CAST(l_suppkey % 7 AS VARCHAR) AS account, l_linestatus AS version,
+         CASE WHEN l_linenumber <> 7 THEN CAST(l_shipdate AS DATE) END AS bill_date, CAST(l_shipdate AS DATE) AS created,
+         CASE WHEN l_discount = 0 THEN 0.0 ELSE l_extendedprice END AS value, l_quantity AS qty, l_returnflag AS channel,
+         CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INTEGER) AS period
+  FROM lineitem)"""
+_BILLED = (f"coalesce(bill_date, created) BETWEEN DATE '{CFG.ly_year}-01-01' AND {d(CFG.latest_week)}")
+_PERIODS = ", ".join(str(p) for p in LG.fiscal_periods(CFG))
+_LINES = f"""lines AS (
+  SELECT *, lpad(material, 10, '0') AS material_id FROM landed
+  WHERE material <> '' AND version = 'F' AND {_BILLED} AND account <> 'C3' AND value <> 0 AND period IN ({_PERIODS}))"""
+_HIERARCHY = """hs AS (
+  SELECT l.period, l.channel, h.category, h.management_group, count(*) AS n_lines, sum(qty) AS qty, sum(value) AS value
+  FROM lines l LEFT JOIN (
+    SELECT DISTINCT lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS material_id, l_returnflag AS channel, p_type AS category,
+           CASE WHEN p_size <> 1 THEN p_brand END AS management_group
+    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey % 5 <> 0) h USING (material_id, channel)
+  GROUP BY ALL)"""
+
+
+@register("ledger_filtered", with_(_LEDGER, _LINES) + """
+SELECT period, channel, material_id, count(*) AS n_lines, round(sum(qty), 4) AS qty, round(sum(value), 4) AS value
+FROM lines GROUP BY ALL""")
+def q_ledger_filtered(spark, sf_dir):
+    return round_doubles(LG.ledger_filtered(_t(spark, sf_dir), CFG))
+
+
+@register("ledger_filter_loss", with_(_LEDGER) + f"""
+SELECT 'material' AS rule, count(*) AS n_removed FROM landed WHERE NOT coalesce(material <> '', false)
+UNION ALL SELECT 'version', count(*) FROM landed WHERE NOT coalesce(version = 'F', false)
+UNION ALL SELECT 'bill_date', count(*) FROM landed WHERE NOT coalesce({_BILLED}, false)
+UNION ALL SELECT 'account', count(*) FROM landed WHERE NOT coalesce(account <> 'C3', false)
+UNION ALL SELECT 'value', count(*) FROM landed WHERE NOT coalesce(value <> 0, false)
+UNION ALL SELECT 'period', count(*) FROM landed WHERE NOT coalesce(period IN ({_PERIODS}), false)""")
+def q_ledger_filter_loss(spark, sf_dir):
+    return LG.ledger_filter_loss(_t(spark, sf_dir), CFG)
+
+
+@register("hierarchy_sales", with_(_LEDGER, _LINES, _HIERARCHY) + """
+SELECT period, channel, category, management_group, n_lines, round(qty, 4) AS qty, round(value, 4) AS value FROM hs""")
+def q_hierarchy_sales(spark, sf_dir):
+    return round_doubles(LG.hierarchy_sales(_t(spark, sf_dir), CFG))
+
+
+@register("managed_sales", with_(_LEDGER, _LINES, _HIERARCHY) + f"""
+SELECT management_group, CAST(sum(n_lines) AS BIGINT) AS n_lines, round(sum(qty), 4) AS qty, round(sum(value), 4) AS value
+FROM hs WHERE period // 100 = {CFG.ly_year} AND management_group IS NOT NULL GROUP BY ALL""")
+def q_managed_sales(spark, sf_dir):
+    return round_doubles(LG.managed_sales(_t(spark, sf_dir), CFG))
+
+
+@register("null_profile", SQL["yoy_category"].join(["WITH yc AS (", """)
+SELECT year, CAST(sum(CASE WHEN stly_qty IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null,
+       round(avg(CASE WHEN stly_qty IS NULL THEN 1.0 ELSE 0.0 END), 4) AS stly_qty_null_share
+FROM yc GROUP BY year"""]))
+def q_null_profile(spark, sf_dir):
+    from demandlab.functions.scalar import null_flag
+    from demandlab.operators.quality import null_share
+    y = series.yoy_category(_t(spark, sf_dir), CFG)
+    return round_doubles(y.groupBy("year").agg(F.sum(null_flag("stly_qty")).alias("n_null"), null_share("stly_qty")))
+
+
+@register("date_parts", """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter,
+       CAST(isodow(o_orderdate) % 7 + 1 AS INTEGER) AS dayofweek, count(*) AS n_orders FROM orders GROUP BY ALL""")
+def q_date_parts(spark, sf_dir):
+    from demandlab.functions.dates import with_date_part
+    o = _t(spark, sf_dir).orders.select("o_orderdate")
+    for part in ("year", "quarter"):
+        o = with_date_part(o, "o_orderdate", part)
+    o = with_date_part(o, "o_orderdate", "dayofweek", drop_source=True)
+    return o.groupBy("year", "quarter", "dayofweek").agg(F.count(F.lit(1)).alias("n_orders"))

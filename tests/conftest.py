@@ -18,7 +18,8 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    from demandlab.session import ensure_checkpoint_dir
+    from demandlab.session import close_runs, ensure_checkpoint_dir
     ensure_checkpoint_dir(s)
     yield s
+    close_runs()
     s.stop()
