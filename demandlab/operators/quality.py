@@ -74,6 +74,13 @@ def assert_column_contract(df: DataFrame, expected) -> None:
         raise DataQualityError(f"column contract violated: {diff}")
 
 
+def assert_no_overlap(left: DataFrame, right: DataFrame, keys) -> None:
+    """Sides of a merge share no column but the keys."""
+    both = sorted((set(left.columns) & set(right.columns)) - set(keys))
+    if both:
+        raise DataQualityError(f"both sides of the merge have {both}")
+
+
 def assert_column_count(columns, expected: int, what: str = "columns") -> None:
     if len(columns) != expected:
         raise DataQualityError(f"expected {expected} {what}, received {len(columns)}")

@@ -56,12 +56,16 @@ STAGES: dict[str, Callable[[Tables, ModelConfig], DataFrame]] = {
 
 
 def run(spark: SparkSession, source: str | None, out: str, cfg: ModelConfig = DEFAULT_CONFIG,
-        stages=None, fmt: str = "parquet", database: str | None = None) -> dict[str, str]:
+        stages=None, fmt: str = "parquet", database: str | None = None, landed: str | None = None) -> dict[str, str]:
+    """``landed``: folder of external file drops; they become the stage landed_master."""
     written = {}
     with Run(spark) as held:  # intermediates go when the run ends
         t = Tables(spark, source, database, held)
         for name in (stages or list(STAGES)):
             written[name] = write_stage(STAGES[name](t, cfg), out, name, fmt)
+        if landed is not None:
+            from demandlab.plans.landed import landed_master
+            written["landed_master"] = write_stage(landed_master(t, landed, cfg), out, "landed_master", fmt)
     return written
 
 
@@ -70,11 +74,12 @@ def main(argv=None) -> None:
     ap.add_argument("--source", help="directory of <table>.parquet (omit to read catalog tables)")
     ap.add_argument("--database", help="catalog database when --source is omitted")
     ap.add_argument("--out", required=True, help="shared output directory")
+    ap.add_argument("--landed", help="folder of external file drops (one sub-folder a source)")
     ap.add_argument("--stages", help="comma-separated subset of: " + ",".join(STAGES))
     a = ap.parse_args(argv)
     from demandlab.session import build_session
     spark = SparkSession.getActiveSession() or build_session()
-    res = run(spark, a.source, a.out, stages=a.stages.split(",") if a.stages else None, database=a.database)
+    res = run(spark, a.source, a.out, stages=a.stages.split(",") if a.stages else None, database=a.database, landed=a.landed)
     for k, v in res.items():
         print(f"{k}\t{v}")
 

@@ -354,20 +354,36 @@ def master_current(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, validate: bool
                   lambda: _master_current(t, cfg, validate))
 
 
-def _master_current(t: Tables, cfg: ModelConfig, validate: bool) -> DataFrame:
+def _merge(validate: bool):
+    """A left merge; with ``validate``, the right side's keys must be unique and
+    the sides share no other column.  (The left side's rows are kept by that,
+    so it isn't run again for a check.)"""
     from demandlab.operators.joins import validated_join
-    J = (lambda l, r, on, v: validated_join(l, r, on, "left", v)) if validate else \
-        (lambda l, r, on, v: l.join(r, on, "left"))
+    from demandlab.operators.quality import assert_no_overlap
+
+    def merge(left: DataFrame, right: DataFrame, on) -> DataFrame:
+        if not validate:
+            return left.join(right, on, "left")
+        assert_no_overlap(left, right, on)
+        return validated_join(left, right, on, "left", "m:1")
+    return merge
+
+
+def _master_current(t: Tables, cfg: ModelConfig, validate: bool) -> DataFrame:
+    J = _merge(validate)
     keys = ["state", "state_initial", "date"]
     base = per_million_features(t, cfg, validate=validate)
     mob = rolling_mean_by_state(t, cfg)
     claims = claims_renamed(t, cfg)
     q = quarterly_series(t, cfg)
     price = price_index_clean(t, cfg).select("year", "month", F.col("value").alias("price_index"))
-    m = J(base, mob, keys, "1:1")
-    m = J(m, claims, keys, "1:1")
-    m = J(m, q, ["year", "quarter"], "m:1")
-    return J(m, price, ["year", "month"], "m:1")
+    if validate:
+        from demandlab.operators.joins import assert_unique
+        assert_unique(base, keys, "left")
+    m = J(base, mob, keys)
+    m = J(m, claims, keys)
+    m = J(m, q, ["year", "quarter"])
+    return J(m, price, ["year", "month"])
 
 
 def master_projection(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, validate: bool = False) -> DataFrame:
@@ -377,7 +393,8 @@ def master_projection(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, validate: bo
     cur = master_current(t, cfg, validate=validate).drop("year", "quarter", "month", "avg_order_value_q")
     p = policy_exposure(t, cfg).drop("month")
     cur = cur.drop(*[c for c in cur.columns if c in p.columns and c not in keys])
-    return p.join(cur, keys, "left").join(quarterly_series(t, cfg), ["year", "quarter"], "left")
+    J = _merge(validate)
+    return J(J(p, cur, keys), quarterly_series(t, cfg), ["year", "quarter"])
 
 
 # ------------------------------------------------------------- geography ----

@@ -729,3 +729,31 @@ def q_date_parts(spark, sf_dir):
         o = with_date_part(o, "o_orderdate", part)
     o = with_date_part(o, "o_orderdate", "dayofweek", drop_source=True)
     return o.groupBy("year", "quarter", "dayofweek").agg(F.count(F.lit(1)).alias("n_orders"))
+
+
+# ---------------------------------------------------------- landed external data ----
+
+_BASELINES = ["retail_and_recreation", "grocery_and_pharmacy", "parks", "transit_stations", "workplaces", "residential"]
+_BASELINES = [f"{b}_percent_change_from_baseline" for b in _BASELINES]
+_LM_M = ", ".join(f"CAST({'n_orders' if i % 2 == 0 else 'urgent_orders'} AS DOUBLE) AS {b}" for i, b in enumerate(_BASELINES))
+_LM_R = ", ".join(f"CASE WHEN count({b}) OVER w6 >= 6 THEN round(avg({b}) OVER w6, 4) END AS {b}_6_roll_mean" for b in _BASELINES)
+
+
+@register("landed_master", with_(O.GEO, O.sd_cte(CFG), O.CLAIMS, O.QUARTERLY, O.PRICE, f"m AS (SELECT state, state_initial, date, n_orders, urgent_orders, {_LM_M} FROM sd)",
+                                 f"r AS (SELECT *, {_LM_R} FROM m WINDOW w6 AS (PARTITION BY state ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))") + f"""
+SELECT r.state, r.state_initial, r.date, CAST(year(r.date) AS INTEGER) AS year, 'q' || CAST(quarter(r.date) AS VARCHAR) AS quarter,
+       CAST(month(r.date) AS INTEGER) AS month, r.n_orders AS src2_cases, CAST(r.urgent_orders AS BIGINT) AS src2_deaths,
+       {", ".join(_BASELINES)}, {", ".join(b + "_6_roll_mean" for b in _BASELINES)},
+       cr.IC, round(q.avg_order_value_q, 4) AS unemployment_rate, round(pr.value, 4) AS price_index
+FROM r LEFT JOIN cr ON cr.state = r.state AND cr.date = r.date
+LEFT JOIN q ON q.year = year(r.date) AND q.quarter = 'q' || CAST(quarter(r.date) AS VARCHAR)
+LEFT JOIN pr ON pr.year = year(r.date) AND pr.month = month(r.date)""")
+def q_landed_master(spark, sf_dir):
+    import uuid
+
+    from demandlab.plans import landed
+    from demandlab.session import ensure_checkpoint_dir
+    t = _t(spark, sf_dir)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/demandlab-landed-{uuid.uuid4().hex}"
+    landed.land_drops(t, folder, CFG)
+    return round_doubles(landed.landed_master(t, folder, CFG))

@@ -223,3 +223,26 @@ def test_fit_of_a_one_week_series():
     pdf = pd.DataFrame({"sell_id": ["a"], "week_ending_date": [dt.date(1997, 3, 1)], "qty": [4.0]})
     out = forecast._fourier_fit(pdf, [dt.date(1998, 3, 7)], CFG.cap_floor_until)
     assert out.seasonal_forecast.tolist() == [4.0]
+
+
+def test_landed_chain_checks_its_files(spark):
+    """File drops -> pipeline stage; a changed header, a doubled key or a clashing column fails."""
+    from demandlab import pipeline
+    from demandlab.operators.joins import JoinValidationError
+    from demandlab.plans import landed
+    folder, out = scratch("landed"), scratch("out")
+    t = Tables(spark, SF_SMALL)
+    landed.land_drops(t, folder)
+    written = pipeline.run(spark, SF_SMALL, out, stages=["policy_duration"], landed=folder)
+    rows = spark.read.parquet(written["landed_master"])
+    days = external.state_daily(t)
+    assert rows.count() == days.count() and rows.agg(F.sum("src2_cases")).first()[0] == days.agg(F.sum("n_orders")).first()[0]
+    assert rows.where("unemployment_rate IS NULL OR price_index IS NULL").count() == 0
+    drops, geo = landed.read_drops(spark, folder), external.geography(t)
+    with pytest.raises(JoinValidationError):
+        landed.merge_drops(drops | {"quarterly": drops["quarterly"].unionByName(drops["quarterly"])}, geo)
+    with pytest.raises(DataQualityError, match="src2_cases"):
+        landed.merge_drops(drops | {"quarterly": drops["quarterly"].withColumn("src2_cases", F.lit(1))}, geo)
+    write(f"{folder}/cases/drop3/new.csv", "date,state,deaths,cases\n2020-04-01,Ohio,7,1000\n", age=-10 ** 9)
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        landed.landed_master(t, folder).collect()
