@@ -73,7 +73,7 @@ def _pack(batches):
 
 
 def _unpack_seq(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4").astype(np.int64)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i4")
 
 
 def _vocabulary(batches):
@@ -86,9 +86,9 @@ def _vocabulary(batches):
 def places(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     """Number of each word among the sorted contexts, or -1."""
     if len(contexts) == 0:
-        return np.full(len(words), -1)
+        return np.full(len(words), -1, np.int32)
     at = np.minimum(np.searchsorted(contexts, words), len(contexts) - 1)
-    return np.where(contexts[at] == words, at, -1)
+    return np.where(contexts[at] == words, at, -1).astype(np.int32)
 
 
 def _ngrams(shared):
@@ -98,12 +98,14 @@ def _ngrams(shared):
         for b in batches:
             for words, seq, held, lens in zip(*(b.column(c) for c in ("words", "seq", "held", "lens"))):
                 lens = np.array(lens.as_py())
-                doc = np.repeat(np.where(np.array(held.as_py(), bool), -1, np.arange(len(lens))), lens)
                 x = places(np.frombuffer(words.as_py(), "<i8"), contexts)[_unpack_seq(seq.as_py())]
-                x = np.where(doc >= 0, x, -1)
-                two = np.flatnonzero((x[:-1] >= 0) & (x[1:] >= 0) & (doc[1:] == doc[:-1]))
-                three = two[:-1][(np.diff(two) == 1) & (doc[two[:-1]] == doc[np.minimum(two[:-1] + 2, len(doc) - 1)])] if len(two) else two
-                for order, code in ((2, x[two] * m + x[two + 1]), (3, (x[three] * m + x[three + 1]) * m + x[three + 2] if len(three) else three)):
+                x[np.repeat(np.array(held.as_py(), bool), lens)] = -1
+                inner = np.ones(len(x), bool)  # the next token belongs to the same text
+                inner[np.cumsum(lens) - 1] = False
+                two = np.flatnonzero((x[:-1] >= 0) & (x[1:] >= 0) & inner[:-1])
+                pair = x[two].astype(np.int64) * m + x[two + 1]
+                triple = np.flatnonzero(np.diff(two) == 1)  # a pair that begins where another one ends
+                for order, code in ((2, pair), (3, pair[triple] * m + x[two[triple] + 2])):
                     code, n = np.unique(code, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), order, np.int32)), pa.array(code.astype(np.int64)),
                                                       pa.array(n.astype(np.int64))], ["size", "code", "n"])
@@ -199,10 +201,12 @@ def _score(shared):
         c[x >= 0] = known[x[x >= 0]]
         root = np.log10((c + 1) / (total + vocabulary + 1))
         seq, lens = _unpack_seq(row["seq"].as_py()), np.array(row["lens"].as_py(), np.int64)
-        begin = np.cumsum(lens) - lens
-        base, hit = np.add.reduceat(root[seq], begin), np.add.reduceat((c > 0)[seq].astype(np.int64), begin)
-        token, alone = x[seq], root[seq]
-        score = [model.walk(token[i:i + n].tolist(), alone[i:i + n].tolist()) for i, n in zip(begin.tolist(), lens.tolist())]
+        base, hit, score = np.zeros(len(lens)), np.zeros(len(lens), np.int64), np.zeros(len(lens))
+        for k, (i, n) in enumerate(zip((np.cumsum(lens) - lens).tolist(), lens.tolist())):
+            part = seq[i:i + n]
+            alone = root[part]
+            base[k], hit[k] = alone.sum(), np.count_nonzero(c[part])
+            score[k] = model.walk(x[part].tolist(), alone.tolist())
         return pa.table([row["doc_id"].values, row["held"].values, pa.array(lens), pa.array(hit), pa.array(np.full(len(lens), total, np.int64)),
                          pa.array(base), pa.array(score, pa.float64())], schema=kind)
 
