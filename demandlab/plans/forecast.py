@@ -290,6 +290,11 @@ def milestone_forecast_pos(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> Data
                         decays (or grows for a negative impact) by 0.9 a week
                         before the second milestone and is 0 afterwards.
     """
+    return _milestone_pos(t, cfg).drop("max_qty_ly")
+
+
+def _milestone_pos(t: Tables, cfg: ModelConfig) -> DataFrame:
+    """``milestone_forecast_pos`` with the peak weeks' largest last-year quantity."""
     g, _, _, _ = _milestone_base(t, cfg, shipments=False)
     f, qty = pos_decay(F.col("k"), F.col("pos_weeks_to_second"), F.col("latest_growth"), F.col("latest_qty"),
                        F.col("median_baseline"), F.col("negative_impact"))
@@ -300,7 +305,7 @@ def milestone_forecast_pos(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> Data
         "first_milestone_date",
         F.col("pos_second_milestone_date").alias("second_milestone_date"),
         F.col("pos_third_milestone_date").alias("third_milestone_date"),
-        "median_baseline", "negative_impact",
+        "median_baseline", "negative_impact", "max_qty_ly",
     )
 
 
@@ -441,7 +446,7 @@ def _adjust(base: DataFrame, cfg: ModelConfig, *, shipments: bool) -> DataFrame:
 
 
 def _adjusted(t: Tables, cfg: ModelConfig, shipments: bool) -> DataFrame:
-    base = milestone_forecast_ship(t, cfg) if shipments else milestone_forecast_pos(t, cfg)
+    base = milestone_forecast_ship(t, cfg) if shipments else _milestone_pos(t, cfg)
     w = model_weekly(t, cfg, shipments=shipments)
     ly = last_year(w, cfg).select("sell_id", "week_of_year", F.col("qty").alias("qty_ly"),
                                   F.col("dollars").alias("dollars_ly"))
@@ -452,10 +457,6 @@ def _adjusted(t: Tables, cfg: ModelConfig, shipments: bool) -> DataFrame:
     # week), so actual weeks carry no flag -- it is only read after L.
     smed = (seasonal_rolling_median(seasonal).select("sell_id", "week_ending_date", "seasonal_roll6_median")
             .join(hg, "sell_id", "inner"))
-    if not shipments:
-        y, _, st = series_with_status(t, cfg, ["complete"])
-        pk = peak_statistics(y, cfg).select("sell_id", "max_qty_ly")
-        base = base.join(pk, "sell_id", "left")
     b = (base.join(ly, ["sell_id", "week_of_year"], "left")
              .join(lymed, ["sell_id", "week_of_year"], "left")
              .join(smed, ["sell_id", "week_ending_date"], "left")
