@@ -49,7 +49,7 @@ def instance_shape(band_end: np.ndarray, percent: int) -> tuple[np.ndarray, np.n
 def signatures(sets: np.ndarray, sizes: np.ndarray, percent: int, band_shift: int):
     """Signatures of every set for its band (shift 0) or the next one (shift 1):
     (signature, row of the set), and how many of them each set shares with any
-    similar set in that band at least."""
+    similar set in that band at least.  A signature's last bit is its band's."""
     ends = size_bands(int(sizes.max(initial=1)), percent)
     band = np.searchsorted(ends, sizes) + band_shift
     k, groups, slack = instance_shape(ends[np.minimum(band, len(ends) - 1)], percent)
@@ -75,7 +75,8 @@ def signatures(sets: np.ndarray, sizes: np.ndarray, percent: int, band_shift: in
         seed = mix(band[who].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + place.astype(np.uint64))
         for c, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
             ok = ~(pair_empty[:, c] & drop_empty)
-            out.append(mix(seed + np.uint64(c + 1) * content[:, i] + mix(content[:, j] + np.uint64(c)))[ok])
+            sig = mix(seed + np.uint64(c + 1) * content[:, i] + mix(content[:, j] + np.uint64(c)))
+            out.append(((sig & ~np.uint64(1)) | (band[who] & 1).astype(np.uint64))[ok])
             rows.append(who[ok])
     return np.concatenate(out), np.concatenate(rows), np.maximum(1, 1 + slack - risky.astype(np.int64))
 
@@ -202,33 +203,42 @@ CELL_ROWS = 256  # members of a family that meet in one task at a time (twice as
 
 def _resolve(groups: DataFrame, comp: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between members of one signature group that lie in different
-    components.  Such members form families (they share groups, directly or in
-    chains).  Members with fewer contested signatures than they share with
-    any similar set (``least``) are settled.  Families are cut into blocks;
+    components.  Such members form families (they share groups of
+    one band, directly or in chains).  Members with fewer contested signatures
+    of a band than they share with any similar set (``least``) are settled, and
+    each member's ``least`` - 1 most frequent ones aren't needed.  Families are cut into blocks;
     each pair of blocks is one cell, tested in one task with one matrix product
     of memberships.  Cells return a spanning forest of what they link."""
     by_sig = Window.partitionBy("sig")
 
     def contested(rows: DataFrame) -> DataFrame:
-        return rows.select("*", F.min("comp").over(by_sig).alias("c0"), F.max("comp").over(by_sig).alias("c1"),
-                           F.min("set_key").over(by_sig).alias("first")).where("c0 <> c1").drop("c0", "c1")
+        return rows.select("*", F.min("comp").over(by_sig).alias("c0"), F.max("comp").over(by_sig).alias("c1")) \
+            .where("c0 <> c1").drop("c0", "c1")
 
     lab = groups.select("sig", "set_key").distinct().join(
         comp.select(F.col("node").alias("set_key"), F.col("component").alias("comp")), "set_key", "left") \
-        .withColumn("comp", F.coalesce("comp", "set_key"))
+        .withColumn("comp", F.coalesce("comp", "set_key")).withColumn("odd", F.col("sig").bitwiseAND(1))
     apart = stage_table(contested(lab), "apart")
-    # fewest shared signatures of a similar pair: every set counts its own risky groups as lost
-    enough = apart.groupBy("set_key").agg(F.count("*").alias("shared")).join(texts.select("set_key", "least"), "set_key") \
-        .where("shared >= least").select("set_key")
-    apart = stage_table(contested(apart.drop("first").join(enough, "set_key")), "apart")
-    family = connected_components(apart.select(F.col("first").alias("a"), F.col("set_key").alias("b")))
-    members = family.join(apart.select(F.col("set_key").alias("node"), "comp").distinct(), "node")
+    for _ in range(2):  # rows that go may settle others
+        shared = apart.groupBy("set_key", "odd").agg(F.count("*").alias("shared")) \
+            .join(texts.select("set_key", "least_even", "least_odd"), "set_key") \
+            .withColumn("least", F.when(F.col("odd") == 1, F.col("least_odd")).otherwise(F.col("least_even"))) \
+            .where("shared >= least").select("set_key", "odd", "least", "shared")
+        apart = stage_table(contested(apart.select("sig", "set_key", "comp", "odd").join(shared, ["set_key", "odd"])), "apart")
+    # of two similar sets, the rarest common signature is not among the last least - 1 of either
+    rare = Window.partitionBy("set_key", "odd").orderBy("crowd", "sig")
+    apart = apart.withColumn("crowd", F.count("*").over(by_sig)).withColumn("place", F.row_number().over(rare)) \
+        .withColumn("shared", F.count("*").over(Window.partitionBy("set_key", "odd"))).where("place <= shared - least + 1")
+    apart = stage_table(contested(apart.select("sig", "comp", "set_key", "odd")).withColumn("node", F.xxhash64("set_key", "odd"))
+                        .withColumn("first", F.min("node").over(by_sig)), "apart")
+    family = connected_components(apart.select(F.col("first").alias("a"), F.col("node").alias("b")))
+    members = family.join(apart.select("node", "set_key", "comp").distinct(), "node")
     blocks = family.groupBy("component").agg(F.ceil(F.count("*") / CELL_ROWS).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     cells = (members.join(blocks, "component").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
-                     F.col("node").alias("set_key"), "comp"))
+                     "set_key", "comp"))
     rows = cells.join(texts, "set_key").repartition("cell").sortWithinPartitions("cell")
     return rows.select("cell", "comp", "text").mapInArrow(_cell_links(size, percent), "a long, b long")
 
@@ -288,14 +298,16 @@ def _texts(known: DataFrame, wanted: DataFrame, size: int, percent: int) -> Data
     the document's id with another text are left out."""
     rows = known.join(wanted.select(F.col("rep").alias("doc_id"), "set_key"), "doc_id").select("set_key", "text")
 
-    def own(batches):
+    def run(batches):
         for b in batches:
             for a, buf, off in text_chunks(b.column("text")):
                 sets, sizes = shingle_sets(buf, off, size)
                 part = b.slice(a, len(sizes))
                 same = _set_keys(sets, sizes) == part.column("set_key").to_numpy()
-                least = np.minimum(*(signatures(sets, sizes, percent, shift)[2] for shift in (0, 1)))
-                yield pa.RecordBatch.from_arrays([part.column("set_key"), part.column("text"), pa.array(least)],
-                                                 ["set_key", "text", "least"]).filter(pa.array(same))
+                own, following = (signatures(sets, sizes, percent, shift)[2] for shift in (0, 1))
+                odd = np.searchsorted(size_bands(int(sizes.max(initial=1)), percent), sizes) % 2 == 1
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("set_key"), part.column("text"), pa.array(np.where(odd, following, own)),
+                     pa.array(np.where(odd, own, following))], ["set_key", "text", "least_even", "least_odd"]).filter(pa.array(same))
 
-    return stage_table(rows.mapInArrow(own, "set_key long, text string, least long"), "texts")
+    return stage_table(rows.mapInArrow(run, "set_key long, text string, least_even long, least_odd long"), "texts")
