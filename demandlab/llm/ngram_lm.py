@@ -1,23 +1,23 @@
 """Language model scores by a weighted backoff automaton.
 
-Counts come from all training documents; every token's count takes part.
-Tokens with a relative frequency of ``STATE_SHARE`` or more (10,000 at most)
-are contexts: each context, and each pair of contexts with arcs of its own, is
-a state.  An arc carries the smoothed log-probability of its n-gram (relative
-frequency ``ARC_SHARE`` or more); a failure arc carries the backoff weight that
-makes the probabilities of a state sum to one, and leads to the state of the
-shorter context, at last to the root, which scores every token by its count.
-A text is scored in one walk from left to right that carries the state.
+Every token's count takes part, and every run of two or three tokens that
+occurs ``LEAST`` times or more in the training documents, whatever its tokens,
+is an arc.  A token, or a pair of tokens, with arcs is a state; its failure arc
+carries the backoff weight that makes the probabilities of the state sum to
+one and leads to the state of the shorter context, at last to the root, which
+scores every token by its count.
 
 Documents are packed into shards (distinct tokens and the sequence of their
-places) once, so that a token's count is looked up once a shard, not once a
-document: the counts of the others than the contexts join on the token.
+places) once.  The model is never in one place: a shard asks for the counts of
+its distinct n-grams (of three tokens, those whose two pairs are arcs), sorted by hash and cut into ranges of hashes (``part``);
+every range sums what its shards sent and answers each in the order asked.  One
+shard owns an n-gram and adds it to the sums of its context, which are summed
+and answered alike.  So a shard gets the arcs and failure weights of its own
+states, and its texts walk them all at once.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -25,16 +25,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, prefix_hash, slice_hash, stage_table, text_chunks, word_spans
+from .common import LOWER, gram_hash, prefix_hash, slice_hash, stage_table, text_chunks, word_spans
 from .quality import fold
 
-STATE_SHARE, ARC_SHARE = 1e-4, 1e-6
-LEAST = 2             # fewest occurrences of a context or an arc
+STATE_SHARE = 0.0     # not read: a context needs no share of the tokens (a test still sets it)
+LEAST = 2             # fewest occurrences of an arc
 MU = 2.0              # pseudo-counts of the shorter context's distribution
-SHARD_TOKENS, SHARD_DOCS = 2_000_000, 4000
+SHARD_TOKENS, SHARD_DOCS = 1_000_000, 4000
+PART_TOKENS = 1_000_000  # training and held-out tokens a range of hashes
 END = np.uint64(0xE0D0E0D0E0D0E0D1)  # the end token
 
-SHARD_KIND = ("shard long, doc_id array<long>, held array<boolean>, lens array<int>, words binary, counts binary, seq binary")
+SHARD_KIND = "shard long, doc_id array<long>, held array<boolean>, lens array<int>, words binary, seq binary, size long, train long"
+#: What a shard asks of a range of hashes (kind: tokens of an n-gram; values: its own sums), and the answer.
+ASK_KIND = "part int, shard long, kind int, grams binary, values array<binary>"
+ANSWER_KIND = "shard long, kind int, part int, values array<binary>, owned long"
 
 
 def _pack(batches):
@@ -45,12 +49,12 @@ def _pack(batches):
 
     def done():
         words, seq = np.unique(np.concatenate(tokens), return_inverse=True)
-        train = np.repeat(~np.array(held, bool), lens)
-        counts = np.bincount(seq[train], minlength=len(words)).astype("<u4")
+        train = int(np.array(lens)[~np.array(held, bool)].sum())
         return pa.RecordBatch.from_arrays(
             [pa.array([task << 24 | made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
              pa.array([lens], pa.list_(pa.int32())), pa.array([words.astype("<u8").tobytes()], pa.binary()),
-             pa.array([counts.tobytes()], pa.binary()), pa.array([zip_.compress(seq.astype("<u4").tobytes())], pa.binary())],
+             pa.array([zip_.compress(seq.astype("<u4").tobytes())], pa.binary()), pa.array([len(seq)], pa.int64()),
+             pa.array([train], pa.int64())],
             [x.split()[0] for x in SHARD_KIND.split(", ")])
 
     for b in batches:
@@ -76,139 +80,195 @@ def _unpack_seq(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i4")
 
 
-def _vocabulary(batches):
-    for b in batches:
-        for words, counts in zip(b.column("words"), b.column("counts")):
-            w, n = np.frombuffer(words.as_py(), "<i8"), np.frombuffer(counts.as_py(), "<u4")
-            yield pa.RecordBatch.from_arrays([pa.array(w[n > 0]), pa.array(n[n > 0].astype(np.int64))], ["word", "n"])
+def squeeze(v: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes."""
+    planes = np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def spread(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+class Shard:
+    """The distinct n-grams of a shard, sorted by hash, and where they stand."""
+
+    def __init__(self, row: dict):
+        self.words = np.frombuffer(row["words"], "<u8")
+        self.seq, self.lens = _unpack_seq(row["seq"]), np.array(row["lens"], np.int64)
+        self.train = np.repeat(~np.array(row["held"], bool), self.lens)
+        left = np.repeat(np.cumsum(self.lens), self.lens) - np.arange(len(self.seq))  # tokens of the text from here on
+        x = self.words[self.seq]
+        self.at, self.grams, self.which, self.some = {}, {1: self.words}, {1: self.seq}, {}
+        for k in (2, 3):
+            at = np.flatnonzero(left >= k).astype(np.int32)
+            grams, some, which = np.unique(gram_hash(x, k)[at], return_index=True, return_inverse=True)
+            self.at[k], self.grams[k], self.which[k], self.some[k] = at, grams, which.astype(np.int32), at[some]
+        self.pair = np.zeros(len(self.seq), np.int32)  # number of the pair that begins here
+        self.pair[self.at[2]] = self.which[2]
 
+    def own_counts(self, k: int) -> np.ndarray:
+        at = slice(None) if k == 1 else self.at[k]
+        return np.bincount(self.which[k][self.train[at]], minlength=len(self.grams[k]))
 
-def places(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Number of each word among the sorted contexts, or -1."""
-    if len(contexts) == 0:
-        return np.full(len(words), -1, np.int32)
-    at = np.minimum(np.searchsorted(contexts, words), len(contexts) - 1)
-    return np.where(contexts[at] == words, at, -1).astype(np.int32)
 
+def _asked(shard: int, kind: int, grams: np.ndarray, values: list[np.ndarray], parts: int):
+    """A row for each range of hashes with n-grams."""
+    place = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    part, first = np.unique(place, return_index=True)
+    rows = [(int(p), squeeze(np.diff(grams[a:b], prepend=np.uint64(0))), [squeeze(v[a:b]) for v in values])
+            for p, a, b in zip(part.tolist(), first.tolist(), [*first[1:].tolist(), len(grams)])]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([shard] * len(rows), pa.int64()), pa.array([kind] * len(rows), pa.int32()),
+         pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.binary()))],
+        [x.split()[0] for x in ASK_KIND.split(", ")])
 
-def _ngrams(shared):
+
+def _answered(answers: pa.Table, kind: int, size: int, columns: int) -> list[np.ndarray]:
+    """The answers to all that a shard asked of a kind, in the order of its n-grams."""
+    rows = sorted((p, v) for k, p, v in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "values"))) if k == kind)
+    out = [np.concatenate([spread(v[j]) for _, v in rows] or [np.zeros(0, np.uint64)]).astype(np.int64) for j in range(columns)]
+    assert all(len(x) == size for x in out)
+    return out
+
+
+def _ask_counts(parts: int):
     def run(batches):
-        contexts = shared.value
-        m = len(contexts)
         for b in batches:
-            for words, seq, held, lens in zip(*(b.column(c) for c in ("words", "seq", "held", "lens"))):
-                lens = np.array(lens.as_py())
-                x = places(np.frombuffer(words.as_py(), "<i8"), contexts)[_unpack_seq(seq.as_py())]
-                x[np.repeat(np.array(held.as_py(), bool), lens)] = -1
-                inner = np.ones(len(x), bool)  # the next token belongs to the same text
-                inner[np.cumsum(lens) - 1] = False
-                two = np.flatnonzero((x[:-1] >= 0) & (x[1:] >= 0) & inner[:-1])
-                pair = x[two].astype(np.int64) * m + x[two + 1]
-                triple = np.flatnonzero(np.diff(two) == 1)  # a pair that begins where another one ends
-                for order, code in ((2, pair), (3, pair[triple] * m + x[two[triple] + 2])):
-                    code, n = np.unique(code, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), order, np.int32)), pa.array(code.astype(np.int64)),
-                                                      pa.array(n.astype(np.int64))], ["size", "code", "n"])
+            for row in b.to_pylist():
+                s = Shard(row)
+                for k in (1, 2):
+                    yield _asked(row["shard"], k, s.grams[k], [s.own_counts(k)], parts)
+    return run
+
+
+def _answers():
+    """Sums of a range of hashes, a row for each one asked.  Counts (kinds 1 to
+    3) are 0 for an n-gram that isn't an arc, and have beside them 1 for its
+    owner, the first shard that has it in a training text."""
+    kind_ = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("values", pa.list_(pa.binary())),
+                       ("owned", pa.int64())])
+
+    def run(key, asked):
+        out = []
+        kinds = asked.column("kind").to_numpy()
+        for kind in np.unique(kinds).tolist():
+            rows = asked.filter(pa.array(kinds == kind)).sort_by("shard")
+            grams = [np.cumsum(spread(g.as_py()), dtype=np.uint64) for g in rows.column("grams")]
+            ends = np.cumsum([len(g) for g in grams])
+            distinct, which = np.unique(np.concatenate(grams), return_inverse=True)
+            del grams
+            values = rows.column("values").to_pylist()
+            sums, own = [], None
+            for j in range(len(values[0])):
+                v = np.concatenate([spread(x[j]) for x in values])
+                total = np.zeros(len(distinct), np.int64)
+                np.add.at(total, which, v.astype(np.int64))
+                if kind <= 3:
+                    have = np.flatnonzero(v)
+                    owner = np.unique(which[have], return_index=True)[1]
+                    total[total < (1 if kind == 1 else LEAST)] = 0
+                    own = np.zeros(len(v), np.int64)
+                    own[have[owner]] = 1
+                    own[total[which] == 0] = 0
+                sums.append(total)
+            for i, shard in enumerate(rows.column("shard").to_pylist()):
+                a, b = ends[i - 1] if i else 0, ends[i]
+                answer = [squeeze(t[which[a:b]]) for t in sums] + ([squeeze(own[a:b])] if kind <= 3 else [])
+                out.append((shard, kind, key[0].as_py(), answer, int(own[a:b].sum()) if kind <= 3 else 0))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), kind_)], schema=kind_) if out else kind_.empty_table()
+
     return run
 
 
-class Automaton:
-    """States, arcs and failure arcs over numbered contexts; state 0 is the root."""
-
-    def __init__(self, counts: np.ndarray, total: int, vocabulary: int, two: dict[int, int], three: dict[int, int]):
-        m = self.m = max(1, len(counts))
-        p = [(c + 1) / (total + vocabulary + 1) for c in counts.tolist()]
-        self.fail, self.back, self.arcs = [0], [0.0], {}
-        number: dict[int, int] = {}
-        by_one: dict[int, list[tuple[int, int]]] = {}
-        by_two: dict[int, list[tuple[int, int]]] = {}
-        for code, n in sorted(two.items()):
-            by_one.setdefault(code // m, []).append((code % m, n))
-        for code, n in sorted(three.items()):
-            if code // m in two:
-                by_two.setdefault(code // m, []).append((code % m, n))
-        for a in by_one:
-            number[a] = len(number) + 1
-        for ab in by_two:
-            number[m * m + ab] = len(number) + 1
-        self.start = [number.get(a, 0) for a in range(len(counts))] + [0]  # the last one: any other token
-
-        def state(a: int, b: int) -> int:
-            return number.get(m * m + a * m + b) or number.get(b, 0)
-
-        chance: dict[int, float] = {}
-        weight: dict[int, float] = {}
-        for a, arcs in by_one.items():
-            seen = counts[a]
-            sure = [(b, (n + MU * p[b]) / (seen + MU)) for b, n in arcs]
-            weight[a] = (1 - sum(x for _, x in sure)) / (1 - sum(p[b] for b, _ in arcs))
-            self._add(number[a], 0, weight[a])
-            for b, x in sure:
-                chance[a * m + b] = x
-                self.arcs[number[a] * m + b] = (math.log10(x), state(a, b))
-        for ab, arcs in by_two.items():
-            b, seen = ab % m, two[ab]
-            short = [chance.get(b * m + c, weight.get(b, 1.0) * p[c]) for c, _ in arcs]
-            sure = [(n + MU * q) / (seen + MU) for (_, n), q in zip(arcs, short)]
-            self._add(number[m * m + ab], number.get(b, 0), (1 - sum(sure)) / (1 - sum(short)))
-            for (c, _), x in zip(arcs, sure):
-                self.arcs[number[m * m + ab] * m + c] = (math.log10(x), state(b, c))
-
-    def _add(self, s: int, fail: int, weight: float) -> None:
-        assert s == len(self.fail)
-        self.fail.append(fail)
-        self.back.append(math.log10(max(weight, 1e-12)))
-
-    def walk(self, tokens: list[int], root: list[float]) -> float:
-        """Log10-probability of a text: its tokens as contexts (-1: none) and
-        the root's log-probabilities."""
-        arcs, fail, back, start, m = self.arcs.get, self.fail, self.back, self.start, self.m
-        s, total = 0, 0.0
-        for x, alone in zip(tokens, root):
-            if x >= 0:
-                while s:
-                    arc = arcs(s * m + x)
-                    if arc is not None:
-                        total += arc[0]
-                        s = arc[1]
-                        break
-                    total += back[s]
-                    s = fail[s]
-                else:
-                    total += alone
-                    s = start[x]
-            else:
-                while s:
-                    total += back[s]
-                    s = fail[s]
-                total += alone
-        return total
-
-
-def _score(shared):
+def _counted(s: Shard, answers: pa.Table, sizes: tuple[int, ...] = (1, 2, 3)):
+    """Counts of the shard's n-grams by size, and which of them it owns."""
+    c, own = {}, {}
+    for k in sizes:
+        may = _may_repeat(s, c[2]) if k == 3 else np.ones(len(s.grams[k]), bool)
+        got = _answered(answers, k, int(may.sum()), 2)
+        c[k], own[k] = np.zeros(len(may), np.int64), np.zeros(len(may), bool)
+        c[k][may], own[k][may] = got[0], got[1] > 0
+    return c, own
+
+
+def _may_repeat(s: Shard, pairs: np.ndarray) -> np.ndarray:
+    """Three tokens occur ``LEAST`` times only if both of their pairs do."""
+    return (pairs[s.pair[s.some[3]]] > 0) & (pairs[s.pair[s.some[3] + 1]] > 0)
+
+
+def _context_sums(s: Shard, c: dict, own: dict, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Contexts of k tokens that may have arcs, and what the owned arcs add."""
+    arcs = np.flatnonzero(own[k + 1])
+    at = s.some[k + 1][arcs]
+    context = s.seq[at] if k == 1 else s.pair[at]
+    may, values = c[k] >= LEAST, []
+    for v in [c[k + 1][arcs], c[1][s.seq[at + k]] + 1] + ([c[2][s.pair[at + 1]]] if k == 2 else []):
+        total = np.zeros(len(may), np.int64)
+        np.add.at(total, context, v)
+        values.append(total[may])
+    return s.grams[k][may], values
+
+
+def _ask_again(parts: int, k: int):
+    """Asks for the sums of the contexts of k tokens; with k = 1 also for the
+    counts of three tokens."""
+    kind = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("kind", pa.int32()), ("grams", pa.binary()),
+                      ("values", pa.list_(pa.binary()))])
+
+    def run(key, shards: pa.Table, answers: pa.Table) -> pa.Table:
+        if shards.num_rows == 0:
+            return kind.empty_table()
+        row = shards.to_pylist()[0]
+        s = Shard(row)
+        c, own = _counted(s, answers, (1, 2) if k == 1 else (1, 2, 3))
+        out = [_asked(row["shard"], 3 + k, *_context_sums(s, c, own, k), parts)]
+        if k == 1:
+            may = _may_repeat(s, c[2])
+            out.append(_asked(row["shard"], 3, s.grams[3][may], [s.own_counts(3)[may]], parts))
+        return pa.Table.from_batches(out, schema=kind)
+
+    return run
+
+
+def _score(total: int, vocabulary: int):
     kind = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                       ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    every = total + vocabulary + 1
 
-    def run(key, shards: pa.Table, counts: pa.Table) -> pa.Table:
-        contexts, known, total, vocabulary, model = shared.value
+    def run(key, shards: pa.Table, answers: pa.Table) -> pa.Table:
         if shards.num_rows == 0:
             return kind.empty_table()
-        row = {c: shards.column(c)[0] for c in shards.column_names}
-        words = np.frombuffer(row["words"].as_py(), "<i8")
-        c = np.zeros(len(words), np.int64)
-        c[counts.column("place").to_numpy()] = counts.column("c").to_numpy()
-        x = places(words, contexts)
-        c[x >= 0] = known[x[x >= 0]]
-        root = np.log10((c + 1) / (total + vocabulary + 1))
-        seq, lens = _unpack_seq(row["seq"].as_py()), np.array(row["lens"].as_py(), np.int64)
-        base, hit, score = np.zeros(len(lens)), np.zeros(len(lens), np.int64), np.zeros(len(lens))
-        for k, (i, n) in enumerate(zip((np.cumsum(lens) - lens).tolist(), lens.tolist())):
-            part = seq[i:i + n]
-            alone = root[part]
-            base[k], hit[k] = alone.sum(), np.count_nonzero(c[part])
-            score[k] = model.walk(x[part].tolist(), alone.tolist())
-        return pa.table([row["doc_id"].values, row["held"].values, pa.array(lens), pa.array(hit), pa.array(np.full(len(lens), total, np.int64)),
-                         pa.array(base), pa.array(score, pa.float64())], schema=kind)
+        s = Shard(shards.select(["words", "seq", "held", "lens"]).to_pylist()[0])
+        c, _ = _counted(s, answers)
+        p1 = (c[1] + 1) / every
+        # failure weights: what the arcs leave, over what the shorter context gives to all others
+        weight = {}
+        for k in (1, 2):
+            may = np.flatnonzero(c[k] >= LEAST)
+            sums = _answered(answers, 3 + k, len(may), k + 1)
+            may, sums = may[sums[0] > 0], [v[sums[0] > 0] for v in sums]
+            rest = (every - sums[1]) / every
+            if k == 2:
+                seen = c[1][s.seq[s.some[2][may] + 1]]
+                rest = (seen - sums[2] + MU * rest) / (seen + MU)
+            weight[k] = np.ones(len(c[k]))
+            weight[k][may] = (c[k][may] - sums[0] + MU * rest) / ((c[k][may] + MU) * rest)
+        base = np.log10(p1)[s.seq]
+        score, short = base.copy(), p1
+        for k in (2, 3):
+            at = s.some[k]
+            context = s.seq[at] if k == 2 else s.pair[at]
+            shorter = p1[s.seq[at + 1]] if k == 2 else short[s.pair[at + 1]]
+            short = np.where(c[k] > 0, (c[k] + MU * shorter) / (c[k - 1][context] + MU), shorter * weight[k - 1][context])
+            score[s.at[k] + (k - 1)] = np.log10(short)[s.which[k]]
+        first = np.cumsum(s.lens) - s.lens
+        hit = np.add.reduceat((c[1] > 0)[s.seq].astype(np.int64), first)
+        row = {x: shards.column(x)[0] for x in ("doc_id", "held")}
+        return pa.table([row["doc_id"].values, row["held"].values, pa.array(s.lens), pa.array(hit),
+                         pa.array(np.full(len(s.lens), total, np.int64)), pa.array(np.add.reduceat(base, first)),
+                         pa.array(np.add.reduceat(score, first))], schema=kind)
 
     return run
 
@@ -221,37 +281,23 @@ def lm_scores(docs: DataFrame, held_part: int = 2, parts: int = 7) -> DataFrame:
     ``held_part``.  Null texts are empty: their one token is the end.  A null
     doc_id counts as empty text in the fold.  Repeated rows count as often as
     they occur.  Without a training row every base probability is 1.  Other
-    columns are ignored.  Tokens are told apart by 64-bit hashes.
+    columns are ignored.  Tokens and n-grams are told apart by 64-bit hashes.
     """
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     rows = docs.select("doc_id", (fold(F.col("doc_id"), parts) == held_part).alias("held"), F.col("text").cast("string").alias("text"))
     shards = stage_table(rows.mapInArrow(_pack, SHARD_KIND), "shards")
-    vocabulary = stage_table(shards.select("words", "counts").mapInArrow(_vocabulary, "word long, n long")
-                             .groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, size = int(sums["n"]), int(sums["v"])
-
-    # at most 1 / STATE_SHARE contexts and 1 / ARC_SHARE arcs of each length reach the driver
-    often = vocabulary.where(F.col("c") >= max(LEAST, total * STATE_SHARE)).toArrow()
-    contexts, known = often.column("word").to_numpy(), often.column("c").to_numpy()
-    order = np.argsort(contexts)
-    contexts, known = contexts[order], known[order]
-    grams = shards.select("words", "seq", "held", "lens").mapInArrow(_ngrams(sc.broadcast(contexts)), "size int, code long, n long") \
-        .groupBy("size", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= max(LEAST, total * ARC_SHARE)).toArrow()
-    length, code, n = (grams.column(c).to_numpy() for c in ("size", "code", "n"))
-    two, three = (dict(zip(code[length == k].tolist(), n[length == k].tolist())) for k in (2, 3))
-    shared = sc.broadcast((contexts, known, total, size, Automaton(known, total, size, two, three)))
-    frequent = sc.broadcast(contexts)
-
-    def others(batches):
-        for b in batches:
-            for shard, words in zip(b.column("shard"), b.column("words")):
-                w = np.frombuffer(words.as_py(), "<i8")
-                at = np.flatnonzero(places(w, frequent.value) < 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard.as_py(), np.int64)), pa.array(at.astype(np.int32)),
-                                                  pa.array(w[at])], ["shard", "place", "word"])
-
-    counts = shards.select("shard", "words").mapInArrow(others, "shard long, place int, word long") \
-        .join(vocabulary, "word").select("shard", "place", "c")
-    return shards.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(
-        _score(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    sums = shards.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
+    total, ranges = int(sums["train"]), 1 + int(sums["size"]) // PART_TOKENS
+    shards = shards.drop("size", "train")
+
+    def answered(asked: DataFrame, name: str) -> DataFrame:
+        return stage_table(asked.groupBy("part").applyInArrow(_answers(), ANSWER_KIND), name)
+
+    bare = shards.drop("doc_id")
+    known = answered(bare.mapInArrow(_ask_counts(ranges), ASK_KIND), "counts")
+    size = int(known.where("kind = 1").agg(F.coalesce(F.sum("owned"), F.lit(0)).alias("n")).first()["n"])
+    for k in (1, 2):
+        asked = bare.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_ask_again(ranges, k), ASK_KIND)
+        known = known.unionByName(answered(asked, f"contexts-{k}"))
+    return shards.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(
+        _score(total, size), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

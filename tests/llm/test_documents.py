@@ -246,6 +246,27 @@ def test_lm_walk_equals_plain_backoff(spark, monkeypatch):
         assert got[i] == pytest.approx(plain, abs=1e-6)
 
 
+def test_lm_counts_rare_ngrams(spark, monkeypatch):
+    """An n-gram of rare tokens counts from its second occurrence on, however
+    many tokens there are, also when its texts lie in other shards."""
+    monkeypatch.setattr(ngram_lm, "SHARD_DOCS", 7)
+    monkeypatch.setattr(ngram_lm, "PART_TOKENS", 500)
+    fill = [(i, " ".join(f"w{(i * 31 + j * j) % 97}" for j in range(500))) for i in range(100)]
+    train = [i for i in range(200, 300) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
+    held = [i for i in range(300, 400) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = fill + [(i, "rare1 rare2 rare3") for i in train] + [(held[0], "rare1 rare2 rare3"), (held[1], "rare3 rare2 rare1")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in ngram_lm.lm_scores(frame).collect()}
+    c1 = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*words(t), "</s>"])
+    n = sum(c1.values()) + len(c1) + 1
+    assert got[held[0]].train_tokens == sum(c1.values())
+    p = [(c1[w] + 1) / n for w in ("rare1", "rare2", "rare3", "</s>")]
+    two = [(2 + 2 * x) / (2 + 2) for x in p]
+    three = [(2 + 2 * x) / (2 + 2) for x in two]
+    want = sum(map(math.log10, (p[0], two[1], three[2], three[3])))
+    assert got[held[0]].score == pytest.approx(want, abs=1e-6) and got[held[1]].score < got[held[0]].score - 5
+
+
 PATTERNS = {"assign": r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
             "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
 
