@@ -2,12 +2,13 @@
 
 A document is the multiset of its paragraphs (lines).  Every paragraph hashes
 to one wide vector; a document's fingerprint is the sum of the vectors of its
-paragraphs, lane by lane modulo a power of two.  So it doesn't depend on their
+paragraphs, lane by lane modulo 2^32.  So it doesn't depend on their
 order, and inserting or deleting a paragraph adds or subtracts one vector.
 
-The vector has two parts.  32 lanes modulo 2^32 are drawn from the hash of the
-whole paragraph and tell multisets apart.  128 lanes modulo 2^16 sum signed
-hashes of the paragraph's byte runs; they are short for like paragraphs, so
+The vector has two parts.  32 lanes are drawn from the hash of the
+whole paragraph and tell multisets apart.  128 lanes sum signed
+hashes of the paragraph's byte runs (a text has fewer than 2^31, so that no sum
+wraps); they are short for like paragraphs, so
 that the cosine of two documents' sums estimates how much they have in common.
 """
 
@@ -31,7 +32,7 @@ _LANE = mix(np.arange(1, EXACT_LANES + 1, dtype=np.uint64))
 
 
 def sketches(parts: Sequence[bytes]) -> np.ndarray:
-    """One row of lanes (uint32, the second part modulo 2^16) per item; each
+    """One row of lanes (uint32) per item; each
     item is one or more paragraphs joined by line feeds."""
     out = np.zeros((len(parts), WIDTH), np.uint32)
     a = 0
@@ -68,7 +69,7 @@ def _sketch_chunk(parts: Sequence[bytes]) -> np.ndarray:
     lane = item[para] * LIKE_LANES + (x & np.uint64(LIKE_LANES - 1)).astype(np.int64)
     sign = 1.0 - 2.0 * ((x >> np.uint64(32)) & np.uint64(1)).astype(np.float64)
     sums = np.bincount(lane, sign, n * LIKE_LANES).astype(np.int64).reshape(n, LIKE_LANES)
-    out[:, EXACT_LANES:] = (sums % (1 << 16)).astype(np.uint32)
+    out[:, EXACT_LANES:] = (sums % (1 << 32)).astype(np.uint32)
     return out
 
 
@@ -79,18 +80,17 @@ def combine(a: np.ndarray, plus: np.ndarray | None = None, minus: np.ndarray | N
         out += plus
     if minus is not None:
         out -= minus
-    out[..., EXACT_LANES:] &= np.uint32(0xFFFF)
     return out
 
 
 def to_text(v: np.ndarray) -> str:
-    return base64.b64encode(v[:EXACT_LANES].astype("<u4").tobytes() + v[EXACT_LANES:].astype("<u2").tobytes()).decode()
+    return base64.b64encode(v.astype("<u4").tobytes()).decode()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """0 to 1 for rows of lanes; 1 for equal fingerprints."""
-    x = a[:, EXACT_LANES:].astype(np.uint16).view(np.int16).astype(np.float64)
-    y = b[:, EXACT_LANES:].astype(np.uint16).view(np.int16).astype(np.float64)
+    x = a[:, EXACT_LANES:].astype(np.int32).astype(np.float64)
+    y = b[:, EXACT_LANES:].astype(np.int32).astype(np.float64)
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cos = np.clip((x * y).sum(1) / np.where(norm > 0, norm, 1.0), 0.0, 1.0)
     return np.where((a == b).all(1), 1.0, cos)

@@ -121,6 +121,17 @@ def test_fingerprint_is_homomorphic():
     assert fingerprint.likeness(f(""), f(""))[0] == 1 and fingerprint.likeness(f(""), f(a))[0] == 0
 
 
+def test_likeness_of_long_repetitions():
+    """Lane sums beyond 2^15, 2^16 and 2^31 / 2^16 keep their sign and size."""
+    for text in ("a" * 40_000, "a" * 65_544, "a" * 400_000, "the same passage again\n" * 100_000):
+        cut = len(text) - len(text) // 3
+        other = " ".join(f"w{i}" for i in range(len(text)))[:len(text) // 3]
+        (a, b) = fingerprint.fingerprint_texts([text, text[:cut] + other])
+        assert fingerprint.likeness(a[None], b[None])[0] > 0.9
+        edited, lanes = fingerprint._edit([text], [other], a[None])
+        assert (lanes == fingerprint.fingerprint_texts(edited)).all()
+
+
 def test_mix(docs, doc_rows):
     got = mixing.mix(docs).collect()
     sizes = Counter()
