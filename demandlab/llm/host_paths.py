@@ -3,9 +3,11 @@
 Every page is read into text blocks with the path of generalised elements
 (tag and first class or id, digits as #) above them; menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out.  The page votes for the path of the container that holds most of its
-text.  Votes are counted per host in Spark; pages are then read again and give
-the text below their host's winning path.
+left out.  The page votes for the path of the lowest container that holds its
+heading and nearly all of its text, and names the containers beside it.  Votes
+are counted per host in Spark; pages are then read again and give the text
+below their host's winning path, if nearly all that it leaves out stands in
+containers that most of the host's pages leave out.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ LEFT_OUT_WORDS = frozenset(
     "navigation newsletter notice notices overlay pager pagination popup promo promotion related reply replies respond "
     "share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 NOT_MEANT = frozenset("no has with without".split())
+ARTICLE_WORDS = frozenset("article post entry story".split())
 TITLE_OWNERS = frozenset("article post entry story content".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>"""
@@ -50,6 +53,9 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 ENDS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}),
         "td": ("td th", {"table", "tr"}), "th": ("td th", {"table", "tr"}), "option": ("option", {"select"})}
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NEARLY = 0.9  # share of the text that a container holds, or that the host's path explains
+
 Block = tuple[tuple[str, ...], str, int]  # path, text, characters of it in links
 
 
@@ -189,36 +195,68 @@ def weigh(found: list[Block]) -> dict[tuple[str, ...], int]:
     return total
 
 
+def _tag(name: str) -> str:
+    return re.split(r"[.#]", name)[0]
+
+
+def _named(name: str, words: frozenset) -> bool:
+    parts = [w.lower() for w in CAMEL.split(name.replace("#", " ")) if w][1:]
+    return bool(parts) and (parts[0] in words or parts[-1] in words)
+
+
 def best_path(found: list[Block]) -> tuple[str, ...]:
-    """From the root on, the heaviest child while it holds half of the text; an
-    article or main element may hold a quarter."""
+    """From the root on, the heaviest child that keeps the heading, while it
+    holds ``NEARLY`` all of the text; an article or main element may hold a
+    quarter, and a container named like one, with the heading, half of it.
+    What stands in an article is never divided."""
     total = weigh(found)
+    levels = [next((_tag(x) for x in p if _tag(x) in HEADINGS), "") for p, _, _ in found]
     here: tuple[str, ...] = ()
     while True:
         inner = [p for p in total if len(p) == len(here) + 1 and p[:-1] == here]
+        own = [(levels[i], i) for i, (p, _, _) in enumerate(found) if levels[i] and p[:len(here)] == here]
+        within = bool(here) and (_tag(here[-1]) in MAIN or _named(here[-1], ARTICLE_WORDS))
+        if within:
+            inner = [p for p in inner if _tag(here[-1]) == "main" and _tag(p[-1]) == "article"]
         if not inner:
             return here
-        top = max(inner, key=lambda p: (total[p] * (2 if re.split(r"[.#]", p[-1])[0] in MAIN else 1), p))
-        need = 0.25 if re.split(r"[.#]", top[-1])[0] in MAIN else 0.5
+        top = max(inner, key=lambda p: (total[p] * (2 if _tag(p[-1]) in MAIN else 1), p))
+        main = _tag(top[-1]) in MAIN
+        heads = [i for level, i in own if level == min(own)[0]]
+        kept = [found[i][0][:len(top)] == top for i in heads]
+        if not (not heads or kept[0] or main and not within and any(kept)):
+            return here
+        need = NEARLY if within else 0.25 if main else 0.5 if heads and _named(top[-1], TITLE_OWNERS) else NEARLY
         if total[top] == 0 or total[top] < need * total[here]:
             return here
         here = top
 
 
+def side(path: tuple[str, ...], main: tuple[str, ...]) -> tuple[str, ...]:
+    """The outermost element above a block that isn't above the main container."""
+    k = 0
+    while k < min(len(path), len(main)) and path[k] == main[k]:
+        k += 1
+    return path[:k + 1]
+
+
 def read_page(page: str) -> list[Block]:
     found = blocks(page)
     return found or blocks(page, forms=True)
 
 
-def main_text(page: str, path: str | None) -> str:
-    """The blocks below the host's path.  A page without that path, or with less
-    than a quarter of its own best container's text there, gives its own."""
+def main_text(page: str, path: str | None, sides: list[str] | None = None) -> str:
+    """The blocks below the host's path.  A page without text there, or with
+    text of its own best container neither there nor in the host's ``sides``
+    (more than the rest that ``NEARLY`` leaves), gives that container's."""
     found = read_page(page)
     if not found:
         return ""
     own, total = best_path(found), weigh(found)
-    want = tuple(path.split("/")) if path else ()
-    if path is None or total.get(want, 0) < 0.25 * total[own]:
+    want, known = tuple(path.split("/")) if path else (), set(sides or ())
+    lost = sum(max(0, len(text) - 2 * links) for p, text, links in found
+               if p[:len(own)] == own and p[:len(want)] != want and "/".join(side(p, want)) not in known)
+    if path is None or total.get(want, 0) == 0 or lost > (1 - NEARLY) * total[own]:
         want = own
     return "\n\n".join(text for p, text, _ in found if p[:len(want)] == want)
 
@@ -231,27 +269,38 @@ def host_of(url: Column) -> Column:
 
 def _votes(batches):
     for b in batches:
-        paths, weights = [], []
+        paths, weights, sides = [], [], []
         for page in b.column("html"):
             found = read_page(page.as_py() or "")
             path = best_path(found) if found else ()
             paths.append("/".join(path) if path else None)
             weights.append(weigh(found).get(path, 0))
-        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(paths, pa.string()), pa.array(weights, pa.int64())],
-                                         ["host", "path", "weight"])
+            sides.append(sorted({"/".join(side(p, path)) for p, _, _ in found if p[:len(path)] != path}))
+        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(paths, pa.string()), pa.array(weights, pa.int64()),
+                                          pa.array(sides, pa.list_(pa.string()))], ["host", "path", "weight", "sides"])
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with most votes of the host's pages, then most text."""
+    """(host, path, sides): the path with most votes of the host's pages, then
+    most text, and what at least half of its voters leave out beside it."""
     votes = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")) \
-        .where("host IS NOT NULL").mapInArrow(_votes, "host string, path string, weight long").where("path IS NOT NULL")
-    counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("weight").alias("weight"))
-    return counted.groupBy("host").agg(F.max_by("path", F.struct("votes", "weight", "path")).alias("path"))
+        .where("host IS NOT NULL").mapInArrow(_votes, "host string, path string, weight long, sides array<string>").where("path IS NOT NULL")
+    # a row for the path itself (no side) and one for each of its sides
+    counted = votes.select("host", "path", "weight", F.explode(F.concat(F.array(F.lit(None).cast("string")), "sides")).alias("side")) \
+        .groupBy("host", "path", "side").agg(F.count("*").alias("votes"), F.sum("weight").alias("weight"))
+    own = F.col("side").isNull()
+    by_path = counted.groupBy("host", "path").agg(
+        F.max(F.when(own, F.col("votes"))).alias("votes"), F.max(F.when(own, F.col("weight"))).alias("weight"),
+        F.collect_list(F.when(~own, F.struct("side", "votes"))).alias("sides"))
+    often = F.transform(F.filter("sides", lambda x: 2 * x["votes"] >= F.col("votes")), lambda x: x["side"])
+    return by_path.withColumn("sides", often).groupBy("host").agg(
+        F.max_by(F.struct("path", "sides"), F.struct("votes", "weight", "path")).alias("best")).select("host", "best.*")
 
 
 def _extract(batches):
     for b in batches:
-        texts = [main_text(page.as_py() or "", path.as_py()) for page, path in zip(b.column("html"), b.column("path"))]
+        texts = [main_text(page.as_py() or "", path.as_py(), sides.as_py())
+                 for page, path, sides in zip(b.column("html"), b.column("path"), b.column("sides"))]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()),
                                           pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -269,4 +318,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     winners = stage_table(host_paths(pages), "host-paths")
     return pages.withColumn("host", host_of(F.col("url"))).join(winners, "host", "left") \
-        .select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+        .select("page_id", "url", "html", "path", "sides").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

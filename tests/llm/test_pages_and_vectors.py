@@ -52,6 +52,26 @@ def test_host_path_wins_over_page(spark):
     assert got[9] == "short article text here"
 
 
+def test_divided_articles_are_whole(spark):
+    """Sections of an article, a title in its own container, and a page of another layout lose nothing."""
+    lead, rest = "lead words here " * 8, "body words there " * 12
+    parts = {"http://a.example/": "<article><section class=intro><p>{0}</p></section><section class=body><p>{1}</p></section></article>",
+             "http://t.example/": "<div class=post><div class=title><h1>Title</h1><p>{0}</p></div><div class=body><p>{1}</p></div></div>",
+             "http://n.example/": "<div class=x><div class=title><h2>Title</h2></div><div class=body><p>{0}</p><h2>Part</h2><p>{1}</p></div></div>",
+             "http://s.example/": "<div class=x><div class=one><p>{0}</p></div><div class=two><p>{1}</p></div></div>"}
+    rows = [(i, url, f"<body>{page}</body>".format(lead, rest)) for url, page in parts.items() for i in range(3)]
+    plain = "<body><div class=a><p>{}</p></div></body>"
+    rows += [(i, "http://o.example/", plain.format(f"text {i} " * 40)) for i in range(9)]
+    rows.append((9, "http://o.example/", f"<body><div class=a><p>{lead}</p></div><div class=new><p>{rest}</p></div></body>"))
+    got = {(r.page_id, r.url): r.text for r in host_paths.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    lead, rest = lead.strip(), rest.strip()
+    want = dict(zip(parts, ([lead, rest], ["Title", lead, rest], ["Title", lead, "Part", rest], [lead, rest])))
+    for (i, url), text in got.items():
+        if url in want:
+            assert text == "\n\n".join(want[url])
+    assert got[9, "http://o.example/"] == f"{lead}\n\n{rest}" and got[0, "http://o.example/"] == ("text 0 " * 40).strip()
+
+
 def test_extraction_of_given_pages(spark):
     """Every given page against a pattern written for its one template."""
     rows = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
