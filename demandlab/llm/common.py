@@ -132,13 +132,12 @@ def text_chunks(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         a = b
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of each text: starts, ends and words per text."""
-    n = len(buf)
+def spans(solid: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of solid bytes in each text: starts, ends and runs per text."""
+    n = len(solid)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off) - 1, np.int64)
-    solid = ~SPACE[buf]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     first, last = solid.copy(), solid.copy()
@@ -148,6 +147,11 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s, e, np.diff(np.searchsorted(s, off))
 
 
+def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+ of each text: starts, ends and words per text."""
+    return spans(~SPACE[buf], off)
+
+
 def gram_hash(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` consecutive word hashes."""
     m = len(words) - size + 1

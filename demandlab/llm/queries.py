@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, host_paths, mixing, ngram_lm, quality, rabitq, secret_scan, warc
+from . import bpe, fingerprint, host_paths, lexical, mixing, ngram_lm, quality, rabitq, secret_scan, warc
 from .common import read, ship_code
 from .partenum import jaccard_components
 
@@ -73,7 +73,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best of all documents for every benchmark item."""
+    ship_code(spark)
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_document_fingerprints, op3_mix_sources,
                               op4_html_extraction, op5_quality_classifier, op6_lm_scoring, op7_embedding_near_duplicates,
-                              op8_secret_scans, op9_byte_level_bpe, op10_warc)}
-SQL: dict[str, str] = {"op3_mix_sources": mixing.MIX_SQL}
+                              op8_secret_scans, op9_byte_level_bpe, op10_warc, op11_ranked_search)}
+SQL: dict[str, str] = {"op3_mix_sources": mixing.MIX_SQL, "op11_ranked_search": lexical.SEARCH_SQL}
