@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, host_paths, lexical, mixing, ngram_lm, quality, rabitq, secret_scan, warc
+from . import bpe, fingerprint, host_paths, lexical, mixing, ngram_lm, quality, rabitq, rtree, secret_scan, warc
 from .common import read, ship_code
 from .partenum import jaccard_components
 
@@ -79,7 +79,14 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding and its five positives."""
+    ship_code(spark)
+    return rtree.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_document_fingerprints, op3_mix_sources,
                               op4_html_extraction, op5_quality_classifier, op6_lm_scoring, op7_embedding_near_duplicates,
-                              op8_secret_scans, op9_byte_level_bpe, op10_warc, op11_ranked_search)}
-SQL: dict[str, str] = {"op3_mix_sources": mixing.MIX_SQL, "op11_ranked_search": lexical.SEARCH_SQL}
+                              op8_secret_scans, op9_byte_level_bpe, op10_warc, op11_ranked_search, op12_hard_negatives)}
+SQL: dict[str, str] = {"op3_mix_sources": mixing.MIX_SQL, "op11_ranked_search": lexical.SEARCH_SQL,
+                       "op12_hard_negatives": rtree.NEGATIVES_SQL}
