@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, host_paths, lexical, mixing, ngram_lm, quality, rabitq, rtree, secret_scan, warc
+from . import bpe, fingerprint, host_paths, lexical, mixing, ngram_lm, quality, rabitq, rtree, secret_scan, toxicity, warc
 from .common import read, ship_code
 from .partenum import jaccard_components
 
@@ -85,8 +85,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rtree.hard_negatives(read(spark, sf_dir, "embeddings"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learnt from the labels outside the held-out fold."""
+    ship_code(spark)
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_document_fingerprints, op3_mix_sources,
                               op4_html_extraction, op5_quality_classifier, op6_lm_scoring, op7_embedding_near_duplicates,
-                              op8_secret_scans, op9_byte_level_bpe, op10_warc, op11_ranked_search, op12_hard_negatives)}
+                              op8_secret_scans, op9_byte_level_bpe, op10_warc, op11_ranked_search, op12_hard_negatives, op13_toxicity)}
 SQL: dict[str, str] = {"op3_mix_sources": mixing.MIX_SQL, "op11_ranked_search": lexical.SEARCH_SQL,
                        "op12_hard_negatives": rtree.NEGATIVES_SQL}
