@@ -69,10 +69,11 @@ class ModelConfig:
     high_growth_threshold: float = 0.5
     # "Today" for policy exposure (FE7) and freshness checks.
     as_of: _dt.date = _d("1998-04-18")
-    # Milestone schedule: weeks from L to each region's 30 % week, by region
-    # key.  The national peak (first milestone) is L itself.
-    milestone_weeks_by_region: tuple = ((0, 1), (1, 3), (2, 4), (3, 6), (4, 8))
-    national_peak: _dt.date = _d("1998-04-18")
+    # Projections behind the milestones: their window, and the share of its
+    # peak that a state's projection must fall below.
+    projection_from: _dt.date = _d("1998-04-18")
+    projection_to: _dt.date = _d("1998-08-01")
+    fall_share: float = 0.3
     columns: FactColumns = field(default_factory=FactColumns)
     # Ledger-level filters on raw line columns (SQL predicates, pushed to the
     # scan): the non-zero value rule.

@@ -170,13 +170,35 @@ cal AS (
 )"""
 
 
+def projection_cte(cfg: ModelConfig = DEFAULT_CONFIG) -> str:
+    """CTE ``pm0``: peak and fall of each state's projection, ``pn``: the country's peak."""
+    a, b = d(cfg.projection_from), d(cfg.projection_to)
+    return f"""pj AS (
+  SELECT r.r_name AS state, CAST(o.o_orderdate AS DATE) AS day, count(*) AS n
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey
+  WHERE CAST(o.o_orderdate AS DATE) BETWEEN {a} AND {b} GROUP BY ALL
+),
+pday AS (SELECT CAST(unnest(generate_series({a}, {b}, INTERVAL 1 DAY)) AS DATE) AS day),
+pseries AS (
+  SELECT s.state, p.day, coalesce(pj.n, 0) AS n
+  FROM (SELECT DISTINCT state FROM pj) s CROSS JOIN pday p LEFT JOIN pj ON pj.state = s.state AND pj.day = p.day
+),
+ppeak AS (SELECT state, day AS peak_day, n AS peak_value FROM pseries
+          QUALIFY row_number() OVER (PARTITION BY state ORDER BY n DESC, day) = 1),
+pn AS (SELECT day AS national_peak_day FROM (SELECT day, sum(n) AS n FROM pseries GROUP BY day) x ORDER BY n DESC, day LIMIT 1),
+pm0 AS (
+  SELECT k.state, k.peak_day, k.peak_value, coalesce(min(s.day), {b}) AS fall_day, count(s.day) > 0 AS crossed
+  FROM ppeak k LEFT JOIN pseries s ON s.state = k.state AND s.day > k.peak_day AND s.n < {cfg.fall_share} * k.peak_value
+  GROUP BY ALL
+)"""
+
+
 def ms_cte(cfg: ModelConfig = DEFAULT_CONFIG) -> str:
-    vals = ", ".join(f"({r}, {w})" for r, w in cfg.milestone_weeks_by_region)
     L = d(cfg.latest_week)
-    return f"""ms0 AS (
-  SELECT r.r_name AS state, {wk(d(cfg.national_peak))} AS first_milestone_date,
-         {wk(f'CAST({L} + CAST(7 * p.w AS INTEGER) AS DATE)')} AS thirty_pct_week
-  FROM (VALUES {vals}) p(region_key, w) JOIN region r ON r.r_regionkey = p.region_key
+    return f"""{projection_cte(cfg)},
+ms0 AS (
+  SELECT state, {wk('national_peak_day')} AS first_milestone_date, {wk('fall_day')} AS thirty_pct_week FROM pm0 CROSS JOIN pn
 ),
 ms1 AS (
   SELECT *, CASE WHEN datediff('day', {L}, thirty_pct_week) / 7.0 >= 6 THEN CAST(thirty_pct_week - 28 AS DATE)

@@ -30,10 +30,11 @@ from demandlab.functions.scalar import decay_multiplier, growth
 from demandlab.operators.grid import series_grid
 from demandlab.operators.windows import centered_count, centered_mean, fill_both, forward_fill, rolling_expr
 from demandlab.plans.external import forecast_calendar
+from demandlab.plans.milestones import projection_milestones
 from demandlab.plans.series import (last_year, ly_rolling_median, model_weekly, peak_statistics,
                                     series_with_status)
 from demandlab.session import shared
-from demandlab.sources.literals import iso_week_saturday, milestone_parameters
+from demandlab.sources.literals import iso_week_saturday
 from demandlab.sources.tables import Tables
 
 
@@ -182,16 +183,15 @@ def _naive_ship(t: Tables, cfg: ModelConfig) -> DataFrame:
 
 def state_milestones(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     """Per state: national peak week, 30 % week, and the POS / shipment
-    second and third milestones with the POS forecast type.  A state without
-    a parameter fails the job: its series would get no forecast."""
-    params = milestone_parameters(t.spark, cfg)
-    reg = t.region.select("r_regionkey", "r_name")
-    weeks = F.coalesce("weeks_to_thirty_pct", F.raise_error(F.concat(F.lit("no milestone is set for state "), F.col("r_name"))).cast("int"))
-    m = reg.join(F.broadcast(params), params.region_key == reg.r_regionkey, "left").select(
-        F.col("r_name").alias("state"), F.date_add(F.lit(cfg.latest_week), weeks * 7).alias("thirty_pct_date"))
+    second and third milestones with the POS forecast type, from the projection
+    series (m:1).  A state without projections fails the job: its series would
+    get no forecast."""
+    reg = t.region.select(F.col("r_name").alias("state"))
+    m = reg.join(F.broadcast(projection_milestones(t, cfg)), "state", "left")  # a row per state
+    gone = F.raise_error(F.concat(F.lit("no projection for state "), F.coalesce("state", F.lit("NULL")))).cast("date")
+    peak = week_ending(F.coalesce("national_peak_day", gone), "same_or_next")
+    thirty = week_ending("fall_day", "same_or_next")
     L = F.lit(cfg.latest_week)
-    peak = week_ending(F.lit(cfg.national_peak), "same_or_next")
-    thirty = week_ending(F.col("thirty_pct_date"), "same_or_next")
     m = m.select("state", peak.alias("first_milestone_date"), thirty.alias("thirty_pct_week"))
     raw_w = F.datediff("thirty_pct_week", L) / 7.0
     pos_second = F.when(raw_w >= 6, F.date_sub("thirty_pct_week", 28)).otherwise(F.col("thirty_pct_week"))

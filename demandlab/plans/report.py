@@ -242,17 +242,18 @@ def pos_fact_with_markers(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataF
 
 
 def ship_coverage(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Share of shipment series and quantity that is modelled as common
-    (milestone), non-common (naive) or not modelled at all (present in the
-    filtered data, absent from the model output)."""
+    """Share of shipment series and quantity that the reported model output
+    (without the excluded series) covers as common (milestone) or non-common
+    (naive), doesn't cover, or has alone: a full outer join of the id sets."""
     from demandlab.plans.series import model_weekly
     main = (model_weekly(t, cfg, shipments=True).groupBy("sell_id")
             .agg(F.sum("qty").alias("qty")))
-    modeled = ship_forecast_combined(t, cfg).select("sell_id", "common_product").distinct()
-    j = main.join(modeled, "sell_id", "left")
-    status = (F.when(F.col("common_product") == 1, "common")
-              .when(F.col("common_product") == 0, "non_common")
-              .otherwise("not_modeled"))
+    output = exclude_series(ship_forecast_combined(t, cfg), cfg.excluded_series, t.spark)
+    modeled = output.select("sell_id", "common_product").distinct().withColumn("modeled", F.lit(True))
+    j = main.withColumn("sold", F.lit(True)).join(modeled, "sell_id", "full")
+    status = (F.when(F.col("sold").isNull(), "model_only").when(F.col("common_product") == 1, "common")
+              .when(F.col("modeled"), "non_common").otherwise("not_modeled"))
+    j = j.withColumn("qty", F.coalesce("qty", F.lit(0.0)))
     per = j.groupBy(status.alias("coverage")).agg(F.count(F.lit(1)).alias("n_series"), F.sum("qty").alias("qty"))
     tot = per.agg(F.sum("n_series").alias("all_series"), F.sum("qty").alias("all_qty"))
     per = attach_scalars(per, tot)

@@ -298,6 +298,13 @@ def q_naive_centered_mean(spark, sf_dir):
     return _sel(FC.naive_centered_mean(_t(spark, sf_dir), CFG), _NSC_O + _NSC_D)
 
 
+@register("projection_milestones", with_(O.projection_cte(CFG)) + """
+SELECT state, peak_day, CAST(peak_value AS BIGINT) AS peak_value, fall_day, crossed, national_peak_day FROM pm0 CROSS JOIN pn""")
+def q_projection_milestones(spark, sf_dir):
+    from demandlab.plans.milestones import projection_milestones
+    return projection_milestones(_t(spark, sf_dir), CFG)
+
+
 _MS_COLS = ["state", "first_milestone_date", "thirty_pct_week", "pos_second_milestone_date", "pos_third_milestone_date",
             "pos_weeks_to_second", "fc_type", "ship_second_milestone_date", "ship_third_milestone_date"]
 
@@ -634,14 +641,19 @@ def q_latest_file_read(spark, sf_dir):
     return round_doubles(latest_file_read(spark, drop, "parquet", pattern="*.parquet"))
 
 
-@register("ship_coverage", with_(*_SHIP) + """
-, cov AS (
-  SELECT m.sell_id, m.qty,
-         CASE WHEN l.status = 'complete' AND l.state IS NOT NULL THEN 'common'
-              WHEN l.status IN ('incomplete', 'missing') THEN 'non_common'
-              ELSE 'not_modeled' END AS coverage
+_EXCLUDED = ", ".join(f"('{s}', '{c}')" for s, c in CFG.excluded_series)
+
+
+@register("ship_coverage", with_(*_SHIP) + f"""
+, model AS (
+  SELECT DISTINCT l.sell_id, CASE WHEN l.status = 'complete' THEN 1 ELSE 0 END AS common_product
+  FROM lifespan l WHERE l.state IS NOT NULL AND (l.state, l.category) NOT IN ({_EXCLUDED})),
+cov AS (
+  SELECT coalesce(m.qty, 0.0) AS qty,
+         CASE WHEN m.sell_id IS NULL THEN 'model_only' WHEN l.common_product = 1 THEN 'common'
+              WHEN l.common_product = 0 THEN 'non_common' ELSE 'not_modeled' END AS coverage
   FROM (SELECT sell_id, sum(qty) AS qty FROM mw GROUP BY sell_id) m
-  LEFT JOIN lifespan l ON l.sell_id = m.sell_id
+  FULL OUTER JOIN model l ON l.sell_id = m.sell_id
 ),
 per AS (SELECT coverage, count(*) AS n_series, sum(qty) AS qty FROM cov GROUP BY coverage)
 SELECT coverage, CAST(n_series AS BIGINT) AS n_series, round(qty, 4) AS qty,

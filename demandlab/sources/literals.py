@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from demandlab.config import ModelConfig
 
 CHANNEL_SCHEMA = T.StructType([
     T.StructField("channel", T.StringType(), True),
@@ -34,17 +33,6 @@ def channel_mapping(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(CHANNEL_ROWS, CHANNEL_SCHEMA))
 
 
-MILESTONE_SCHEMA = T.StructType([
-    T.StructField("region_key", T.IntegerType(), False),
-    T.StructField("weeks_to_thirty_pct", T.IntegerType(), False),
-])
-
-
-def milestone_parameters(spark: SparkSession, cfg: ModelConfig) -> DataFrame:
-    """(region_key, weeks from the latest week to the region's 30 % week)."""
-    return spark.createDataFrame(list(cfg.milestone_weeks_by_region), MILESTONE_SCHEMA)
-
-
 CORRECTION_SCHEMA = T.StructType([
     T.StructField("rule_state", T.StringType(), True),
     T.StructField("rule_category", T.StringType(), True),

@@ -169,8 +169,8 @@ def test_dates_of_all_years_are_kept(spark):
 
 
 def test_uncovered_state_fails(spark):
-    cfg = dataclasses.replace(CFG, milestone_weeks_by_region=CFG.milestone_weeks_by_region[:4])
-    with pytest.raises(Exception, match="no milestone is set for state"):
+    cfg = dataclasses.replace(CFG, projection_from=dt.date(2005, 1, 1), projection_to=dt.date(2005, 3, 1))
+    with pytest.raises(Exception, match="no projection for state"):
         forecast.milestone_forecast_pos(Tables(spark, SF_ORACLE), cfg).collect()
 
 
@@ -246,3 +246,19 @@ def test_landed_chain_checks_its_files(spark):
     write(f"{folder}/cases/drop3/new.csv", "date,state,deaths,cases\n2020-04-01,Ohio,7,1000\n", age=-10 ** 9)
     with pytest.raises(Exception, match="(?i)header|schema"):
         landed.landed_master(t, folder).collect()
+
+
+def test_peak_and_fall(spark):
+    """Ties, gaps (days without a row are 0), no fall by the end, a peak on the last day, nulls."""
+    from demandlab.plans.milestones import peak_and_fall
+    day = lambda n: dt.date(2020, 3, n)
+    cfg = dataclasses.replace(CFG, projection_from=day(1), projection_to=day(10))
+    rows = ([("tie", day(n), v) for n, v in enumerate([1, 9, 9, 5, 3, 2, 9, 1, 1, 1], 1)]
+            + [("gap", day(2), 7), ("gap", day(3), 6), ("gap", day(5), 6)]
+            + [("high", day(n), 10 - n % 3) for n in range(1, 11)]
+            + [("last", day(n), n) for n in range(1, 11)] + [("edge", day(1), 10)] + [("edge", day(n), 3) for n in range(2, 11)]
+            + [("tie", None, 99), (None, day(4), 5)])
+    got = {r.state: (r.peak_day, r.peak_value, r.fall_day, r.crossed)
+           for r in peak_and_fall(spark.createDataFrame(rows, "state string, date date, value long"), ["state"], cfg).collect()}
+    assert got == {"tie": (day(2), 9, day(6), True), "gap": (day(2), 7, day(4), True), "high": (day(3), 10, day(10), False),
+                   "last": (day(10), 10, day(10), False), "edge": (day(1), 10, day(10), False), None: (day(4), 5, day(5), True)}
