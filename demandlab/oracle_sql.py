@@ -725,3 +725,88 @@ PFM = """pfm AS (
   UNION ALL
   SELECT NULL, state, NULL, NULL, pos_third_milestone_date, NULL, NULL, NULL, NULL, NULL, NULL, 2.0 FROM ms
 )"""
+
+
+# ---------------------------------------------------------------- seasonal fit ----
+
+def fourier_ctes(cfg: ModelConfig = DEFAULT_CONFIG) -> list[str]:
+    """CTE ``ff``: Gaussian elimination of each series' normal equations, a CTE a
+    pivot, then back substitution."""
+    from demandlab.plans.forecast import HARMONICS, SEASONAL_RIDGE
+    n, origin = 2 + 2 * HARMONICS, f"DATE '{cfg.ly_year}-01-01'"
+
+    def terms(day):
+        angle = f"(dayofyear({day}) * (2 * pi() / 365.25))"
+        return ["CAST(1 AS DOUBLE)", f"datediff('day', {origin}, {day}) / 364.0",
+                *[f"{f}({h} * {angle})" for h in range(1, HARMONICS + 1) for f in ("sin", "cos")]]
+
+    xs = ", ".join(f"{x} AS x{i}" for i, x in enumerate(terms("week_ending_date")))
+    sums = ", ".join([f"sum(x{i} * x{j}){f' + {SEASONAL_RIDGE}' if i == j and i >= 2 else ''} AS a{i}{j}" for i in range(n) for j in range(n)]
+                     + [f"sum(x{i} * qty) AS b{i}" for i in range(n)])
+    ctes = [f"fx AS (SELECT sell_id, week_ending_date, qty, {xs} FROM mw WHERE qty IS NOT NULL)",
+            f"f0 AS MATERIALIZED (SELECT sell_id, {sums}, min(CASE WHEN week_ending_date <= {d(cfg.cap_floor_until)} THEN qty END) AS lo, "
+            f"max(CASE WHEN week_ending_date <= {d(cfg.cap_floor_until)} THEN qty END) AS hi FROM fx GROUP BY sell_id)"]
+    for k in range(n):
+        ok = f"a{k}{k} > 1e-9 * o{k}" if k else "a00 > 0"
+        row = lambda i: f"(CASE WHEN {ok} THEN a{i}{k} / a{k}{k} ELSE 0 END)"  # noqa: E731, B023
+        new = [f"a{i}{j} - {row(i)} * a{k}{j} AS a{i}{j}" for i in range(k + 1, n) for j in range(k + 1, n)]
+        new += [f"b{i} - {row(i)} * b{k} AS b{i}" for i in range(k + 1, n)]
+        first = ", ".join(f"a{i}{i} AS o{i}" for i in range(1, n)) + ", " if k == 0 else ""
+        replace = f" REPLACE ({', '.join(new)})" if new else ""
+        ctes.append(f"f{k + 1} AS MATERIALIZED (SELECT {first}*{replace} FROM f{k})")
+    last = f"f{n}"
+    for k in reversed(range(n)):
+        rest = "".join(f" - a{k}{j} * beta{j}" for j in range(k + 1, n))
+        ok = f"a{k}{k} > 1e-9 * o{k}" if k else "a00 > 0"
+        ctes.append(f"g{k} AS MATERIALIZED (SELECT *, CASE WHEN {ok} THEN (b{k}{rest}) / a{k}{k} ELSE 0 END AS beta{k} FROM {last})")
+        last = f"g{k}"
+    value = " + ".join(f"beta{i} * {x}" for i, x in enumerate(terms("day")))
+    ctes.append(f"""ff AS (
+  SELECT sell_id, day AS week_ending_date, least(greatest({value}, lo), hi) AS seasonal_forecast
+  FROM g0 CROSS JOIN (SELECT CAST({d(cfg.latest_week)} + CAST(7 * unnest(range(1, {cfg.seasonal_horizon_weeks})) AS INTEGER) AS DATE) AS day) h)""")
+    return ctes
+
+
+# ------------------------------------------------------------ account corrections ----
+
+def account_ctes(cfg: ModelConfig, rules) -> list[str]:
+    """CTE ``ac``: account forecasts after the rules table."""
+    L = d(cfg.latest_week)
+    value = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    table = ", ".join("(" + ", ".join(value(v) for v in r) + ")" for r in rules)
+    keys = ("retailer", "state", "channel", "category")
+    fits = " AND ".join(f"(r.{k} IS NULL OR r.{k} = a.{k})" for k in keys)
+    named = " + ".join(f"CAST(r.{k} IS NOT NULL AS INTEGER)" for k in keys)
+    order = ", ".join(f"r.{k} IS NOT NULL DESC" for k in keys)
+    same = " AND ".join(f"{{0}}.{k} IS NOT DISTINCT FROM {{1}}.{k}" for k in keys)
+    pick = ", ".join(f"max(CASE WHEN action = '{a}' THEN {c} END) AS {a}_{c}" for a in ("hold_last", "scale", "set_ly", "close_gap", "cumulative")
+                     for c in ("rule_id", "factor"))
+    latest = int(cfg.latest_week.strftime("%V"))
+    return [f"""aw AS (
+  SELECT retailer, business AS state, channel, category, week_of_year,
+         sum(CASE WHEN year = {cfg.ly_year} THEN qty END) AS qty_ly, sum(CASE WHEN year = {cfg.ty_year} THEN qty END) AS qty_ty
+  FROM w WHERE year IN ({cfg.ly_year}, {cfg.ty_year}) AND week_ending_date <= {L} GROUP BY ALL)""",
+            f"""aa AS (
+  SELECT retailer, state, channel, category, coalesce(sum(qty_ty), 0.0) / {latest} AS rate,
+         coalesce(max(CASE WHEN week_of_year = {latest} THEN qty_ty END), 0.0) AS last_week_qty FROM aw GROUP BY ALL)""",
+            f"ar AS (SELECT * FROM (VALUES {table}) r(rule_id, {', '.join(keys)}, action, factor))",
+            f"""am AS (
+  SELECT a.retailer, a.state, a.channel, a.category, r.action, r.rule_id, r.factor FROM aa a JOIN ar r ON {fits}
+  QUALIFY row_number() OVER (PARTITION BY a.retailer, a.state, a.channel, a.category, r.action ORDER BY {named} DESC, {order}, r.rule_id) = 1)""",
+            f"ap AS (SELECT retailer, state, channel, category, {pick} FROM am GROUP BY ALL)",
+            f"""af AS (
+  SELECT a.*, h.day AS week_ending_date, aw.qty_ly, CASE WHEN h.day = {L} THEN a.last_week_qty ELSE a.rate END AS fq0, ms.ship_third_milestone_date AS third,
+         ap.* EXCLUDE (retailer, state, channel, category)
+  FROM aa a CROSS JOIN (SELECT CAST(unnest(generate_series({L}, {L} + {7 * (cfg.horizon_week - latest)}, INTERVAL 7 DAY)) AS DATE) AS day) h
+  LEFT JOIN aw ON {same.format('aw', 'a')} AND aw.week_of_year = week(h.day)
+  LEFT JOIN ap ON {same.format('ap', 'a')} LEFT JOIN ms ON ms.state = a.state)""",
+            f"a1 AS (SELECT *, CASE WHEN hold_last_factor <> 0 AND week_ending_date < third THEN last_week_qty ELSE fq0 END AS fq1 FROM af)",
+            f"a2 AS (SELECT *, CASE WHEN scale_factor IS NOT NULL AND week_ending_date > {L} THEN fq1 * scale_factor ELSE fq1 END AS fq2 FROM a1)",
+            f"a3 AS (SELECT *, CASE WHEN set_ly_factor <> 0 THEN qty_ly ELSE fq2 END AS fq3 FROM a2)",
+            f"""a4 AS (SELECT *, CASE WHEN close_gap_factor <> 0 AND week_ending_date > {L} THEN fq3 - (fq3 - qty_ly) * close_gap_factor
+                           ELSE fq3 END AS fq4 FROM a3)""",
+            f"""ac AS (SELECT retailer, state, channel, category, week_ending_date, qty_ly,
+  CASE WHEN cumulative_factor <> 0 THEN sum(fq4) OVER (PARTITION BY retailer, state, channel, category ORDER BY week_ending_date)
+       ELSE fq4 END AS forecast_quantity,
+  hold_last_rule_id AS hold_last_rule, scale_rule_id AS scale_rule, set_ly_rule_id AS set_ly_rule, close_gap_rule_id AS close_gap_rule,
+  cumulative_rule_id AS cumulative_rule FROM a4)"""]

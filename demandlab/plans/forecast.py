@@ -20,6 +20,7 @@ Per-state milestone dates come from a parameter table with one row per state
 from __future__ import annotations
 
 import datetime as _dt
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from demandlab.config import DEFAULT_CONFIG, ModelConfig
 from demandlab.functions.dates import week_ending
 from demandlab.functions.scalar import decay_multiplier, growth
 from demandlab.operators.grid import series_grid
+from demandlab.operators.least_squares import fit_groups
 from demandlab.operators.windows import centered_count, centered_mean, fill_both, forward_fill, rolling_expr
 from demandlab.plans.external import forecast_calendar
 from demandlab.plans.milestones import projection_milestones
@@ -515,49 +517,32 @@ def _ship_combined(t: Tables, cfg: ModelConfig) -> DataFrame:
 
 # ------------------------------------------------- grouped seasonal fit ----
 
-SEASONAL_FIT_SCHEMA = "sell_id string, week_ending_date date, seasonal_forecast double"
+HARMONICS = 3          # yearly Fourier terms of the fit
+SEASONAL_RIDGE = 1.0   # ridge on the Fourier coefficients
 
 
-def _fourier_fit(pdf, horizon_dates, cap_until, harmonics: int = 3, ridge: float = 1.0):
-    """Per-series least squares: trend + yearly Fourier terms (ridge on the
-    seasonal coefficients), forecast clamped to [floor, cap]."""
-    import numpy as np
-    import pandas as pd
-
-    sid = pdf["sell_id"].iloc[0]
-    d = pd.to_datetime(pdf["week_ending_date"])
-    y = pdf["qty"].to_numpy(dtype=float)
-    t0 = d.min()
-
-    def design(dates):
-        tt = ((dates - t0).dt.days.to_numpy() / 7.0)
-        yr = 2 * np.pi * dates.dt.dayofyear.to_numpy() / 365.25
-        cols = [np.ones_like(tt), tt]
-        for h in range(1, harmonics + 1):
-            cols += [np.sin(h * yr), np.cos(h * yr)]
-        return np.column_stack(cols)
-
-    X = design(d)
-    pen = np.diag([0.0, 0.0] + [ridge] * (X.shape[1] - 2))
-    coef = np.linalg.lstsq(np.vstack([X, np.sqrt(pen)]), np.r_[y, np.zeros(len(pen))], rcond=None)[0]
-    fut = pd.Series(pd.to_datetime(list(horizon_dates)))
-    yhat = design(fut) @ coef
-    train = pdf[pd.to_datetime(pdf["week_ending_date"]) <= pd.Timestamp(cap_until)]["qty"]
-    lo, hi = (train.min(), train.max()) if len(train) else (None, None)
-    if lo is not None:
-        yhat = np.clip(yhat, lo, hi)
-    return pd.DataFrame({"sell_id": sid, "week_ending_date": fut.dt.date, "seasonal_forecast": yhat})
+def fourier_terms(day: Column, origin: _dt.date) -> list[Column]:
+    """Constant, trend in years since ``origin``, and yearly sine and cosine terms."""
+    angle = F.dayofyear(day) * F.lit(2 * math.pi / 365.25)
+    return [F.lit(1.0), F.datediff(day, F.lit(origin)) / F.lit(364.0),
+            *[f(F.lit(float(h)) * angle) for h in range(1, HARMONICS + 1) for f in (F.sin, F.cos)]]
 
 
 def seasonal_fit_grouped(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Optional model: one numpy fit per series with ``applyInPandas``.
+    """Trend and yearly Fourier terms per series by least squares, with a ridge
+    on the Fourier coefficients; the forecast is clamped to the [floor, cap] of
+    the training weeks up to ``cap_floor_until`` (not at all without any).
 
-    A group is one series' weekly history (at most ~70 rows however large the
-    sales are), so per-group memory is bounded and Arrow moves whole batches;
-    the fit itself has no SQL equivalent, hence the Python path.
+    Set-based: one aggregation of sums of products for all series, the normal
+    equations are solved by expressions (``least_squares``), no Python.
     """
+    origin = _dt.date(cfg.ly_year, 1, 1)
     w = model_weekly(t, cfg).select("sell_id", "week_ending_date", "qty")
-    dates = [cfg.latest_week + _dt.timedelta(days=7 * k) for k in range(1, cfg.seasonal_horizon_weeks)]
-    cap_until = cfg.cap_floor_until
-    return w.groupBy("sell_id").applyInPandas(
-        lambda pdf: _fourier_fit(pdf, dates, cap_until), SEASONAL_FIT_SCHEMA)
+    early = F.when(F.col("week_ending_date") <= F.lit(cfg.cap_floor_until), F.col("qty"))
+    fit = fit_groups(w, ["sell_id"], fourier_terms(F.col("week_ending_date"), origin), "qty",
+                     [0.0, 0.0] + [SEASONAL_RIDGE] * 2 * HARMONICS, {"floor": F.min(early), "cap": F.max(early)})
+    weeks = F.explode(F.sequence(F.lit(1), F.lit(cfg.seasonal_horizon_weeks - 1)))
+    out = fit.withColumn("__week", weeks).withColumn("week_ending_date", F.date_add(F.lit(cfg.latest_week), F.col("__week") * 7))
+    terms = fourier_terms(F.col("week_ending_date"), origin)
+    value = sum((F.col(f"beta{j}") * x for j, x in enumerate(terms)), F.lit(0.0))
+    return out.select("sell_id", "week_ending_date", F.least(F.greatest(value, F.col("floor")), F.col("cap")).alias("seasonal_forecast"))

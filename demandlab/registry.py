@@ -608,12 +608,25 @@ def q_ship_actual_forecast_stitch(spark, sf_dir):
     return _sel(RP.ship_actual_forecast_stitch(_t(spark, sf_dir), CFG), _SST_O + _SST_D)
 
 
-@register("seasonal_fit_grouped")
+@register("seasonal_fit_grouped", with_(FACT, O.model_weekly_cte(CFG), *O.fourier_ctes(CFG))
+          + O.round_select(["seasonal_forecast"], ["sell_id", "week_ending_date"], "ff"))
 def q_seasonal_fit_grouped(spark, sf_dir):
-    """No SQL oracle (per-series numerical fit); checked by invariants in tests."""
     return round_doubles(FC.seasonal_fit_grouped(_t(spark, sf_dir), CFG))
 
 
+from demandlab.sources.literals import DEFAULT_ACCOUNT_RULES  # noqa: E402
+
+_AC_O = ["retailer", "state", "channel", "category", "week_ending_date", "hold_last_rule", "scale_rule", "set_ly_rule",
+         "close_gap_rule", "cumulative_rule"]
+
+
+@register("account_corrections", with_(FACT, O.weekly_cte("w", channel=True), O.ms_cte(CFG), *O.account_ctes(CFG, DEFAULT_ACCOUNT_RULES))
+          + O.round_select(["qty_ly", "forecast_quantity"], _AC_O, "ac"))
+def q_account_corrections(spark, sf_dir):
+    from demandlab.plans.accounts import account_corrections
+    return round_doubles(account_corrections(_t(spark, sf_dir), CFG))
+
+
 _PFM_D = ["qty_ty", "dollars_ty", "qty_ly", "dollars_ly", "marker_first", "marker_second", "marker_third"]
 _PFM_O = ["sell_id", "state", "category", "week_of_year", "week_ending_date"]
 

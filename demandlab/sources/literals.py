@@ -70,3 +70,28 @@ def first_iso_week_saturday(year: int) -> _dt.date:
 
 def iso_week_saturday(year: int, week: int) -> _dt.date:
     return first_iso_week_saturday(year) + _dt.timedelta(days=7 * (week - 1))
+
+
+ACCOUNT_RULE_SCHEMA = "rule_id int, retailer string, state string, channel string, category string, action string, factor double"
+
+# Corrections by account; NULL fits every value, a factor of 0 exempts.
+DEFAULT_ACCOUNT_RULES = [
+    (1, "MACHINERY", None, None, None, "scale", 2.0),
+    (2, "MACHINERY", "ASIA", None, None, "scale", 1.5),
+    (3, None, "ASIA", "NO", None, "scale", 3.0),
+    (4, None, None, None, "PROMO", "scale", 0.5),
+    (5, "BUILDING", "AMERICA", None, None, "set_ly", 1.0),
+    (6, "BUILDING", "AFRICA", None, None, "set_ly", 1.0),
+    (7, "HOUSEHOLD", None, "NO", "STANDARD", "close_gap", 0.5),
+    (8, None, "EUROPE", None, None, "close_gap", 0.25),
+    (9, "HOUSEHOLD", "EUROPE", None, None, "close_gap", 0.0),
+    (10, "FURNITURE", None, None, "SMALL", "cumulative", 1.0),
+    (11, None, None, "NO", "LARGE", "hold_last", 1.0),
+    (12, "AUTOMOBILE", None, "NO", "LARGE", "hold_last", 0.0),
+    (13, "MACHINERY", None, None, None, "scale", 9.0),
+    (14, None, None, None, None, "close_gap", 0.1),
+]
+
+
+def account_rules(spark: SparkSession, rows=None) -> DataFrame:
+    return spark.createDataFrame(rows if rows is not None else DEFAULT_ACCOUNT_RULES, ACCOUNT_RULE_SCHEMA)
