@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,53 @@ def validated_join(left: DataFrame, right: DataFrame, on, how: str = "left", val
     return left.join(right, keys, how)
 
 
+class ObservedJoins:
+    """Cardinality-checked joins whose checks are observed metrics of the plan
+    that writes the result: no job of their own.
+
+    ``join`` adds to each "1" side how often its key occurs (the window needs
+    the distribution and order that the join needs anyway).  After the write,
+    ``verify`` raises where a key occurred more than once, and ``metrics`` has
+    a row per join.  Counts of rows may include rows that were read again after
+    the loss of an executor; the checks rest on maxima, which don't change then.
+    """
+
+    def __init__(self):
+        self._joins: list[tuple[str, list[str], dict[str, Observation], tuple[bool, bool]]] = []
+
+    def join(self, name: str, left: DataFrame, right: DataFrame, on, validate: str = "m:1") -> DataFrame:
+        """Left join; the right side's columns must not be named like left ones."""
+        keys = [on] if isinstance(on, str) else list(on)
+        one = {"1:1": (True, True), "m:1": (False, True), "1:m": (True, False), "m:m": (False, False)}[validate]
+        seen: dict[str, Observation] = {}
+
+        def observed(df: DataFrame, side: str, unique: bool) -> DataFrame:
+            seen[side] = Observation(f"{name} {side}")
+            rows = F.count(F.lit(1)).alias("rows")
+            if not unique:
+                return df.observe(seen[side], rows)
+            times = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+            return df.withColumn("__times", times).observe(seen[side], rows, F.max("__times").alias("most")).drop("__times")
+
+        out = observed(left, "left", one[0]).join(observed(right, "right", one[1]).withColumn("__met", F.lit(True)), keys, "left")
+        seen["out"] = Observation(f"{name} out")
+        out = out.observe(seen["out"], F.count(F.lit(1)).alias("rows"), F.count("__met").alias("met")).drop("__met")
+        self._joins.append((name, keys, seen, one))
+        return out
+
+    def verify(self) -> None:
+        """Raise if a side that must be unique isn't; call after the write."""
+        for name, keys, seen, one in self._joins:
+            for side, unique in zip(("left", "right"), one):
+                if unique and (seen[side].get.get("most") or 0) > 1:
+                    raise JoinValidationError(f"merge {name}: {side} side is not unique on {keys}")
+
+    def metrics(self, spark: SparkSession) -> DataFrame:
+        """(merge, rows_left, rows_right, rows_out, rows_met): a row per join."""
+        rows = [(name, *(int(seen[s].get["rows"]) for s in ("left", "right", "out")), int(seen["out"].get["met"])) for name, _, seen, _ in self._joins]
+        return spark.createDataFrame(rows, "merge string, rows_left long, rows_right long, rows_out long, rows_met long")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Equi-join where NULL matches NULL; key columns are taken from the left
     (or coalesced for full joins)."""

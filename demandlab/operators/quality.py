@@ -8,8 +8,9 @@ forms run one aggregation and pull at most one row to the driver.
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -107,6 +108,15 @@ def null_key_rejects(df: DataFrame, keys, name: str = "rejected_null_keys") -> D
     return df.agg(F.count(F.when(cond, 1)).alias(name), F.count(F.lit(1)).alias("rows"))
 
 
+def drop_null_keys(df: DataFrame, keys, name: str = "null keys") -> tuple[DataFrame, Observation]:
+    """Rows with a value in all ``keys``, and an observation (rows, rejected) that
+    the action which writes them fills: no second pass over the plan."""
+    seen = Observation(name)
+    gone = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(F.when(gone, 1)).alias("rejected"))
+    return out.where(~gone), seen
+
+
 def distinct_count(df: DataFrame, cols, name: str = "n_distinct") -> DataFrame:
     """One row: number of distinct combinations of ``cols`` (NULL is a value,
     as in ``select(cols).distinct().count()``)."""

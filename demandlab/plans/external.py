@@ -478,6 +478,52 @@ def flatten_props(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     return e.filter(F.col("p.k").isNotNull()).select("event_id", "event_type", "value", F.col("p.k").alias("k"))
 
 
+def series_responses(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """(series, value): monthly mean order values per order priority as the API
+    documents that a download would land, an array of data points each (as many
+    as the history has months).  The request for the last priority failed, and
+    the one before it has no series."""
+    m = t.orders.where(F.col("o_orderdate").isNotNull()).groupBy(
+        F.col("o_orderpriority").alias("series"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).agg(
+        F.round(F.avg("o_totalprice"), 2).alias("v"))
+    point = F.struct(F.col("y").cast("string").alias("year"), F.concat(F.lit("M"), F.lpad(F.col("m").cast("string"), 2, "0")).alias("period"),
+                     F.date_format(F.make_date("y", "m", F.lit(1)), "MMMM").alias("periodName"), F.lit("").alias("latest"),
+                     F.col("v").cast("decimal(18,2)").cast("string").alias("value"),
+                     F.array(F.create_map(F.lit("code"), F.lit("R"))).alias("footnotes"))
+    docs = m.groupBy("series").agg(F.collect_list(point).alias("data"))
+    failed, empty = PRIORITIES[4], PRIORITIES[3]
+    status = F.when(F.col("series") == failed, "REQUEST_FAILED").otherwise("REQUEST_SUCCEEDED").alias("status")
+    found = F.array(F.struct(F.lit("S").alias("seriesID"), F.col("data")))
+    body = F.struct(F.when(F.col("series") != empty, found).otherwise(F.slice(found, 1, 0)).alias("series")).alias("Results")
+    return docs.select("series", F.to_json(F.struct(status, body)).alias("value"))
+
+
+def series_points(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Data points of the successful responses: series, year, period, month, value."""
+    from demandlab.functions.dates import month_number
+    from demandlab.sources.files import flatten_series_response
+    points = flatten_series_response(series_responses(t, cfg), keep=["series"])
+    return points.select("series", F.col("year").cast("int").alias("year"), "period", month_number("periodName").alias("month"),
+                         F.col("value").cast("double").alias("value"))
+
+
+def land_two_row_header(t: Tables, path: str, cfg: ModelConfig = DEFAULT_CONFIG) -> None:
+    """The quarterly means per order priority as a wide CSV file with two header
+    rows: each year once over its four columns, quarters below.  A row per
+    priority (a fixed domain), so the file is small however large the orders are."""
+    span = t.orders.agg(F.min(F.year("o_orderdate")).alias("a"), F.max(F.year("o_orderdate")).alias("b")).first()
+    labels = [(y, q) for y in range(span["a"], span["b"] + 1) for q in range(1, 5)] if span["a"] is not None else []
+    label = F.year("o_orderdate") * 10 + F.quarter("o_orderdate")
+    wide = (t.orders.withColumn("label", label).groupBy("o_orderpriority").pivot("label", [y * 10 + q for y, q in labels])
+            .agg(F.round(F.avg("o_totalprice"), 4)))
+    rows = [(0, ",".join(["priority", "unit", *[str(y) if q == 1 else "" for y, q in labels]])),
+            (1, ",".join(["priority", "unit", *[f"q{q}" for _, q in labels]]))]
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (str(y * 10 + q) for y, q in labels)]
+    lines = wide.select(F.lit(2).alias("line"), F.concat_ws(",", F.col("o_orderpriority"), F.lit("level"), *cells).alias("value"))
+    (t.spark.createDataFrame(rows, "line int, value string").unionByName(lines).coalesce(1).sortWithinPartitions("line", "value")
+     .select("value").write.text(path))
+
+
 # ---------------------------------------------------------- preprocessors ----
 
 def basic_preproc(df: DataFrame, geo: DataFrame, state_col: str, country_col: str | None = None,

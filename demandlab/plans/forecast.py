@@ -529,6 +529,11 @@ def fourier_terms(day: Column, origin: _dt.date) -> list[Column]:
 
 
 def seasonal_fit_grouped(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """``fourier_forecast`` of the modelling series."""
+    return fourier_forecast(model_weekly(t, cfg), cfg)
+
+
+def fourier_forecast(weekly: DataFrame, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
     """Trend and yearly Fourier terms per series by least squares, with a ridge
     on the Fourier coefficients; the forecast is clamped to the [floor, cap] of
     the training weeks up to ``cap_floor_until`` (not at all without any).
@@ -537,7 +542,7 @@ def seasonal_fit_grouped(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFr
     equations are solved by expressions (``least_squares``), no Python.
     """
     origin = _dt.date(cfg.ly_year, 1, 1)
-    w = model_weekly(t, cfg).select("sell_id", "week_ending_date", "qty")
+    w = weekly.select("sell_id", "week_ending_date", "qty")
     early = F.when(F.col("week_ending_date") <= F.lit(cfg.cap_floor_until), F.col("qty"))
     fit = fit_groups(w, ["sell_id"], fourier_terms(F.col("week_ending_date"), origin), "qty",
                      [0.0, 0.0] + [SEASONAL_RIDGE] * 2 * HARMONICS, {"floor": F.min(early), "cap": F.max(early)})

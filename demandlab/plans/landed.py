@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from demandlab.config import DEFAULT_CONFIG, ModelConfig
 from demandlab.functions.dates import month_number, with_date_meta
-from demandlab.operators.joins import validated_join
+from demandlab.operators.joins import ObservedJoins
 from demandlab.operators.quality import assert_column_contract, assert_no_overlap
 from demandlab.operators.reshape import columns_with, drop_tolerant, rename
 from demandlab.operators.windows import rolling_many
@@ -32,8 +32,8 @@ def _names(schema: str) -> list[str]:
 
 
 def land_drops(t: Tables, folder: str, cfg: ModelConfig = DEFAULT_CONFIG) -> None:
-    """One CSV folder per source below ``folder``, each with an older drop (half
-    of the days) and a newer one."""
+    """One folder per source below ``folder``, each with an older drop (half of
+    the rows, other values) and a newer one; a drop is a folder of CSV files."""
     d = external.state_daily(t, cfg)
     measures = dict(zip([c for c in _names(readers.MOBILITY_SCHEMA) if c.endswith("baseline")],
                         ("n_orders", "urgent_orders", "n_orders", "urgent_orders", "n_orders", "urgent_orders")))
@@ -51,11 +51,13 @@ def land_drops(t: Tables, folder: str, cfg: ModelConfig = DEFAULT_CONFIG) -> Non
         "quarterly": external.quarterly_series(t, cfg).filter(F.col("year").isNotNull()).withColumnRenamed("avg_order_value_q", "unemployment_rate"),
         "prices": external.price_index_raw(t, cfg).filter(F.col("year").isNotNull()).select(*_names(readers.PRICE_SCHEMA)),
     }
-    for name in SOURCES:  # the first drop of every source is the older one
-        frames[name].limit(0).coalesce(1).write.option("header", "true").csv(f"{folder}/{name}/drop1")
-    time.sleep(0.05)
+    for name in SOURCES:  # the older drop: half of the rows, with other values
+        f = frames[name]
+        other = {c.name: F.col(c.name) + 1000 for c in f.schema if c.dataType.typeName() in ("long", "double")}
+        f.where(F.pmod(F.xxhash64(*f.columns), F.lit(2)) == 0).withColumns(other).write.option("header", "true").csv(f"{folder}/{name}/drop1")
+    time.sleep(0.05)  # drops are told apart by modification time
     for name in SOURCES:
-        frames[name].coalesce(1).write.option("header", "true").csv(f"{folder}/{name}/drop2")
+        frames[name].write.option("header", "true").csv(f"{folder}/{name}/drop2")
 
 
 def read_drops(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -67,10 +69,11 @@ def read_drops(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             "prices": readers.read_price_index(spark, f"{folder}/prices")}
 
 
-def merge_drops(drops: dict[str, DataFrame], geo: DataFrame, k: int = 6) -> DataFrame:
+def merge_drops(drops: dict[str, DataFrame], geo: DataFrame, checks: ObservedJoins, k: int = 6) -> DataFrame:
     """Preprocess every source and merge it into one row per state and day.
-    Each merge checks that the sides share no other column than the keys and
-    that the right side's keys are unique; the result's columns are a contract."""
+    Each merge checks that the sides share no other column than the keys, and
+    ``checks`` observes that the right side's keys are unique; the result's
+    columns are a contract."""
     keys = ["state", "state_initial", "date"]
     cases = external.basic_preproc(drops["cases"], geo, "state")
     mobility = external.mobility_preproc(drops["mobility"])
@@ -84,14 +87,27 @@ def merge_drops(drops: dict[str, DataFrame], geo: DataFrame, k: int = 6) -> Data
     prices = drops["prices"].select(F.col("year").cast("int").alias("year"), month_number("periodName").alias("month"),
                                     F.col("value").cast("double").alias("price_index"))
     out = with_date_meta(cases, "date")
-    for right, on, how in ((mobility, keys, "1:1"), (claims, keys, "1:1"), (drops["quarterly"], ["year", "quarter"], "m:1"),
-                           (prices, ["year", "month"], "m:1")):
+    for name, right, on, how in (("mobility", mobility, keys, "1:1"), ("claims", claims, keys, "1:1"),
+                                 ("quarterly", drops["quarterly"], ["year", "quarter"], "m:1"), ("prices", prices, ["year", "month"], "m:1")):
         assert_no_overlap(out, right, on)
-        out = validated_join(out, right, on, "left", how)
+        out = checks.join(name, out, right, on, how)
     assert_column_contract(out, [*keys, "year", "quarter", "month", "src2_cases", "src2_deaths", *columns_with(mobility, "baseline"),
                                  "IC", "unemployment_rate", "price_index"])
     return out
 
 
+def landed_stage(t: Tables, folder: str, cfg: ModelConfig = DEFAULT_CONFIG) -> tuple[DataFrame, ObservedJoins]:
+    """The merged master, written as a stage of the run, and its verified checks."""
+    checks = ObservedJoins()
+    out = t.run.table(("landed_master", folder, checks), lambda: merge_drops(read_drops(t.spark, folder), external.geography(t), checks))
+    checks.verify()
+    return out, checks
+
+
 def landed_master(t: Tables, folder: str, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
-    return merge_drops(read_drops(t.spark, folder), external.geography(t))
+    return landed_stage(t, folder, cfg)[0]
+
+
+def merge_metrics(t: Tables, folder: str, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """What the merges of the landed sources observed while the master was written."""
+    return landed_stage(t, folder, cfg)[1].metrics(t.spark)

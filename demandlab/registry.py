@@ -37,6 +37,14 @@ def round_doubles(df: DataFrame, places: int = 4) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
+def _scratch(spark, name: str) -> str:
+    """A new folder's path below the cluster's shared folder."""
+    import uuid
+
+    from demandlab.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/demandlab-{name}-{uuid.uuid4().hex}"
+
+
 def _t(spark, sf_dir) -> Tables:
     return Tables(spark, sf_dir)
 
@@ -639,21 +647,38 @@ def q_pos_fact_with_markers(spark, sf_dir):
 @register("latest_file_read", """
 SELECT event_id, ts, user_id, event_type, round(value, 4) AS value, props FROM events""")
 def q_latest_file_read(spark, sf_dir):
-    """Newest-file read of a drop folder: an older drop of half of the events
-    and then one of all events are landed from the given table."""
+    """Newest drop of a folder: an older drop of half of the events with other
+    values, then one of all events; each is a folder of files written in parallel."""
     import time
-    import uuid
 
-    from demandlab.session import ensure_checkpoint_dir
     from demandlab.sources.files import latest_file_read
-    drop = f"{ensure_checkpoint_dir(spark).rstrip('/')}/demandlab-drop-{uuid.uuid4().hex}"
+    drop = _scratch(spark, "drop")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events.filter("event_id % 2 = 0").coalesce(1).write.parquet(f"{drop}/first")
+    events.filter("event_id % 2 = 0").withColumn("value", F.col("value") + 1000).write.parquet(f"{drop}/first")
     time.sleep(0.05)  # drops are told apart by modification time
-    events.coalesce(1).write.parquet(f"{drop}/second")
+    events.write.parquet(f"{drop}/second")
     return round_doubles(latest_file_read(spark, drop, "parquet", pattern="*.parquet"))
 
 
+@register("series_response", f"""
+SELECT o_orderpriority AS series, CAST(year(o_orderdate) AS INTEGER) AS year, 'M' || lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') AS period,
+       CAST(month(o_orderdate) AS INTEGER) AS month, round(avg(o_totalprice), 2) AS value
+FROM orders WHERE o_orderpriority NOT IN ('{X.PRIORITIES[4]}', '{X.PRIORITIES[3]}') GROUP BY ALL""")
+def q_series_response(spark, sf_dir):
+    return X.series_points(_t(spark, sf_dir), CFG)
+
+
+@register("two_row_header_quarters", """
+SELECT o_orderpriority AS priority, 'level' AS unit, CAST(year(o_orderdate) AS INTEGER) AS year,
+       'q' || CAST(quarter(o_orderdate) AS VARCHAR) AS quarter, round(avg(o_totalprice), 4) AS avg_value
+FROM orders WHERE o_orderdate IS NOT NULL GROUP BY ALL""")
+def q_two_row_header_quarters(spark, sf_dir):
+    from demandlab.sources.files import newest_drop, read_two_row_header
+    folder = _scratch(spark, "quarters")
+    X.land_two_row_header(_t(spark, sf_dir), f"{folder}/drop1", CFG)
+    return round_doubles(read_two_row_header(spark, newest_drop(spark, folder, "*.txt"), 2, "avg_value"))
+
+
 _EXCLUDED = ", ".join(f"('{s}', '{c}')" for s, c in CFG.excluded_series)
 
 
@@ -774,11 +799,79 @@ FROM r LEFT JOIN cr ON cr.state = r.state AND cr.date = r.date
 LEFT JOIN q ON q.year = year(r.date) AND q.quarter = 'q' || CAST(quarter(r.date) AS VARCHAR)
 LEFT JOIN pr ON pr.year = year(r.date) AND pr.month = month(r.date)""")
 def q_landed_master(spark, sf_dir):
-    import uuid
-
     from demandlab.plans import landed
-    from demandlab.session import ensure_checkpoint_dir
-    t = _t(spark, sf_dir)
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/demandlab-landed-{uuid.uuid4().hex}"
+    t, folder = _t(spark, sf_dir), _scratch(spark, "landed")
     landed.land_drops(t, folder, CFG)
     return round_doubles(landed.landed_master(t, folder, CFG))
+
+
+@register("merge_metrics", with_(O.GEO, O.sd_cte(CFG), O.CLAIMS, O.QUARTERLY, O.PRICE) + """
+, n AS (SELECT count(*) AS n FROM sd)
+SELECT 'mobility' AS merge, n AS rows_left, n AS rows_right, n AS rows_out, n AS rows_met FROM n
+UNION ALL SELECT 'claims', n, (SELECT count(*) FROM cr), n, (SELECT count(*) FROM sd JOIN cr USING (state, state_initial, date)) FROM n
+UNION ALL SELECT 'quarterly', n, (SELECT count(*) FROM q WHERE year IS NOT NULL), n,
+  (SELECT count(*) FROM sd JOIN q ON q.year = year(sd.date) AND q.quarter = 'q' || CAST(quarter(sd.date) AS VARCHAR)) FROM n
+UNION ALL SELECT 'prices', n, (SELECT count(*) FROM pr WHERE year IS NOT NULL), n,
+  (SELECT count(*) FROM sd JOIN pr ON pr.year = year(sd.date) AND pr.month = month(sd.date)) FROM n""")
+def q_merge_metrics(spark, sf_dir):
+    from demandlab.plans import landed
+    t, folder = _t(spark, sf_dir), _scratch(spark, "landed")
+    landed.land_drops(t, folder, CFG)
+    return landed.merge_metrics(t, folder, CFG)
+
+
+# ------------------------------------------------- refresh, read back, quality ----
+
+@register("refreshed_sales", with_(FACT, O.model_weekly_cte(CFG)) + f"""
+SELECT sell_id, state, category, round(qty, 4) AS qty, round(dollars, 4) AS dollars, week_ending_date FROM mw WHERE year = {CFG.ty_year}""")
+def q_refreshed_sales(spark, sf_dir):
+    from demandlab.plans import refresh
+    return round_doubles(refresh.refreshed_sales(_t(spark, sf_dir), _scratch(spark, "refresh"), CFG))
+
+
+@register("merged_shards", with_(*_POS, O.naive_pos_cte(CFG), *O.fourier_ctes(CFG)) + """
+SELECT 'naive' AS model, sell_id, state, category, week_ending_date, round(forecast_quantity, 4) AS forecast_quantity,
+       CAST(NULL AS DOUBLE) AS seasonal_forecast, round(pos_actuals_avg, 4) AS pos_actuals_avg FROM np
+UNION ALL
+SELECT 'seasonal', sell_id, NULL, NULL, week_ending_date, NULL, round(seasonal_forecast, 4), NULL FROM ff""")
+def q_merged_shards(spark, sf_dir):
+    from demandlab.plans import refresh
+    return round_doubles(refresh.merged_shards(_t(spark, sf_dir), _scratch(spark, "shards"), CFG))
+
+
+_SHOWN = "concat_ws('|', coalesce(state, '?'), coalesce(state_initial, '?'), coalesce(CAST(date AS VARCHAR), '?'))"
+_ROW_CHECKS = [
+    ("state is not null", "state IS NOT NULL"), ("order_value is not null", "order_value IS NOT NULL"),
+    (f"n_orders in 0..{10 ** 12}", f"n_orders IS NULL OR n_orders BETWEEN 0 AND {10 ** 12}"),
+    ("state_initial matches ^[A-Z]{2}$", "state_initial IS NULL OR regexp_full_match(state_initial, '[A-Z][A-Z]')"),
+    ("state_initial is a known value", "state_initial IS NULL OR (state_initial >= 'AA' AND state_initial <= 'AY' AND length(state_initial) = 2)"),
+    ("a value needs orders", "n_orders > 0 OR order_value IS NULL")]
+_TABLE_CHECKS = [
+    ("25 values of state", "count(DISTINCT state) = 25"), ("50 values of state", "count(DISTINCT state) = 50"),
+    ("date within 30 days", f"datediff('day', max(date), {d(CFG.projection_to)}) BETWEEN 0 AND 30"),
+    ("date within 7 days", f"datediff('day', max(date), {d(CFG.as_of)}) BETWEEN 0 AND 7"),
+    ("at least 100 rows", "count(*) >= 100")]
+
+
+@register("quality_report", with_(O.GEO, O.sd_cte(CFG)) + """
+, bad AS (
+  SELECT CASE WHEN day(date) = 13 AND month(date) = 1 THEN NULL ELSE state END AS state,
+         CASE WHEN day(date) = 14 AND month(date) = 2 THEN '??' ELSE state_initial END AS state_initial, date,
+         CASE WHEN day(date) = 15 AND month(date) = 3 THEN -n_orders ELSE n_orders END AS n_orders,
+         CASE WHEN day(date) = 16 AND month(date) = 4 THEN NULL ELSE order_value END AS order_value FROM sd),
+dirty AS (SELECT * FROM bad UNION ALL SELECT * FROM bad WHERE day(date) = 17 AND month(date) = 5),
+checks AS (""" + " UNION ALL ".join(
+    [f"SELECT '{n}' AS name, count(*) FILTER (WHERE NOT coalesce({c}, false)) AS violations, "
+     f"min({_SHOWN}) FILTER (WHERE NOT coalesce({c}, false)) AS example FROM dirty" for n, c in _ROW_CHECKS]
+    + [f"SELECT '{n}', CASE WHEN {c} THEN 0 ELSE 1 END, NULL FROM dirty" for n, c in _TABLE_CHECKS]
+    + [f"SELECT '{k} is unique', coalesce(sum(n - 1), 0), min(x) FROM (SELECT {k}, count(*) AS n, concat_ws('|', {x}) AS x FROM dirty GROUP BY {k}) y WHERE n > 1"
+       for k, x in (("state, state_initial, date", "coalesce(state, '?'), coalesce(state_initial, '?'), coalesce(CAST(date AS VARCHAR), '?')"),
+                    ("state_initial, date", "coalesce(state_initial, '?'), coalesce(CAST(date AS VARCHAR), '?')"))]
+    + ["SELECT 'columns', 2, 'n_orders'"]) + """)
+SELECT name AS "check", violations = 0 AS passed, CAST(violations AS BIGINT) AS violations, example FROM checks""")
+def q_quality_report(spark, sf_dir):
+    from demandlab.operators.expectations import report
+    from demandlab.plans import refresh
+    df = refresh.dirty_daily(_t(spark, sf_dir), CFG)
+    contract = ["state", "state_initial", "date", "orders", "order_value"]
+    return report(df, refresh.daily_checks(CFG), ["state", "state_initial", "date"], contract)

@@ -82,9 +82,11 @@ def read_price_index(spark: SparkSession, directory: str) -> DataFrame:
     return latest_file_read(spark, directory, "csv", PRICE_SCHEMA)
 
 
-def read_shards(spark: SparkSession, directory: str, fmt: str = "parquet") -> DataFrame:
-    """All output shards of a stage as one dataset (one multi-file scan)."""
-    return spark.read.format(fmt).load(directory)
+def read_shards(spark: SparkSession, directory: str, fmt: str = "parquet", merge: bool = False) -> DataFrame:
+    """All output shards of a stage as one dataset (one multi-file scan).  With
+    ``merge``, shards may differ in columns and lie in sub-folders."""
+    r = spark.read.format(fmt)
+    return (r.option("mergeSchema", "true").option("recursiveFileLookup", "true") if merge else r).load(directory)
 
 
 def land_source(df: DataFrame, path: str, drop=(), fmt: str = "parquet") -> str:

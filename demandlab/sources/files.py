@@ -3,6 +3,9 @@ flattening; and sinks (table overwrite, stage files, column contracts)."""
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,17 +32,63 @@ def newest_file(spark: SparkSession, path: str, pattern: str = "*") -> str:
     return row["path"]
 
 
+def newest_drop(spark: SparkSession, directory: str, pattern: str = "*") -> str:
+    """Path of the newest drop in ``directory``: a file in it, or a folder with
+    files at any depth, whose names match ``pattern``.  A drop is as new as its
+    most recently modified file; of equally new ones, the largest name counts.
+    Only file metadata is read, and one row comes back."""
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", directory).rstrip("/") + "/"
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(directory)
+             .select("path", "modificationTime"))
+    inside = F.substring(F.col("path"), F.locate(base, F.col("path")) + F.lit(len(base)), F.length("path"))
+    row = (files.where(F.locate(base, F.col("path")) > 0).groupBy(F.split_part(inside, F.lit("/"), F.lit(1)).alias("drop"))
+           .agg(F.max("modificationTime").alias("time")).orderBy(F.desc("time"), F.desc("drop")).limit(1).first())
+    if row is None:
+        raise FileNotFoundError(f"no file {pattern} below {directory}")
+    return f"{directory.rstrip('/')}/{row['drop']}"
+
+
 def latest_file_read(spark: SparkSession, directory: str, fmt: str = "csv",
                      schema: T.StructType | str | None = None, **options) -> DataFrame:
-    """Rows of the most recently modified file below ``directory``: exactly one
-    file, older ones are never opened (``newest_file``)."""
-    path = newest_file(spark, directory, options.pop("pattern", "*"))
+    """Rows of the newest drop in ``directory`` (``newest_drop``): one file, or
+    all files of one folder that match ``pattern``, read in parallel.  Files of
+    older drops are never opened."""
+    pattern = options.pop("pattern", "*")
+    path = newest_drop(spark, directory, pattern)
+    options |= {"pathGlobFilter": pattern, "recursiveFileLookup": "true"}
     if fmt == "csv":
         return read_csv(spark, path, schema, **options)
     r = spark.read.options(**options)
     return (r.schema(schema) if schema is not None else r).format(fmt).load(path)
 
 
+def read_two_row_header(spark: SparkSession, path: str, id_columns: int, value_name: str = "value", **options) -> DataFrame:
+    """A wide CSV file whose header has two rows: years over the value columns
+    (a blank one continues the year to its left), quarters below them, and the
+    names of the first ``id_columns`` columns in the second row -> those columns
+    and year, quarter, ``value_name`` (double), a row per filled cell.
+
+    The header rows name the columns, so a file that grows by a quarter needs
+    no new schema; they, and any repetition of them, are no data.  A cell that
+    isn't a number fails the job.
+    """
+    raw = spark.read.options(**options).option("header", "false").csv(path)
+    top, low = (list(r) for r in raw.head(2))  # a file's first two rows
+    labels, year = {}, None
+    for i in range(id_columns, len(raw.columns)):
+        year = (top[i] or "").strip() or year
+        labels[raw.columns[i]] = (year, (low[i] or "").strip().lower())
+    if any(y is None or not y.isdigit() or not re.fullmatch("q[1-4]", q) for y, q in labels.values()):
+        raise ValueError(f"header is not years over quarters: {labels}")
+    ids = raw.columns[:id_columns]
+    head = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(row[i])) for i, c in enumerate(ids)]) for row in (top, low)])
+    long = raw.where(~head).unpivot(ids, list(labels), "label", "cell").where("trim(cell) <> ''")
+    named = F.create_map(*[F.lit(x) for c, (y, q) in labels.items() for x in (c, f"{y} {q}")])
+    when = F.split(F.element_at(named, F.col("label")), " ")
+    return long.select(*[F.col(c).alias((low[i] or "").strip()) for i, c in enumerate(ids)], when[0].cast("int").alias("year"),
+                       when[1].alias("quarter"), F.trim("cell").cast("double").alias(value_name))
+
+
 SERIES_DATA = T.ArrayType(T.StructType([
     T.StructField("year", T.StringType()),
     T.StructField("period", T.StringType()),
@@ -57,13 +106,14 @@ SERIES_RESPONSE = T.StructType([
 ])
 
 
-def flatten_series_response(df: DataFrame, json_col: str = "value", ok_status: str = "REQUEST_SUCCEEDED") -> DataFrame:
-    """API response documents -> one row per data point of the first series;
-    failed responses, and those without a series, are dropped."""
-    parsed = df.select(F.from_json(F.col(json_col), SERIES_RESPONSE).alias("r"))
+def flatten_series_response(df: DataFrame, json_col: str = "value", ok_status: str = "REQUEST_SUCCEEDED", keep=()) -> DataFrame:
+    """API response documents -> one row per data point of the first series, with
+    the columns ``keep``; failed responses, and those without a series, are
+    dropped."""
+    parsed = df.select(*keep, F.from_json(F.col(json_col), SERIES_RESPONSE).alias("r"))
     return (parsed.filter(F.col("r.status") == ok_status)
-                  .select(F.explode(F.try_element_at("r.Results.series", F.lit(1)).getField("data")).alias("d"))
-                  .select("d.year", "d.period", "d.periodName", "d.latest", "d.value"))
+                  .select(*keep, F.explode(F.try_element_at("r.Results.series", F.lit(1)).getField("data")).alias("d"))
+                  .select(*keep, "d.year", "d.period", "d.periodName", "d.latest", "d.value"))
 
 
 # ------------------------------------------------------------------ sinks ----
@@ -80,6 +130,17 @@ def overwrite_table(df: DataFrame, name: str, path: str | None = None, fmt: str
     w.saveAsTable(name)
 
 
+def refresh_partitions(df: DataFrame, path: str, partition_by, fmt: str = "parquet", expected=None) -> None:
+    """Write ``df`` into the partitioned table at ``path``: the partitions that
+    it has rows for are replaced whole, the others stay.  With ``expected``, the
+    columns must be these.  Rows of a partition come together first, so each
+    partition gets few files."""
+    if expected is not None and sorted(df.columns) != sorted(expected):
+        raise ValueError(f"columns {sorted(set(df.columns) ^ set(expected))} differ from the table's")
+    (df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_by).format(fmt).save(path))
+
+
 def write_stage(df: DataFrame, root: str, name: str, fmt: str = "parquet") -> str:
     """Write an interim stage (one directory per stage name)."""
     out = f"{root.rstrip('/')}/{name}"

@@ -219,16 +219,16 @@ def test_growth_flag_is_reached(spark):
     assert flags.where(F.col(name).cast("int") == 1).count() > 0
 
 
-def test_fit_of_a_one_week_series():
-    pdf = pd.DataFrame({"sell_id": ["a"], "week_ending_date": [dt.date(1997, 3, 1)], "qty": [4.0]})
-    out = forecast._fourier_fit(pdf, [dt.date(1998, 3, 7)], CFG.cap_floor_until)
-    assert out.seasonal_forecast.tolist() == [4.0]
+def test_fit_of_a_one_week_series(spark):
+    rows = spark.createDataFrame([("a", dt.date(1997, 3, 1), 4.0), ("b", dt.date(1997, 3, 1), None)], "sell_id string, week_ending_date date, qty double")
+    out = forecast.fourier_forecast(rows)
+    assert {(r.sell_id, r.seasonal_forecast) for r in out.collect()} == {("a", 4.0)} and out.count() == CFG.seasonal_horizon_weeks - 1
 
 
 def test_landed_chain_checks_its_files(spark):
     """File drops -> pipeline stage; a changed header, a doubled key or a clashing column fails."""
     from demandlab import pipeline
-    from demandlab.operators.joins import JoinValidationError
+    from demandlab.operators.joins import JoinValidationError, ObservedJoins
     from demandlab.plans import landed
     folder, out = scratch("landed"), scratch("out")
     t = Tables(spark, SF_SMALL)
@@ -239,10 +239,13 @@ def test_landed_chain_checks_its_files(spark):
     assert rows.count() == days.count() and rows.agg(F.sum("src2_cases")).first()[0] == days.agg(F.sum("n_orders")).first()[0]
     assert rows.where("unemployment_rate IS NULL OR price_index IS NULL").count() == 0
     drops, geo = landed.read_drops(spark, folder), external.geography(t)
-    with pytest.raises(JoinValidationError):
-        landed.merge_drops(drops | {"quarterly": drops["quarterly"].unionByName(drops["quarterly"])}, geo)
+    for name in ("quarterly", "cases"):  # a doubled key on the right, and on the left side
+        checks = ObservedJoins()
+        landed.merge_drops(drops | {name: drops[name].unionByName(drops[name])}, geo, checks).collect()
+        with pytest.raises(JoinValidationError, match="not unique"):
+            checks.verify()
     with pytest.raises(DataQualityError, match="src2_cases"):
-        landed.merge_drops(drops | {"quarterly": drops["quarterly"].withColumn("src2_cases", F.lit(1))}, geo)
+        landed.merge_drops(drops | {"quarterly": drops["quarterly"].withColumn("src2_cases", F.lit(1))}, geo, ObservedJoins())
     write(f"{folder}/cases/drop3/new.csv", "date,state,deaths,cases\n2020-04-01,Ohio,7,1000\n", age=-10 ** 9)
     with pytest.raises(Exception, match="(?i)header|schema"):
         landed.landed_master(t, folder).collect()
@@ -262,3 +265,72 @@ def test_peak_and_fall(spark):
            for r in peak_and_fall(spark.createDataFrame(rows, "state string, date date, value long"), ["state"], cfg).collect()}
     assert got == {"tie": (day(2), 9, day(6), True), "gap": (day(2), 7, day(4), True), "high": (day(3), 10, day(10), False),
                    "last": (day(10), 10, day(10), False), "edge": (day(1), 10, day(10), False), None: (day(4), 5, day(5), True)}
+
+
+def test_newest_drop_is_a_folder_or_a_file(spark):
+    from demandlab.sources.files import newest_drop
+    d = scratch("drops")
+    write(f"{d}/first/a.csv", "k\n1\n", age=50)
+    write(f"{d}/second/x/a.csv", "k\n2\n", age=100)      # one old file beside the newest one: still the same drop
+    write(f"{d}/second/b.csv", "k\n3\n")
+    write(f"{d}/second/notes.txt", "no data")
+    write(f"{d}/third/a.csv", "other header\nx\n", age=10)
+    assert newest_drop(spark, d, "*.csv").endswith("/second")
+    assert sorted(r.k for r in latest_file_read(spark, d, "csv", "k int", pattern="*.csv").collect()) == [2, 3]
+    write(f"{d}/single.csv", "k\n9\n", age=-5)
+    assert [r.k for r in latest_file_read(spark, "file://" + d, "csv", "k int", pattern="*.csv").collect()] == [9]
+    with pytest.raises(FileNotFoundError):
+        newest_drop(spark, d, "*.json")
+
+
+def test_two_row_header(spark):
+    """Blank years are carried right, repeated header rows and blank cells are no data."""
+    from demandlab.sources.files import read_two_row_header
+    d = scratch("wide")
+    head = "file,country,1980,,,,1981,1981\nfile,Country name,q1,q2,Q3,q4,q1,q2\n"
+    write(f"{d}/a.csv", head + "f,US,1,2.5,,4,5,\n" + head + "f,,7,,,,, 8 \n")
+    got = read_two_row_header(spark, f"{d}/a.csv", 2, "rate")
+    assert got.columns == ["file", "Country name", "year", "quarter", "rate"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        ("f", "US", 1980, "q1", 1.0), ("f", "US", 1980, "q2", 2.5), ("f", "US", 1980, "q4", 4.0), ("f", "US", 1981, "q1", 5.0),
+        ("f", None, 1980, "q1", 7.0), ("f", None, 1981, "q2", 8.0)], key=str)
+    write(f"{d}/b.csv", "file,country,1980\nfile,Country,total\nf,US,1\n")
+    with pytest.raises(ValueError, match="years over quarters"):
+        read_two_row_header(spark, f"{d}/b.csv", 2)
+    write(f"{d}/c.csv", "file,country,1980\nfile,Country,q1\nf,US,many\n")
+    with pytest.raises(Exception, match="(?i)cast"):
+        read_two_row_header(spark, f"{d}/c.csv", 2).collect()
+
+
+def test_series_points_come_from_good_responses(spark):
+    docs = external.series_responses(Tables(spark, SF_SMALL))
+    assert docs.count() == 5 and docs.where("value LIKE '%REQUEST_FAILED%'").count() == 1 and docs.where("value LIKE '%\"series\":[]%'").count() == 1
+    assert external.series_points(Tables(spark, SF_SMALL)).select("series").distinct().count() == 3
+
+
+def test_checks_need_no_job_of_their_own(spark):
+    from demandlab.operators.joins import JoinValidationError, ObservedJoins
+    from demandlab.operators.quality import drop_null_keys
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (2, None), (None, "c")], "k int, v string")
+    right = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "k int, w int")
+    jobs = {}
+    for observed in (False, True):
+        spark.sparkContext.setJobGroup(f"observed-{observed}", "x")
+        if observed:
+            checks = ObservedJoins()
+            rows, seen = drop_null_keys(left, ["k", "v"])
+            rows = checks.join("numbers", rows, right, "k")
+        else:
+            rows = left.where("k IS NOT NULL AND v IS NOT NULL").join(right, "k", "left")
+        rows.write.parquet(scratch())
+        jobs[observed] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"observed-{observed}"))
+    spark.sparkContext.setJobGroup("none", "x")
+    assert seen.get == {"rows": 4, "rejected": 2}
+    checks.verify()
+    assert checks.metrics(spark).first().asDict() == {"merge": "numbers", "rows_left": 2, "rows_right": 3, "rows_out": 2, "rows_met": 2}
+    assert jobs[True] <= jobs[False] + 1  # the window's exchange may run as a stage of its own, no second scan
+    for l, r, how in ((left, right.union(right), "m:1"), (left.union(left), right, "1:1"), (left, right, "1:1")):
+        bad = ObservedJoins()
+        bad.join("x", l, r, "k", how).write.parquet(scratch())
+        with pytest.raises(JoinValidationError):
+            bad.verify()
