@@ -94,8 +94,8 @@ def report(df: DataFrame, checks: list[Check], example: list[str], columns=None)
         parts.append((df.agg(*aggregates), [c.name for c in whole]))
     for keys in sorted({c.unique for c in checks if c.unique}):
         names = [c.name for c in checks if c.unique == keys]
-        many = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        one = many.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n0"), F.min(shown(keys)).alias("x0"))
+        many = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1")
+        one = many.agg(F.coalesce(F.sum(F.col("__rows") - 1), F.lit(0)).alias("n0"), F.min(shown(keys)).alias("x0"))
         parts.append((one.select(*[c for i in range(len(names)) for c in (F.col("n0").alias(f"n{i}"), F.col("x0").alias(f"x{i}"))]), names))
     out = df.sparkSession.createDataFrame(columns_are(df, columns) if columns is not None else [], REPORT)
     for row, names in parts:

@@ -875,3 +875,25 @@ def q_quality_report(spark, sf_dir):
     df = refresh.dirty_daily(_t(spark, sf_dir), CFG)
     contract = ["state", "state_initial", "date", "orders", "order_value"]
     return report(df, refresh.daily_checks(CFG), ["state", "state_initial", "date"], contract)
+
+
+@register("case_master", with_(O.GEO, O.sd_cte(CFG)) + f"""
+, wc AS (SELECT state_initial, {wk('date')} AS date, CAST(sum(n_orders) AS BIGINT) AS weekly_claims FROM sd GROUP BY ALL)
+SELECT s.state, s.state_initial, s.date, CAST(n_orders AS DOUBLE) AS deaths_mean, CAST(urgent_orders AS DOUBLE) AS new_pop_affected,
+       n_orders AS "positiveIncrease", urgent_orders AS "deathIncrease", weekly_claims,
+       CAST(datediff('day', (SELECT max(date) FROM sd), {d(CFG.projection_to)}) AS INTEGER) AS lag_days,
+       (SELECT count(DISTINCT state) FROM sd) AS n_states
+FROM sd s LEFT JOIN wc USING (state_initial, date)""")
+def q_case_master(spark, sf_dir):
+    from demandlab.plans import landed_cases
+    t, folder = _t(spark, sf_dir), _scratch(spark, "cases")
+    landed_cases.land_case_drops(t, folder, CFG)
+    return landed_cases.case_master(t, folder, CFG)
+
+
+@register("series_of_catalog", with_(FACT, O.model_weekly_cte(CFG)) + """
+SELECT sell_id, split_part(sell_id, '_', 1) AS category, split_part(sell_id, '_', 2) AS state, round(sum(qty), 4) AS qty, count(*) AS weeks
+FROM mw GROUP BY sell_id""")
+def q_series_of_catalog(spark, sf_dir):
+    from demandlab.plans import landed_cases
+    return round_doubles(landed_cases.series_of_catalog(_t(spark, sf_dir), CFG))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlab.sources.files import latest_file_read
+from demandlab.sources.files import latest_file_read, newest_drop, read_csv
 
 # Column names and types of the landed files.
 PROJECTION_SCHEMA = ("location_name string, location_id int, date date, deaths_mean double, "
@@ -46,9 +46,13 @@ PRICE_SCHEMA = "year string, period string, periodName string, latest string, va
 
 def read_projection_table(spark: SparkSession, directory: str, table: str = "projections",
                           schema: str = PROJECTION_SCHEMA) -> DataFrame:
-    """A named table inside the newest projection drop
-    (``<dir>/<drop>/<table>*.csv`` or ``<dir>/<table>*.csv``)."""
-    return latest_file_read(spark, directory, "csv", schema, pattern=f"{table}*.csv")
+    """A named table inside the newest projection drop: files ``<table>*.csv`` of
+    the drop, or the CSV files of its folder ``<table>*``."""
+    try:
+        return latest_file_read(spark, directory, "csv", schema, pattern=f"{table}*.csv")
+    except FileNotFoundError:
+        drop = newest_drop(spark, directory, "*.csv")
+        return read_csv(spark, f"{drop}/{table}*", schema, pathGlobFilter="*.csv")
 
 
 def read_mobility(spark: SparkSession, directory: str) -> DataFrame:
