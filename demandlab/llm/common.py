@@ -61,6 +61,35 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Stages:
+    """Stage tables of one query, deleted as soon as nothing reads them any more.
+
+    The files of a write's shuffles go when it ends: what follows reads the
+    table.  ``keep`` names the tables that stay.
+    """
+    SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[str, str] = {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        before = self.spark.conf.get(self.SHUFFLES, "false")
+        self.spark.conf.set(self.SHUFFLES, "true")
+        try:
+            self._paths[name] = f"{shared_dir(self.spark)}/llm-{name}-{uuid.uuid4().hex}"
+            df.write.parquet(self._paths[name])
+        finally:
+            self.spark.conf.set(self.SHUFFLES, before)
+        return self.spark.read.schema(df.schema).parquet(self._paths[name])
+
+    def close(self, keep: tuple[str, ...] = ()) -> None:
+        """Delete the tables but those in ``keep``."""
+        for name in [n for n in self._paths if n not in keep]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(name))
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 # ---------------------------------------------------------------- hashing
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -1,6 +1,6 @@
 """Language model scores by a weighted backoff automaton.
 
-Every token's count takes part, and every run of two or three tokens that
+Every token's count takes part, and every run of up to ``ORDER`` tokens that
 occurs ``LEAST`` times or more in the training documents, whatever its tokens,
 is an arc.  A token, or a pair of tokens, with arcs is a state; its failure arc
 carries the backoff weight that makes the probabilities of the state sum to
@@ -13,7 +13,10 @@ its distinct n-grams (of three tokens, those whose two pairs are arcs), sorted b
 every range sums what its shards sent and answers each in the order asked.  One
 shard owns an n-gram and adds it to the sums of its context, which are summed
 and answered alike.  So a shard gets the arcs and failure weights of its own
-states, and its texts walk them all at once.
+states, and its texts are walked from left to right (``walk``).
+
+Bytes that move grow with the input; the number of rows they come in is shards
+times ranges, so ``PART_TOKENS`` should grow with inputs beyond terabytes.
 """
 
 from __future__ import annotations
@@ -25,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, gram_hash, prefix_hash, slice_hash, stage_table, text_chunks, word_spans
+from .common import LOWER, Stages, gram_hash, prefix_hash, slice_hash, text_chunks, word_spans
 from .quality import fold
 
-STATE_SHARE = 0.0     # not read: a context needs no share of the tokens (a test still sets it)
-LEAST = 2             # fewest occurrences of an arc
+ORDER = 3             # tokens of the longest arc: a state remembers two
+LEAST = 2             # fewest occurrences of an arc of two tokens or more; what rarer ones would get goes to the failure arc
 MU = 2.0              # pseudo-counts of the shorter context's distribution
 SHARD_TOKENS, SHARD_DOCS = 1_000_000, 4000
-PART_TOKENS = 1_000_000  # training and held-out tokens a range of hashes
+PART_TOKENS = 2_000_000  # training and held-out tokens a range of hashes
 END = np.uint64(0xE0D0E0D0E0D0E0D1)  # the end token
 
 SHARD_KIND = "shard long, doc_id array<long>, held array<boolean>, lens array<int>, words binary, seq binary, size long, train long"
@@ -232,6 +235,35 @@ def _ask_again(parts: int, k: int):
     return run
 
 
+def walk(s: Shard, arcs: dict, weights: dict, fails: dict) -> np.ndarray:
+    """Log-probability of every token in one traversal of the shard's texts.
+
+    The state before a token is what the last tokens of its text left behind: a
+    pair, after the first token that token, at a text's beginning the root.  All
+    traversals take their steps together: a token whose state has no arc for it
+    adds the weight of the failure arc and is asked again in the shorter state;
+    the root has an arc for every token.
+    """
+    n = len(s.seq)
+    done = np.zeros(n)
+    place = np.arange(n) - np.repeat(np.cumsum(s.lens) - s.lens, s.lens)  # tokens of the text before this one
+    number = {}
+    for k in range(2, ORDER + 1):  # the n-gram of k tokens that ends here
+        number[k] = np.zeros(n, np.int64)
+        number[k][s.at[k] + (k - 1)] = s.which[k]
+    pending = np.arange(n)
+    for k in range(ORDER, 1, -1):  # in states of k - 1 tokens
+        here = pending[place[pending] >= k - 1]
+        found = arcs[k][number[k][here]]
+        taken, failed = here[found], here[~found]
+        done[taken] += weights[k][number[k][taken]]
+        state = s.seq[failed - 1] if k == 2 else number[k - 1][failed - 1]
+        done[failed] += fails[k - 1][state]
+        pending = np.r_[pending[place[pending] < k - 1], failed]
+    done[pending] += weights[1][s.seq[pending]]
+    return done
+
+
 def _score(total: int, vocabulary: int):
     kind = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                       ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -255,14 +287,17 @@ def _score(total: int, vocabulary: int):
                 rest = (seen - sums[2] + MU * rest) / (seen + MU)
             weight[k] = np.ones(len(c[k]))
             weight[k][may] = (c[k][may] - sums[0] + MU * rest) / ((c[k][may] + MU) * rest)
-        base = np.log10(p1)[s.seq]
-        score, short = base.copy(), p1
-        for k in (2, 3):
+        # probabilities of the arcs; a longer one's rests on the shorter one's
+        p, lower = {1: p1}, p1
+        for k in range(2, ORDER + 1):
             at = s.some[k]
             context = s.seq[at] if k == 2 else s.pair[at]
-            shorter = p1[s.seq[at + 1]] if k == 2 else short[s.pair[at + 1]]
-            short = np.where(c[k] > 0, (c[k] + MU * shorter) / (c[k - 1][context] + MU), shorter * weight[k - 1][context])
-            score[s.at[k] + (k - 1)] = np.log10(short)[s.which[k]]
+            shorter = p1[s.seq[at + 1]] if k == 2 else lower[s.pair[at + 1]]
+            p[k] = np.where(c[k] > 0, (c[k] + MU * shorter) / (c[k - 1][context] + MU), 0.0)
+            lower = np.where(c[k] > 0, p[k], shorter * weight[k - 1][context])
+        base = np.log10(p1)[s.seq]
+        score = walk(s, {k: v > 0 for k, v in p.items()}, {k: np.log10(v, where=v > 0, out=np.zeros(len(v))) for k, v in p.items()},
+                     {k: np.log10(v) for k, v in weight.items()})
         first = np.cumsum(s.lens) - s.lens
         hit = np.add.reduceat((c[1] > 0)[s.seq].astype(np.int64), first)
         row = {x: shards.column(x)[0] for x in ("doc_id", "held")}
@@ -285,13 +320,14 @@ def lm_scores(docs: DataFrame, held_part: int = 2, parts: int = 7) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", (fold(F.col("doc_id"), parts) == held_part).alias("held"), F.col("text").cast("string").alias("text"))
-    shards = stage_table(rows.mapInArrow(_pack, SHARD_KIND), "shards")
+    stages = Stages(spark)
+    shards = stages.table(rows.mapInArrow(_pack, SHARD_KIND), "shards")
     sums = shards.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
     total, ranges = int(sums["train"]), 1 + int(sums["size"]) // PART_TOKENS
     shards = shards.drop("size", "train")
 
     def answered(asked: DataFrame, name: str) -> DataFrame:
-        return stage_table(asked.groupBy("part").applyInArrow(_answers(), ANSWER_KIND), name)
+        return stages.table(asked.groupBy("part").applyInArrow(_answers(), ANSWER_KIND), name)
 
     bare = shards.drop("doc_id")
     known = answered(bare.mapInArrow(_ask_counts(ranges), ASK_KIND), "counts")
@@ -299,5 +335,7 @@ def lm_scores(docs: DataFrame, held_part: int = 2, parts: int = 7) -> DataFrame:
     for k in (1, 2):
         asked = bare.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_ask_again(ranges, k), ASK_KIND)
         known = known.unionByName(answered(asked, f"contexts-{k}"))
-    return shards.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(
-        _score(total, size), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = stages.table(shards.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(
+        _score(total, size), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
+    stages.close(keep=("scores",))
+    return scores
