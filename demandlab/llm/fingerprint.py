@@ -5,7 +5,7 @@ to one wide vector; a document's fingerprint is the sum of the vectors of its
 paragraphs, lane by lane modulo 2^32.  So it doesn't depend on their
 order, and inserting or deleting a paragraph adds or subtracts one vector.
 
-The vector has two parts.  32 lanes are drawn from the hash of the
+The vector has two parts.  32 lanes are the digest (BLAKE2, 1024 bits) of the
 whole paragraph and tell multisets apart.  128 lanes sum signed
 hashes of the paragraph's byte runs (a text has fewer than 2^31, so that no sum
 wraps); they are short for like paragraphs, so
@@ -24,11 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, mix, prefix_hash, slice_hash
+from .common import CHUNK_BYTES, prefix_hash, slice_hash
 
 EXACT_LANES, LIKE_LANES, RUN = 32, 128, 9  # a run has so many bytes; a shorter paragraph is one run
 WIDTH = EXACT_LANES + LIKE_LANES
-_LANE = mix(np.arange(1, EXACT_LANES + 1, dtype=np.uint64))
+
+
+def digest(paragraph: bytes) -> bytes:
+    """As many independent bits as the exact lanes hold."""
+    first = hashlib.blake2b(paragraph, digest_size=64, person=b"paragraph").digest()
+    return first + hashlib.blake2b(first, digest_size=64, person=b"more lanes").digest()
 
 
 def sketches(parts: Sequence[bytes]) -> np.ndarray:
@@ -55,11 +60,8 @@ def _sketch_chunk(parts: Sequence[bytes]) -> np.ndarray:
     first = np.r_[0, np.searchsorted(stop, last)[:-1] + 1]  # each item's first paragraph
     h = prefix_hash(buf)
     out = np.zeros((n, WIDTH), np.uint32)
-    with np.errstate(over="ignore"):
-        whole = slice_hash(h, start, stop)
-        for j in range(EXACT_LANES):
-            lane = (mix(whole ^ _LANE[j]) >> np.uint64(32)).astype(np.uint32)
-            out[:, j] = np.add.reduceat(lane, first)
+    whole = np.frombuffer(b"".join(digest(p) for part in parts for p in part.split(b"\n")), "<u4").reshape(-1, EXACT_LANES)
+    out[:, :EXACT_LANES] = np.add.reduceat(whole, first, 0)
     size = stop - start
     runs = np.where(size >= RUN, size - RUN + 1, size > 0)
     para = np.repeat(np.arange(len(start)), runs)
@@ -171,12 +173,12 @@ def edit_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     next document.  Other columns are ignored.
 
     Documents are cut into ranges of doc_id, and each range also gets the first
-    document of the following one; texts are shuffled once.
+    document of the following one; texts are shuffled once, a range to a task.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
+    cuts = docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (16 * n)) if n > 1 else []
     bounds = np.unique(np.array(cuts, np.float64)) if cuts else np.zeros(0)
 
     @F.pandas_udf("long")
@@ -191,5 +193,5 @@ def edit_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     tails = [(r.top, tops[i - 1].bucket) for i, r in enumerate(tops) if r.top is not None]
     extra = docs.join(F.broadcast(spark.createDataFrame(tails, "doc_id long, bucket long")), "doc_id")
     rows = (placed.withColumn("extra", F.lit(0)).unionByName(extra.withColumn("extra", F.lit(1)))
-            .repartition(n, "bucket").sortWithinPartitions("bucket", "extra", F.desc_nulls_last("doc_id"), "text"))
+            .repartitionByRange(n, "bucket").sortWithinPartitions("bucket", "extra", F.desc_nulls_last("doc_id"), "text"))
     return rows.mapInArrow(_run, KIND)

@@ -4,6 +4,7 @@ blank and long texts, ties, repeated rows and extra columns."""
 import hashlib
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -122,6 +123,26 @@ def test_fingerprint_is_homomorphic():
     assert fingerprint.likeness(f(""), f(""))[0] == 1 and fingerprint.likeness(f(""), f(a))[0] == 0
 
 
+def test_fingerprints_tell_structured_texts_apart():
+    """Texts on which a polynomial hash collides; lanes against a plain version."""
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    pairs = [(a, b), (a + "\n" + b, b + "\n" + b), (a[:2048], b[:2048]), ("x" + a, "x" + b)]
+    r = random.Random(1)
+    pairs += [(t, t[:k] + r.choice("cd") + t[k + 1:]) for t in ("ab" * r.randint(1, 900) for _ in range(200)) for k in [r.randrange(len(t))]]
+    for x, y in pairs:
+        p, q = fingerprint.fingerprint_texts([x, y])
+        assert (p != q).any() and (p[:fingerprint.EXACT_LANES] != q[:fingerprint.EXACT_LANES]).sum() >= fingerprint.EXACT_LANES - 2
+        for text, lanes in ((x, p), (y, q)):
+            want = [0] * 32
+            for line in text.encode().split(b"\n"):
+                d = hashlib.blake2b(line, digest_size=64, person=b"paragraph").digest()
+                d += hashlib.blake2b(d, digest_size=64, person=b"more lanes").digest()
+                want = [(w + int.from_bytes(d[4 * i:4 * i + 4], "little")) % 2 ** 32 for i, w in enumerate(want)]
+            assert lanes[:32].tolist() == want
+
+
 def test_likeness_of_long_repetitions():
     """Lane sums beyond 2^15, 2^16 and 2^31 / 2^16 keep their sign and size."""
     for text in ("a" * 40_000, "a" * 65_544, "a" * 400_000, "the same passage again\n" * 100_000):
