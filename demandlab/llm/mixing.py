@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import stage_table
 
 SPACES = r"[\x20\x09-\x0D]+"
+NEXT_WORD = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
 TRIMMED = " \t\n\x0b\x0c\r"
 
 
@@ -144,15 +145,16 @@ def mix(docs: DataFrame, block: int = 4, shard_docs: int = 4096, seed: str = "mi
 
 def mixed_documents(docs: DataFrame, block: int = 4, shard_docs: int = 4096, seed: str = "mix") -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for every whole time a
-    document is taken, and one for each part (its words joined by one space).
+    document is taken, and one for each part (its words with the white space
+    between them).
     n_chars, if there, is the new text's length.  Rows that are taken 0 times go,
     those of null or blank texts too; see ``mix`` for the other cases."""
     src, quotas = _plan(stage_table(_sized(docs), "sizes"), block, shard_docs, seed)
     dealt = _deal(_sized(docs, F.struct("*").alias("row")), src, quotas, block, seed).where("taken > 0")
-    words = F.split(F.btrim(F.col("row.text").cast("string"), F.lit(TRIMMED)), SPACES)
+    words = F.split(F.btrim(F.col("row.text").cast("string"), F.lit(TRIMMED)), NEXT_WORD)  # each with the white space after it
 
     def part(first: Column, n: Column) -> Column:
-        some = F.array_join(F.slice(words, (first + 1).cast("int"), n.cast("int")), " ")
+        some = F.rtrim(F.array_join(F.slice(words, (first + 1).cast("int"), n.cast("int")), ""), F.lit(TRIMMED))
         return F.when(n == F.col("size"), F.array(F.col("row.text").cast("string"))).when(n > 0, F.array(some)) \
             .otherwise(F.array().cast("array<string>"))
 

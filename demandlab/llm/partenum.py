@@ -191,10 +191,17 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns as they are, without near-duplicates: of
-    each component the document with the smallest doc_id stays.  Equal rows of
-    one doc_id and text stay once; texts without words link with nothing."""
-    kept = jaccard_components(docs, size, percent).where("doc_id = component_id").select("doc_id").distinct()
-    found = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    each component of rows one stays, that with the smallest doc_id (of several
+    texts under it, the one with the smallest hash).  Rows count by doc_id and
+    text, so different texts under one doc_id stand for themselves; equal rows
+    of one doc_id and text stay once; texts without words, and rows without a
+    doc_id, link with nothing."""
+    own = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    known = docs.where("doc_id IS NOT NULL")
+    parts = jaccard_components(known.select(own.alias("doc_id"), "text"), size, percent).select(F.col("doc_id").alias("row"), "component_id")
+    kept = (known.select("doc_id", own.alias("row")).join(parts.distinct(), "row")
+            .groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("least")).select(F.col("least.row").alias("row")))
+    found = known.join(kept, own == kept["row"], "left_semi").select(*docs.columns)
     return found.unionByName(docs.where("doc_id IS NULL")).dropDuplicates(["doc_id", "text"])
 
 

@@ -49,6 +49,17 @@ def test_jaccard_components(docs, doc_rows, size, percent):
     assert Counter(map(tuple, partenum.jaccard_components(docs, size, percent).collect())) == want
 
 
+def test_one_of_each_goes_by_rows(spark):
+    """Several texts under one doc_id: each is kept or dropped for itself."""
+    a = " ".join(f"w{i}" for i in range(100))
+    near, other = a + " end", " ".join(f"v{i}" for i in range(50))
+    rows = [(1, a), (5, near), (5, other), (7, other), (3, a), (3, a), (9, None), (9, None), (9, " "), (None, a), (None, a)]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, row string, component_id int")
+    kept = partenum.one_of_each(table)
+    assert kept.columns == table.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (5, other), (9, None), (9, " "), (None, a)])
+
+
 def test_jaccard_chain_through_middle(spark):
     """Ends of a chain link only through its middle; a hot group of copies stays one node."""
     base = [f"w{i}" for i in range(100)]
@@ -181,13 +192,17 @@ def test_mix(docs, doc_rows):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
-def test_mixed_documents_match_taken(docs):
+def test_mixed_documents_match_taken(docs, doc_rows):
     rows = mixing.mixed_documents(docs)
+    texts = defaultdict(list)
+    for i, t, _ in doc_rows:
+        texts[i].append(t)
     assert rows.columns == docs.columns
     took = Counter()
     for r in rows.collect():
         took[r.doc_id] += len(words(r.text))
         assert r.n_chars == len(r.text)
+        assert any(r.text in (t or "") for t in texts[r.doc_id])  # parts are cut out of the text, white space and all
     want = Counter()
     for r in mixing.mix(docs).collect():
         want[r.doc_id] += r.taken
