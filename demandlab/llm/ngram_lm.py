@@ -35,7 +35,7 @@ ORDER = 3             # tokens of the longest arc: a state remembers two
 LEAST = 2             # fewest occurrences of an arc of two tokens or more; what rarer ones would get goes to the failure arc
 MU = 2.0              # pseudo-counts of the shorter context's distribution
 SHARD_TOKENS, SHARD_DOCS = 1_000_000, 4000
-PART_TOKENS = 2_000_000  # training and held-out tokens a range of hashes
+PART_TOKENS = 1_000_000  # training and held-out tokens a range of hashes
 END = np.uint64(0xE0D0E0D0E0D0E0D1)  # the end token
 
 SHARD_KIND = "shard long, doc_id array<long>, held array<boolean>, lens array<int>, words binary, seq binary, size long, train long"
@@ -56,7 +56,7 @@ def _pack(batches):
         return pa.RecordBatch.from_arrays(
             [pa.array([task << 24 | made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
              pa.array([lens], pa.list_(pa.int32())), pa.array([words.astype("<u8").tobytes()], pa.binary()),
-             pa.array([zip_.compress(seq.astype("<u4").tobytes())], pa.binary()), pa.array([len(seq)], pa.int64()),
+             pa.array([zip_.compress(np.ascontiguousarray(seq.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())], pa.binary()), pa.array([len(seq)], pa.int64()),
              pa.array([train], pa.int64())],
             [x.split()[0] for x in SHARD_KIND.split(", ")])
 
@@ -80,18 +80,27 @@ def _pack(batches):
 
 
 def _unpack_seq(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i4")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def squeeze(v: np.ndarray) -> bytes:
-    """Whole numbers as compressed planes of bytes."""
-    planes = np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    """Whole numbers, compressed: which of them aren't zero, and the planes of
+    bytes of these."""
+    v = v.astype("<u8")
+    some = v != 0
+    planes = np.ascontiguousarray(v[some].view(np.uint8).reshape(-1, 8).T)
+    head = np.array([len(v), planes.shape[1]], "<u8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + np.packbits(some).tobytes() + planes.tobytes())
 
 
 def spread(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n, filled = np.frombuffer(data, "<u8", 2).tolist()
+    some = np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), 16), count=n).astype(bool)
+    out = np.zeros(n, "<u8")
+    out[some] = np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * filled, len(data) - 8 * filled).reshape(8, -1).T).view("<u8").ravel()
+    return out
 
 
 class Shard:
