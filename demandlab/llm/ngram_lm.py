@@ -194,14 +194,16 @@ def _answers():
     return run
 
 
-def _counted(s: Shard, answers: pa.Table, sizes: tuple[int, ...] = (1, 2, 3)):
+def _counted(s: Shard, answers: pa.Table, sizes: tuple[int, ...] = (1, 2, 3), owners: bool = True):
     """Counts of the shard's n-grams by size, and which of them it owns."""
     c, own = {}, {}
     for k in sizes:
         may = _may_repeat(s, c[2]) if k == 3 else np.ones(len(s.grams[k]), bool)
-        got = _answered(answers, k, int(may.sum()), 2)
+        got = _answered(answers, k, int(may.sum()), 2 if owners else 1)
         c[k], own[k] = np.zeros(len(may), np.int64), np.zeros(len(may), bool)
-        c[k][may], own[k][may] = got[0], got[1] > 0
+        c[k][may] = got[0]
+        if owners:
+            own[k][may] = got[1] > 0
     return c, own
 
 
@@ -282,7 +284,7 @@ def _score(total: int, vocabulary: int):
         if shards.num_rows == 0:
             return kind.empty_table()
         s = Shard(shards.select(["words", "seq", "held", "lens"]).to_pylist()[0])
-        c, _ = _counted(s, answers)
+        c, _ = _counted(s, answers, owners=False)
         p1 = (c[1] + 1) / every
         # failure weights: what the arcs leave, over what the shorter context gives to all others
         weight = {}
@@ -344,6 +346,8 @@ def lm_scores(docs: DataFrame, held_part: int = 2, parts: int = 7) -> DataFrame:
     for k in (1, 2):
         asked = bare.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_ask_again(ranges, k), ASK_KIND)
         known = known.unionByName(answered(asked, f"contexts-{k}"))
+    # scoring needs no owners
+    known = known.select("shard", "kind", "part", F.when(F.col("kind") <= 3, F.slice("values", 1, 1)).otherwise(F.col("values")).alias("values"))
     scores = stages.table(shards.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(
         _score(total, size), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
     stages.close(keep=("scores",))
