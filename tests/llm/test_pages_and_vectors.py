@@ -4,12 +4,14 @@ import base64
 import hashlib
 import html
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from demandlab.llm import host_paths, rabitq, warc
+from demandlab.llm.common import Stages
 
 PAGE = """<!doctype html><html><head><title>T &amp; x</title><script>if(a<b){{"</p>"}}</script></head><body class="with-sidebar">
 <header class="site-header"><h1>Site</h1></header><nav><a href=x>menu</a></nav><div class="cookie-notice">We use cookies</div>
@@ -72,6 +74,73 @@ def test_divided_articles_are_whole(spark):
     assert got[9, "http://o.example/"] == f"{lead}\n\n{rest}" and got[0, "http://o.example/"] == ("text 0 " * 40).strip()
 
 
+def plain(page):
+    return host_paths.main_text(page, None)
+
+
+def test_nothing_is_lost_in_deep_pages():
+    """Short leads on every level, tags that nobody closes, ten thousand open elements."""
+    leads = "".join(f"<div><p>lead {i}</p>" for i in range(12))
+    assert plain(f"<body>{leads}<p>{'body words ' * 400}").startswith("\n\n".join(f"lead {i}" for i in range(12)) + "\n\nbody")
+    for n in (1000, 10000):
+        start = time.perf_counter()
+        assert plain("<div>text" * n) == "\n\n".join(["text"] * n)
+        assert plain("<div class=a><span class=b><li>" * n + "end") == "end"
+        assert time.perf_counter() - start < 5
+    boxes = "".join(f"<div class=w{'x' * i}>" + (f"<div class=n>{'lead ' * 4}</div>" if i else "") for i in range(12))
+    kept = plain(f"<body>{boxes}<p>{'word ' * 400}")
+    assert len(kept) >= 0.9 * (11 * 19 + 1999)  # not a tenth a level
+
+
+@pytest.mark.parametrize("name", "elementor-widget widget-content menu-article login-guide share-price notice-period "
+                                 "social-history story-comment sidebar widget header-ad".split())
+def test_named_like_a_side_but_the_only_text(name):
+    page = f"<body><nav>menu</nav><div class='{name}'><h1>T</h1><p>words</p><div class=comments><p>said by a reader here</div></div>"
+    assert plain(page) == "T\n\nwords"
+
+
+def test_parts_of_an_article_stay():
+    assert plain("<article><h1>T</h1><section class=related-work><p>earlier</section><p>a <math><mi>x</mi><mo>=</mo></math> "
+                 "<label>c</label> <object>d</object><blockquote>q<footer>who</footer></blockquote><fieldset><p>e</fieldset>"
+                 "<dialog>f</dialog><div class=related><p>more</div><div class=related-reads><a href=x>one of many</a></div>"
+                 "<section class=comments><p>reader</section></article><dialog>g</dialog>") \
+        == "T\n\nearlier\n\na x= c d\n\nq\n\nwho\n\ne\n\nf"
+
+
+def test_suspicion():
+    assert {host_paths.suspicion(x) for x in "ad ad-box sidebar site-header cookie-notice comment-12 storyComments leftSidebar".split()} == {2}
+    assert {host_paths.suspicion(x) for x in "related-work menu-article notice-period cookie-recipe".split()} == {1}
+    assert {host_paths.suspicion(x) for x in "article-header no-sidebar with-ads content 12 adder".split()} == {0}
+
+
+def test_recurring_suspects_and_plain_vote(spark):
+    """A suspect container goes where its text recurs on the host's different pages; copies of one page don't count."""
+    page = "<body><div class=top>{2}</div><article><h1>T {0}</h1><div class=notice-period><p>{1}</p></div><p>{3}</p></article></body>"
+    rows = [(i, "http://same.example/", page.format(i, "we close at noon", "top", f"text {i} " * 9)) for i in range(6)]
+    rows += [(i, "http://own.example/", page.format(i, f"terms {i} apply", "top", f"text {i} " * 9)) for i in range(6)]
+    rows += [(i, "http://copies.example/", page.format(1, "once said", "top", "text " * 9)) for i in range(6)]
+    rows += [(9, "http://own.example/", None), (10, "http://own.example/", "<p>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in host_paths.extract_pages(frame).collect():
+        if r.n_chars:
+            assert ("close" not in r.text) and (("terms" in r.text) == ("own" in r.url)) and (("once" in r.text) == ("copies" in r.url))
+    stages = Stages(spark)
+    got = {r.host: (r.path, set(r.sides or ()), set(r.recurring or ())) for r in host_paths.host_paths(frame, stages).collect()}
+    stages.close()
+    for host in ("same.example", "own.example", "copies.example"):
+        voted = [host_paths.page_votes(h or "") for _, u, h in rows if host in u]
+        paths = Counter((v[1], v[5]) for vs in voted for v in vs if v[0] == host_paths.PATH)
+        top = max({p for p, _ in paths}, key=lambda p: (sum(n for (q, _), n in paths.items() if q == p),
+                                                        sum(n * w for (q, w), n in paths.items() if q == p), p))
+        voters = sum(n for (q, _), n in paths.items() if q == top)
+        beside = Counter(v[2] for vs in voted for v in vs if v[0] == host_paths.SIDE and v[1] == top)
+        different = len({v[4] for vs in voted for v in vs})
+        said = Counter((v[2], v[3]) for v in {v for vs in voted for v in vs if v[0] == host_paths.SUSPECT})
+        assert got[host] == (top, {k for k, n in beside.items() if 2 * n >= voters},
+                             {k for (k, _), n in said.items() if n >= 2 and 2 * n >= different})
+    assert len(got["same.example"][2]) == 1 and not got["own.example"][2] and not got["copies.example"][2]
+
+
 def test_extraction_of_given_pages(spark):
     """Every given page against a pattern written for its one template."""
     rows = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
