@@ -55,7 +55,7 @@ def _pack(batches):
         train = int(np.array(lens)[~np.array(held, bool)].sum())
         return pa.RecordBatch.from_arrays(
             [pa.array([task << 24 | made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
-             pa.array([lens], pa.list_(pa.int32())), pa.array([words.astype("<u8").tobytes()], pa.binary()),
+             pa.array([lens], pa.list_(pa.int32())), pa.array([squeeze(np.diff(words, prepend=np.uint64(0)))], pa.binary()),
              pa.array([zip_.compress(np.ascontiguousarray(seq.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())], pa.binary()), pa.array([len(seq)], pa.int64()),
              pa.array([train], pa.int64())],
             [x.split()[0] for x in SHARD_KIND.split(", ")])
@@ -107,7 +107,7 @@ class Shard:
     """The distinct n-grams of a shard, sorted by hash, and where they stand."""
 
     def __init__(self, row: dict):
-        self.words = np.frombuffer(row["words"], "<u8")
+        self.words = np.cumsum(spread(row["words"]), dtype=np.uint64)  # sorted: their differences are shorter
         self.seq, self.lens = _unpack_seq(row["seq"]), np.array(row["lens"], np.int64)
         self.train = np.repeat(~np.array(row["held"], bool), self.lens)
         left = np.repeat(np.cumsum(self.lens), self.lens) - np.arange(len(self.seq))  # tokens of the text from here on
