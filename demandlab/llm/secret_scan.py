@@ -3,13 +3,14 @@
 The credentials that the patterns find are labelled examples of their kind.
 For every kind, the prefix tree of a bounded sample becomes a probabilistic
 automaton by merging states whose outgoing and final frequencies are
-compatible (Hoeffding bounds, recursively).  Every other token that could be
-a credential is scored by its mean log-likelihood a character; the second half
-of the sample sets the threshold.
+compatible (Hoeffding bounds, recursively).  Every other run of credential
+characters, and its parts, is scored by its mean log-likelihood a character;
+the second half of the sample sets the threshold.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import math
@@ -28,12 +29,14 @@ _WORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
 ASSIGN = re.compile(rf"""({_WORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-HEX_HINT = re.compile(r"[0-9a-f]{8}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+RUN = re.compile(r"(?<![\w+/.=-])[A-Za-z0-9+/_.=-]{8,}(?!\w)")  # between other characters, ends of the text, quotes, colons
+PART = re.compile(r"[^./=]{8,}")
 HINTS = ("passw", "secret", "token", "key")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 KINDS = ("assign", "access", "hex", "format")
 
 SAMPLE = 600          # distinct credentials of a kind that the automata are inferred from
+SHORTEST = 8          # characters of a candidate
 LEAST_EXAMPLES = 40   # a kind with fewer has no automaton
 MERGE_ALPHA, UNSEEN, MARGIN = 0.05, 0.02, 0.25
 
@@ -147,20 +150,43 @@ def infer(examples: dict[str, list[str]]) -> list[tuple[Automaton, float]]:
     return models
 
 
+def candidates(run: str) -> list[tuple[int, int]]:
+    """(start, end) of what may be a credential in a run of credential
+    characters: the whole run first, then its parts between stops, slashes and
+    equals signs, each without signs around it, if they have ``SHORTEST``
+    characters, a letter and a digit."""
+    places = {}
+    for a, b, signs in [(0, len(run), "./-_"), *((m.start(), m.end(), "-_") for m in PART.finditer(run))]:
+        word = run[a:b]
+        a, b = a + len(word) - len(word.lstrip(signs)), b - len(word) + len(word.rstrip(signs))
+        if b - a >= SHORTEST and _DIGIT.search(run, a, b) and _LETTER.search(run, a, b):
+            places[a, b] = None
+    return list(places)
+
+
 def all_spans(text: str, models: list[tuple[Automaton, float]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end): the base spans, and tokens beside them that an
-    automaton accepts (a letter, a digit, 16 characters or more)."""
+    """(start, kind, end): the base spans, and candidates beside them whose
+    format an automaton accepts.  Of a run the parts accepted count; the whole
+    run only if none is."""
     spans = [x[:3] for x in base_spans(text)]
     if models:
-        taken = [(s, e) for s, _, e in spans]
-        for m in CANDIDATE.finditer(text):
-            w = m[0]
-            if not (re.search("[0-9]", w) and re.search("[A-Za-z]", w)):
-                continue
-            if any(s < m.end() and m.start() < e for s, e in taken):
-                continue
-            if any(model.likelihood(w) >= least for model, least in models):
-                spans.append((m.start(), 3, m.end()))
+        ends, far = [], 0  # ends of the base spans up to each, which are in order of their starts
+        for _, _, e in spans:
+            far = max(far, e)
+            ends.append(far)
+        starts = [s for s, _, _ in spans]
+        for m in RUN.finditer(text):
+            accepted = []
+            for a, b in candidates(m[0]):
+                before = bisect.bisect_left(starts, m.start() + b)
+                if before and ends[before - 1] > m.start() + a:
+                    continue
+                word = m[0][a:b]
+                if any(model.likelihood(word) >= least for model, least in models):
+                    accepted.append((a, b))
+            if len(accepted) > 1 and accepted[0][0] <= accepted[1][0] and accepted[1][1] <= accepted[0][1]:
+                del accepted[0]  # the whole run: parts of a run don't overlap
+            spans += [(m.start() + a, 3, m.start() + b) for a, b in accepted]
     return sorted(spans)
 
 

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -347,6 +348,36 @@ def test_secret_spans(spark, docs):
     assert secret_scan.redact(docs).columns == docs.columns
 
 
+def test_format_spans_beside_the_patterns(spark):
+    """Planted credentials without a known name: all found, nothing else; a plain scorer agrees."""
+    rng = np.random.default_rng(8)
+    code = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    rows = [(i, f"password={code(24)} then") for i in range(150)]
+    frames = ["auth={} x", "see.{} x", "https://h.example/p/{}/q x", "sig:{}, x", '"{}" x', "{}", "k=v={}. x", "ends {}."]
+    planted = [(1000 + i, frames[i % len(frames)], f"0a{code(10 + i % 20)}") for i in range(160)]
+    clean = [(3000, "mail7.example.com wrote imrmkbe.14 and asfekfe.36 on 2024-05-06T10:11:12 of version1.2.3 in chapter12"),
+             (3001, "letters only abcdefabcdef 1234567890123 étabc12345678 abc12345678é")]
+    docs = spark.createDataFrame(rows + [(i, f.format(w)) for i, f, w in planted] + clean, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(docs).collect()}
+    for i, f, w in planted:
+        at = f.index("{}")
+        assert got[i] == f"format:{at}:{at + len(w)}"
+    assert got[3000] == "" == got[3001]
+    models = secret_scan.learn(docs)
+    model, least = models[0]
+    for w in (planted[0][2], "versionn12", "0123abcd4567"):
+        q, mass = 0, 0.0
+        for c in w:
+            mass += math.log2((model.uses[q].get(c, 0) + secret_scan.UNSEEN) / (model.seen[q] + 66 * secret_scan.UNSEEN))
+            q = model.next[q].get(c, 0)
+        mass += math.log2((model.ends[q] + secret_scan.UNSEEN) / (model.seen[q] + 66 * secret_scan.UNSEEN))
+        flagged = secret_scan.all_spans(f"a {w} b", models) == [(2, 3, 2 + len(w))]
+        assert flagged == (len(models) == 1 and mass / (len(w) + 1) >= least)
+    many = " ".join(f"token={code(12)} 0a{code(12)}" for _ in range(20000))
+    start = time.perf_counter()
+    assert len(secret_scan.all_spans(many, models)) == 40000 and time.perf_counter() - start < 10
+
+
 def test_automaton_learns_format():
     rng = np.random.default_rng(6)
     words_ = ["SK-" + "".join(rng.choice(list("0123456789"), 20)) for _ in range(200)]
