@@ -105,9 +105,10 @@ def _place(rows: DataFrame, src: DataFrame, seed: str) -> DataFrame:
         .withColumn("order", order).withColumn("shard", F.pmod("order", F.col("shards")))
 
 
-def _deal(rows: DataFrame, src: DataFrame, quotas: DataFrame, block: int, seed: str) -> DataFrame:
-    """Adds to (doc_id, source, size, ...) what the mix takes of each row."""
-    ring = Window.partitionBy("source_no", "shard").orderBy("order", F.asc_nulls_last("doc_id"), "size")
+def _deal(rows: DataFrame, src: DataFrame, quotas: DataFrame, block: int, seed: str, *last: str) -> DataFrame:
+    """Adds to (doc_id, source, size, ...) what the mix takes of each row;
+    ``last`` orders rows of equal doc_id and size."""
+    ring = Window.partitionBy("source_no", "shard").orderBy("order", F.asc_nulls_last("doc_id"), "size", *last)
     rows = _place(rows, src, seed).withColumn("end", F.sum("size").over(ring.rowsBetween(Window.unboundedPreceding, 0))) \
         .withColumn("start", F.col("end") - F.col("size")).join(quotas, ["source_no", "shard"])
     length, words = F.greatest("shard_size", F.lit(1)), F.col("quota") * block
@@ -148,9 +149,19 @@ def mixed_documents(docs: DataFrame, block: int = 4, shard_docs: int = 4096, see
     document is taken, and one for each part (its words with the white space
     between them).
     n_chars, if there, is the new text's length.  Rows that are taken 0 times go,
-    those of null or blank texts too; see ``mix`` for the other cases."""
-    src, quotas = _plan(stage_table(_sized(docs), "sizes"), block, shard_docs, seed)
-    dealt = _deal(_sized(docs, F.struct("*").alias("row")), src, quotas, block, seed).where("taken > 0")
+    those of null or blank texts too; see ``mix`` for the other cases.
+
+    Rows are numbered in a written table; shards are laid out by (row_no, size)
+    alone and the texts meet only their own cuts."""
+    numbered = stage_table(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_no")), "numbered")
+    text = F.col("row.text").cast("string")
+    sizes = stage_table(numbered.select(
+        "row_no", "row.doc_id", F.col("row.source").cast("string").alias("source"), word_count(text).alias("size"),
+        F.xxhash64(text).alias("mark")), "sizes")
+    src, quotas = _plan(sizes, block, shard_docs, seed)
+    cuts = _deal(sizes, src, quotas, block, seed, "mark").where("taken > 0") \
+        .select("row_no", "size", "rounds", "skip", "ahead", "behind")
+    dealt = numbered.join(stage_table(cuts, "cuts"), "row_no")
     words = F.split(F.btrim(F.col("row.text").cast("string"), F.lit(TRIMMED)), NEXT_WORD)  # each with the white space after it
 
     def part(first: Column, n: Column) -> Column:

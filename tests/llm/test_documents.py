@@ -208,6 +208,8 @@ def test_mixed_documents_match_taken(docs, doc_rows):
     for r in mixing.mix(docs).collect():
         want[r.doc_id] += r.taken
     assert +took == +want
+    again = mixing.mixed_documents(docs.repartition(5))  # rows of one doc_id and size are told apart by their texts
+    assert Counter((r.doc_id, r.text) for r in rows.collect()) == Counter((r.doc_id, r.text) for r in again.collect())
 
 
 def test_apportion_equals_plain_sainte_lague(spark):
