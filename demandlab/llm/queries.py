@@ -66,10 +66,10 @@ def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write every page to seekable bundles and read the archives back."""
+    """Write every page to seekable archives and read them back by their index."""
     ship_code(spark)
-    bundles = warc.write_bundles(read(spark, sf_dir, "pages"))
-    return warc.read_bundles(bundles, with_payload=False).select(
+    index, folder = warc.write_archives(read(spark, sf_dir, "pages"))
+    return warc.read_records(index, folder, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

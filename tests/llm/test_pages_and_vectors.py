@@ -157,8 +157,8 @@ def test_warc_round_trip(pages, spark):
         if r.page_id is not None:
             key = r.html or ""
             first[key] = min(first.get(key, r.page_id), r.page_id)
-    bundles = warc.write_bundles(pages)
-    got = warc.read_bundles(bundles).collect()
+    index, folder = warc.write_archives(pages, date="2024-02-29T00:00:00Z")
+    got = warc.read_records(index, folder).collect()
     want = Counter()
     for r in rows:
         payload = (r.html or "").encode()
@@ -166,24 +166,42 @@ def test_warc_round_trip(pages, spark):
         want[(r.page_id, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "revisit" if again else "response",
               first[r.html or ""] if again else None, r.url, b"" if again else payload)] += 1
     assert Counter((*tuple(r)[:6], bytes(r.payload)) for r in got) == want
-    none = warc.read_bundles(warc.write_bundles(pages, min_revisit=10 ** 9)).collect()
+    none = warc.read_records(*warc.write_archives(pages, min_revisit=10 ** 9)).collect()
     assert {r.record_type for r in none} == {"response"}
-    assert warc.read_bundles(warc.write_bundles(pages.limit(0))).count() == 0
+    assert warc.read_records(*warc.write_archives(pages.limit(0))).count() == 0
     assert host_paths.extract_pages(pages.limit(0)).count() == 0
 
 
-def test_bundle_frames_are_independent(monkeypatch):
+def test_look_up_opens_no_other_archive(pages, tmp_path):
+    """A record is found by its identifier when all archives but its own are gone."""
+    index, folder = warc.write_archives(pages, str(tmp_path / "archives"), date="2024-02-29T00:00:00Z")
+    index = warc.sorted_index(index)
+    rows = index.collect()
+    assert {r.archive for r in rows} == {p.name for p in tmp_path.joinpath("archives").iterdir() if p.name[0] != "."}
+    at = next(r for r in rows if r.page_id == 41)
+    for p in tmp_path.joinpath("archives").iterdir():
+        if p.name != at.archive:
+            p.write_bytes(b"")
+    got = warc.look_up(index, folder, [41, -1]).collect()
+    assert [(r.page_id, r.record_type, r.url) for r in got] == [(41, "response", "https://long.example/")]
+    assert hashlib.sha1(got[0].payload).digest() == base64.b32decode(got[0].payload_digest)
+    assert warc.look_up(index, folder, [-1]).count() == 0
+
+
+def test_frames_are_independent(monkeypatch):
     monkeypatch.setattr(warc, "FRAME_BYTES", 300)
-    writer = warc.BundleWriter()
-    records = [warc.warc_record(str(i), f"http://x/{i}", bytes([i]) * 50, 50, warc.payload_digest(bytes([i]) * 50), None) for i in range(20)]
+    writer, date = warc.ArchiveWriter(), "2024-02-29T00:00:00Z"
+    records = [warc.warc_record(i, f"http://x/{i}", bytes([i]) * 50, warc.payload_digest(bytes([i]) * 50), None, date) for i in range(20)]
     index = [writer.add(r) for r in records]
-    reader = warc.BundleReader(writer.finish())
+    data = writer.finish()
+    reader = warc.ArchiveReader(data)
     assert len(reader.plain) > 5
     for i in (19, 0, 7, 3):
         fields, payload = warc.parse_record(reader.record(*index[i]))
         assert payload == bytes([i]) * 50 and fields["warc-record-id"] == f"<urn:page:{i}>"
+        assert fields["warc-date"] == date and fields["content-type"].startswith("text/html")
     import zstandard
-    assert zstandard.ZstdDecompressor().stream_reader(reader.data, read_across_frames=True).read() == b"".join(records)
+    assert zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read() == b"".join(records)
 
 
 def test_near_duplicate_vectors(spark, monkeypatch):
