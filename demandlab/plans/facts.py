@@ -2,8 +2,7 @@
 
 Physical plan notes (for a cluster and a fact table in the TB range):
 
-* The dimension chain customer -> nation -> region is joined first; nation
-  and region are fixed-size (25 / 5 rows) and are broadcast explicitly.
+* Nation and region are fixed-size (25 / 5 rows) and are broadcast explicitly.
   customer, part and orders grow with the data, so no hint is given for them:
   AQE turns a join into a broadcast at run time only when the measured side
   is under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and otherwise
@@ -11,8 +10,8 @@ Physical plan notes (for a cluster and a fact table in the TB range):
 * Date windows are applied to the raw ship-date column as well as to the
   derived week, so the predicate reaches the parquet scan (row-group skipping)
   instead of being evaluated after the join.
-* Weekly sums are a hash aggregate with partial (map-side) aggregation, so the
-  shuffle carries one row per key and map task, not one per line item.
+* Lines go through the joins with keys and numbers only; place names are added
+  after the last shuffle, and the weekly sums are made and written there.
 """
 
 from __future__ import annotations
@@ -30,60 +29,72 @@ from demandlab.sources.literals import channel_mapping
 from demandlab.sources.tables import Tables
 
 FACT_KEYS = ["retailer", "state", "business", "category", "brand", "ppg"]
+LINES_PER_TASK = 250_000  # ledger lines that a task of the weekly sums gets
 
 
 def _ts(d: _dt.date):
     return F.lit(d.isoformat()).cast("timestamp_ntz")
 
 
-def sales_fact(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG,
-               ship_from: _dt.date | None = None, ship_to: _dt.date | None = None) -> DataFrame:
-    """Daily ledger lines with their customer/product hierarchy.
-
-    Columns: sale_date, retailer, state, business, category, brand, ppg,
-    channel, qty, dollars.  ``ship_from``/``ship_to`` (inclusive) prune the
-    line-item scan.
-    """
+def ledger_lines(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG,
+                 ship_from: _dt.date | None = None, ship_to: _dt.date | None = None) -> DataFrame:
+    """Daily ledger lines with their retailer, the customer's nation key and the
+    product hierarchy.  What every line carries through the two large joins is
+    narrow: the date, one channel text, and a key instead of the place names
+    (``with_places`` adds these)."""
     c = cfg.columns
     li = t.lineitem
     for pred in cfg.ledger_filters:
         li = li.filter(F.expr(pred))
-    li = li.select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus",
-                           F.col(c.qty).alias("qty"), F.col(c.dollars).alias("dollars"),
-                           F.col(c.ship_date).alias("ship_ts"))
+    li = li.select("l_orderkey", "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("channel"),
+                   F.col(c.qty).alias("qty"), F.col(c.dollars).alias("dollars"),
+                   F.col(c.ship_date).alias("ship_ts"))
     if ship_from is not None:
         li = li.filter(F.col("ship_ts") >= _ts(ship_from))
     if ship_to is not None:
         li = li.filter(F.col("ship_ts") < _ts(ship_to + _dt.timedelta(days=1)))
+    li = li.withColumn("sale_date", F.to_date("ship_ts")).drop("ship_ts")
 
-    nation = F.broadcast(t.nation.select("n_nationkey", "n_regionkey", F.col("n_name")))
-    region = F.broadcast(t.region.select("r_regionkey", F.col("r_name")))
-    geo = nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
-    cust = (t.customer.select("c_custkey", "c_nationkey", F.col(c.retailer).alias("retailer"))
-            .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-            .select("c_custkey", "retailer",
-                    F.col(c.state).alias("state"), F.col(c.business).alias("business")))
+    cust = t.customer.select("c_custkey", "c_nationkey", F.col(c.retailer).alias("retailer"))
     orders = t.orders.select("o_orderkey", "o_custkey")
     part = t.part.select("p_partkey", F.col(c.category).alias("category"),
                          F.col(c.brand).alias("brand"), F.col(c.ppg).alias("ppg"))
     if cfg.hot_key_salt_buckets > 0:
         from demandlab.operators.joins import salted_join
         n = cfg.hot_key_salt_buckets
-        order_geo = salted_join(orders, cust.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", "left", n,
-                                ["o_orderkey"])
-        joined = salted_join(li.join(order_geo, li.l_orderkey == order_geo.o_orderkey, "left"),
+        order_cust = salted_join(orders, cust.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", "left", n,
+                                 ["o_orderkey"]).select("o_orderkey", "c_nationkey", "retailer")
+        joined = salted_join(li.join(order_cust, li.l_orderkey == order_cust.o_orderkey, "left"),
                              part.withColumnRenamed("p_partkey", "l_partkey"), "l_partkey", "left", n,
-                             ["l_orderkey", "ship_ts", "qty", "dollars"])
+                             ["l_orderkey", "sale_date", "qty", "dollars"])
     else:
-        order_geo = orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
-        joined = (li.join(order_geo, li.l_orderkey == order_geo.o_orderkey, "left")
+        order_cust = orders.join(cust, orders.o_custkey == cust.c_custkey, "left").select("o_orderkey", "c_nationkey", "retailer")
+        joined = (li.join(order_cust, li.l_orderkey == order_cust.o_orderkey, "left")
                     .join(part, li.l_partkey == part.p_partkey, "left"))
-    return joined.select(
-        F.to_date("ship_ts").alias("sale_date"),
-        "retailer", "state", "business", "category", "brand", "ppg",
-        F.concat("l_returnflag", "l_linestatus").alias("channel"),
-        "qty", "dollars",
-    )
+    return joined.select("sale_date", "retailer", "c_nationkey", "category", "brand", "ppg", "channel", "qty", "dollars")
+
+
+def with_places(lines: DataFrame, t: Tables, cfg: ModelConfig = DEFAULT_CONFIG) -> DataFrame:
+    """State and business of each line's nation key (25 and 5 rows, broadcast)."""
+    c = cfg.columns
+    nation = F.broadcast(t.nation.select("n_nationkey", "n_regionkey", F.col("n_name")))
+    region = F.broadcast(t.region.select("r_regionkey", F.col("r_name")))
+    geo = nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
+    return (lines.join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+            .withColumns({"state": F.col(c.state), "business": F.col(c.business)})
+            .drop("c_nationkey", *geo.columns))
+
+
+def sales_fact(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG,
+               ship_from: _dt.date | None = None, ship_to: _dt.date | None = None) -> DataFrame:
+    """Daily ledger lines with their customer/product hierarchy.
+
+    Columns: sale_date, retailer, state, business, category, brand, ppg,
+    channel, qty, dollars.  ``ship_from``/``ship_to`` (inclusive) prune the
+    line-item scan.
+    """
+    return with_places(ledger_lines(t, cfg, ship_from, ship_to), t, cfg).select(
+        "sale_date", *FACT_KEYS, "channel", "qty", "dollars")
 
 
 def with_week_fields(df: DataFrame, date_col: str = "week_ending_date") -> DataFrame:
@@ -99,14 +110,23 @@ def weekly_fact(t: Tables, cfg: ModelConfig = DEFAULT_CONFIG, week_rule: str = "
     count).  This is the run's only ledger join.  Materialized once as a
     year-partitioned table in the checkpoint folder: it is the shared input of
     the reporting queries and of the modelling series (which read only the
-    two model years' partitions)."""
+    two model years' partitions).
+
+    Lines meet for the sums by product and year, still narrow: the lines of a
+    product come together from its join, so its names cost a shuffle next to
+    nothing, a product that sells most is spread over the years, and the result
+    is written from there without another shuffle.  The number of these tasks
+    follows the number of lines, so that a task's hash tables stay in memory.
+    """
     def build():
-        fact = sales_fact(t, cfg)
-        weekly = (fact.withColumn("week_ending_date", week_ending("sale_date", week_rule))
-                      .groupBy("week_ending_date", *FACT_KEYS, "channel")
-                      .agg(F.sum("qty").alias("qty"), F.sum("dollars").alias("dollars"),
-                           F.count(F.lit(1)).alias("n_lines")))
-        return with_week_fields(weekly)
+        lines = ledger_lines(t, cfg).withColumn("week_ending_date", week_ending("sale_date", week_rule)).drop("sale_date")
+        tasks = -(-t.lineitem.count() // LINES_PER_TASK) or 1
+        lines = lines.repartition(tasks, "category", "brand", "ppg", F.year("week_ending_date"))
+        weekly = (with_places(with_week_fields(lines), t, cfg)
+                  .groupBy("week_ending_date", *FACT_KEYS, "channel", "week_of_year", "year")
+                  .agg(F.sum("qty").alias("qty"), F.sum("dollars").alias("dollars"),
+                       F.count(F.lit(1)).alias("n_lines")))
+        return weekly.select("week_ending_date", *FACT_KEYS, "channel", "qty", "dollars", "n_lines", "week_of_year", "year")
     return shared(t, ("weekly_fact", cfg, week_rule), build, partition_by=["year"])
 
 

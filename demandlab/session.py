@@ -83,8 +83,8 @@ class Run:
             if self.folder is None:
                 self.folder = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/demandlab-run-{uuid.uuid4().hex}"
         path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        if partition_by:  # rows of a partition value come together: few files each, later filters skip directories
-            df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
+        if partition_by:  # later filters skip directories; ``build`` sees to it that few tasks write, no shuffle follows
+            df.write.partitionBy(*partition_by).parquet(path)
         else:
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
