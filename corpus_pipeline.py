@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from demandlab.llm import bpe, mixing, partenum, quality, secret_scan
-from demandlab.llm.common import read, ship_code, stage_table
+from demandlab.llm.common import Stages, read, ship_code
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +63,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``; each result is written as Parquet and
-    read again as the next stage's docs."""
+    read again as the next stage's docs, after which it is deleted."""
+    stages = Stages(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stages.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        stages.close(keep=(f"stage-{name}",))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -73,19 +74,28 @@ class Stages:
         self.spark = spark
         self._paths: dict[str, str] = {}
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    @contextmanager
+    def cleaning(self) -> Iterator[None]:
+        """The shuffle files of what runs inside go when it ends."""
         before = self.spark.conf.get(self.SHUFFLES, "false")
         self.spark.conf.set(self.SHUFFLES, "true")
         try:
-            self._paths[name] = f"{shared_dir(self.spark)}/llm-{name}-{uuid.uuid4().hex}"
-            df.write.parquet(self._paths[name])
+            yield
         finally:
             self.spark.conf.set(self.SHUFFLES, before)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        with self.cleaning():
+            self._paths[name] = f"{shared_dir(self.spark)}/llm-{name}-{uuid.uuid4().hex}"
+            df.write.parquet(self._paths[name])
         return self.spark.read.schema(df.schema).parquet(self._paths[name])
 
     def close(self, keep: tuple[str, ...] = ()) -> None:
         """Delete the tables but those in ``keep``."""
-        for name in [n for n in self._paths if n not in keep]:
+        self.drop(*[n for n in self._paths if n not in keep])
+
+    def drop(self, *names: str) -> None:
+        for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(name))
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
@@ -216,7 +226,10 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarra
                 extra[has] += w[at] * _GRAM[32 + j]
             extra = mix(extra + per[short].astype(np.uint64))
         owner, g = np.r_[owner, short], np.r_[g, extra]
-    keyed = np.unique((owner.astype(np.uint64) << np.uint64(52)) | (g >> np.uint64(12)))
+    keyed = np.sort((owner.astype(np.uint64) << np.uint64(52)) | (g >> np.uint64(12)))  # np.unique hashes: several times slower
+    first = np.ones(len(keyed), bool)
+    first[1:] = keyed[1:] != keyed[:-1]
+    keyed = keyed[first]
     return keyed & MASK52, np.bincount((keyed >> np.uint64(52)).astype(np.int64), minlength=docs)
 
 

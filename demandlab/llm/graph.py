@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import Stages
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -20,10 +20,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round hooks larger partners, then smaller partners, to the smallest
     one known, until all edges form stars.  Every round is a written table, so no lineage grows and no node list reaches the
-    driver.  Null ends and self-loops are ignored; repeated edges count once.
+    driver; the last round's table stays, the others go with their shuffle files.  Null ends and self-loops are ignored; repeated edges count once.
     """
-    cur = stage_table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                      .distinct(), "edges")
+    stages, rounds = Stages(edges.sparkSession), 0
+    cur = stages.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                       .distinct(), "stars-0")
     while True:
         # larger partners of u move to the smallest partner
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,11 +35,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         near = down.groupBy("u").agg(F.min("v").alias("m"))
         small = (down.join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        cur = stage_table(small, "stars")
+        rounds += 1
+        cur = stages.table(small, f"stars-{rounds}")
+        stages.close(keep=(f"stars-{rounds}",))
         # done when every node has one partner, which has none itself: all edges are stars
         ends = cur.select("u", F.lit(1).alias("n")).unionByName(cur.select(F.col("v").alias("u"), F.lit(0).alias("n")).distinct())
         chained = ends.groupBy("u").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1 OR (n = 1 AND rows > 1)")
-        if chained.isEmpty():
+        with stages.cleaning():
+            done = chained.isEmpty()
+        if done:
             roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

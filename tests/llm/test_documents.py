@@ -11,10 +11,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from demandlab.llm import bpe, fingerprint, mixing, ngram_lm, partenum, quality, secret_scan
-from demandlab.llm.common import shingle_sets, text_chunks
+from demandlab.llm import bpe, common, fingerprint, mixing, ngram_lm, partenum, quality, secret_scan
+from demandlab.llm.common import Stages, shingle_sets, text_chunks
 
 from .conftest import LOWER, words
 
@@ -88,6 +89,46 @@ def test_jaccard_large_family(spark):
     assert got == dict(enumerate(root))
 
 
+def test_family_of_a_common_passage_is_cut(spark, monkeypatch, tmp_path):
+    """Texts that share a passage meet only if they share a rare shingle as well, as all similar ones do."""
+    monkeypatch.setattr(partenum, "CELL_ROWS", 20)
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [passage + [f"w{x}" for x in rng.integers(0, 10 ** 6, 60)] for _ in range(70)]
+    for i in range(0, 70, 7):  # similar ones
+        texts.append([*texts[i][:115], *(f"x{i}-{k}" for k in range(5))])
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "set_key long, text string")
+    members = table.selectExpr("set_key + 1000 AS node", "set_key", "set_key AS comp")
+    edges = members.selectExpr("1000L AS a", "node AS b")
+    got = {r.node - 1000: r.component for r in partenum._families(edges, members, table, 5, 80, Stages(spark)).collect()}
+    assert all(got[i] == got[70 + i // 7] for i in range(0, 70, 7))
+    assert max(Counter(got.values()).values()) < 10  # they were one family of 80
+    sets = [shingles(" ".join(t), 5) for t in texts]
+    root = components(sets, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    found = partenum.jaccard_components(table.withColumnRenamed("set_key", "doc_id"), 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(root))
+
+
+def test_jaccard_tables_and_shuffles_go(spark, docs, monkeypatch, tmp_path):
+    """Signatures, texts and links are deleted before the result is read; none is dealt in one piece."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    written = []
+    table = Stages.table
+    monkeypatch.setattr(Stages, "table", lambda self, df, name: written.append(name) or table(self, df, name))
+    out = partenum.one_of_each(docs)
+    assert {re.match("llm-([a-z]+)", p.name)[1] for p in tmp_path.iterdir()} <= {"sets", "components", "stars", "kept"}
+    assert out.count() and sum(n.startswith("groups") for n in written) == partenum.SIGN_PARTS
+
+
+def test_shingle_sets_are_sorted_and_distinct():
+    text = pa.array(["a b a b a b a", "", "one", "b a b a b a b a"])
+    (_, buf, off), = text_chunks(text)
+    sets, sizes = shingle_sets(buf, off, 2)
+    assert sizes.tolist() == [2, 0, 1, 2]
+    assert all((np.diff(x.astype(np.int64)) > 0).all() for x in np.split(sets, np.cumsum(sizes)[:-1]))
+    assert sets[:2].tolist() == sets[3:].tolist()
+
+
 def test_signatures_lose_no_pair():
     """Random pairs at the threshold always share a signature, for all sizes."""
     import pyarrow as pa
